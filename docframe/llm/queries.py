@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.llm.decontamination import find_contamination
 from docframe.llm.language_id import identify_language
 from docframe.llm.pii import BASE_KINDS, find_personal_data
 from docframe.llm.storage import fold, table
@@ -18,6 +19,42 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    n_hit = F.aggregate("contamination.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    items = F.col("contamination.items")
+    return found.select(
+        "doc_id", F.col("contamination.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP3_SQL = r"""
+WITH lists AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), items AS (
+  SELECT id, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM lists WHERE kind = 'b' AND len(w) > 0
+), win AS (
+  SELECT DISTINCT id AS item_id, m, array_to_string(w[i:i + m - 1], ' ') AS window FROM items
+), docs AS (
+  SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE kind = 'd'
+), hits AS (
+  SELECT d.id, d.i, win.m, win.item_id
+  FROM (SELECT docs.id, docs.i, l.m, array_to_string(w[i:i + l.m - 1], ' ') AS window FROM docs, (SELECT DISTINCT m FROM win) l WHERE docs.i + l.m - 1 <= len(docs.w)) d
+  JOIN win ON win.m = d.m AND win.window = d.window
+), covered AS (
+  SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY id
+), named AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY id
+)
+SELECT lists.id AS doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lists LEFT JOIN covered ON covered.id = lists.id LEFT JOIN named ON named.id = lists.id WHERE kind = 'd'
+"""
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -35,7 +72,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
