@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docframe.llm.decontamination import find_contamination
 from docframe.llm.language_id import identify_language
+from docframe.llm.mixing import plan_mix, words_taken
 from docframe.llm.pii import BASE_KINDS, find_personal_data
 from docframe.llm.storage import fold, table
+from docframe.llm.top_k import top_k
 from docframe.llm.toxicity import score_toxicity
 
 
@@ -19,6 +21,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = rows.where(usable).select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("embedding"))
+    return top_k(whole, whole.where("vec_id % 50 = 0"), k=5)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     n_hit = F.aggregate("contamination.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
@@ -55,6 +77,10 @@ FROM lists LEFT JOIN covered ON covered.id = lists.id LEFT JOIN named ON named.i
 """
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_taken(plan_mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -72,8 +98,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_top_k": op2_top_k,
     "op3_decontamination": op3_decontamination,
+    "op4_mixing": op4_mixing,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_decontamination": OP3_SQL}
