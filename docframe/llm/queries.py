@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docframe.llm.decontamination import find_contamination
 from docframe.llm.language_id import identify_language
 from docframe.llm.mixing import plan_mix, words_taken
+from docframe.llm.near_duplicates import near_duplicates
 from docframe.llm.pii import BASE_KINDS, find_personal_data
 from docframe.llm.storage import fold, table
 from docframe.llm.top_k import top_k
@@ -96,6 +97,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_top_k": op2_top_k,
@@ -103,5 +108,6 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_decontamination": OP3_SQL}
