@@ -52,7 +52,7 @@ def add_columns(docs: DataFrame, fields: str, rows: Callable[[pa.RecordBatch], I
     taken = {f.name.lower() for f in new}
     keep = [f for f in docs.schema if f.name.lower() not in taken and (carry is None or f.name in carry)]
     have = {f.name for f in keep}
-    given = docs.select(*[F.col(f"`{f.name}`") for f in keep], *[c for c in ("text", *new.names) if c in docs.columns and c not in have])
+    given = docs.select(*[F.col(f"`{f.name}`") for f in keep], *[c for c in dict.fromkeys(("text", *new.names)) if c in docs.columns and c not in have])
     names, types = [f.name for f in keep], [T.StructType([f]) for f in new]
     arrow = [_arrow_type(t) for t in types]
 
