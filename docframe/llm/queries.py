@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docframe.llm.decontamination import find_contamination
 from docframe.llm.language_id import identify_language
+from docframe.llm.language_model import score_texts
 from docframe.llm.mixing import plan_mix, words_taken
 from docframe.llm.near_duplicates import near_duplicates
 from docframe.llm.pii import BASE_KINDS, find_personal_data
@@ -82,6 +83,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(plan_mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), fold() == 1)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -106,6 +111,7 @@ QUERIES = {
     "op2_top_k": op2_top_k,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
+    "op7_language_model": op7_language_model,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
