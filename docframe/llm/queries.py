@@ -12,6 +12,7 @@ from docframe.llm.mixing import plan_mix, words_taken
 from docframe.llm.near_duplicates import near_duplicates
 from docframe.llm.pii import BASE_KINDS, find_personal_data
 from docframe.llm.storage import fold, table
+from docframe.llm.suffix_dedup import remove_repeats
 from docframe.llm.top_k import top_k
 from docframe.llm.toxicity import score_toxicity
 
@@ -83,6 +84,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(plan_mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), size=200, carry=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), fold() == 1)
 
@@ -111,6 +117,7 @@ QUERIES = {
     "op2_top_k": op2_top_k,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_model": op7_language_model,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
