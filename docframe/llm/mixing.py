@@ -141,7 +141,9 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     counts = drawn.select("shard", "skey", F.col("keep").alias("n")).unionByName(added).groupBy("shard", "skey").agg(F.sum("n").alias("n")).where("n > 0")
     slots = (
         counts.withColumn("seen", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(sources.select("skey", "n_blocks"), "skey")
-        .withColumn("number", F.explode(F.sequence(F.col("seen"), F.col("seen") + F.col("n") - 1)))
+        .withColumn("first", F.explode(F.sequence(F.col("seen"), F.col("seen") + F.col("n") - 1, F.lit(1024).cast("long"))))
+        .repartition(total // 32768 + 1, "skey", "shard", "first")  # else few small rows, in one task, become all slots
+        .withColumn("number", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + 1023, F.col("seen") + F.col("n") - 1))))
         .withColumn("epoch", F.floor(F.col("number") / F.col("n_blocks")))
         .withColumn("block", permuted(F.pmod("number", F.col("n_blocks")), F.col("n_blocks"), [F.lit(seed), F.col("skey"), F.col("epoch")]))
         .select("shard", "skey", "number", "epoch", "block")
