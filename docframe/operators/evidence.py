@@ -28,7 +28,6 @@ def locate_quote(quote: str | None, source: str | None) -> tuple[str, int, int,
     return quote, begin, end - begin, True
 
 
-@F.pandas_udf(SPAN)
 def _locate(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
     found = [locate_quote(q, s) or (None, None, None, None) for q, s in zip(quotes, sources)]
     return pd.DataFrame(found, columns=["quote", "offset", "length", "found"]).astype({"offset": "Int64", "length": "Int64", "found": "boolean"})
@@ -36,7 +35,7 @@ def _locate(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
 
 def locate(quote: Column, source: Column) -> Column:
     """A struct {quote, offset, length, found} as locate_quote gives; a blank or null quote gives nulls in it."""
-    return _locate(quote, source)
+    return F.pandas_udf(_locate, SPAN)(quote, source)
 
 
 def occurs(quote: Column, source: Column) -> Column:

@@ -1,4 +1,412 @@
-"""Queries over the reference operators, and the SQL that each must equal."""
+"""Queries over the driver's tables with the operators on procurement records, and the SQL that each must equal.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables hold invented prose, orders and events; they stand in for notices,
+attachments, catalogues and runs, with patterns in their own languages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docframe.functions.compat import strip, whole_number
+from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, rules, vectors
+from docframe.operators.chunking import chunk_documents as chunks_of
+from docframe.sources.readers import notices, table, with_fallback
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, folder) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _cut(s: str) -> str:
+    """SQL of where a chunk that begins at s ends."""
+    part = f"substr(text, CAST({s} + 526 AS BIGINT), 175)"
+    return f"CASE WHEN {s} + 700 >= n THEN n WHEN contains({part}, chr(10)) THEN {s} + 525 + length(regexp_extract({part}, '^(.*\\n)', 1, 's')) ELSE {s} + 700 END"
+
+
+PY_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CHUNKS_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, n, CAST(0 AS BIGINT) AS s, CAST({_cut("0")} AS BIGINT) AS e FROM (SELECT doc_id, text, length(text) AS n FROM documents) WHERE n > 0
+  UNION ALL
+  SELECT doc_id, text, n, s, CAST({_cut("s")} AS BIGINT) FROM (SELECT doc_id, text, n, greatest(e - 120, s + 1) AS s FROM c WHERE e < n)
+), chunks AS (
+  SELECT doc_id, s AS "offset", e - s AS length, substr(text, s + 1, e - s) AS text FROM c WHERE regexp_replace(substr(text, s + 1, e - s), '{PY_SPACE}', '', 'g') <> ''
+)
+"""
+
+
+@query(CHUNKS_SQL + 'SELECT doc_id, "offset", length FROM chunks')
+def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks_of(table(spark, folder, "documents")).drop("text")
+
+
+@query(CHUNKS_SQL + "SELECT lang, count(*) AS n_chunks, CAST(sum(c.length) AS BIGINT) AS n_chars, max(c.length) AS longest FROM chunks c JOIN documents USING (doc_id) GROUP BY lang")
+def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    chunks = chunks_of(docs.select(F.struct("doc_id", "lang").alias("id"), "text"), key="id")
+    return chunks.groupBy("id.lang").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("n_chars"), F.max("length").alias("longest"))
+
+
+NEAREST_SQL = """
+WITH scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE {which}
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k} AND score >= {least}
+"""
+
+
+@query(NEAREST_SQL.format(which="q.vec_id = 0", k=10, least=0.0))
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings")
+    return vectors.top_k_each(v.where("vec_id = 0"), v, 10, 0.0)
+
+
+@query(NEAREST_SQL.format(which="q.vec_id < 20", k=5, least=0.05))
+def vector_topk_per_query(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings")
+    return vectors.top_k_each(v.where("vec_id < 20"), v, 5, 0.05)
+
+
+@query("SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def pairwise_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    v = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return v.join(after, "vec_id").select("vec_id", vectors.similarity(F.col("embedding"), F.col("next")).alias("score"))
+
+
+SEARCH_SQL = CHUNKS_SQL.replace("FROM documents) WHERE", "FROM documents WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50) AND length(text) > 50) WHERE") + """
+, words AS (SELECT doc_id, "offset", unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM chunks)
+, parts AS (SELECT doc_id, "offset", CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY ALL)
+, q AS (SELECT CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(['license', 'rights', 'the', 'reserved']) AS w) GROUP BY ALL)
+, norms AS (SELECT doc_id, "offset", sqrt(sum(n * n)) AS norm FROM parts GROUP BY ALL)
+, dots AS (SELECT doc_id, "offset", sum(parts.n * q.n) AS dot FROM parts JOIN q USING (b) GROUP BY ALL)
+, best AS (SELECT doc_id, greatest(0.0, max(round(coalesce(dot, 0) / norm / (SELECT sqrt(sum(n * n)) FROM q), 6))) AS score FROM norms LEFT JOIN dots USING (doc_id, "offset") GROUP BY doc_id)
+SELECT doc_id AS notice_id, score, substr(text, 1, 1000) AS spec_text FROM best JOIN documents USING (doc_id) WHERE score >= 0.1 ORDER BY score DESC, doc_id LIMIT 10
+"""
+
+
+@query(SEARCH_SQL)
+def search_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    listed = docs.select(F.col("doc_id").alias("notice_id"), F.col("doc_id").alias("position"))
+    return vectors.search_documents(listed, docs.select(F.col("doc_id").alias("notice_id"), "text"), "license rights the reserved", vectors.HashedEncoder(), 10, 0.1)
+
+
+@query("""
+SELECT d.doc_id, b.item_id, CAST(strpos(d.text, b.quote) - 1 AS BIGINT) AS "offset", length(b.quote) AS length
+FROM documents d JOIN (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark) b ON contains(d.text, b.quote) WHERE b.quote = regexp_replace(b.quote, '^%s+|%s+$', '', 'g')
+""".replace("%s", PY_SPACE))
+def locate_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The opening of each benchmark item, found exactly in documents."""
+    quotes = table(spark, folder, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote")).where(F.col("quote") == strip(F.col("quote")))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = quotes.agg(F.collect_list(F.struct("item_id", "quote")).alias("quotes"))  # a benchmark, small by its kind
+    asked = docs.crossJoin(F.broadcast(held)).select("doc_id", "text", F.inline(F.filter("quotes", lambda q: F.contains(F.col("text"), q["quote"]))))
+    found = asked.withColumn("span", evidence.locate(F.col("quote"), F.col("text")))
+    return found.where("span.found").select("doc_id", "item_id", "span.offset", "span.length")
+
+
+@query("""
+WITH c AS (SELECT doc_id, substr(text, 11, 30) AS a, upper(substr(text, 1, 40)) AS b, text FROM documents)
+SELECT doc_id, k.name AS quote FROM c, (VALUES ('middle'), ('shouted')) k(name)
+WHERE regexp_replace(CASE name WHEN 'middle' THEN a ELSE b END, '%s+', '', 'g') <> ''
+  AND contains(regexp_replace(text, '%s+', '', 'g'), regexp_replace(CASE name WHEN 'middle' THEN a ELSE b END, '%s+', '', 'g'))
+""".replace("%s", PY_SPACE))
+def surviving_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    quotes = F.create_map(F.lit("middle"), F.substring("text", 11, 30), F.lit("shouted"), F.upper(F.substring("text", 1, 40)))
+    return docs.select("doc_id", F.explode(F.map_keys(evidence.surviving_quotes(quotes, F.col("text")))).alias("quote"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, text, CAST(greatest(0, 400 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS remaining FROM conversations)
+SELECT conv_id, turn, remaining, length(substr(text, 1, remaining)) AS n_clipped, CASE WHEN remaining <= 0 THEN 'omitted' WHEN length(text) > remaining THEN 'cut' ELSE 'whole' END AS state FROM p
+""")
+def render_budget(spark: SparkSession, folder: str) -> DataFrame:
+    parts = rendering.clip_to_budget(table(spark, folder, "conversations"), "conv_id", "turn", "text", F.lit(400))
+    return parts.select("conv_id", "turn", "remaining", F.length("clipped").cast("long").alias("n_clipped"), "state")
+
+
+@query("""
+WITH head AS (SELECT conv_id, '공고번호: ' || conv_id || chr(10) || '공고명: ' || min_by(role, turn) || chr(10) || '수요기관: -' AS h FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, turn, role, text, h, greatest(0, 600 - length(h) - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS r FROM conversations JOIN head USING (conv_id))
+SELECT conv_id AS notice_no, md5(any_value(h) || chr(10) || string_agg(CASE WHEN r <= 0 THEN chr(10) || '[' || role || '] (분량 초과로 생략)'
+  ELSE chr(10) || '[' || role || ']' || chr(10) || substr(text, 1, CAST(r AS BIGINT)) || CASE WHEN length(text) > r THEN chr(10) || '…(이하 생략)' ELSE '' END END, chr(10) ORDER BY turn)) AS digest FROM p GROUP BY conv_id
+""")
+def render_notices(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    heads = turns.groupBy("conv_id").agg(F.min_by("role", "turn").alias("title")).select(F.col("conv_id").alias("notice_no"), "title", F.lit("").alias("agency"), F.lit(None).cast("long").alias("amount"))
+    prompts = rendering.render_notices(heads, turns.select(F.col("conv_id").alias("notice_no"), F.col("turn").alias("position"), F.col("role").alias("name"), "text"), 600)
+    return prompts.select("notice_no", F.md5("prompt").alias("digest"))
+
+
+PLAIN_RULES = [("rights", "Rights", r"all\s+rights.{0,40}reserved", ""), ("licence", "Licence", r"(licensed|distributed)\s+under.{0,60}[0-9.]+", ""), ("secret", "Secret", r"(password|token)\s*=", "")]
+
+
+@query("""
+WITH r AS (SELECT * FROM (VALUES ('rights', 'all\\s+rights.{0,40}reserved'), ('licence', '(licensed|distributed)\\s+under.{0,60}[0-9.]+'), ('secret', '(password|token)\\s*=')) t(rule_id, p)),
+m AS (SELECT doc_id, rule_id, text, regexp_extract(text, p, 0, 'is') AS matched FROM documents, r)
+SELECT doc_id, rule_id, CAST(strpos(text, matched) - 1 AS BIGINT) AS "offset", length(matched) AS length FROM m WHERE matched <> ''
+""")
+def risk_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.scan_rules(table(spark, folder, "documents"), PLAIN_RULES).select("doc_id", "rule_id", "offset", "length")
+
+
+@query("""
+WITH k AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), f AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM k)
+SELECT page_id, host, row_number() OVER (ORDER BY page_id) AS number FROM f WHERE n = 1 ORDER BY page_id LIMIT 20
+""")
+def dedup_limit(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+    return rules.first_of_each(pages, F.col("host"), ["page_id"], 20)
+
+
+@query("SELECT doc_id AS row_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 10) AS BIGINT) AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 10 + 1 AS slot FROM documents")
+def classify_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return opportunity.assign_batches(table(spark, folder, "documents").select(F.col("doc_id").alias("row_id")), ["row_id"])
+
+
+@query("""
+WITH h AS (SELECT doc_id AS row_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT row_id, position, CAST(floor(position / 3) AS BIGINT) AS batch, position % 3 + 1 AS slot FROM h
+""")
+def retry_holes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose place in their batch got no answer, regrouped; an answer is a label."""
+    rows = opportunity.assign_batches(table(spark, folder, "documents").select(F.col("doc_id").alias("row_id")), ["row_id"])
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("row_id"), "toxic")
+    answers = rows.join(labels, "row_id").select("batch", "slot", F.lit(1).alias("turn"), F.col("toxic").alias("verdict"))
+    return opportunity.holes(opportunity.place_answers(rows, answers)).select("row_id", "position", "batch", "slot")
+
+
+PREDICTIONS_SQL = """
+WITH p AS (
+  SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'open' END AS truth, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN length(text) > {n} THEN 'good' ELSE 'poor' END AS predicted,
+    CASE WHEN length(text) > 2000 THEN 'High' ELSE 'Low' END AS fit, CASE toxic WHEN 1 THEN 'High' ELSE 'Low' END AS labelled_fit FROM documents JOIN labels USING (doc_id)
+)
+"""
+CARD_SQL = """count(*) AS notices, count(predicted) AS analysed, count(*) - count(predicted) AS missing, count(*) FILTER (predicted IS NOT NULL AND truth IN ('good', 'poor')) AS assigned,
+  count(*) FILTER (truth = predicted AND truth IN ('good', 'poor')) AS matched, count(*) FILTER (predicted IS NOT NULL AND truth = 'open') AS unassigned, count(*) FILTER (truth = 'open' AND predicted IN ('good', 'poor')) AS discovered,
+  count(*) FILTER (predicted IS NOT NULL AND fit = 'High') AS fit_high, count(*) FILTER (labelled_fit = 'High') AS labelled_high"""
+RATES_SQL = "CASE WHEN assigned > 0 THEN round_even(matched * 100.0 / assigned, 1) ELSE 0 END::DOUBLE AS match_rate, CASE WHEN unassigned > 0 THEN round_even(discovered * 100.0 / unassigned, 1) ELSE 0 END::DOUBLE AS discovery_rate"
+
+
+def _predictions(spark: SparkSession, folder: str, least: int) -> DataFrame:
+    both = table(spark, folder, "documents").select("doc_id", F.length("text").alias("n")).join(table(spark, folder, "labels"), "doc_id")
+    predicted = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("n") > least, "good").otherwise("poor")
+    level = lambda c: F.when(c, "High").otherwise("Low")
+    return both.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("open").alias("truth"), predicted.alias("predicted"), level(F.col("n") > 2000).alias("fit"), level(F.col("toxic") == 1).alias("labelled_fit"))
+
+
+@query(PREDICTIONS_SQL.format(n=1000) + "SELECT doc_id, CASE WHEN predicted IS NULL THEN '⚠️미분석' WHEN truth = 'open' THEN '🆕신규발굴' WHEN truth = predicted THEN '일치' ELSE '불일치' END AS verdict FROM p")
+def verdict_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _predictions(spark, folder, 1000).select("doc_id", opportunity.row_verdict(F.col("truth"), F.col("predicted"), ("good", "poor"), "open").alias("verdict"))
+
+
+@query(PREDICTIONS_SQL.format(n=1000) + f"SELECT *, {RATES_SQL} FROM (SELECT {CARD_SQL} FROM p)")
+def scorecard(spark: SparkSession, folder: str) -> DataFrame:
+    return opportunity.scorecard(_predictions(spark, folder, 1000), ("good", "poor"), "open")
+
+
+@query("SELECT * FROM (" + PREDICTIONS_SQL.format(n=1000) + f"SELECT 'one' AS run, *, {RATES_SQL} FROM (SELECT {CARD_SQL} FROM p)) UNION ALL SELECT * FROM (" + PREDICTIONS_SQL.format(n=3000) + f"SELECT 'two' AS run, *, {RATES_SQL} FROM (SELECT {CARD_SQL} FROM p))")
+def scorecard_compare(spark: SparkSession, folder: str) -> DataFrame:
+    runs = _predictions(spark, folder, 1000).withColumn("run", F.lit("one")).unionByName(_predictions(spark, folder, 3000).withColumn("run", F.lit("two")))
+    return opportunity.scorecard(runs, ("good", "poor"), "open", ["run"])
+
+
+@query("""
+SELECT p_partkey, attr, value, unit FROM (
+  SELECT p_partkey, 'cores' AS attr, CAST(p_size AS VARCHAR) AS value, NULL AS unit FROM part UNION ALL SELECT p_partkey, 'socket', p_brand, NULL FROM part
+  UNION ALL SELECT p_partkey, 'memory_type', CASE WHEN p_size > 25 THEN p_type END, NULL FROM part UNION ALL SELECT p_partkey, 'ecc', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, NULL FROM part
+  UNION ALL SELECT p_partkey, 'tdp_w', CAST(p_size * 10 AS VARCHAR), 'W' FROM part) WHERE value IS NOT NULL
+""")
+def canonical_attrs(spark: SparkSession, folder: str) -> DataFrame:
+    return hardware.canonical_attributes(_catalogue(spark, folder), "p_partkey", hardware.CPU_ATTRS)
+
+
+def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(
+        "p_partkey", F.col("p_size").alias("cores"), F.col("p_brand").alias("socket"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("memory_types"),
+        F.when(F.col("p_size") % 2 == 0, "Yes").otherwise("No").alias("ecc_support"), (F.col("p_size") * 10).alias("tdp_w"),
+    )
+
+
+CONSTRAINTS = [("big", "cores", "gte", "30"), ("big", "ecc", "eq", "true"), ("cool", "tdp_w", "lte", "150"), ("cool", "cores", "approx", "10"), ("exact", "cores", "eq", "16")]
+
+
+@query("""
+WITH c AS (SELECT * FROM (VALUES ('big', 'cores', 'gte', '30'), ('big', 'ecc', 'eq', 'true'), ('cool', 'tdp_w', 'lte', '150'), ('cool', 'cores', 'approx', '10'), ('exact', 'cores', 'eq', '16')) t(requirement, attr, op, wanted)),
+a AS (SELECT p_partkey, 'cores' AS attr, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'ecc', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END FROM part UNION ALL SELECT p_partkey, 'tdp_w', CAST(p_size * 10 AS VARCHAR) FROM part),
+m AS (SELECT requirement, p_partkey, CASE op WHEN 'approx' THEN NULL WHEN 'gte' THEN TRY_CAST(value AS DOUBLE) >= TRY_CAST(wanted AS DOUBLE) WHEN 'lte' THEN TRY_CAST(value AS DOUBLE) <= TRY_CAST(wanted AS DOUBLE) ELSE value = wanted END AS ok FROM a JOIN c USING (attr)),
+g AS (SELECT requirement, p_partkey, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_bad FROM m GROUP BY ALL)
+SELECT requirement, p_partkey, n_ok, n AS n_constraints, CASE WHEN n_bad > 0 THEN 'fail' WHEN n_ok = n THEN 'pass' ELSE 'needs_review' END AS verdict
+FROM g JOIN (SELECT requirement, count(*) AS n FROM c GROUP BY ALL) USING (requirement)
+""")
+def requirement_match(spark: SparkSession, folder: str) -> DataFrame:
+    attributes = hardware.canonical_attributes(_catalogue(spark, folder), "p_partkey", hardware.CPU_ATTRS)
+    return hardware.match_requirements(attributes, spark.createDataFrame(CONSTRAINTS, "requirement string, attr string, op string, value string"), "p_partkey")
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_replace(lower(text), '%s+', '', 'g') AS b FROM documents)
+SELECT doc_id, contains(b, 'allrights') AND contains(b, 'reserved') AS has_all, contains(b, 'licensedunder') OR contains(b, 'password=') AS has_any FROM t
+""".replace("%s", PY_SPACE))
+def keyword_quantifiers(spark: SparkSession, folder: str) -> DataFrame:
+    held = lambda words, any_of: evaluation.has_keywords(F.col("text"), F.array(*map(F.lit, words)), F.lit(any_of))
+    return table(spark, folder, "documents").select("doc_id", held(("All Rights", "Reserved"), False).alias("has_all"), held(("licensed under", "password ="), True).alias("has_any"))
+
+
+@query("SELECT p_partkey, p_size >= 20 OR coalesce(TRY_CAST(regexp_extract(p_name || ' x ' || p_size * 2, '[×x*]\\s*([0-9]+)', 1) AS BIGINT) >= 20, false) AS enough FROM part")
+def quantity_test(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.concat("p_name", F.lit(" x "), (F.col("p_size") * 2).cast("string"))
+    return table(spark, folder, "part").select("p_partkey", evaluation.enough(F.col("p_size").cast("string"), name, F.lit(20)).alias("enough"))
+
+
+DIFF_SQL = """
+WITH a AS (SELECT o_orderpriority AS file, o_orderkey AS cell, o_orderstatus AS value FROM orders WHERE o_orderkey % 11 <> 0),
+b AS (SELECT o_orderpriority AS file, o_orderkey AS cell, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 13 <> 0),
+d AS (SELECT coalesce(a.file, b.file) AS file, coalesce(a.cell, b.cell) AS cell, a.value AS left_value, b.value AS right_value, a.value IS NOT DISTINCT FROM b.value AS same FROM a FULL JOIN b ON a.file = b.file AND a.cell = b.cell)
+"""
+
+
+def _diff(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("cell"), F.col("o_orderstatus").alias("value"))
+    changed = orders.where("cell % 13 <> 0").withColumn("value", F.when(F.col("cell") % 5 != 0, F.col("value")))
+    return evaluation.compare_cells(orders.where("cell % 11 <> 0"), changed, ["file", "cell"])
+
+
+@query(DIFF_SQL + "SELECT * FROM d")
+def table_diff(spark: SparkSession, folder: str) -> DataFrame:
+    return _diff(spark, folder)
+
+
+@query(DIFF_SQL + "SELECT file, count(*) AS total, count(*) FILTER (same) AS matched, count(*) FILTER (NOT same) AS failed FROM d GROUP BY file")
+def file_diff_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.compare_files(_diff(spark, folder), "file")
+
+
+@query("""
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side
+FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000) a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal < 5000) b ON a.k = b.k
+""")
+def code_set_diff(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.set_differences(table(spark, folder, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")), table(spark, folder, "supplier").where("s_acctbal < 5000").select("s_nationkey"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE '' END AS work_kind, o_orderstatus AS subsidiary, substr('  ' || o_orderpriority, 3) AS product, '' AS fit, substr(repeat(o_orderpriority, 9), 1, 60) AS reason
+FROM orders WHERE o_orderstatus IN ('F', 'O')
+""")
+def enum_narrow(spark: SparkSession, folder: str) -> DataFrame:
+    p = F.col("o_orderpriority")
+    verdict = opportunity.narrow(p, F.col("o_orderstatus"), F.concat(F.lit("  "), p, F.lit("　")), F.lit("Huge"), F.repeat(p, F.lit(9)), ("F", "O"), ("1-URGENT", "2-HIGH"))
+    return table(spark, folder, "orders").select("o_orderkey", verdict.alias("v")).where("v is not null").select("o_orderkey", "v.*")
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'false' WHEN 1 THEN 'true' WHEN 2 THEN '' WHEN 3 THEN 'false' ELSE 'No' END AS value, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS name, event_id % 3 <> 0 AS named FROM events
+""")
+def flag_normalise(spark: SparkSession, folder: str) -> DataFrame:
+    turn = F.col("event_id") % 5
+    value = F.element_at(F.array(*map(F.lit, (" No ", "ECC", "", "미지원", "No"))), (turn + 1).cast("int"))
+    attr = F.when(turn == 4, "form_factor").otherwise("ecc")
+    name, named = hardware.reconcile_name(F.when(F.col("event_id") % 3 == 0, F.lit(" 　")).otherwise(F.col("event_type")), F.lit(True))
+    return table(spark, folder, "events").select("event_id", hardware.flag_value(attr, value).alias("value"), name.alias("name"), named.alias("named"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN [1, 2] WHEN 3 THEN [7] ELSE [] END AS n_list FROM (SELECT event_id FROM events)
+""".replace("AS n_list", "AS x").replace("SELECT event_id, CASE", "SELECT event_id, CAST(len(CASE").replace("END AS x", "END) AS BIGINT) AS n_objects"))
+def json_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    noise = F.array(*map(F.lit, ('```json\n[{"i": 1}, {"i": 2}]\n```', "no list here", '[{"i": 1}, ', 'so: [{"i": 7}] and done')))
+    text = F.element_at(noise, (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, folder, "events").select("event_id", F.size(opportunity.salvage_array(text, "struct<i:bigint>")).cast("long").alias("n_objects"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN NULL ELSE NULL END::BIGINT AS n FROM events")
+def coerce_integers(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, (" 8 ", "8.0", "8.5", "eight"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, folder, "events").select("event_id", whole_number(text).alias("n"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'LLM_TIMEOUT' ELSE 'INTERNAL' END AS code, CAST(CASE event_id % 3 WHEN 0 THEN 504 ELSE 500 END AS BIGINT) AS status, true AS retryable FROM events")
+def failure_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    code = F.element_at(F.array(F.lit("LLM_TIMEOUT"), F.lit("NO_SUCH"), F.lit(None).cast("string")), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, folder, "events").select("event_id", records.classify_failure(code).alias("f")).select("event_id", "f.code", "f.status", "f.retryable")
+
+
+@query("SELECT c_custkey, '••••' || right(c_name, 4) AS masked, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'http://host' END AS base FROM customer")
+def config_values(spark: SparkSession, folder: str) -> DataFrame:
+    base = records.first_set(F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("/"))).otherwise(" "), F.lit(None).cast("string"), F.lit("http://host//"))
+    return table(spark, folder, "customer").select("c_custkey", records.masked(F.col("c_name")).alias("masked"), base.alias("base"))
+
+
+@query("SELECT o_orderkey, o_orderkey || '. ' || o_orderpriority || ' | ' || CASE WHEN o_orderkey % 2 = 0 THEN '발주:' || o_orderstatus || ' | ' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN '금액미상' ELSE CAST(o_orderkey AS VARCHAR) || '억' END || ' | - | -' AS line FROM orders")
+def notice_lines(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    line = rendering.notice_line(k, F.col("o_orderpriority"), F.when(k % 2 == 0, F.col("o_orderstatus")).otherwise(""), F.when(k % 3 == 0, 0).otherwise(k), F.lit(None).cast("string"), F.lit(""))
+    return table(spark, folder, "orders").select("o_orderkey", line.alias("line"))
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority AS name FROM orders WHERE strftime(o_orderdate, '%Y%m%d') BETWEEN '19950101' AND '19961231' AND o_orderstatus = 'O' AND contains(o_orderpriority, 'U') ORDER BY o_orderkey LIMIT 50 OFFSET 50
+""")
+def notice_page(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"), F.when(F.col("o_orderstatus") == "O", "03").otherwise("01").alias("bid_type"))
+    found = notices(rows, "1995-01-01", "1996-12-31", "용역", ["U"])
+    return records.page(with_fallback(found, found), ["o_orderkey"], 2, 50).select("o_orderkey", "name")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(greatest(1000, floor(((CASE l_linenumber % 3 WHEN 0 THEN 16384 WHEN 1 THEN l_quantity * 1000 ELSE 8192 END) - 912) * 1.5)) AS BIGINT) AS budget FROM lineitem")
+def input_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    turn = F.col("l_linenumber") % 3
+    loaded, configured = F.when(turn == 0, 16384), F.when(turn == 1, (F.col("l_quantity") * 1000).cast("int")).otherwise(0)
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", rendering.input_budget(loaded, configured).alias("budget"))
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_acctbal > 0 AND s_nationkey < 20 ORDER BY s_nationkey / 20.0, s_acctbal, s_suppkey LIMIT 1")
+def worker_choice(spark: SparkSession, folder: str) -> DataFrame:
+    workers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") > 0).alias("healthy"), F.col("s_nationkey").alias("in_flight"), F.lit(20).alias("capacity"), F.col("s_acctbal").alias("sequence"))
+    return records.free_worker(workers).select("id")
+
+
+@query("SELECT CAST(coalesce(sum(CASE WHEN s_acctbal > 0 THEN s_nationkey END), 0) AS BIGINT) AS capacity, count(*) FILTER (s_acctbal > 0) AS healthy FROM supplier")
+def worker_capacity(spark: SparkSession, folder: str) -> DataFrame:
+    return records.capacity(table(spark, folder, "supplier").select((F.col("s_acctbal") > 0).alias("healthy"), F.col("s_nationkey").alias("capacity")))
+
+
+@query()
+def llm_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries by a recorded client; some calls time out."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("notice_no"), F.when(F.col("doc_id") % 10 > 0, F.substring("text", 1, 300)).alias("prompt"))
+    return generation.summarize(docs, generation.ReplayClient({"the": "A notice in English."}, "A notice."), "replay")
+
+
+@query()
+def extract_requirements(spark: SparkSession, folder: str) -> DataFrame:
+    """Items by a recorded client, their evidence located in the documents."""
+    item = {"category": "CPU", "name": " ", "named": True, "qty": 2, "constraints": [{"attr": "ecc", "op": "eq", "value": "미지원", "raw": "x"}], "evidence": "All rights reserved."}
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return generation.extract_requirements(docs, generation.ReplayClient({"rights reserved": generation.recorded({"items": [item]})}, "{}"))
+
+
+@query()
+def judge_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark's first words as expectations of documents that copy them."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("case"), "text")
+    expected = items.select("case", F.lit("must").alias("kind"), F.array(F.substring("text", 1, 20)).alias("keywords"), F.lit(True).alias("any_of"), F.lit(1).alias("qty_min"), F.lit("opening").alias("label"))
+    chosen = items.select("case", F.substring("text", 1, 10).alias("name"), F.lit("1").alias("qty"), F.lit("O").alias("sel"))
+    return evaluation.judge_cases(expected, chosen, items)
