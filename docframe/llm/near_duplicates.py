@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.llm.components import components
-from docframe.llm.storage import add_columns, materialize, small
+from docframe.llm.storage import add_columns, materialize, materialize_counting, small
 from docframe.llm.text import BY_SPACE, LOWER, BASE, mix, prefix_hashes, slices, substring_hashes, word_spans
 
 HASHES = 64
 TREES = 8
 LEVELS = 5  # tokens that a path chooses at most
-NODE = 1024  # sets that are compared exhaustively on sketches
+NODE = 4096  # sets that are compared exhaustively on sketches
 BLOCK = 128  # sets that are compared exhaustively in full
 FEW = 1_000_000  # rows with two longs that may be broadcast
 
@@ -175,32 +175,32 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     """
     token = lambda i: F.element_at("tokens", i + 1)
     roots = F.array(*[F.xxhash64(F.lit(t), token(F.lit(t))) for t in range(TREES)])
-    rows = sets.select("sid", "tokens", F.explode(roots).alias("node"))
+    rows = sets.select("sid", "n", "signature", "tokens", F.explode(roots).alias("node"))
     found = []
     for level in range(1, LEVELS + 1):
-        rows = materialize(rows.distinct() if level > 1 else rows)
-        counts = materialize(rows.groupBy("node").agg(F.count("*").alias("held")).where("held > 1"))
-        n_light, n_heavy = counts.agg(F.coalesce(F.sum((F.col("held") <= NODE).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("held") > NODE).cast("long")), F.lit(0))).first()
-        if n_light:
-            light = rows.join(small(counts.where(F.col("held") <= NODE).select("node"), n_light, FEW), "node").select("node", "sid")
-            leaves = light.join(sets.select("sid", "n", "signature"), "sid").repartition("node").sortWithinPartitions("node", "sid")
-            found.append(materialize(leaves.mapInArrow(by_group("node", compare_node(percent), ["a", "b"]), "a long, b long").distinct()))
-        if not n_heavy:
+        if level > 1:
+            rows = materialize(rows.dropDuplicates(["sid", "node"]))
+        counts = rows.groupBy("node").agg(F.count("*").alias("held")).where("held > 1")
+        counts, seen = materialize_counting(counts, light=F.count_if(F.col("held") <= NODE), heavy=F.count_if(F.col("held") > NODE))
+        if seen["light"]:
+            light = rows.join(small(counts.where(F.col("held") <= NODE).select("node"), seen["light"], FEW), "node").select("node", "sid", "n", "signature")
+            found.append(materialize(light.repartition("node").sortWithinPartitions("node", "sid").mapInArrow(by_group("node", compare_node(percent), ["a", "b"]), "a long, b long")))
+        if not seen["heavy"]:
             break
-        heavy = rows.join(small(counts.where(F.col("held") > NODE).select("node"), n_heavy, FEW), "node")
+        heavy = rows.join(small(counts.where(F.col("held") > NODE).select("node"), seen["heavy"], FEW), "node")
         if level == LEVELS:
             least = heavy.groupBy("node").agg(F.min("sid").alias("b"))
-            found.append(heavy.select("node", F.col("sid").alias("a")).join(small(least, n_heavy, FEW), "node").where("a <> b").select("a", "b"))
+            found.append(heavy.select("node", F.col("sid").alias("a")).join(small(least, seen["heavy"], FEW), "node").where("a <> b").select("a", "b"))
             break
         # Two of the level's eight tokens, the same for all sets of the node.
         one = F.pmod(F.xxhash64("node"), F.lit(8)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(7)).cast("int"), F.lit(8)).cast("int")
         children = F.array(*[F.xxhash64("node", F.lit(k), token(8 * level + which)) for k, which in enumerate((one, two))])
-        rows = heavy.select("sid", "tokens", F.explode(children).alias("node"))
+        rows = heavy.select("sid", "n", "signature", "tokens", F.explode(children).alias("node"))
     out = found[0] if found else sets.sparkSession.createDataFrame([], "a long, b long")
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
 
 
 def confirm(percent: int) -> Callable[[pa.Table], Iterator[tuple[int, int]]]:
@@ -235,8 +235,8 @@ def confirm(percent: int) -> Callable[[pa.Table], Iterator[tuple[int, int]]]:
     return run
 
 
-def confirmed_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect, within each cluster, exactly what links of percent connect.
+def confirmed_components(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the links of percent within each cluster; ids without a link are left out.
 
     clusters: (sid, cluster). Clusters of up to BLOCK sets are compared whole.
     A larger one is cut into blocks; in the first round all pairs of a block
@@ -246,7 +246,9 @@ def confirmed_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataF
     no pair of two components is left uncompared.
     """
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("held"))
-    members = materialize(clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))))
+    members = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    members, seen = materialize_counting(members, heavy=F.count_if(F.col("blocks") > 1))
+    n_heavy = seen["heavy"]
 
     def compared(rows: DataFrame) -> DataFrame:
         """rows: sid, cluster, block, part, leader, all_pairs"""
@@ -271,21 +273,20 @@ def confirmed_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataF
 
     heavy = members.where("blocks > 1")
     start = members.withColumn("part", F.col("sid"))
-    n_heavy = heavy.count()
     chosen = materialize(first_of(start.where("blocks > 1"), 64).select("sid", "cluster", "blocks", "part")) if n_heavy else None
     links = compared(with_leaders(start, chosen, True) if n_heavy else start.select("sid", "cluster", "block", "part", F.lit(False).alias("leader"), F.lit(True).alias("all_pairs")))
     if not n_heavy:
-        return links
+        return components(links)
     done = chosen.select("sid")
     while True:
         parts = components(links)
         now = materialize(heavy.join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component"))
         largest = now.groupBy("cluster", "part").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
         waiting = now.join(F.broadcast(largest) if n_heavy <= FEW else largest, "cluster").where("part <> largest").join(done, "sid", "left_anti")
-        chosen = materialize(first_of(waiting, 256).select("sid", "cluster", "blocks", "part"))
-        n = chosen.count()
+        chosen, seen = materialize_counting(first_of(waiting, 256).select("sid", "cluster", "blocks", "part"), n=F.count("*"))
+        n = seen["n"]
         if not n:
-            return links
+            return parts
         due = now.join(small(chosen.select("cluster").distinct(), n, FEW), "cluster", "left_semi")
         links = materialize(links.unionByName(compared(with_leaders(due, chosen, False))))
         done = materialize(done.unionByName(chosen.select("sid")))
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = real.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("signature").alias("signature"))
     tokens = F.transform(F.sequence(F.lit(0), F.lit(LEVELS * 8 - 1)), lambda i: F.substring("signature", 4 * i + 1, F.lit(4)))
     sets = materialize(sets.withColumn("tokens", tokens))
-    clusters = materialize(components(candidate_links(sets, percent)).select(F.col("id").alias("sid"), F.col("component").alias("cluster")))
+    clusters = components(candidate_links(sets, percent)).select(F.col("id").alias("sid"), F.col("component").alias("cluster"))
     n = clusters.count()
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -322,14 +323,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         wanted = sets.join(clusters, "sid").select("rep", F.col("sid").alias("of"), "signature")
         texts = docs.select(F.col("doc_id").alias("rep"), "text").join(small(wanted, n, FEW // 20), "rep")
         full = add_columns(texts, "sid bigint, shingles array<bigint>", rows, ["of", "signature"]).where("sid = of").dropDuplicates(["sid"])
-        links = confirmed_links(clusters, materialize(full.select("sid", "signature", "shingles")), percent)
-        parts = components(links).withColumnRenamed("id", "sid")
+        parts = confirmed_components(clusters, materialize(full.select("sid", "signature", "shingles")), percent).withColumnRenamed("id", "sid")
     else:
         parts = docs.sparkSession.createDataFrame([], "sid long, component long")
     joined = sets.select("sid", "rep", "copies").join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     linked = joined.join(joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("all")), "component")
-    linked = materialize(linked.where("all > 1").select("sid", "component_id"))
-    out = described.join(small(linked, linked.count(), FEW), "sid", "left")
+    linked, seen = materialize_counting(linked.where("all > 1").select("sid", "component_id"), n=F.count("*"))
+    out = described.join(small(linked, seen["n"], FEW), "sid", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

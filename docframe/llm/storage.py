@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialize(df), and aggregates over its rows from the same pass; 0 where there are none."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()]))
+    return out, seen.get
+
+
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint where the counted rows prove df small, else df as it is and Spark shuffles it."""
     return F.broadcast(df) if rows <= limit else df
