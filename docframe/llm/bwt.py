@@ -1,9 +1,10 @@
 """Burrows-Wheeler transforms of sets of strings, merged by iterative interleave refinement.
 
-The symbols are STEP bytes wide: the transform holds, for each suffix in sorted
-order, the STEP bytes before it, and one turn of the refinement lengthens the
-sorted prefix by STEP bytes. A string ends in STEP empty suffixes, one for each
-of its phases.
+The alphabet is that of all strings of STEP bytes, in the order of their
+hashes. The transform holds, for each suffix in sorted order, the symbol before
+it, and one turn of the refinement lengthens the sorted prefix by one symbol. A
+string's last symbol is filled up with zero bytes, and the string ends in STEP
+empty suffixes, one for each of its phases.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STEP = 8
+from docframe.llm.text import prefix_hashes, substring_hashes
+
+STEP = 40
 START = -1
 
 
@@ -20,28 +23,29 @@ START = -1
 class Shard:
     """A shard's transform, and which string and place each of its suffixes has; empty suffixes come first."""
 
-    symbols: np.ndarray  # uint64: the STEP bytes before the suffix
-    begins: np.ndarray  # whether nothing of the string is STEP bytes before
+    symbols: np.ndarray  # uint64: the hash of the STEP bytes before the suffix
+    begins: np.ndarray  # whether fewer bytes than STEP are before
     string: np.ndarray
     place: np.ndarray
 
 
-def transform(strings: list[bytes]) -> Shard:
-    """The shard of a few strings, by sorting their suffixes."""
-    suffixes = [s[i:] for s in strings for i in range(len(s))]
-    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), dtype=np.int64)
+def transform(strings: list[bytes], depth: int) -> Shard:
+    """The shard of a few strings, by sorting their suffixes by their first depth bytes."""
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    string = np.repeat(np.arange(len(strings)), lengths)[order]
-    place = (np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
+    text = np.frombuffer(b"".join(s + bytes(2 * STEP) for s in strings), dtype=np.uint8)
+    prefix = prefix_hashes(text)
+    begin = np.arange(len(text) - STEP + 1)
+    hashes = np.maximum(substring_hashes(prefix, begin, begin + STEP), np.uint64(1))
+    base = np.cumsum(lengths + 2 * STEP) - lengths - 2 * STEP
+    string = np.repeat(np.arange(len(strings)), lengths)
+    place = np.arange(len(string)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at, left = base[string] + place, lengths[string] - place
+    keys = [np.where(k < left, hashes[np.minimum(at + k, len(hashes) - 1)], np.uint64(0)) for k in range(0, depth, STEP)]
+    order = np.lexsort(keys[::-1])
     # The empty suffixes, in the order of their strings.
-    string = np.append(np.repeat(np.arange(len(strings)), STEP), string)
-    place = np.append((lengths[:, None] + np.arange(STEP)).ravel(), place)
-    text = np.frombuffer(b"".join(s + bytes(2 * STEP) for s in strings), dtype=np.uint8).astype(np.uint64)
-    wide = np.zeros(len(text) - STEP + 1, dtype=np.uint64)
-    for i in range(STEP):
-        wide = wide << np.uint64(8) | text[i : i + len(wide)]
-    at = (np.cumsum(lengths + 2 * STEP) - lengths - 2 * STEP)[string] + place - STEP
-    return Shard(wide[np.maximum(at, 0)], place < STEP, string, place)
+    string = np.append(np.repeat(np.arange(len(strings)), STEP), string[order])
+    place = np.append((lengths[:, None] + np.arange(STEP)).ravel(), place[order])
+    return Shard(hashes[np.maximum(base[string] + place - STEP, 0)], place < STEP, string, place)
 
 
 def stable_order(values: np.ndarray) -> np.ndarray:
@@ -65,7 +69,7 @@ def merge(shards: list[Shard], depth: int) -> list[np.ndarray]:
     ranks = np.where(np.concatenate([s.begins for s in shards]), START, ranks)
     sizes = [len(s.symbols) for s in shards]
     kind = np.uint8 if len(shards) < 256 else np.uint16
-    empty = np.concatenate([np.full(int((s.place >= 0).sum() - (~s.begins).sum()), i, dtype=kind) for i, s in enumerate(shards)])
+    empty = np.concatenate([np.full(int(s.begins.sum()), i, dtype=kind) for i, s in enumerate(shards)])  # as many as have no symbol before
     interleave = np.repeat(np.arange(len(shards), dtype=kind), sizes)
     block = np.zeros(len(interleave), dtype=np.int64)
     for _ in range(depth // STEP):
@@ -88,7 +92,7 @@ def repeated_windows(strings: list[bytes], size: int, n_shards: int = 4) -> list
     for i in range(n_shards):
         own = np.arange(len(strings))[i::n_shards]
         if len(own):
-            shards.append(transform([strings[k] for k in own]))
+            shards.append(transform([strings[k] for k in own], size))
             owner.append(own)
     if not shards:
         return []

@@ -22,8 +22,8 @@ from docframe.llm.text import mix, prefix_hashes, slices, substring_hashes
 
 ANCHOR = 50
 FEW = 4_000_000  # anchors that may be broadcast, 8 bytes each
-MEMBERS = 2048  # contexts of an anchor that meet in one task
-CHUNK = 1 << 20  # bytes of contexts whose transforms are merged together
+MEMBERS = 1024  # contexts of an anchor that meet in one task
+CHUNK = 1 << 18  # bytes of contexts whose transforms are merged together
 
 
 def segments(batch: pa.RecordBatch, size: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
