@@ -385,3 +385,33 @@ def test_near_duplicates_of_edge_rows(spark):
     kept = nd.drop_near_duplicates(edges(spark))
     assert 8 not in {x.doc_id for x in kept.collect()} and kept.columns == edges(spark).columns
     assert nd.near_duplicates(edges(spark).limit(0)).count() == 0
+
+
+# --- 5 licences
+
+
+def brute_license(text):
+    from docframe.llm.license_scan import TEMPLATES, bigrams
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    found = {}
+    for unit in {*low.split("\n"), *re.split("\n{2,}", low), low}:
+        a = set(bigrams(unit))
+        for name, t in TEMPLATES:
+            b = set(bigrams(t))
+            dice = 2 * len(a & b) / (len(a) + len(b))
+            if dice >= 0.8:
+                found[name] = max(found.get(name, 0), dice)
+    best = min(found, key=lambda n: (-found[n], n), default=None)
+    return best, round(found.get(best, 0), 6), ",".join(sorted(found))
+
+
+def test_licenses_equal_brute_force(spark):
+    from docframe.llm.license_scan import TEMPLATES, scan_licenses
+
+    r = random.Random(11)
+    texts = EDGE_TEXTS + [t.upper() for _, t in TEMPLATES] + [words(r, 50) + "\n" + edited(r, r.choice(TEMPLATES)[1], r.randrange(3)) + "\n" + words(r, 20) for _ in range(80)] + ["All rights\n\nReserved.\nreleased under the mit licence", "reserved"]
+    docs = documents(spark, texts).withColumns({"license": F.lit(1), "__pairs": F.lit("x")})
+    got = {x.doc_id: (x.license, x.dice, x.licenses) for x in scan_licenses(docs).collect()}
+    assert got == {i: brute_license(t) for i, t in enumerate(texts)}
+    assert scan_licenses(edges(spark)).count() == len(EDGE_TEXTS) + 2 and scan_licenses(docs.limit(0)).count() == 0
