@@ -1,4 +1,4 @@
-"""Toxicity by non-negative positive-unlabelled learning over hashed byte n-grams."""
+"""Toxicity by non-negative positive-unlabelled learning over hashed byte n-grams and their repetition."""
 
 from __future__ import annotations
 
@@ -40,9 +40,14 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
         yield h[own], text_of[own]
 
 
-def distinct(text_of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair of text and hash once."""
-    both = np.unique(text_of.astype(np.uint64) << np.uint64(32) | hashes.astype(np.uint64))
+#: Turns an n-gram's hash into that of its second occurrence.
+TWICE = np.uint32(0x9E3779B9)
+
+
+def features(text_of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By text, each n-gram that it has, and again for those that it has twice at least."""
+    both, n = np.unique(text_of.astype(np.uint64) << np.uint64(32) | hashes.astype(np.uint64), return_counts=True)
+    both = np.sort(np.append(both, both[n > 1] ^ np.uint64(TWICE)))
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
@@ -55,20 +60,21 @@ class Model:
     bias: float
 
     def __post_init__(self):
+        self.plain = np.unique(np.append(self.grams, self.grams ^ TWICE))  # of either kind
         self.may = np.zeros(1 << 20, dtype=bool)
-        self.may[self.grams >> np.uint32(12)] = True
+        self.may[self.plain >> np.uint32(12)] = True
 
     def present(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Text numbers and places of the chosen n-grams in each text, each once."""
-        found = []
+        """Text numbers and places of the chosen features of each text, each once."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.uint32))]
         for hashes, text_of in gram_hashes(data, offsets):
             at = np.flatnonzero(self.may[hashes >> np.uint32(12)])
-            place = np.searchsorted(self.grams, hashes[at])
-            hit = self.grams[np.minimum(place, len(self.grams) - 1)] == hashes[at]
-            found.append((text_of[at[hit]], place[hit].astype(np.uint32)))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.uint32)
-        return distinct(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+            hit = at[np.isin(hashes[at], self.plain)]
+            found.append((text_of[hit], hashes[hit]))
+        text_of, own = features(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+        place = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        hit = self.grams[place] == own if len(self.grams) else np.zeros(len(own), dtype=bool)
+        return text_of[hit], place[hit]
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.full(len(offsets) - 1, self.bias)
@@ -109,13 +115,13 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 10000, features: int = 2048, least_lift: float = 3.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 10000, n_features: int = 2048, least_lift: float = 3.5) -> Model:
     """A model from confirmed toxic texts (labels.toxic = 1) and unlabelled ones (any of docs).
 
     Both are samples bounded by max_positive and max_unlabelled, taken in the
     order of a hash of doc_id; the class prior is the toxic share of all given
-    labels. Other labels aren't used. The features are the n-grams that positive
-    texts have oftener than unlabelled ones, by least_lift standard errors at least. Documents that repeat a doc_id count
+    labels. Other labels aren't used. The features are the n-grams (once, and twice at
+    least) that positive texts have oftener than unlabelled ones, by least_lift standard errors at least. Documents that repeat a doc_id count
     once. Rows with a null doc_id or text aren't sampled. Without a positive
     text the model scores the prior, without a label 0.
     """
@@ -138,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
                 pairs = list(gram_hashes(data, offsets))
                 if not pairs:
                     continue
-                text_of, hashes = distinct(np.concatenate([p[1] for p in pairs]), np.concatenate([p[0] for p in pairs]))
+                text_of, hashes = features(np.concatenate([p[1] for p in pairs]), np.concatenate([p[0] for p in pairs]))
                 grams, at = np.unique(hashes, return_inverse=True)
                 both = np.bincount(at, minlength=len(grams))
                 toxic = np.bincount(at, weights=positive[text_of], minlength=len(grams)).astype(np.int64)
@@ -151,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     counted = sample.mapInArrow(frequencies, "gram long, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     rate = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     lift = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u))
-    grams = np.sort(np.array([r["gram"] for r in counted.where((F.col("p") >= 3) & (lift >= least_lift)).orderBy(F.desc(lift), "gram").limit(features).select("gram").collect()], dtype=np.uint32))
+    grams = np.sort(np.array([r["gram"] for r in counted.where((F.col("p") >= 3) & (lift >= least_lift)).orderBy(F.desc(lift), "gram").limit(n_features).select("gram").collect()], dtype=np.uint32))
     blank = Model(grams, np.zeros(len(grams)), 0.0)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
