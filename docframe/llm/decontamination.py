@@ -13,6 +13,7 @@ from docframe.llm.storage import add_columns
 from docframe.llm.text import ALNUM, BASE, LOWER, prefix_hashes, slices, substring_hashes, word_spans
 
 FIELD = "contamination struct<n_words:bigint,runs:array<struct<start:bigint,end:bigint>>,items:array<string>>"
+CUT = "__cut_text string"
 
 
 def windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -98,14 +99,15 @@ class WindowSet:
         return text_of, np.cumsum(cover[:-1]) > 0, found
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_windows: int = 400_000, carry: list[str] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_windows: int = 400_000, carry: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs (of it, the columns in carry) with contamination: n_words, runs of hit words (places from 0, end exclusive), items with a window in the text.
 
     benchmark has item_id and text; its windows are counted, and broadcast in
     blocks of about max_windows, each scanned within the same pass. An item
     with a null item_id hits words without being listed; a null or wordless
     item has no window. A null text has no words. Rows that repeat stay; a
-    column contamination of docs is replaced.
+    column contamination of docs is replaced. With cut there is also __cut_text,
+    the text without the runs (see without_runs).
     """
     spark = docs.sparkSession
     found = windows(benchmark, size).persist()
@@ -113,11 +115,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, ma
     out = docs.drop("contamination")
     for block in range(blocks):
         own = found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else found
-        shared = spark.sparkContext.broadcast(WindowSet(own.collect()))
+        shared, last_block = spark.sparkContext.broadcast(WindowSet(own.collect())), block + 1 == blocks
 
-        def rows(batch: pa.RecordBatch, shared=shared, block=block) -> Iterator[tuple[dict]]:
+        def rows(batch: pa.RecordBatch, shared=shared, block=block, last_block=block + 1 == blocks) -> Iterator[tuple]:
             before = iter(batch.column("contamination").to_pylist()) if block else None
-            for _, data, offsets in slices(batch):
+            for texts, data, offsets in slices(batch):
                 text_of, hit, windows_found = shared.value.hits(data, offsets)
                 bounds = np.searchsorted(text_of, np.arange(len(offsets)))
                 items: dict[int, set[str]] = {}
@@ -137,37 +139,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, ma
                     if touched[i] or last and last["runs"]:
                         edge = np.flatnonzero(np.diff(np.concatenate(([False], own_hit, [False])).astype(np.int8)))
                         runs = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-                    yield ({"n_words": len(own_hit), "runs": runs, "items": sorted(own_items)},)
-
-        out = add_columns(out, FIELD, rows, carry if block + 1 == blocks else None)
+                    found = {"n_words": len(own_hit), "runs": runs, "items": sorted(own_items)}
+                    if last_block and cut:
+                        raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                        yield found, None if texts.column("text")[i].as_py() is None else (without_runs(raw, runs) if runs else raw).decode()
+                    else:
+                        yield (found,)
+
+        out = add_columns(out, f"{FIELD}, {CUT}" if last_block and cut else FIELD, rows, carry if last_block else None)
     found.unpersist()
     return out
 
 
-def remove_runs(docs: DataFrame) -> DataFrame:
-    """docs with the words of contamination.runs cut from text, each run with what stands between its words for one space; null and clean texts stay as they are."""
-
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple[str | None]]:
-        texts, found = batch.column("text"), batch.column("contamination")
-        for text, x in zip(texts, found):
-            text, runs = text.as_py(), x.as_py()["runs"]
-            if runs:
-                raw = text.encode()
-                data = np.frombuffer(raw, dtype=np.uint8)
-                starts, ends, _ = word_spans(LOWER[data], np.array([0, len(data)]), ALNUM)
-                parts, done = [], 0
-                for r in runs:
-                    parts.append(raw[done : starts[r["start"]]])
-                    done = ends[r["end"] - 1]
-                text = b" ".join([*parts, raw[done:]]).decode()
-            yield (text,)
-
-    return add_columns(docs, "text string", rows)
+def without_runs(raw: bytes, runs: list[dict]) -> bytes:
+    """The text without the words of the runs; each run, with what stands between its words, leaves one space."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    starts, ends, _ = word_spans(LOWER[data], np.array([0, len(data)]), ALNUM)
+    parts, done = [], 0
+    for r in runs:
+        parts.append(raw[done : starts[r["start"]]])
+        done = ends[r["end"] - 1]
+    return b" ".join([*parts, raw[done:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_share: float = 1.0) -> DataFrame:
     """docs without the words hit, and without the documents of which max_share or more is hit (by default: all words)."""
-    found = find_contamination(docs, benchmark, size)
+    found = find_contamination(docs.withColumnRenamed("contamination", "__contamination"), benchmark, size, cut=True)
     n_hit = F.aggregate("contamination.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     kept = found.where((n_hit == 0) | (n_hit < F.lit(max_share) * F.col("contamination.n_words")))
-    return remove_runs(kept).select(*[f"`{c}`" for c in docs.columns])
+    named = {"text": "__cut_text", "contamination": "__contamination"}
+    return kept.select(*[F.col(f"`{named.get(c, c)}`").alias(c) for c in docs.columns])

@@ -67,7 +67,7 @@ def gram_codes(ids: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_blocks(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Row number of the first text, and texts of about limit characters together."""
     block, size, first = [], 0, 0
     for i, text in enumerate(batch.column("text").to_pylist()):

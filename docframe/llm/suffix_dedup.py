@@ -26,7 +26,7 @@ MEMBERS = 1024  # contexts of an anchor that meet in one task
 CHUNK = 1 << 18  # bytes of contexts whose transforms are merged together
 
 
-def segments(batch: pa.RecordBatch, size: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+def segments(batch: pa.RecordBatch, size: int, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
     """Slices (rows, place, bytes, offsets); a text over the limit in parts that share size - 1 bytes, place being where the part begins."""
     for rows, data, offsets in slices(batch, limit=limit):
         if len(data) <= limit:

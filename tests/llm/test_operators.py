@@ -121,7 +121,7 @@ def test_decontamination_cuts_only_what_is_hit(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
     docs = documents(spark, ["Keep this. One two, three four five six seven eight nine ten! And this.", "clean  text\n", None, "one two three four five six seven eight nine ten eleven"])
     got = {r.doc_id: r.text for r in decontaminate(docs, bench).collect()}
-    assert got == {0: "Keep this.  ! And this.", 1: "clean  text\n", 2: None}
+    assert got == {0: "Keep this.  ! And this.", 1: "clean  text\n", 2: None} and decontaminate(docs, bench).where("contamination = 7").count() == 3
     assert decontaminate(docs, bench.limit(0)).count() == 4 and decontaminate(edges(spark), bench).columns == docs.columns
 
 
