@@ -35,7 +35,8 @@ def salvage_array(text: Column, schema: str) -> Column:
     """The objects of the JSON array between the first [ and the last ]; no array, or a broken one, is empty."""
     bare = F.regexp_replace(text, r"(?m)^```(json)?|```$", "")
     body = F.nullif(F.regexp_substr(bare, F.lit(r"(?s)\[.*\]")), F.lit(""))
-    return F.coalesce(F.filter(F.from_json(body, f"array<{schema}>"), lambda x: x.isNotNull()), F.array().cast(f"array<{schema}>"))
+    objects = F.filter(F.from_json(body, "array<string>"), lambda x: x.startswith("{"))  # elements of other kinds go
+    return F.coalesce(F.transform(objects, lambda x: F.from_json(x, schema)), F.array().cast(f"array<{schema}>"))
 
 
 def salvage_object(text: Column, schema: str) -> Column:

@@ -327,9 +327,7 @@ def flag_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", hardware.flag_value(attr, value).alias("value"), name.alias("name"), named.alias("named"))
 
 
-@query("""
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN [1, 2] WHEN 3 THEN [7] ELSE [] END AS n_list FROM (SELECT event_id FROM events)
-""".replace("AS n_list", "AS x").replace("SELECT event_id, CASE", "SELECT event_id, CAST(len(CASE").replace("END AS x", "END) AS BIGINT) AS n_objects"))
+@query("SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_objects FROM events")
 def json_salvage(spark: SparkSession, folder: str) -> DataFrame:
     noise = F.array(*map(F.lit, ('```json\n[{"i": 1}, {"i": 2}]\n```', "no list here", '[{"i": 1}, ', 'so: [{"i": 7}] and done')))
     text = F.element_at(noise, (F.col("event_id") % 4 + 1).cast("int"))

@@ -168,3 +168,19 @@ def test_stream_findings(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.doc_id for r in spark.table("found").collect()] == [1]
+
+
+def test_evidence_of_joined_chunks(spark):
+    chunks = spark.createDataFrame([(1, 700, "tail 8 GB"), (1, 0, "head"), (2, 0, "x")], "doc_id long, offset int, text string")
+    items = evidence.joined_source(chunks, "doc_id", "offset").withColumn("evidence", F.when(F.col("doc_id") == 1, "8  GB").otherwise("16 GB"))
+    spans = evidence.attach_evidence(items)
+    assert {r.doc_id: (r.text, tuple(r.evidence_span)) for r in spans.collect()} == {1: ("head\n---\ntail 8 GB", ("8  GB", 14, 4, True)), 2: ("x", ("16 GB", -1, 0, False))}
+    assert tuple(evidence.evidence_rate(spans).first()) == (1, 2)
+
+
+def test_sufficiency_and_report(spark):
+    rows = spark.createDataFrame([(0, "a", "a", 5.0, None), (1, "확인필요", "a", None, 1), (2, "a", "b", 9.0, None)], "position int, truth string, predicted string, amount double, cores int")
+    assert [r.s for r in rows.orderBy("position").select(hardware.sufficient(["cores"]).alias("s")).collect()] == [False, True, False]
+    sheets = sinks.report_sheets(rows, opportunity.row_verdict(F.col("truth"), F.col("predicted"), ("a", "b")))
+    assert [r.position for r in sheets["all"].collect()] == [2, 0, 1]
+    assert [r.position for r in sheets["discovered"].collect()] == [1] and [r.position for r in sheets["different"].collect()] == [2] and sheets["summary"].count() == 3
