@@ -83,7 +83,3 @@ def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     raw = (prefix[ends] - prefix[starts]) * powers(len(prefix) - 1)[1][starts]
     return mix(raw + (ends - starts).astype(np.uint64))
 
-
-def starts_of(groups: np.ndarray, n: int) -> np.ndarray:
-    """n + 1 bounds of the runs of the values 0 to n - 1 in a sorted array."""
-    return np.searchsorted(groups, np.arange(n + 1))
