@@ -23,31 +23,11 @@ START = -1
 class Shard:
     """A shard's transform, and which string and place each of its suffixes has; empty suffixes come first."""
 
-    symbols: np.ndarray  # uint64: the hash of the STEP bytes before the suffix
-    begins: np.ndarray  # whether fewer bytes than STEP are before
+    symbols: np.ndarray  # the number of the symbol before the suffix, START where fewer bytes than STEP are before
     string: np.ndarray
     place: np.ndarray
 
 
-def transform(strings: list[bytes], depth: int) -> Shard:
-    """The shard of a few strings, by sorting their suffixes by their first depth bytes."""
-    lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    text = np.frombuffer(b"".join(s + bytes(2 * STEP) for s in strings), dtype=np.uint8)
-    prefix = prefix_hashes(text)
-    begin = np.arange(len(text) - STEP + 1)
-    hashes = np.maximum(substring_hashes(prefix, begin, begin + STEP), np.uint64(1))
-    base = np.cumsum(lengths + 2 * STEP) - lengths - 2 * STEP
-    string = np.repeat(np.arange(len(strings)), lengths)
-    place = np.arange(len(string)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at, left = base[string] + place, lengths[string] - place
-    keys = [np.where(k < left, hashes[np.minimum(at + k, len(hashes) - 1)], np.uint64(0)) for k in range(0, depth, STEP)]
-    order = np.lexsort(keys[::-1])
-    # The empty suffixes, in the order of their strings.
-    string = np.append(np.repeat(np.arange(len(strings)), STEP), string[order])
-    place = np.append((lengths[:, None] + np.arange(STEP)).ravel(), place[order])
-    return Shard(hashes[np.maximum(base[string] + place - STEP, 0)], place < STEP, string, place)
-
-
 def stable_order(values: np.ndarray) -> np.ndarray:
     """A stable argsort of whole numbers under 2^32 by two radix passes."""
     order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
@@ -56,6 +36,30 @@ def stable_order(values: np.ndarray) -> np.ndarray:
     return order
 
 
+def transforms(strings: list[bytes], n_shards: int, depth: int) -> list[Shard]:
+    """Every n_shards-th string in a shard of its own, by radix sorts of the suffixes' first depth bytes. Symbols are numbered for all."""
+    lengths = np.array([len(s) for s in strings], dtype=np.int64)
+    text = np.frombuffer(b"".join(s + bytes(2 * STEP) for s in strings), dtype=np.uint8)
+    begin = np.arange(len(text) - STEP + 1)
+    _, numbers = np.unique(substring_hashes(prefix_hashes(text), begin, begin + STEP), return_inverse=True)
+    base = np.cumsum(lengths + 2 * STEP) - lengths - 2 * STEP
+    out = []
+    for i in range(min(n_shards, len(strings))):
+        own = np.arange(i, len(strings), n_shards)
+        string = np.repeat(own, lengths[own])
+        place = np.arange(len(string)) - np.repeat(np.cumsum(lengths[own]) - lengths[own], lengths[own])
+        at, left = base[string] + place, lengths[string] - place
+        order = np.arange(len(string))
+        for k in range(depth - STEP, -1, -STEP):
+            symbol = np.where(k < left, numbers[np.minimum(at + k, len(numbers) - 1)] + 1, 0)
+            order = order[stable_order(symbol[order])]
+        # The empty suffixes, in the order of their strings.
+        string = np.append(np.repeat(own, STEP), string[order])
+        place = np.append((lengths[own][:, None] + np.arange(STEP)).ravel(), place[order])
+        out.append(Shard(np.where(place < STEP, START, numbers[np.maximum(base[string] + place - STEP, 0)]), string, place))
+    return out
+
+
 def merge(shards: list[Shard], depth: int) -> list[np.ndarray]:
     """For each shard's suffixes the number of the block of suffixes, over all shards, with the same first depth bytes (a multiple of STEP).
 
@@ -65,17 +69,16 @@ def merge(shards: list[Shard], depth: int) -> list[np.ndarray]:
     where the symbol changes or a border was: its turn is the common prefix of
     its neighbours in symbols. No suffix is compared with another.
     """
-    _, ranks = np.unique(np.concatenate([s.symbols for s in shards]), return_inverse=True)
-    ranks = np.where(np.concatenate([s.begins for s in shards]), START, ranks)
+    symbols = np.concatenate([s.symbols for s in shards])
     sizes = [len(s.symbols) for s in shards]
     kind = np.uint8 if len(shards) < 256 else np.uint16
-    empty = np.concatenate([np.full(int(s.begins.sum()), i, dtype=kind) for i, s in enumerate(shards)])  # as many as have no symbol before
+    empty = np.concatenate([np.full(int((s.symbols == START).sum()), i, dtype=kind) for i, s in enumerate(shards)])  # as many as have no symbol before
     interleave = np.repeat(np.arange(len(shards), dtype=kind), sizes)
     block = np.zeros(len(interleave), dtype=np.int64)
     for _ in range(depth // STEP):
         slots = np.argsort(interleave, kind="stable")  # a shard's suffixes keep their order
         before = np.empty(len(interleave), dtype=np.int64)
-        before[slots] = ranks
+        before[slots] = symbols
         some = before != START
         symbol = before[some]
         order = stable_order(symbol)
@@ -88,18 +91,11 @@ def merge(shards: list[Shard], depth: int) -> list[np.ndarray]:
 
 def repeated_windows(strings: list[bytes], size: int, n_shards: int = 4) -> list[np.ndarray]:
     """For each string, the places where a size-byte window begins that begins at two places at least in all strings."""
-    shards, owner = [], []
-    for i in range(n_shards):
-        own = np.arange(len(strings))[i::n_shards]
-        if len(own):
-            shards.append(transform([strings[k] for k in own], size))
-            owner.append(own)
-    if not shards:
+    if not strings:
         return []
+    shards = transforms(strings, n_shards, size)
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    found = merge(shards, size)
-    string = np.concatenate([own[s.string] for own, s in zip(owner, shards)])
-    place, block = np.concatenate([s.place for s in shards]), np.concatenate(found)
+    string, place, block = (np.concatenate(x) for x in ([s.string for s in shards], [s.place for s in shards], merge(shards, size)))
     whole = place + size <= lengths[string]
     string, place, block = string[whole], place[whole], block[whole]
     again = np.bincount(block, minlength=1)[block] > 1

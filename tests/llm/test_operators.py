@@ -190,13 +190,11 @@ def test_transforms_merge_to_blocks_of_equal_suffixes():
     r = random.Random(5)
     parts = [bytes(r.choice(b"abc") for _ in range(r.randrange(30, 90))) for _ in range(4)]
     strings = [b"".join(r.choice(parts) for _ in range(r.randrange(5))) + b"x" * r.randrange(3) for _ in range(12)]
-    shards = [bwt.transform(strings[i::3], 120) for i in range(3)]
-    seen = {}
-    for i, (s, b) in enumerate(zip(shards, bwt.merge(shards, 120))):
-        own = strings[i::3]
+    shards, seen = bwt.transforms(strings, 3, 120), {}
+    for s, b in zip(shards, bwt.merge(shards, 120)):
         for string, place, block in zip(s.string, s.place, b):
-            if place + 120 <= len(own[string]):
-                seen.setdefault(own[string][place : place + 120], set()).add(int(block))
+            if place + 120 <= len(strings[string]):
+                seen.setdefault(strings[string][place : place + 120], set()).add(int(block))
     assert len(seen) > 20 and all(len(b) == 1 for b in seen.values()) and len({min(b) for b in seen.values()}) == len(seen)
 
 
