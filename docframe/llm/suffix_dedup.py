@@ -152,45 +152,74 @@ def merge_contexts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def count_windows(contexts: DataFrame, size: int) -> DataFrame:
-    """The same result for anchors of over MEMBERS contexts, which no task may hold: windows are counted by two 64-bit hashes.
+def merge_blocks(contexts: DataFrame, size: int) -> DataFrame:
+    """The same result for anchors of over MEMBERS contexts (anchor, context, n, lead, bytes, members), which no task may hold.
 
     A window holds, beside its anchor, half of its other bytes at least on one
-    side; those next to the anchor are its half. Only windows of a half that
-    occurs twice are spread out and counted.
+    side; those next to the anchor are its half, and only windows of a half
+    that occurs twice can repeat. The contexts are cut into blocks of about
+    MEMBERS, and each block's transforms are merged. What repeats within a block
+    is found there; the other windows, and one of each that repeats in its
+    block, are compared between blocks by two 64-bit hashes.
     """
     half = (size - ANCHOR) // 2
 
-    def windows(raw: bytes, n: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(raw, dtype=np.uint8)
-        prefix, at = prefix_hashes(data), np.arange(n)
-        left = lead - at >= half
-        from_ = np.where(left, lead - half, lead + ANCHOR)
-        halves = mix(substring_hashes(prefix, from_, from_ + half) + left.astype(np.uint64))
-        return prefix, at, halves
+    def halves_of(raw: bytes, n: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+        data, at = np.frombuffer(raw, dtype=np.uint8), np.arange(n)
+        prefix, left = prefix_hashes(data), lead - at >= half
+        start = np.where(left, lead - half, lead + ANCHOR)
+        return prefix, mix(substring_hashes(prefix, start, start + half) + left.astype(np.uint64)).view(np.int64)
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for anchor, context, n, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "lead", "bytes"))):
-                out += [(anchor, context, h) for h in np.unique(windows(raw, n, lead)[2]).view(np.int64).tolist()]
+                out += [(anchor, context, h) for h in np.unique(halves_of(raw, n, lead)[1]).tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["anchor", "context", "half"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(anchor: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+        runs, rest, known = [], [], set()
+        for x, places in zip(held, repeated_windows([x["bytes"] for x in held], size)):
+            prefix, half_of = halves_of(x["bytes"], x["n"], x["lead"])
+            again = np.zeros(x["n"], dtype=bool)
+            again[places] = True
+            if len(places):
+                runs.append((x["context"], as_runs(places)))
+            at = np.flatnonzero(again | np.isin(half_of, np.array(x["alive"], dtype=np.int64)))
+            one, two = substring_hashes(prefix, at, at + size // 2).view(np.int64), substring_hashes(prefix, at + size // 2, at + size).view(np.int64)
+            for place, pair, repeated in zip(at.tolist(), zip(one.tolist(), two.tolist()), again[at].tolist()):
+                if not repeated or pair not in known:
+                    rest.append((None if repeated else x["context"], place, *pair))
+                    known.add(pair)
+        n = len(runs)
+        context, at, one, two = zip(*rest) if rest else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([anchor] * (n + len(rest)), pa.int64()), pa.array([c for c, _ in runs] + list(context), pa.int64()), pa.array([r for _, r in runs] + [None] * len(rest), pa.list_(pa.int32()))]
+            + [pa.array([None] * n + list(x), t) for x, t in ((at, pa.int32()), (one, pa.int64()), (two, pa.int64()))],
+            ["anchor", "context", "runs", "at", "one", "two"],
+        )
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            for anchor, context, n, lead, raw, alive in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "lead", "bytes", "alive"))):
-                prefix, at, half_of = windows(raw, n, lead)
-                at = at[np.isin(half_of.view(np.int64), np.array(alive, dtype=np.int64))]
-                one, two = substring_hashes(prefix, at, at + size // 2), substring_hashes(prefix, at + size // 2, at + size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), anchor)), pa.array(np.full(len(at), context)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["anchor", "context", "at", "one", "two"])
+            for x in batch.to_pylist():
+                if held and (x["anchor"], x["block"]) != (held[0]["anchor"], held[0]["block"]):
+                    yield from solve(held[0]["anchor"], held)
+                    held = []
+                held.append(x)
+        if held:
+            yield from solve(held[0]["anchor"], held)
 
     each = materialize(contexts.mapInArrow(halves, "anchor long, context long, half long"))
     alive = each.groupBy("anchor", "half").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "half")
     own = each.join(alive, ["anchor", "half"]).groupBy("anchor", "context").agg(F.collect_list("half").alias("alive"))
-    rows = materialize(contexts.join(own, ["anchor", "context"]).mapInArrow(spread, "anchor long, context long, at int, one long, two long"))
-    again = rows.groupBy("anchor", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(again, ["anchor", "one", "two"]).groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("runs"))
+    block = F.pmod(F.xxhash64("context"), F.ceil(F.col("members") / MEMBERS).cast("long"))
+    dealt = contexts.join(own, ["anchor", "context"]).withColumn("block", block).repartition("anchor", "block").sortWithinPartitions("anchor", "block", "context")
+    rows = materialize(dealt.select("anchor", "block", "context", "n", "lead", "bytes", "alive").mapInArrow(blocks, "anchor long, context long, runs array<int>, at int, one long, two long"))
+    shared = rows.where("runs is null").groupBy("anchor", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    between = rows.where("runs is null and context is not null").join(shared, ["anchor", "one", "two"]).groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("runs"))
+    return rows.where("runs is not null").select("anchor", "context", "runs").unionByName(between)
 
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
@@ -204,9 +233,9 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     contexts = materialize(context_bytes(docs, wanted, size).join(several, "anchor"))
     light = contexts.where(F.col("members") <= MEMBERS).select("anchor", "context", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
     partial = light.mapInArrow(merge_contexts(size), RUNS)
-    heavy = contexts.where(F.col("members") > MEMBERS).drop("members").dropDuplicates(["anchor", "context"])
+    heavy = contexts.where(F.col("members") > MEMBERS).dropDuplicates(["anchor", "context"])
     if heavy.limit(1).count():
-        partial = partial.unionByName(count_windows(heavy, size))
+        partial = partial.unionByName(merge_blocks(heavy, size))
     # A context with copies repeats as a whole, whatever else was found.
     runs = kinds.where("copies > 1").select("anchor", "context", F.array(F.lit(0), F.col("x.n")).alias("runs")).unionByName(
         partial.join(kinds.where("copies = 1").select("anchor", "context"), ["anchor", "context"])
