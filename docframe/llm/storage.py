@@ -49,12 +49,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of the session hold at most so many rows: a Python worker has several copies of a batch of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def add_columns(docs: DataFrame, fields: str, rows: Callable[[pa.RecordBatch], Iterator[list]], carry: list[str] | None = None) -> DataFrame:
     """docs with the columns that rows makes from Arrow batches with a column text.
 
     fields: their names and types as DDL; docs' own columns of these names are
     replaced. carry: docs' columns to return, else all.
     """
+    small_batches(docs.sparkSession)
     new = T.StructType.fromDDL(fields)
     taken = {f.name.lower() for f in new}
     keep = [f for f in docs.schema if f.name.lower() not in taken and (carry is None or f.name in carry)]

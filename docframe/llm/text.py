@@ -27,10 +27,13 @@ _powers = np.ones((2, 1), dtype=np.uint64)
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of consecutive rows; a null text has no bytes."""
-    texts = batch.column(column).cast(pa.large_string()).fill_null("")
+    texts = batch.column(column)
     if not len(texts):
         return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.null_count:
+        texts = texts.fill_null("")
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], dtype=width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     at = 0
     while at < len(texts):
