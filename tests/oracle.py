@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,6 +16,13 @@ def database(folder):
     return c
 
 
+def shown(x):
+    """A cell as text: nulls alike, and whole numbers alike in any type."""
+    if pd.api.types.is_scalar(x) and pd.isna(x):
+        return "null"
+    return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
+
+
 def plain(frame):
     columns = sorted(frame.columns)
-    return columns, sorted(tuple("null" if x is None or x != x else str(x) for x in row) for row in frame[columns].itertuples(index=False))
+    return columns, sorted(tuple(map(shown, row)) for row in frame[columns].itertuples(index=False))
