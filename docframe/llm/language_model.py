@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,15 @@ from docframe.llm.text import BY_SPACE, LOWER, prefix_hashes, slices, substring_
 
 END = b""
 HEAD = 1 << 18  # tokens whose counts go to every worker at most
-CLASSES = 255  # tokens that the model knows by themselves
+OWN = 8  # tokens with a class of their own, times the root of the tokens counted
 CONTEXT = 3
 WIDTH = 16
 NOISE = 32
+INNER = 6
 BATCH = 2048
+ROUNDS = 3
+SHARE = 128  # tokens of a partition for each class
+BLOCK = 1 << 16
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +57,7 @@ def token_hashes(tokens: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Counts:
-    """The frequent tokens' counts by hash, and totals of all."""
+    """The frequent tokens' counts by hash, and totals of all. Tokens without a class of their own share the last, hashed classes; both grow with the corpus."""
 
     tokens: list[bytes]
     counts: np.ndarray
@@ -62,40 +68,41 @@ class Counts:
     class_counts: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        order = sorted(range(len(self.tokens)), key=lambda i: (-int(self.counts[i]), self.tokens[i]))[:CLASSES]
-        classes = np.full(len(self.tokens), len(order), dtype=np.int64)
-        classes[order] = np.arange(len(order))
-        self.class_counts = np.append(self.counts[order], self.total - self.counts[order].sum()).astype(np.float64)
+        order = sorted(range(len(self.tokens)), key=lambda i: (-int(self.counts[i]), self.tokens[i]))[: OWN * math.isqrt(self.total)]
+        self.own = len(order)
+        self.hashed = max(1, min(math.isqrt(self.total), self.distinct - self.own))
         hashes = token_hashes(self.tokens)
+        classes = self.bucket(hashes)
+        classes[order] = np.arange(self.own)
+        self.class_counts = np.bincount(classes, weights=self.counts, minlength=self.own + self.hashed).astype(np.float64)
+        self.class_tokens = np.bincount(classes, minlength=self.own + self.hashed)
         by_hash = np.argsort(hashes)
         self.hashes, self.classes, self.counts = hashes[by_hash], classes[by_hash], self.counts[by_hash]
         self.end = next((i for i in by_hash.tolist() if self.tokens[i] == END), None)
         self.end = int(np.searchsorted(self.hashes, hashes[self.end])) if self.end is not None else -1
         self.tokens = []
 
-    @property
-    def other(self) -> int:
-        return len(self.class_counts) - 1
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return self.own + (hashes % np.uint64(self.hashed)).astype(np.int64)
 
-    @property
-    def other_size(self) -> float:
-        """The sum of c + 0.5 over the tokens of the class other and one unseen token."""
-        return float(self.class_counts[-1]) + 0.5 * (self.distinct - self.other + 1)
+    def sizes(self) -> np.ndarray:
+        """The sums of c + 0.5 over each class's tokens and, in hashed ones, one unseen token."""
+        return self.class_counts + 0.5 * (self.class_tokens + (np.arange(len(self.class_counts)) >= self.own))
 
     def places(self, data: np.ndarray, offsets: np.ndarray):
-        """Of a slice's tokens, each text's end included: text numbers, places in the frequent tokens or -1, starts and ends of the words."""
+        """Of a slice's tokens, each text's end included: text numbers, places in the frequent tokens or -1, classes, starts and ends of the words."""
         low = LOWER[data]
         starts, ends, text_of = word_spans(low, offsets, BY_SPACE)
-        place = np.full(len(starts), -1, dtype=np.int64)
-        if len(starts) and len(self.hashes):
+        place, h = np.full(len(starts), -1, dtype=np.int64), np.empty(0, np.uint64)
+        if len(starts):
             h = substring_hashes(prefix_hashes(low), starts, ends)
+        if len(starts) and len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             place = np.where(self.hashes[at] == h, at, -1)
         after = np.cumsum(np.bincount(text_of, minlength=len(offsets) - 1))
-        return (*(np.insert(x, after, y) for x, y in ((text_of, np.arange(len(offsets) - 1)), (place, self.end), (starts, 0), (ends, 0))), low)
-
-    def class_of(self, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, self.classes[place], self.other) if len(self.classes) else np.zeros(len(place), np.int64)
+        text_of, place, h, starts, ends = (np.insert(x, after, y) for x, y in ((text_of, np.arange(len(offsets) - 1)), (place, self.end), (h, token_hashes([END])[0]), (starts, 0), (ends, 0)))
+        classes = np.where(place >= 0, self.classes[place], self.bucket(h)) if len(self.classes) else self.bucket(h)
+        return text_of, place, classes, starts, ends, low
 
 
 def contexts(text_of: np.ndarray, classes: np.ndarray, start: int) -> np.ndarray:
@@ -107,64 +114,114 @@ def contexts(text_of: np.ndarray, classes: np.ndarray, start: int) -> np.ndarray
     return out
 
 
+def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their values, how often each occurs."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(at)))
+
+
 class LogBilinear:
-    """score(w | context) = (sum of c_j * r[w_j]) . q[w] + b[w], with a weight vector c_j for each place of the context."""
+    """P(w | context) = P(group of w) * P(w | group), both by (sum of c_j * r[w_j]) . q + b, with a weight vector c_j for each place of the context.
+
+    Groups are about sqrt(n) runs of about sqrt(n) classes, so that a
+    probability costs 2 * sqrt(n) products. A table's last columns are b.
+    """
 
     def __init__(self, class_counts: np.ndarray, seed: int = 1):
-        n, random = len(class_counts), np.random.default_rng(seed)
+        self.n = n = len(class_counts)
+        self.members = math.isqrt(n - 1) + 1
+        self.groups = -(-n // self.members)
+        random = np.random.default_rng(seed)
         share = (class_counts + 0.5) / (class_counts + 0.5).sum()
-        self.noise = share
-        self.parameters = [
-            (random.standard_normal((n + 1, WIDTH)) * 0.1).astype(np.float32), (random.standard_normal((n, WIDTH)) * 0.1).astype(np.float32),
-            np.log(share).astype(np.float32), (np.ones((CONTEXT, WIDTH)) / CONTEXT).astype(np.float32),
-        ]
-        self.squares = [np.full_like(p, 1e-6) for p in self.parameters]
+        self.group_share = np.add.reduceat(share, np.arange(0, n, self.members))
+        self.noise = share / np.repeat(self.group_share, self.members)[:n]  # within a group
+        self.upto = np.append(0, np.cumsum(share))
+        q = np.hstack([random.standard_normal((n, WIDTH)) * 0.1, np.log(self.noise)[:, None]])
+        g = np.hstack([random.standard_normal((self.groups, WIDTH)) * 0.1, np.log(self.group_share)[:, None]])
+        self.tables = [t.astype(np.float32) for t in (random.standard_normal((n + 1, WIDTH)) * 0.1, q, np.ones((CONTEXT, WIDTH)) / CONTEXT, g)]
+        self.squares = [np.full_like(t, 1e-6) for t in self.tables]
+        self.touched = [np.zeros(len(t), np.float32) for t in self.tables]
         self.random = random
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        r, _, _, c = self.parameters
+        r, _, c, _ = self.tables
         return sum(r[context[:, j]] * c[j] for j in range(CONTEXT))
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float = 0.05) -> None:
-        """One step on a batch: each target against NOISE noise tokens, which the batch shares."""
-        r, q, b, c = self.parameters
-        n = len(q)
-        hat = self.predicted(context)
-        noise = self.random.choice(n, NOISE, p=self.noise)
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        up = 1 / (1 + np.exp((hat * q[target]).sum(axis=1) + b[target] - log_noise[target]))  # 1 - P(data)
-        down = 1 / (1 + np.exp(-(hat @ q[noise].T + b[noise] - log_noise[noise])))
-        to_hat = -up[:, None] * q[target] + down @ q[noise]
-        size = np.float32(1 / len(target))
-
-        def scattered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-            return np.stack([np.bincount(at, weights=values[:, d], minlength=rows) for d in range(WIDTH)], axis=1)
-
-        to_q = scattered(target, -up[:, None] * hat, n)
-        np.add.at(to_q, noise, down.T @ hat)
-        to_b = -np.bincount(target, weights=up, minlength=n)
-        np.add.at(to_b, noise, down.sum(axis=0))
-        to_r, to_c = np.zeros_like(r), np.zeros_like(c)
-        for j in range(CONTEXT):
-            to_r += scattered(context[:, j], to_hat * c[j], n + 1)
-            to_c[j] = (to_hat * r[context[:, j]]).sum(axis=0)
-        for p, s, g in zip(self.parameters, self.squares, (to_r, to_q, to_b, to_c)):
-            g = (g * size).astype(np.float32)
-            s += g * g
-            p -= np.float32(rate) * g / np.sqrt(s)
+        """One step on a batch: each target's group against NOISE groups, which the batch shares, and the target against INNER classes of its group."""
+        r, q, c, g = self.tables
+        size, hat, own = len(target), self.predicted(context), target // self.members
+        groups = self.random.choice(self.groups, NOISE, p=self.group_share)
+        log_noise = np.log(NOISE * self.group_share).astype(np.float32)
+        up = 1 / (1 + np.exp((hat * g[own, :WIDTH]).sum(axis=1) + g[own, WIDTH] - log_noise[own]))  # 1 - P(data)
+        down = 1 / (1 + np.exp(-(hat @ g[groups, :WIDTH].T + g[groups, WIDTH] - log_noise[groups])))
+        to_hat = -up[:, None] * g[own, :WIDTH] + down @ g[groups, :WIDTH]
+        one = np.ones((size, 1), np.float32)
+        full = np.hstack([hat, one])
+        to_g = np.zeros_like(g)
+        at, sums, _ = summed(own, -up[:, None] * full)
+        to_g[at] += sums
+        np.add.at(to_g, groups, down.T @ full)
+
+        begin = own * self.members
+        low, high = self.upto[begin], self.upto[np.minimum(begin + self.members, self.n)]
+        drawn = np.searchsorted(self.upto, low[:, None] + self.random.random((size, INNER)) * (high - low)[:, None], side="right") - 1
+        drawn = np.clip(drawn, begin[:, None], np.minimum(begin + self.members, self.n)[:, None] - 1)
+        rows = np.concatenate([target[:, None], drawn], axis=1)
+        vectors = q[rows]
+        given = np.matmul(vectors[:, :, :WIDTH], hat[:, :, None])[:, :, 0] + vectors[:, :, WIDTH] - np.log(INNER * self.noise).astype(np.float32)[rows]
+        wrong = 1 / (1 + np.exp(-given))
+        wrong[:, 0] -= 1
+        to_hat += np.matmul(wrong[:, None, :], vectors[:, :, :WIDTH])[:, 0]
+        to_q = summed(rows.ravel(), (wrong[:, :, None] * full[:, None, :]).reshape(-1, WIDTH + 1))
+        to_r = summed(context.T.ravel(), (to_hat[None] * c[:, None, :]).reshape(-1, WIDTH))
+        to_c = np.stack([(to_hat * r[context[:, j]]).sum(axis=0) for j in range(CONTEXT)])
+        steps = (to_r, to_q, (slice(None), to_c, size), (slice(None), to_g, size))
+        for t, s, seen, (at, grad, times) in zip(self.tables, self.squares, self.touched, steps):
+            grad = (grad / size).astype(np.float32)
+            s[at] += grad * grad
+            t[at] -= np.float32(rate) * grad / np.sqrt(s[at])
+            seen[at] += times
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all classes: a matrix product for each block of distinct contexts."""
-        _, q, b, _ = self.parameters
-        n = len(q) + 1
-        code, at = np.unique(context @ n ** np.arange(CONTEXT), return_inverse=True)
-        distinct = np.stack([code // n**j % n for j in range(CONTEXT)], axis=1)
-        total, hat = np.empty(len(code), np.float32), self.predicted(distinct)
-        for i in range(0, len(code), BATCH):
-            scores = hat[i : i + BATCH] @ q.T + b
+        """Natural logarithms, normalised over all classes: matrix products over all groups and over the members of each target's group."""
+        _, q, _, g = self.tables
+        out, own = np.empty(len(target), np.float64), target // self.members
+        order = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[order], np.arange(self.groups + 1))
+        hat = self.predicted(context[order])
+
+        def chosen(hats: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+            scores = hats @ table[:, :WIDTH].T + table[:, WIDTH]
             most = scores.max(axis=1, keepdims=True)
-            total[i : i + BATCH] = most[:, 0] + np.log(np.exp(scores - most).sum(axis=1))
-        return ((hat[at] * q[target]).sum(axis=1) + b[target] - total[at]).astype(np.float64)
+            picked = scores[np.arange(len(hats)), at] - most[:, 0]
+            scores -= most
+            return picked - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+        for i in range(0, len(order), BATCH):
+            out[order[i : i + BATCH]] = chosen(hat[i : i + BATCH], g, own[order[i : i + BATCH]])
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            members = q[k * self.members : (k + 1) * self.members]
+            for i in range(edges[k], edges[k + 1], BATCH):
+                rows = order[i : min(i + BATCH, edges[k + 1])]
+                out[rows] += chosen(hat[i : i + len(rows)], members, target[rows] - k * self.members)
+        return out
+
+    def weighted(self) -> np.ndarray:
+        """Each row of the tables and its mean squares, times how often it was touched since the start: sums over partitions give the averages."""
+        return np.concatenate([np.hstack([w[:, None], w[:, None] * np.hstack([t, s.mean(axis=1, keepdims=True)])]).ravel() for t, s, w in zip(self.tables, self.squares, self.touched)])
+
+    def average(self, sums: np.ndarray) -> None:
+        """Takes the averages of weighted(); rows that nothing touched stay."""
+        at = 0
+        for t, s in zip(self.tables, self.squares):
+            part = sums[at : at + len(t) * (t.shape[1] + 2)].reshape(len(t), -1)
+            at += part.size
+            seen = part[:, 0] > 0
+            means = part[seen, 1:] / part[seen, :1]
+            t[seen], s[seen] = means[:, :-1], means[:, -1:]
 
 
 def gather_counts(training: DataFrame) -> tuple[DataFrame, Counts]:
@@ -179,37 +236,69 @@ def gather_counts(training: DataFrame) -> tuple[DataFrame, Counts]:
         least = row["power"]
     frequent = counts.where(F.col("c") >= F.lit(1 << least).cast("long")).toArrow()
     head = Counts(frequent.column("token").to_pylist(), frequent.column("c").to_numpy().astype(np.int64), sum(r["c"] for r in by_size), sum(r["n"] for r in by_size))
-    return counts.where(F.col("c") < F.lit(1 << least).cast("long")), head
+    rare = counts.where(F.col("c") < F.lit(1 << least).cast("long"))
+    shared = training.sparkSession.sparkContext.broadcast((head.own, head.hashed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, hashed = shared.value
+        found = np.zeros((2, hashed), np.int64)
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "token"):
+                at = (substring_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]) % np.uint64(hashed)).astype(np.int64)
+                found += np.stack([np.bincount(at, weights=rows.column("c").to_numpy(), minlength=hashed).astype(np.int64), np.bincount(at, minlength=hashed)])
+        at = np.flatnonzero(found[1])
+        yield pa.RecordBatch.from_arrays([pa.array(own + at), pa.array(found[0, at]), pa.array(found[1, at])], ["at", "c", "n"])
+
+    rest = rare.mapInArrow(run, "at long, c long, n long").groupBy("at").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).toArrow()
+    at = rest.column("at").to_numpy()
+    head.class_counts[at] += rest.column("c").to_numpy()
+    head.class_tokens[at] += rest.column("n").to_numpy()
+    return rare, head
 
 
 def train(training: DataFrame, head: Counts) -> LogBilinear:
-    """A model from all training tokens: each partition learns from its own, and the parameters are averaged by the tokens that each has seen."""
-    spark = training.sparkSession
-    shared = spark.sparkContext.broadcast(head)
+    """A model from all training tokens, each seen once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model, seen = shared.value, LogBilinear(shared.value.class_counts), 0
-        for batch in batches:
-            for _, data, offsets in slices(batch):
-                text_of, place, *_ = own.places(data, offsets)
-                classes = own.class_of(place)
-                context = contexts(text_of, classes, len(own.class_counts))
-                mixed = model.random.permutation(len(classes))
-                for i in range(0, len(mixed), BATCH):
-                    model.learn(context[mixed[i : i + BATCH]], classes[mixed[i : i + BATCH]])
-                seen += len(mixed)
-        flat = np.concatenate([p.ravel() for p in model.parameters]).astype(np.float64)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["at", "x", "n"])
-
-    averaged = training.select("text").mapInArrow(run, "at long, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
-    model = LogBilinear(head.class_counts)
-    if averaged.num_rows:
-        flat = np.empty(averaged.num_rows, np.float32)
-        flat[averaged.column("at").to_numpy()] = averaged.column("x").to_numpy()
-        bounds = np.cumsum([0] + [p.size for p in model.parameters])
-        model.parameters = [flat[a:b].reshape(p.shape) for p, a, b in zip(model.parameters, bounds, bounds[1:])]
-    model.squares, model.random = [], None
+    Rows are dealt by hash to ROUNDS rounds and, in each, to partitions of
+    SHARE tokens a class, whatever files they come from. In a round all
+    partitions learn from one start; a row of parameters is averaged by how
+    often each partition touched it, and the next round starts there.
+    """
+    spark, model = training.sparkSession, LogBilinear(head.class_counts)
+    parts = max(1, round(head.total / (SHARE * model.n)))
+    h = F.xxhash64("doc_id", "text")
+    dealt = training.select("text", h.alias("h"), F.pmod(h, F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64(h, F.lit("part")), F.lit(parts)).alias("part"))
+
+    def learner(shared: Broadcast, k: int) -> Callable[[pa.Table], pa.Table]:
+        def run(rows: pa.Table) -> pa.Table:
+            own, start = shared.value
+            model = copy.deepcopy(start)
+            model.random = np.random.default_rng(k + 1)
+            for batch in rows.sort_by([("h", "ascending"), ("text", "ascending")]).select(["text"]).combine_chunks().to_batches():
+                for _, data, offsets in slices(batch):
+                    text_of, _, classes, *_ = own.places(data, offsets)
+                    context = contexts(text_of, classes, model.n)
+                    mixed = model.random.permutation(len(classes))
+                    for i in range(0, len(mixed), BATCH):
+                        model.learn(context[mixed[i : i + BATCH]], classes[mixed[i : i + BATCH]])
+            flat = model.weighted()
+            blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+            return pa.table([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["at", "x"])
+
+        return run
+
+    def add(blocks: pa.Table) -> pa.Table:
+        x = sum(np.frombuffer(b.as_py(), np.float32).astype(np.float64) for b in blocks.column("x"))
+        return pa.table([blocks.column("at").slice(0, 1), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["at", "x"])
+
+    for k in range(ROUNDS if head.total else 0):
+        shared = spark.sparkContext.broadcast((head, model))
+        learned = dealt.where(F.col("round") == k).groupBy("part").applyInArrow(learner(shared, k), "at int, x binary")
+        sums = learned.groupBy("at").applyInArrow(add, "at int, x binary").toArrow().sort_by("at")
+        if sums.num_rows:
+            model.average(np.frombuffer(b"".join(sums.column("x").to_pylist()), np.float32))
+        shared.unpersist()
+    model.squares, model.touched, model.random = [], [], None
     return model
 
 
@@ -220,7 +309,8 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     texts are those not held out, all of them: for the counts and for the
     model. base_score is the unigram model's log10 probability with 0.5 added
     to each count and one unseen token; score is the log-bilinear model's, over
-    the CLASSES most frequent tokens and a class of all others, within which
+    classes whose number grows with the root of the training tokens: the most
+    frequent tokens by themselves, the others in hashed classes, within which
     the token's smoothed unigram share counts. A null or empty text is one end.
     Without training texts all tokens are unseen. Rows that repeat are scored
     each by itself.
@@ -238,16 +328,16 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lbl = shared.value
+        sizes = own.sizes()
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 n = len(offsets) - 1
-                text_of, place, starts, ends, low = own.places(data, offsets)
-                classes = own.class_of(place)
-                logs = lbl.log_probabilities(contexts(text_of, classes, len(own.class_counts)), classes) / math.log(10)
+                text_of, place, classes, starts, ends, low = own.places(data, offsets)
+                logs = lbl.log_probabilities(contexts(text_of, classes, lbl.n), classes) / math.log(10)
                 known = place >= 0
                 counted = np.log10(np.where(known, own.counts[place] if len(own.counts) else 0, 0) + 0.5)
                 # Rare words and, where no text taught it, the end get their part of the score by the join.
-                logs = logs + np.where(known & (classes == own.other), counted - math.log10(own.other_size), 0) - np.where(known, 0, math.log10(own.other_size))
+                logs = logs + np.where(classes >= own.own, np.where(known, counted, 0) - np.log10(sizes)[classes], 0)
                 base = np.where(known, counted, 0) - math.log10(all_size)
                 each = lambda w: np.bincount(text_of, weights=w, minlength=n)
                 ids = rows.column("row").to_pylist()

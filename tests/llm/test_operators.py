@@ -274,6 +274,23 @@ def test_model_learns_what_follows():
     assert np.exp(every).sum(axis=0) == pytest.approx(1, abs=1e-4)
 
 
+def test_classes_grow_with_the_corpus():
+    tokens = [b"w%d" % i for i in range(5000)]
+    few, many = (Counts(tokens, np.full(5000, c, np.int64), 5000 * c, 5000) for c in (2, 200))
+    assert 255 < few.own < many.own == 5000 and few.own + few.hashed == len(few.class_counts)
+    text = np.frombuffer(b"w1 w4999 unseen", np.uint8)
+    assert few.places(text, np.array([0, len(text)]))[2].max() >= few.own
+    assert many.places(text, np.array([0, len(text)]))[2].tolist()[:2] != [many.own] * 2
+    assert few.sizes().sum() == 10_000 + 0.5 * (5000 + few.hashed)
+
+
+def test_scores_do_not_depend_on_file_splits(spark):
+    r = random.Random(8)
+    docs = documents(spark, [words(r, r.randrange(60), 400) for _ in range(300)])
+    one, many = ({x.doc_id: x.score for x in score_texts(docs.repartition(n), F.col("doc_id") % 5 == 1).collect()} for n in (1, 24))
+    assert one == pytest.approx(many, rel=1e-6)
+
+
 # --- 8 personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
