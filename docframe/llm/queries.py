@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docframe.llm.decontamination import find_contamination
 from docframe.llm.language_id import identify_language
 from docframe.llm.language_model import score_texts
-from docframe.llm.license_scan import TEMPLATES, bigrams, scan_licenses
+from docframe.llm.license_scan import TEMPLATES, bigrams, scan_licenses, whole_templates
 from docframe.llm.mixing import plan_mix, words_taken
 from docframe.llm.near_duplicates import near_duplicates
 from docframe.llm.pii import BASE_KINDS, find_personal_data
@@ -90,6 +90,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_embedded_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_license_scan, with whole licence texts, and notices inside longer lines; its SQL has neither."""
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_templates(), embedded=True).drop("text")
+
+
 OP5_SQL = r"""
 WITH templates(name, number, b) AS (VALUES __TEMPLATES__),
 low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -137,6 +142,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_license_scan": op5_license_scan,
+    "op5_embedded_notices": op5_embedded_notices,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_model": op7_language_model,
     "op8_pii": op8_pii,

@@ -430,3 +430,25 @@ def test_licenses_equal_brute_force(spark):
     got = {x.doc_id: (x.license, x.dice, x.licenses) for x in scan_licenses(docs).collect()}
     assert got == {i: brute_license(t) for i, t in enumerate(texts)}
     assert scan_licenses(edges(spark)).count() == len(EDGE_TEXTS) + 2 and scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_whole_and_embedded_licenses(spark):
+    from docframe.llm.license_scan import bigrams, scan_licenses, whole_templates, words_of
+
+    whole = whole_templates()
+    texts = {n: t for n, t in whole if len(t) > 1000}
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"} <= set(texts)
+    inside = ["Copyright 2021 Acme. All rights reserved. See the file.", "this tool is released under the MIT license and more words follow here", words(random.Random(5), 40), "All was well with the rights of others reserved"]
+    docs = documents(spark, [*texts.values(), *inside])
+    got = [x.license for x in scan_licenses(docs, whole, embedded=True).orderBy("doc_id").collect()]
+    assert got == [*texts, "proprietary", "MIT", None, None]
+    short = [t for t in whole if len(words_of(t[1])) <= 100]
+    r = random.Random(6)
+    mixed = [words(r, r.randrange(30)) + " " + edited(r, r.choice(short)[1], r.randrange(3)) + " " + words(r, 9) for _ in range(40)]
+    for x in scan_licenses(documents(spark, mixed), short, embedded=True).collect():
+        w, best = words_of(x.text), {}
+        for n, t in short:
+            own, k = set(bigrams(t)), len(words_of(t))
+            units = [set(bigrams(" ".join(w[i : i + k]))) for i in range(len(w) - 1)] + [set(bigrams(x.text))]
+            best[n] = max(best.get(n, 0), *(2 * len(u & own) / (len(u) + len(own)) for u in units))
+        assert x.licenses == ",".join(sorted(n for n, d in best.items() if d >= 0.8))
