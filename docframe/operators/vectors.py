@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,27 +56,30 @@ def similarity(a: Column, b: Column) -> Column:
 def top_k_each(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = -1.0, max_queries: int = 1000) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest other vectors, those of min_score at least; ties to the smaller vec_id.
 
-    The counted queries are broadcast (ValueError above max_queries) and meet
-    all vectors; each task keeps k a query before the shuffle.
+    The counted queries are dealt by hash to blocks of about max_queries, each
+    broadcast, and meet all vectors; each task keeps k a query before the shuffle.
     """
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    if asked.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"over {max_queries} queries")
-    scored = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", similarity(F.col("q"), F.col("embedding")).alias("score"))
+    blocks = max(1, -(-asked.count() // max_queries))
+    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [asked]
+    scored = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", similarity(F.col("q"), F.col("embedding")).alias("score")) for part in parts])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") >= min_score)).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
-def search_documents(notices: DataFrame, documents: DataFrame, query: str, encoder: HashedEncoder, top_k: int, min_score: float, scanned: int = 200, examined: int = 50, least_chars: int = 50) -> DataFrame:
+def search_documents(notices: DataFrame, documents: DataFrame, query: str, encoder: HashedEncoder, top_k: int, min_score: float, scanned: int | None = 200, examined: int | None = 50, least_chars: int = 50) -> DataFrame:
     """The notices whose text is nearest to the query: (notice_id, score, spec_text) by score, then place.
 
     Of the first scanned notices (by position) the first examined are looked
     at; texts of over least_chars characters count, their best chunk scores
-    (at least 0), and the text's first 1000 characters come along.
+    (at least 0), and the text's first 1000 characters come along. None
+    for scanned or examined: all.
     """
     vector = encoder([query])[0]
     wanted = F.array(*[F.lit(float(x)) for x in vector])
-    first = notices.orderBy("position").limit(scanned).orderBy("position").limit(examined)
+    first = notices
+    for most in (scanned, examined):
+        first = first if most is None else first.orderBy("position").limit(most)
     texts = first.join(documents, "notice_id", "left").where(F.length(F.coalesce("text", F.lit(""))) > least_chars)
     chunks = chunk_documents(texts.select("notice_id", "text"), key="notice_id").withColumn("v", encode(encoder)(F.col("text")))
     best = chunks.groupBy("notice_id").agg(F.greatest(F.lit(0.0), F.max(similarity(F.col("v"), wanted))).alias("score")).where(F.col("score") >= min_score)

@@ -81,6 +81,13 @@ def vector_topk_per_query(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.top_k_each(v.where("vec_id < 20"), v, 5, 0.05)
 
 
+@query()
+def vector_topk_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As vector_topk_per_query, of every vector whose number 20 divides."""
+    v = table(spark, folder, "embeddings")
+    return vectors.top_k_each(v.where("vec_id % 20 = 0"), v, 5, 0.05)
+
+
 @query("SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def pairwise_similarity(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -106,6 +113,14 @@ def search_documents(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.search_documents(listed, docs.select(F.col("doc_id").alias("notice_id"), "text"), "license rights the reserved", vectors.HashedEncoder(), 10, 0.1)
 
 
+@query()
+def search_all_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """As search_documents, over every document."""
+    docs = table(spark, folder, "documents")
+    listed = docs.select(F.col("doc_id").alias("notice_id"), F.col("doc_id").alias("position"))
+    return vectors.search_documents(listed, docs.select(F.col("doc_id").alias("notice_id"), "text"), "license rights the reserved", vectors.HashedEncoder(), 10, 0.1, None, None)
+
+
 @query("""
 SELECT d.doc_id, b.item_id, CAST(strpos(d.text, b.quote) - 1 AS BIGINT) AS "offset", length(b.quote) AS length
 FROM documents d JOIN (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark) b ON contains(d.text, b.quote) WHERE b.quote = regexp_replace(b.quote, '^%s+|%s+$', '', 'g')

@@ -1,6 +1,7 @@
 import pytest
 
 from docframe.plans.registry import ORACLE_SQL, QUERIES
+from docframe.operators.vectors import top_k_each
 from tests.oracle import database, plain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,3 +31,16 @@ def test_registry():
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["verdict_rows"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_whole_tables_equal_the_sql_without_its_limits(spark, db):
+    every = ORACLE_SQL["vector_topk_per_query"].replace("q.vec_id < 20", "q.vec_id % 20 = 0")
+    assert plain(QUERIES["vector_topk_all"](spark, FOLDER).toPandas()) == plain(db.execute(every).df())
+    every = ORACLE_SQL["search_documents"].replace("ORDER BY doc_id LIMIT 50)", ")")
+    assert plain(QUERIES["search_all_documents"](spark, FOLDER).toPandas()) == plain(db.execute(every).df())
+
+
+def test_queries_in_blocks(spark):
+    v = spark.read.parquet(f"{FOLDER}/embeddings.parquet").where("vec_id < 60")
+    one, many = (plain(top_k_each(v, v, 3, max_queries=n).toPandas()) for n in (1000, 7))
+    assert one == many and len(one[1]) == 180
