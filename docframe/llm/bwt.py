@@ -1,10 +1,10 @@
 """Burrows-Wheeler transforms of sets of strings, merged by iterative interleave refinement.
 
-The alphabet is that of all strings of STEP bytes, in the order of their
-hashes. The transform holds, for each suffix in sorted order, the symbol before
-it, and one turn of the refinement lengthens the sorted prefix by one symbol. A
-string's last symbol is filled up with zero bytes, and the string ends in STEP
-empty suffixes, one for each of its phases.
+The alphabet is that of all strings of STEP bytes, numbered in the order of
+their hashes and compared byte by byte. The transform holds, for each suffix in
+sorted order, the symbol before it, and one turn of the refinement lengthens
+the sorted prefix by one symbol. A string's last symbol is filled up with zero
+bytes, and the string ends in STEP empty suffixes, one for each of its phases.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import numpy as np
 
 from docframe.llm.text import prefix_hashes, substring_hashes
 
-STEP = 40
+STEP = 50
 START = -1
+COMPARED = 1 << 15  # symbols whose bytes are compared at once
 
 
 @dataclass
@@ -36,16 +37,27 @@ def stable_order(values: np.ndarray) -> np.ndarray:
     return order
 
 
-def transforms(strings: list[bytes], n_shards: int, depth: int) -> list[Shard]:
-    """Every n_shards-th string in a shard of its own, by radix sorts of the suffixes' first depth bytes. Symbols are numbered for all."""
-    lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    text = np.frombuffer(b"".join(s + bytes(2 * STEP) for s in strings), dtype=np.uint8)
+def symbol_numbers(text: np.ndarray) -> np.ndarray:
+    """A number for the STEP bytes at each place, equal where and only where the bytes are."""
     begin = np.arange(len(text) - STEP + 1)
-    _, numbers = np.unique(substring_hashes(prefix_hashes(text), begin, begin + STEP), return_inverse=True)
-    base = np.cumsum(lengths + 2 * STEP) - lengths - 2 * STEP
+    _, first, numbers = np.unique(substring_hashes(prefix_hashes(text), begin, begin + STEP), return_index=True, return_inverse=True)
+    seen = np.lib.stride_tricks.sliding_window_view(text, STEP)
+    for at in range(0, len(begin), COMPARED):
+        if not np.array_equal(seen[at : at + COMPARED], seen[first[numbers[at : at + COMPARED]]]):  # a collision of hashes
+            return np.unique(np.ascontiguousarray(seen).view(f"V{STEP}").ravel(), return_inverse=True)[1]
+    return numbers
+
+
+def transforms(data: np.ndarray, offsets: np.ndarray, n_shards: int, depth: int) -> list[Shard]:
+    """Every n_shards-th string in a shard of its own, by radix sorts of the suffixes' first depth bytes. Symbols are numbered for all."""
+    lengths = np.diff(offsets)
+    base = offsets[:-1] + np.arange(len(lengths)) * 2 * STEP
+    text = np.zeros(int(offsets[-1]) + len(lengths) * 2 * STEP, dtype=np.uint8)
+    text[np.arange(len(data)) + np.repeat(base - offsets[:-1], lengths)] = data
+    numbers = symbol_numbers(text)
     out = []
-    for i in range(min(n_shards, len(strings))):
-        own = np.arange(i, len(strings), n_shards)
+    for i in range(min(n_shards, len(lengths))):
+        own = np.arange(i, len(lengths), n_shards)
         string = np.repeat(own, lengths[own])
         place = np.arange(len(string)) - np.repeat(np.cumsum(lengths[own]) - lengths[own], lengths[own])
         at, left = base[string] + place, lengths[string] - place
@@ -89,16 +101,15 @@ def merge(shards: list[Shard], depth: int) -> list[np.ndarray]:
     return np.split(block[np.argsort(interleave, kind="stable")], np.cumsum(sizes)[:-1])
 
 
-def repeated_windows(strings: list[bytes], size: int, n_shards: int = 4) -> list[np.ndarray]:
-    """For each string, the places where a size-byte window begins that begins at two places at least in all strings."""
-    if not strings:
-        return []
-    shards = transforms(strings, n_shards, size)
-    lengths = np.array([len(s) for s in strings], dtype=np.int64)
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, size: int, n_shards: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place), sorted, of the size-byte windows of the strings that begin at two places at least in all of them."""
+    if len(offsets) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    shards = transforms(data, offsets, n_shards, size)
+    lengths = np.diff(offsets)
     string, place, block = (np.concatenate(x) for x in ([s.string for s in shards], [s.place for s in shards], merge(shards, size)))
     whole = place + size <= lengths[string]
     string, place, block = string[whole], place[whole], block[whole]
     again = np.bincount(block, minlength=1)[block] > 1
     order = np.lexsort((place[again], string[again]))
-    bounds = np.searchsorted(string[again][order], np.arange(len(strings) + 1))
-    return [place[again][order][a:b] for a, b in zip(bounds, bounds[1:])]
+    return string[again][order], place[again][order]

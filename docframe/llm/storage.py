@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is made for the session."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one for the session, if master is local (tests), else an error: executors could not share it."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -49,8 +51,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Each name with underscores before it till no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = "__" + name
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of the session hold at most so many rows: a Python worker has several copies of a batch of texts."""
+    """Arrow batches of the session hold at most so many rows: a Python worker has several copies of a batch of texts.
+
+    Plans read the setting when they run, so it holds for the session from an
+    operator's first pass on; a smaller one of the user's stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

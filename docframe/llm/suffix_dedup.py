@@ -4,12 +4,16 @@ A window of SIZE bytes has an anchor, the leftmost least hash among its ANCHOR-b
 strings; equal windows have equal anchors at equal places. A context is a run
 of windows with one anchor. Contexts whose anchor occurs once can't repeat; of
 the others, distinct ones of an anchor meet in a task, where the transforms of
-their shards are merged and the intervals of SIZE common bytes read off.
+their shards are merged and the intervals of SIZE common bytes read off. Where
+an anchor has more contexts than a task may hold, it is lengthened step by
+step, to one side or the other, and its contexts part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.bwt import STEP, repeated_windows
-from docframe.llm.storage import add_columns, materialize
+from docframe.llm.storage import add_columns, fresh_names, materialize, materialize_counting, small_batches
 from docframe.llm.text import mix, prefix_hashes, slices, substring_hashes
 
 ANCHOR = 50
-FEW = 4_000_000  # anchors that may be broadcast, 8 bytes each
 MEMBERS = 1024  # contexts of an anchor that meet in one task
 CHUNK = 1 << 18  # bytes of contexts whose transforms are merged together
+PART = 1 << 22  # bytes of contexts in a partition
 
 
 def segments(batch: pa.RecordBatch, size: int, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
@@ -65,180 +69,232 @@ def find_contexts(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     return owner[first], start, n, lead, hashes[anchor], context
 
 
-def repeated_anchors(docs: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in segments(batch, size):
-                anchors, n = np.unique(find_contexts(data, offsets, size)[4], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n)], ["anchor", "n"])
-
-    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-
-
-def occurrences(docs: DataFrame, size: int, only: np.ndarray | None) -> DataFrame:
-    """(key, text_hash, place, n, lead, anchor, context) for each context, of the given anchors only (all, if None)."""
-    shared = docs.sparkSession.sparkContext.broadcast(only)
+def occurrences(docs: DataFrame, size: int) -> DataFrame:
+    """(key, text_hash, place, n, lead, anchor, context) for each context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for rows, at, data, offsets in segments(batch, size):
                 owner, start, n, lead, anchor, context = find_contexts(data, offsets, size)
-                anchor = anchor.view(np.int64)
-                if known is not None:
-                    keep = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor if len(known) else np.zeros(len(anchor), bool)
-                    owner, start, n, lead, anchor, context = (x[keep] for x in (owner, start, n, lead, anchor, context))
-                place = start - offsets[owner] + at
+                place, owner = start - offsets[owner] + at, pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("key").take(pa.array(owner)), rows.column("text_hash").take(pa.array(owner)), pa.array(place), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor), pa.array(context.view(np.int64))],
+                    [rows.column("key").take(owner), rows.column("text_hash").take(owner), pa.array(place), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))],
                     ["key", "text_hash", "place", "n", "lead", "anchor", "context"],
                 )
 
     return docs.select("key", "text_hash", "text").mapInArrow(run, "key long, text_hash long, place long, n int, lead int, anchor long, context long")
 
 
-def context_bytes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """wanted (key, text_hash, place, n, lead, anchor, context) with the bytes of each context."""
+def cut(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the given ranges one after the other, and their offsets."""
+    offsets = np.append(0, np.cumsum(lengths))
+    return data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])], offsets
+
+
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+@dataclass
+class Contexts:
+    """Contexts of anchors (key) that are cut from root contexts (anchor, context) at places (at): n windows, the anchor at lead, and their bytes."""
+
+    key: np.ndarray
+    anchor: np.ndarray
+    context: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+    lead: np.ndarray
+    data: np.ndarray
+    offsets: np.ndarray
+
+    NUMBERS = ("key", "anchor", "context", "at", "n", "lead")
+    FIELDS = "key long, anchor long, context long, at int, n int, lead int, bytes binary"
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Contexts:
+        raw = batch.column("bytes")
+        offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]] if len(raw) else np.empty(0, np.uint8)
+        return cls(*(batch.column(c).to_numpy().astype(np.int64) for c in cls.NUMBERS), data, offsets - offsets[0])
+
+    def numbers(self) -> list[np.ndarray]:
+        return [getattr(self, c) for c in self.NUMBERS]
+
+    def part(self, a: int, b: int) -> Contexts:
+        return Contexts(*(x[a:b] for x in self.numbers()), self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a])
+
+    def distinct(self) -> Contexts:
+        """Without rows that repeat the one before: texts that repeat with their ids."""
+        again = np.append(False, np.all([x[1:] == x[:-1] for x in self.numbers()], axis=0))
+        if not again.any():
+            return self
+        rows = np.flatnonzero(~again)
+        return Contexts(*(x[rows] for x in self.numbers()), *cut(self.data, self.offsets[rows], np.diff(self.offsets)[rows]))
+
+    @staticmethod
+    def joined(parts: list[Contexts]) -> Contexts:
+        lengths = np.concatenate([np.diff(p.offsets) for p in parts])
+        return Contexts(*(np.concatenate(x) for x in zip(*(p.numbers() for p in parts))), np.concatenate([p.data for p in parts]), np.append(0, np.cumsum(lengths)))
+
+    def sides(self, size: int, span: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of anchors of span bytes: half; how many first windows hold half bytes before the anchor (all others hold half after it); hashes of the half before and after, and of all prefixes."""
+        half = (size - span + 1) // 2
+        left = np.clip(self.lead - half + 1, 0, self.n)
+        prefix, middle = prefix_hashes(self.data), self.offsets[:-1] + self.lead
+        before = substring_hashes(prefix, np.maximum(middle - half, self.offsets[:-1]), middle)
+        after = substring_hashes(prefix, middle + span, np.minimum(middle + span + half, self.offsets[1:]))
+        return half, left, before, after, prefix
+
+
+def wanted_bytes(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """wanted (key, text_hash, place, n, lead, anchor, context) as rows of Contexts."""
     lists = wanted.groupBy("key", "text_hash").agg(F.collect_list(F.struct("place", "n", "lead", "anchor", "context")).alias("wanted"))
     texts = docs.select("key", "text_hash", "text").join(lists, ["key", "text_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, own in zip(batch.column("text"), batch.column("wanted")):
-                raw = text.as_py().encode()
-                for x in own.as_py():
-                    out.append((x["anchor"], x["context"], x["n"], x["lead"], raw[x["place"] : x["place"] + x["n"] + size - 1]))
-            if out:
-                a, c, n, lead, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(lead, pa.int32()), pa.array(b, pa.binary())], ["anchor", "context", "n", "lead", "bytes"])
-
-    return texts.select("text", "wanted").mapInArrow(run, "anchor long, context long, n int, lead int, bytes binary")
+            for rows, data, offsets in slices(batch):
+                lists = rows.column("wanted")
+                own, flat = np.repeat(offsets[:-1], lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+                place, n, lead, anchor, context = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "n", "lead", "anchor", "context"))
+                for i in range(0, len(n), 2048):
+                    part = slice(i, i + 2048)
+                    raw = binary(*cut(data, own[part] + place[part], n[part] + size - 1))
+                    zero = np.zeros(len(raw), np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor[part]), pa.array(anchor[part]), pa.array(context[part]), pa.array(zero), pa.array(n[part].astype(np.int32)), pa.array(lead[part].astype(np.int32)), raw],
+                        ["key", "anchor", "context", "at", "n", "lead", "bytes"],
+                    )
+
+    return texts.select("text", "wanted").mapInArrow(run, Contexts.FIELDS)
 
 
 RUNS = "anchor long, context long, runs array<int>"
 
 
-def as_runs(places: np.ndarray) -> list[int]:
-    """Begin and end, in turn, of the runs of consecutive places."""
-    edge = np.flatnonzero(np.diff(places) > 1)
-    return np.stack([places[np.append(0, edge + 1)], places[np.append(edge, len(places) - 1)] + 1], axis=1).ravel().tolist() if len(places) else []
-
+def merge_contexts(size: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over partitions of Contexts sorted by key: the repeated windows of chunks of whole keys, as begin and end, in turn, of runs in the root contexts.
 
-def merge_contexts(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over partitions sorted by anchor: the repeated windows of chunks of whole anchors."""
+    The bytes next to the anchor decide first what goes into the transforms:
+    windows whose half before or after it no other context of the key has are out.
+    """
 
-    def solve(held: dict[tuple[int, int], bytes]) -> Iterator[pa.RecordBatch]:
-        keys = list(held)
-        out = [(a, c, as_runs(places)) for (a, c), places in zip(keys, repeated_windows([held[k] for k in keys], size)) if len(places)]
-        if out:
-            a, c, r = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(r, pa.list_(pa.int32()))], ["anchor", "context", "runs"])
+    def solve(held: Contexts) -> pa.RecordBatch:
+        held = held.distinct()
+        _, left, before, after, _ = held.sides(size, span)
+        own = mix(held.key.astype(np.uint64))
+        halves = np.concatenate([mix(before ^ own), mix(after ^ ~own)])
+        has = np.concatenate([left > 0, left < held.n])
+        _, at, counts = np.unique(np.where(has, halves, np.arange(len(halves), dtype=np.uint64)), return_inverse=True, return_counts=True)
+        alive = has & (counts[at] > 1)
+        first_alive, last_alive = np.split(alive, 2)
+        begin, end = np.where(first_alive, 0, left), np.where(last_alive, held.n, left)
+        some = np.flatnonzero(first_alive | last_alive)
+        string, place = repeated_windows(*cut(held.data, held.offsets[some] + begin[some], end[some] - begin[some] + size - 1), size)
+        of, place = some[string], place + begin[some[string]] + held.at[some[string]]
+        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1))) if len(of) else np.empty(0, np.int64)
+        ends = np.append(first[1:], len(of)) - 1 if len(of) else first
+        runs, owner = np.stack([place[first], place[ends] + 1], axis=1).astype(np.int32), of[first]
+        whose, n_runs = np.unique(owner, return_counts=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(2 * n_runs)).astype(np.int32)), pa.array(runs.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(held.anchor[whose]), pa.array(held.context[whose]), lists], ["anchor", "context", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], bytes] = {}
-        total, last = 0, None
+        held, total = [], 0
         for batch in batches:
-            for anchor, context, raw in zip(batch.column("anchor").to_pylist(), batch.column("context").to_pylist(), batch.column("bytes").to_pylist()):
-                if anchor != last and total >= CHUNK:
-                    yield from solve(held)
-                    held, total = {}, 0
-                last = anchor
-                if (anchor, context) not in held:
-                    held[anchor, context] = raw
-                    total += len(raw)
-        yield from solve(held)
+            if not batch.num_rows:
+                continue
+            c, at = Contexts.of(batch), 0
+            borders = np.flatnonzero(np.append(True, c.key[1:] != c.key[:-1]))
+            if held and held[-1].key[-1] == c.key[0]:
+                borders = borders[1:]
+            for border in borders.tolist():  # a chunk may end before each
+                if total + c.offsets[border] - c.offsets[at] >= CHUNK:
+                    yield solve(Contexts.joined([*held, c.part(at, border)]))
+                    held, total, at = [], 0, border
+            if at < len(c.key):
+                held.append(c.part(at, len(c.key)))
+                total += int(c.offsets[-1] - c.offsets[at])
+        if held:
+            yield solve(Contexts.joined(held))
 
     return run
 
 
-def merge_blocks(contexts: DataFrame, size: int) -> DataFrame:
-    """The same result for anchors of over MEMBERS contexts (anchor, context, n, lead, bytes, members), which no task may hold.
+def parted(size: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts of anchors of span bytes as contexts of the anchors lengthened by half to the left or to the right, with id, a hash of their bytes."""
 
-    A window holds, beside its anchor, half of its other bytes at least on one
-    side; those next to the anchor are its half, and only windows of a half
-    that occurs twice can repeat. The contexts are cut into blocks of about
-    MEMBERS, and each block's transforms are merged. What repeats within a block
-    is found there; the other windows, and one of each that repeats in its
-    block, are compared between blocks by two 64-bit hashes.
-    """
-    half = (size - ANCHOR) // 2
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = Contexts.of(batch)
+            half, left, before, after, prefix = c.sides(size, span)
+            own = mix(c.key.astype(np.uint64))
+            for to_left, rows in ((True, np.flatnonzero(left > 0)), (False, np.flatnonzero(left < c.n))):
+                begin = 0 if to_left else left[rows]
+                n = left[rows] if to_left else c.n[rows] - left[rows]
+                lead = c.lead[rows] - (half if to_left else begin)
+                key = mix((before if to_left else ~after)[rows] ^ own[rows])
+                start, length = c.offsets[rows] + begin, n + size - 1
+                ids = mix(substring_hashes(prefix, start, start + length) ^ mix(lead.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(c.anchor[rows]), pa.array(c.context[rows]), *(pa.array(x.astype(np.int32)) for x in (c.at[rows] + begin, n, lead)), binary(*cut(c.data, start, length)), pa.array(ids.view(np.int64))],
+                    ["key", "anchor", "context", "at", "n", "lead", "bytes", "id"],
+                )
 
-    def halves_of(raw: bytes, n: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
-        data, at = np.frombuffer(raw, dtype=np.uint8), np.arange(n)
-        prefix, left = prefix_hashes(data), lead - at >= half
-        start = np.where(left, lead - half, lead + ANCHOR)
-        return prefix, mix(substring_hashes(prefix, start, start + half) + left.astype(np.uint64)).view(np.int64)
+    return run
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for anchor, context, n, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "n", "lead", "bytes"))):
-                out += [(anchor, context, h) for h in np.unique(halves_of(raw, n, lead)[1]).tolist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["anchor", "context", "half"])
-
-    def solve(anchor: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
-        runs, rest, known = [], [], set()
-        for x, places in zip(held, repeated_windows([x["bytes"] for x in held], size)):
-            prefix, half_of = halves_of(x["bytes"], x["n"], x["lead"])
-            again = np.zeros(x["n"], dtype=bool)
-            again[places] = True
-            if len(places):
-                runs.append((x["context"], as_runs(places)))
-            at = np.flatnonzero(again | np.isin(half_of, np.array(x["alive"], dtype=np.int64)))
-            one, two = substring_hashes(prefix, at, at + size // 2).view(np.int64), substring_hashes(prefix, at + size // 2, at + size).view(np.int64)
-            for place, pair, repeated in zip(at.tolist(), zip(one.tolist(), two.tolist()), again[at].tolist()):
-                if not repeated or pair not in known:
-                    rest.append((None if repeated else x["context"], place, *pair))
-                    known.add(pair)
-        n = len(runs)
-        context, at, one, two = zip(*rest) if rest else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([anchor] * (n + len(rest)), pa.int64()), pa.array([c for c, _ in runs] + list(context), pa.int64()), pa.array([r for _, r in runs] + [None] * len(rest), pa.list_(pa.int32()))]
-            + [pa.array([None] * n + list(x), t) for x, t in ((at, pa.int32()), (one, pa.int64()), (two, pa.int64()))],
-            ["anchor", "context", "runs", "at", "one", "two"],
-        )
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for x in batch.to_pylist():
-                if held and (x["anchor"], x["block"]) != (held[0]["anchor"], held[0]["block"]):
-                    yield from solve(held[0]["anchor"], held)
-                    held = []
-                held.append(x)
-        if held:
-            yield from solve(held[0]["anchor"], held)
 
-    each = materialize(contexts.mapInArrow(halves, "anchor long, context long, half long"))
-    alive = each.groupBy("anchor", "half").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "half")
-    own = each.join(alive, ["anchor", "half"]).groupBy("anchor", "context").agg(F.collect_list("half").alias("alive"))
-    block = F.pmod(F.xxhash64("context"), F.ceil(F.col("members") / MEMBERS).cast("long"))
-    dealt = contexts.join(own, ["anchor", "context"]).withColumn("block", block).repartition("anchor", "block").sortWithinPartitions("anchor", "block", "context")
-    rows = materialize(dealt.select("anchor", "block", "context", "n", "lead", "bytes", "alive").mapInArrow(blocks, "anchor long, context long, runs array<int>, at int, one long, two long"))
-    shared = rows.where("runs is null").groupBy("anchor", "one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    between = rows.where("runs is null and context is not null").join(shared, ["anchor", "one", "two"]).groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("runs"))
-    return rows.where("runs is not null").select("anchor", "context", "runs").unionByName(between)
+def merged(contexts: DataFrame, size: int, span: int, total: int) -> DataFrame:
+    """(anchor, context, runs) of Contexts (total bytes in all), the keys dealt to partitions of about PART bytes."""
+    dealt = contexts.repartition(total // PART + 1, "key").sortWithinPartitions("key", "context", "at")
+    return dealt.select("key", *Contexts.NUMBERS[1:], "bytes").mapInArrow(merge_contexts(size, span), RUNS)
+
+
+def part_crowded(crowded: DataFrame, size: int) -> list[DataFrame]:
+    """(anchor, context, runs) for Contexts whose anchors have over MEMBERS of them.
+
+    A window holds half of its other bytes at least on one side of its anchor.
+    Those next to the anchor lengthen it; contexts are parted by them, and into
+    windows of either side. What no other context shares goes; equal ones
+    repeat whole, and one of them stays; keys of up to MEMBERS are merged in a
+    task; the others are lengthened again. After eight times an anchor is the
+    whole window.
+    """
+    out, span = [], ANCHOR
+    while span < size:
+        half = (size - span + 1) // 2
+        sub = materialize(crowded.mapInArrow(parted(size, span), Contexts.FIELDS + ", id long"))
+        span += half
+        kinds = materialize(sub.groupBy("key", "id").agg(F.count("*").alias("copies"), F.min(F.struct("anchor", "context", "at", "n", "lead", "bytes")).alias("x")))
+        again = sub.select("key", "id", "anchor", "context", "at", "n").join(kinds.where("copies > 1").select("key", "id"), ["key", "id"])
+        out.append(again.select("anchor", "context", F.array("at", F.col("at") + F.col("n")).alias("runs")))
+        members = kinds.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        rows, seen = materialize_counting(kinds.join(members, "key").select("key", "x.*", "members"), light=F.sum(F.when(F.col("members") <= MEMBERS, F.length("bytes"))), heavy=F.count_if(F.col("members") > MEMBERS))
+        if seen["light"]:
+            out.append(merged(rows.where(F.col("members") <= MEMBERS), size, span, seen["light"]))
+        if not seen["heavy"]:
+            break
+        crowded = rows.where(F.col("members") > MEMBERS).select("key", *Contexts.NUMBERS[1:], "bytes")
+    return out
 
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """(key, text_hash, spans): begin and end, in turn, of byte ranges covered by repeated windows; they may overlap. docs: key, text_hash, text."""
-    anchors = materialize(repeated_anchors(docs, size))
-    only = np.sort(anchors.toArrow().column(0).to_numpy()) if anchors.count() <= FEW else None
-    found = materialize(occurrences(docs, size, only))
+    every = materialize(occurrences(docs, size))
+    anchors = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    found = materialize(every.join(anchors, "anchor", "left_semi"))
     kinds = materialize(found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("key", "text_hash", "place", "n", "lead")).alias("x")))
     several = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1"))
     wanted = kinds.join(several, "anchor").select("anchor", "context", "x.*")
-    contexts = materialize(context_bytes(docs, wanted, size).join(several, "anchor"))
-    light = contexts.where(F.col("members") <= MEMBERS).select("anchor", "context", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
-    partial = light.mapInArrow(merge_contexts(size), RUNS)
-    heavy = contexts.where(F.col("members") > MEMBERS).dropDuplicates(["anchor", "context"])
-    if heavy.limit(1).count():
-        partial = partial.unionByName(merge_blocks(heavy, size))
+    contexts = wanted_bytes(docs, wanted, size).join(several, "anchor")
+    contexts, seen = materialize_counting(contexts, light=F.sum(F.when(F.col("members") <= MEMBERS, F.length("bytes"))), heavy=F.count_if(F.col("members") > MEMBERS))
+    parts = [merged(contexts.where(F.col("members") <= MEMBERS), size, ANCHOR, seen["light"])]
+    if seen["heavy"]:
+        parts += part_crowded(contexts.where(F.col("members") > MEMBERS).drop("members").dropDuplicates(["anchor", "context"]), size)
     # A context with copies repeats as a whole, whatever else was found.
     runs = kinds.where("copies > 1").select("anchor", "context", F.array(F.lit(0), F.col("x.n")).alias("runs")).unionByName(
-        partial.join(kinds.where("copies = 1").select("anchor", "context"), ["anchor", "context"])
+        reduce(DataFrame.unionByName, parts).join(kinds.where("copies = 1").select("anchor", "context"), ["anchor", "context"])
     )
     spans = F.transform("runs", lambda r, i: F.col("place") + r + F.when(i % 2 == 1, size - 1).otherwise(0))
     return found.join(materialize(runs), ["anchor", "context"]).groupBy("key", "text_hash").agg(F.flatten(F.collect_list(spans)).alias("spans"))
@@ -247,21 +303,26 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, size: int = 200, carry: list[str] | None = None) -> DataFrame:
     """docs (of it, the columns in carry) with n_bytes, n_removed, n_spans, kept: the bytes of text that no repeated size-byte string covers.
 
-    Every string of size bytes (a multiple of 8, over 50) that begins at two
-    places at least, in one text or two, is removed wherever it stands;
+    Every string of size bytes (a multiple of STEP, over ANCHOR) that begins at
+    two places at least, in one text or two, is removed wherever it stands;
     overlaps count and all is judged on the input. kept is binary: removal may
     cut a character. Null texts are empty and short ones stay whole. Rows that
-    repeat are copies of each other. Columns of these names are replaced.
+    repeat are copies of each other. Columns of these names are replaced, all
+    others stay. Contexts are told apart by two 64-bit hashes (anchor and
+    whole), windows within a task byte by byte.
     """
     if size % STEP or size <= ANCHOR:
         raise ValueError(f"size must be a multiple of {STEP} over {ANCHOR}")
-    keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "__hash": F.xxhash64("doc_id", "text")})
-    texts = keyed.select(F.col("__key").alias("key"), F.col("__hash").alias("text_hash"), "text").where("text is not null")
-    spans = repeated_spans(texts, size).withColumnsRenamed({"key": "__key", "text_hash": "__hash", "spans": "__spans"})
-    joined = keyed.join(spans, ["__key", "__hash"], "left")
+    small_batches(docs.sparkSession)
+    key, text_hash, own_spans = fresh_names(docs, "key", "hash", "spans")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), text_hash: F.xxhash64("doc_id", "text")})
+    texts = keyed.select(F.col(key).alias("key"), F.col(text_hash).alias("text_hash"), "text").where("text is not null")
+    spans = repeated_spans(texts, size).withColumnsRenamed({"key": key, "text_hash": text_hash, "spans": own_spans})
+    names = [c for c in docs.columns if carry is None or c in carry]
+    joined = keyed.select(*{*names, "text", key, text_hash}).join(spans, [key, text_hash], "left")
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for text, own in zip(batch.column("text"), batch.column("__spans")):
+        for text, own in zip(batch.column("text"), batch.column(own_spans)):
             raw = (text.as_py() or "").encode()
             spans = np.array(own.as_py() or [], dtype=np.int64).reshape(-1, 2)
             kept, done, n = [], 0, 0
@@ -273,5 +334,4 @@ def remove_repeats(docs: DataFrame, size: int = 200, carry: list[str] | None = N
             kept = b"".join([*kept, raw[done:]])
             yield len(raw), len(raw) - len(kept), n, kept
 
-    names = [c for c in docs.columns if carry is None or c in carry]
-    return add_columns(joined, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", rows, [*names, "__spans"]).drop("__spans", "__key", "__hash")
+    return add_columns(joined, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", rows, [*names, own_spans]).drop(own_spans)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 19
+SEGMENT = 1 << 20  # bytes of a long text that are hashed together
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words [^\x20\x09-\x0D]+ by their bytes.
@@ -86,3 +87,26 @@ def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     raw = (prefix[ends] - prefix[starts]) * powers(len(prefix) - 1)[1][starts]
     return mix(raw + (ends - starts).astype(np.uint64))
 
+
+
+def hashed_words(low: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, text numbers and hashes of the words of this kind.
+
+    A text longer than SEGMENT is hashed in segments that end between words, so
+    that beside its bytes only what is kept of its words grows with it.
+    """
+    if len(low) <= SEGMENT:
+        starts, ends, text_of = word_spans(low, offsets, kind)
+        return starts, ends, text_of, substring_hashes(prefix_hashes(low), starts, ends)
+    parts, at = [], 0
+    while at < len(low):
+        end = min(at + SEGMENT, len(low))
+        while end < len(low) and kind[low[end - 1]]:  # to the end of the word
+            step = np.flatnonzero(~kind[low[end : end + SEGMENT]])
+            end = end + int(step[0]) + 1 if len(step) else min(end + SEGMENT, len(low))
+        a, b = np.searchsorted(offsets, [at, end], side="right") - 1
+        inner = np.clip(offsets[a : b + 2], at, end) - at
+        starts, ends, text_of = word_spans(low[at:end], inner, kind)
+        parts.append((starts + at, ends + at, text_of + a, substring_hashes(prefix_hashes(low[at:end]), starts, ends)))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*parts))

@@ -186,16 +186,26 @@ def test_permutation_is_one(spark):
 # --- 6 repeated bytes
 
 
-def test_transforms_merge_to_blocks_of_equal_suffixes():
+def joined_bytes(strings):
+    return np.frombuffer(b"".join(strings), dtype=np.uint8), np.append(0, np.cumsum([len(s) for s in strings]))
+
+
+def test_transforms_merge_to_blocks_of_equal_suffixes(monkeypatch):
     r = random.Random(5)
     parts = [bytes(r.choice(b"abc") for _ in range(r.randrange(30, 90))) for _ in range(4)]
     strings = [b"".join(r.choice(parts) for _ in range(r.randrange(5))) + b"x" * r.randrange(3) for _ in range(12)]
-    shards, seen = bwt.transforms(strings, 3, 120), {}
-    for s, b in zip(shards, bwt.merge(shards, 120)):
-        for string, place, block in zip(s.string, s.place, b):
-            if place + 120 <= len(strings[string]):
-                seen.setdefault(strings[string][place : place + 120], set()).add(int(block))
-    assert len(seen) > 20 and all(len(b) == 1 for b in seen.values()) and len({min(b) for b in seen.values()}) == len(seen)
+    found = []
+    for collide in (False, True):
+        if collide:  # symbols of equal hashes are told apart by their bytes
+            monkeypatch.setattr(bwt, "substring_hashes", lambda prefix, a, b: a % 2)
+        shards, seen = bwt.transforms(*joined_bytes(strings), 3, 150), {}
+        for s, b in zip(shards, bwt.merge(shards, 150)):
+            for string, place, block in zip(s.string, s.place, b):
+                if place + 150 <= len(strings[string]):
+                    seen.setdefault(strings[string][place : place + 150], set()).add(int(block))
+        assert len(seen) > 20 and all(len(b) == 1 for b in seen.values()) and len({min(b) for b in seen.values()}) == len(seen)
+        found.append([x.tolist() for x in bwt.repeated_windows(*joined_bytes(strings), 100)])
+    assert found[0] == found[1] and found[0][0]
 
 
 def repeats(texts, size):
@@ -212,18 +222,32 @@ def repeats(texts, size):
     return out
 
 
-@pytest.mark.parametrize("members, few", [(2048, 4_000_000), (3, 10)])
-def test_repeats_equal_brute_force(spark, monkeypatch, members, few):
+@pytest.mark.parametrize("members", [1024, 2])
+def test_repeats_equal_brute_force(spark, monkeypatch, tmp_path, members):
+    """The registered query itself."""
+    from docframe.llm.queries import op6_suffix_dedup
+
     monkeypatch.setattr(suffix_dedup, "MEMBERS", members)
-    monkeypatch.setattr(suffix_dedup, "FEW", few)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 14)
     r = random.Random(6)
     passage, line = words(r, 60, 500), "All rights reserved, and some more words to be over fifty bytes. " * 2
     texts = EDGE_TEXTS + ["é" * 300, "ab" * 400] + [words(r, r.randrange(20, 150), 5000) + " " + r.choice([passage, passage[10:], line, line + passage, ""]) + " " + words(r, r.randrange(50), 5000) for _ in range(60)]
-    docs = documents(spark, texts)
-    got = suffix_dedup.remove_repeats(docs, 200).withColumn("sha", F.sha2("kept", 256)).collect()
-    want = repeats(texts, 200)
+    texts += [words(r, 1 + i % 3, 9) + " " + passage[60:270] + words(r, 2, 5) for i in range(40)]  # contexts that part only next to the passage
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_suffix_dedup(spark, str(tmp_path)).collect()
     assert len(got) == len(texts)
-    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.sha) for x in got} == dict(enumerate(want))
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == dict(enumerate(repeats(texts, 200)))
+
+
+def test_repeats_in_long_texts(spark):
+    r = random.Random(7)
+    passage = words(r, 100, 4000)
+    long = " ".join([words(r, 110_000, 10**6), passage, words(r, 110_000, 10**6)])  # over two segments
+    docs = documents(spark, [long, "x " + passage]).withColumns({"__key": F.lit(1), "__spans": F.lit("a")})
+    got = suffix_dedup.remove_repeats(docs, 200).orderBy("doc_id").collect()
+    assert len(long) > 1 << 20 and got[1].n_removed >= len(passage) and got[0].n_removed >= len(passage) and got[0]["__spans"] == "a"
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, 208)
 
 
 def test_repeats_of_edge_rows(spark):
