@@ -176,6 +176,31 @@ def test_blocks_hold_the_texts(spark):
     assert words_taken(plan_mix(docs.limit(0))).count() == 0 and mixed_blocks(plan_mix(documents(spark, ["", None]))).count() == 0
 
 
+def test_blocks_of_long_and_repeated_texts(spark):
+    """A text of a million words is cut once; rows that repeat keep places of their own."""
+    long = " ".join(f"w{i}" for i in range(1_000_000))
+    docs = documents(spark, [long, "a b c", None], lambda i: "s")
+    docs = docs.unionByName(docs.where("doc_id = 1")).withColumns({"dealt": F.lit(1), "skey": F.lit("x"), "block": F.lit(None).cast("long")})
+    mix = plan_mix(docs)
+    blocks = mixed_blocks(mix).select("block", "n_words", "text", "position", "shard").collect()
+    assert sum(b.n_words for b in blocks) == sum(x.taken for x in words_taken(mix).collect()) == 1_000_006
+    assert Counter(w for b in blocks for w in b.text.split()) == Counter(long.split()) + Counter("a b c a b c".split())
+    assert len({(b.shard, b.position) for b in blocks}) == len(blocks)
+
+
+def test_each_shard_is_at_the_target_weights(spark):
+    docs = documents(spark, [words(random.Random(i), 200) for i in range(600)], lambda i: f"s{i % 3}")
+    mix = plan_mix(docs, block_words=8, shard_slots=2048)
+    share = {r.skey: r.quota for r in mix.sources.collect()}
+    got = mix.slots.groupBy("shard", "skey").count().collect()
+    full = {s for s in {r.shard for r in got} if sum(r["count"] for r in got if r.shard == s) == 2048}
+    assert len(full) > 5
+    for r in got:
+        p = share[r.skey] / sum(share.values())
+        assert r.shard not in full or abs(r["count"] - 2048 * p) < 5 * math.sqrt(2048 * p * (1 - p)) + 1
+    assert {r.skey: r["count"] for r in mix.slots.groupBy("skey").count().collect()} == share
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(permuted(F.col("id"), F.lit(n), [F.lit(1), F.lit("s")]).alias("x")).collect()
