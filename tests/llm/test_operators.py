@@ -448,7 +448,22 @@ def test_near_duplicates_of_edge_rows(spark):
     assert {(x.doc_id, x.component_id, x.kept) for x in got if x.doc_id in (None, 0, 7, 8)} == {(None, None, True), (0, 0, True), (7, 7, True), (8, 7, False)}
     kept = nd.drop_near_duplicates(edges(spark))
     assert 8 not in {x.doc_id for x in kept.collect()} and kept.columns == edges(spark).columns
-    assert nd.near_duplicates(edges(spark).limit(0)).count() == 0
+    assert nd.near_duplicates(edges(spark).limit(0)).count() == 0 and nd.drop_near_duplicates(edges(spark).limit(0)).count() == 0
+
+
+def test_rows_of_equal_ids_are_judged_by_their_texts(spark):
+    long = words(random.Random(3), 200, 10**6)
+    rows = [(1, long), (5, long), (5, "a text of its own"), (6, "twice the same row here"), (6, "twice the same row here"), (7, None), (7, None), (8, "..."), (None, long), (None, long), (2, "one more"), (9, "one more")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __text_hash string")
+    got = nd.drop_near_duplicates(docs)
+    want = [(1, long), (5, "a text of its own"), (6, "twice the same row here"), (7, None), (7, None), (8, "..."), (None, long), (None, long), (2, "one more")]
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
+def test_trees_use_tokens_of_their_own():
+    used = [*range(nd.TREES), *(nd.TREES + 2 * nd.TREES * (level - 1) + 2 * tree + k for level in range(1, nd.LEVELS) for tree in range(nd.TREES) for k in (0, 1))]
+    assert sorted(used) == list(range(nd.HASHES))
 
 
 # --- 5 licences
