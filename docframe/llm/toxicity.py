@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.storage import add_columns, materialize
-from docframe.llm.text import LOWER, slices
+from docframe.llm.storage import add_columns, materialize, materialize_counting, small_batches
+from docframe.llm.text import LOWER, SEGMENT, slices
 
 ORDERS = (4, 6)
 MULTIPLIER = np.uint32(0x01000193)
@@ -21,23 +21,25 @@ FOLDED[[i for i in range(128) if not chr(i).isalnum()]] = 32
 
 
 def gram_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: 32-bit hashes of all n-grams of the slice's texts, with a space before and after each, and their starts in the padded bytes."""
+    """32-bit hashes of the n-grams of the slice's texts, with a space before and after each, and their text numbers: for each order and each SEGMENT of bytes."""
     padded = np.append(np.insert(FOLDED[data], offsets[:-1], 32), np.uint8(32))
-    text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
-    last = (offsets[1:] + np.arange(1, len(offsets)))[text_of]  # the space after the text
-    wide = padded.astype(np.uint32)
-    for n in ORDERS:
-        size = len(padded) - n + 1
-        if size <= 0:
-            continue
-        h = np.full(size, n, dtype=np.uint32)
-        for i in range(n):
-            h = (h ^ wide[i : i + size]) * MULTIPLIER
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(13)
-        own = np.flatnonzero(np.arange(size) + n - 1 <= last[:size])
-        yield h[own], text_of[own]
+    ends = offsets[1:] + np.arange(1, len(offsets))  # the space after each text
+    for begin in range(0, len(padded), SEGMENT):
+        for n in ORDERS:
+            wide = padded[begin : begin + SEGMENT + n - 1].astype(np.uint32)
+            size = len(wide) - n + 1
+            if size <= 0:
+                continue
+            h = np.full(size, n, dtype=np.uint32)
+            for i in range(n):
+                h = (h ^ wide[i : i + size]) * MULTIPLIER
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(13)
+            place = np.arange(begin, begin + size)
+            text_of = np.minimum(np.searchsorted(ends, place), len(ends) - 1)
+            own = np.flatnonzero(place + n - 1 <= ends[text_of])
+            yield h[own], text_of[own]
 
 
 #: Turns an n-gram's hash into that of its second occurrence.
@@ -88,104 +90,170 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk with the logistic loss.
+@dataclass
+class Rows:
+    """Rows of the chosen features that a text has: their places, one text after the other, and the texts' bounds."""
+
+    places: np.ndarray
+    bounds: np.ndarray
+
+    def __post_init__(self):
+        self.n = len(self.bounds) - 1
+        self.text_of = np.repeat(np.arange(self.n), np.diff(self.bounds))
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.text_of, weights=weights[self.places], minlength=self.n)
 
-    Risk: prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)]).
-    Where the second term is negative, its gradient is followed upwards, so
-    that the classifier unlearns what it has overfitted.
+    def back(self, values: np.ndarray, size: int) -> np.ndarray:
+        """The sums of the texts' values over each feature."""
+        return np.bincount(self.places, weights=values[self.text_of], minlength=size)
+
+
+def risk(w: np.ndarray, positive: Rows, unlabelled: Rows, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positive part and the negative part of the risk at w (the last is the bias), and the gradient that is followed.
+
+    Risk: prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)]),
+    with the logistic loss. Where the second term is negative, its gradient is
+    followed upwards, so that the classifier unlearns what it has overfitted.
     """
-    w, b = np.zeros(positive.shape[1] + 1), np.log(prior / (1 - prior))
-    w[-1] = b
+    p, u = positive.dot(w[:-1]) + w[-1], unlabelled.dot(w[:-1]) + w[-1]
+    positive_part = prior * np.logaddexp(0, -p).mean()
+    negative_part = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+    sp, su = sigmoid(p), sigmoid(u)
+    to_p, to_u = -prior * sp / len(p), su / len(u)  # of the negative part
+    to_p, to_u = (to_p - prior * (1 - sp) / len(p), to_u) if negative_part >= 0 else (-to_p, -to_u)
+    size = len(w) - 1
+    return positive_part, negative_part, np.append(positive.back(to_p, size) + unlabelled.back(to_u, size), to_p.sum() + to_u.sum())
+
+
+def fit_nnpu(positive: Rows, unlabelled: Rows, size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+    """Weights of size features, and the bias last, by Adam on the non-negative risk."""
+    w = np.append(np.zeros(size), np.log(prior / (1 - prior)))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        p, u = positive @ w[:-1].astype(np.float32) + w[-1], unlabelled @ w[:-1].astype(np.float32) + w[-1]
-        negative_risk = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-        sp, su = sigmoid(p), sigmoid(u)
-        to_p, to_u = -prior * sp / len(p), su / len(u)  # of the negative risk
-        if negative_risk >= 0:
-            to_p = to_p - prior * (1 - sp) / len(p)
-        else:
-            to_p, to_u = -to_p, -to_u
-        g = np.append(to_p.astype(np.float32) @ positive + to_u.astype(np.float32) @ unlabelled, to_p.sum() + to_u.sum())
+        g = risk(w, positive, unlabelled, prior)[2]
         g[:-1] += decay * w[:-1]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 10000, n_features: int = 2048, least_lift: float = 3.5) -> Model:
-    """A model from confirmed toxic texts (labels.toxic = 1) and unlabelled ones (any of docs).
-
-    Both are samples bounded by max_positive and max_unlabelled, taken in the
-    order of a hash of doc_id; the class prior is the toxic share of all given
-    labels. Other labels aren't used. The features are the n-grams (once, and twice at
-    least) that positive texts have oftener than unlabelled ones, by least_lift standard errors at least. Documents that repeat a doc_id count
-    once. Rows with a null doc_id or text aren't sampled. Without a positive
-    text the model scores the prior, without a label 0.
+    return w
+
+
+def chosen_features(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int, n_features: int, least_lift: float) -> np.ndarray:
+    """Places of the n_features n-grams, at most, that positive texts have oftener than unlabelled ones, by least_lift standard errors of as many texts of either kind."""
+    p, u = positive / n_positive, unlabelled / n_unlabelled
+    rate = (p + u) / 2 + 0.5 / n_positive
+    lift = (p - u) / np.sqrt(rate * np.maximum(1e-9, 1 - rate) * 2 / n_positive)
+    order = np.argsort(-lift, kind="stable")[:n_features]
+    return np.sort(order[lift[order] >= least_lift])
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, max_positive: int = 4000, n_features: int = 2048, least_lift: float = 3.5, least_count: int = 3, max_candidates: int = 1 << 18, part_rows: int = 10_000, steps: int = 400
+) -> Model:
+    """A model from confirmed toxic texts (labels.toxic = 1) and unlabelled ones: all rows of docs with a text.
+
+    Of the confirmed texts max_positive, in the order of a hash of doc_id, are
+    fitted; the class prior is the toxic share of all given labels, which
+    aren't used otherwise. Candidate features are the n-grams (once, and twice
+    at least) that least_count confirmed texts have; were there more than
+    max_candidates, those that more texts have. They are counted in all
+    unlabelled texts, and n_features are chosen (see chosen_features).
+
+    The unlabelled rows are dealt by hash to parts of about part_rows; each
+    part's risk, with all fitted positives, is minimised in a task of its own,
+    and the weights are averaged over all unlabelled rows. Rows that repeat
+    count each; of confirmed ones with the same doc_id one does. Rows with a
+    null text, and labels with nulls, teach nothing. Without a positive text
+    the model scores the prior, without a label 0.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(0.95, max(1e-4, n_toxic / n)) if n else 0.0
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct()
-    chosen_p = known.where("toxic = 1").select("doc_id").join(ids, "doc_id").orderBy(*order).limit(max_positive)
-    chosen_u = ids.orderBy(*order).limit(max_unlabelled)
-    chosen = materialize(chosen_p.select("doc_id", F.lit(True).alias("positive")).unionByName(chosen_u.select("doc_id", F.lit(False).alias("positive"))))
-    # At most max_positive + max_unlabelled ids.
-    sample = materialize(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")).drop("doc_id"))
+    texts = docs.select("doc_id", "text").where("text is not null")
+    confirmed = known.where("toxic = 1").select("doc_id").join(texts.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
+    # At most max_positive ids.
+    positives, seen = materialize_counting(texts.join(F.broadcast(materialize(confirmed)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), n=F.count("*"))
+    n_positive, none = seen["n"], Model(np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior))) if prior else -40.0)
+    if not n_positive:
+        return none
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in slices(batch):
-                positive = np.array(rows.column("positive").to_pylist(), dtype=bool)
+            for _, data, offsets in slices(batch):
                 pairs = list(gram_hashes(data, offsets))
-                if not pairs:
-                    continue
-                text_of, hashes = features(np.concatenate([p[1] for p in pairs]), np.concatenate([p[0] for p in pairs]))
-                grams, at = np.unique(hashes, return_inverse=True)
-                both = np.bincount(at, minlength=len(grams))
-                toxic = np.bincount(at, weights=positive[text_of], minlength=len(grams)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(toxic), pa.array(both - toxic)], ["gram", "p", "u"])
-
-    n_p, n_u = sample.agg(F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0)), F.coalesce(F.sum((~F.col("positive")).cast("long")), F.lit(0))).first()
-    none = np.empty(0, np.uint32)
-    if not n_p or not n_u or prior in (0.0, 1.0):
-        return Model(none, np.empty(0), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -40.0)
-    counted = sample.mapInArrow(frequencies, "gram long, p long, u long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    rate = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
-    lift = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u))
-    grams = np.sort(np.array([r["gram"] for r in counted.where((F.col("p") >= 3) & (lift >= least_lift)).orderBy(F.desc(lift), "gram").limit(n_features).select("gram").collect()], dtype=np.uint32))
+                if pairs:
+                    grams, counts = np.unique(features(np.concatenate([p[1] for p in pairs]), np.concatenate([p[0] for p in pairs]))[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(counts)], ["gram", "p"])
+
+    counted = materialize(positives.select("text").mapInArrow(frequencies, "gram long, p long").groupBy("gram").agg(F.sum("p").alias("p")).where(F.col("p") >= least_count))
+    sizes = counted.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # max_positive rows at most
+    held = np.cumsum([r["n"] for r in sizes])
+    least = min([r["p"] for r, total in zip(sizes, held) if total <= max_candidates], default=None)
+    if least is None:
+        return none
+    got = counted.where(F.col("p") >= least).orderBy("gram").toArrow()
+    grams, p = got.column("gram").to_numpy().astype(np.uint32), got.column("p").to_numpy()
+    candidates = spark.sparkContext.broadcast(Model(grams, np.zeros(len(grams)), 0.0))
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, rows = np.zeros(len(candidates.value.grams) + 1, np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for _, data, offsets in slices(batch):
+                u[:-1] += np.bincount(candidates.value.present(data, offsets)[1], minlength=len(u) - 1)
+        u[-1] = rows  # the number of texts is the last row
+        at = np.flatnonzero(u)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(u[at])], ["at", "u"])
+
+    rows = texts.select("text").mapInArrow(occurrences, "at long, u long").groupBy("at").agg(F.sum("u").alias("u")).toArrow()  # a row for each candidate
+    u = np.zeros(len(grams) + 1, np.int64)
+    u[rows.column("at").to_numpy()] = rows.column("u").to_numpy()
+    candidates.unpersist()
+    n_unlabelled = int(u[-1])
+    grams = grams[chosen_features(p, u[:-1], n_positive, n_unlabelled, n_features, least_lift)]
+    if not len(grams):
+        return none
     blank = Model(grams, np.zeros(len(grams)), 0.0)
+    n_parts = max(1, round(n_unlabelled / part_rows))
+    turn = F.xxhash64("doc_id", "text")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 text_of, place = blank.present(data, offsets)
                 bounds = np.searchsorted(text_of, np.arange(len(offsets)))
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place.astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([rows.column("positive"), lists], ["positive", "places"])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.column("turn"), rows.column("part"), lists], ["turn", "part", "places"])
+
+    def found(df: DataFrame) -> DataFrame:
+        return df.select(turn.alias("turn"), F.pmod(F.xxhash64(turn, F.lit("part")), F.lit(n_parts)).alias("part"), "text").mapInArrow(presence, "turn long, part long, places array<int>")
+
+    def rows_of(table: pa.Table) -> Rows:
+        lists = table.sort_by("turn").column("places").combine_chunks()
+        return Rows(lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy())))
+
+    shared = spark.sparkContext.broadcast(rows_of(found(positives).toArrow()))  # at most max_positive rows of n_features places
+
+    def fit(table: pa.Table) -> pa.Table:
+        w = fit_nnpu(shared.value, rows_of(table), len(grams), prior, steps)
+        return pa.table([pa.array(np.arange(len(w))), pa.array(w * table.num_rows)], ["at", "w"])
 
-    x = {True: np.zeros((n_p, len(grams)), np.float32), False: np.zeros((n_u, len(grams)), np.float32)}
-    filled = {True: 0, False: 0}
-    if len(grams):
-        got = sample.mapInArrow(presence, "positive boolean, places array<smallint>").toArrow()
-        for positive, places in zip(got.column("positive").to_pylist(), got.column("places")):
-            x[positive][filled[positive], places.values.to_numpy(zero_copy_only=False)] = 1
-            filled[positive] += 1
-    weights, bias = fit_nnpu(x[True], x[False], prior)
-    return Model(grams, weights, bias)
+    sums = found(texts).groupBy("part").applyInArrow(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w")).orderBy("at").toArrow()
+    w = np.round(sums.column("w").to_numpy() / n_unlabelled, 6)
+    return Model(grams, w[:-1], float(w[-1]))
 
 
-def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, carry: list[str] | None = None, **limits: int) -> DataFrame:
-    """docs (of it, the columns in carry) with score (0 to 1, higher: likelier toxic), learnt from training's texts and labels (see train).
+def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, carry: list[str] | None = None, **parameters) -> DataFrame:
+    """docs (of it, the columns in carry) with score (0 to 1, higher: likelier toxic), learnt from training's texts and labels (parameters: see train).
 
-    Only the text decides; null and empty texts get the bias's score. A column
-    score of docs is replaced; repeated rows stay, each with its score.
+    Only the text decides, however long; null and empty texts get the bias's
+    score. A column score of docs is replaced, others stay; repeated rows stay,
+    each with its score. Empty docs give an empty table.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(training, labels, **limits))
+    model = docs.sparkSession.sparkContext.broadcast(train(training, labels, **parameters))
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[float]]:
         for _, data, offsets in slices(batch):

@@ -392,13 +392,80 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(x.score < 0.5 for x in toxicity.score_toxicity(docs, docs, labels.limit(0)).limit(5).collect())
 
 
+def sparse(x):
+    return toxicity.Rows(np.nonzero(x)[1], np.append(0, np.cumsum(x.sum(axis=1).astype(int))))
+
+
 def test_nnpu_ignores_positives_among_the_unlabelled():
     r = np.random.default_rng(0)
-    p, u = np.zeros((50, 3), np.float32), np.zeros((500, 3), np.float32)
+    p, u = np.zeros((50, 3)), np.zeros((500, 3))
     p[:, 0] = 1
     u[:50, 0], u[:, 1] = 1, r.random(500) < 0.5
-    w, b = toxicity.fit_nnpu(p, u, 0.1)
-    assert b + w[0] > 0 > b + w[1]
+    w = toxicity.fit_nnpu(sparse(p), sparse(u), 3, 0.1)
+    assert w[-1] + w[0] > 0 > w[-1] + w[1]
+
+
+@pytest.mark.parametrize("scale", [0.3, 4.0])
+def test_risk_and_gradient(scale):
+    """The risk of the definition, and its gradient by finite differences, on either side of zero."""
+    r = np.random.default_rng(1)
+    p, u, w, prior = r.random((9, 4)) < 0.6, r.random((30, 4)) < 0.2, np.append(np.full(4, scale), -1.0), 0.4
+    loss = lambda f: np.log1p(np.exp(-f))
+
+    def parts(w):
+        fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        return prior * loss(fp).mean(), loss(-fu).mean() - prior * loss(-fp).mean()
+
+    one, two, gradient = toxicity.risk(w, sparse(p), sparse(u), prior)
+    assert (one, two) == pytest.approx(parts(w)) and (two < 0) == (scale == 4.0)
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        wanted = sum(parts(w + step)) - sum(parts(w - step)) if two >= 0 else parts(w - step)[1] - parts(w + step)[1]
+        assert gradient[i] == pytest.approx(wanted / 2e-6, abs=1e-6)
+
+
+def plain_features(text):
+    out = Counter()
+    padded = " " + "".join(c.lower() if c.isascii() and c.isalnum() else " " if c.isascii() else c for c in text) + " "
+    raw = padded.encode()
+    for n in toxicity.ORDERS:
+        out.update(raw[i : i + n] for i in range(len(raw) - n + 1))
+    return out
+
+
+def gram_hash(gram):
+    h = len(gram)
+    for b in gram:
+        h = ((h ^ b) * 0x01000193) % 2**32
+    h = ((h ^ h >> 15) * 0x85EBCA6B) % 2**32
+    return h ^ h >> 13
+
+
+def test_scores_and_choice_equal_brute_force(spark, monkeypatch):
+    """Features, their counts over all texts, their choice and the scores recomputed one text at a time."""
+    monkeypatch.setattr(toxicity, "SEGMENT", 50)
+    r = random.Random(12)
+    texts = [words(r, r.randrange(5, 40), 300) + (" vequos" * (1 + i % 2) if i % 4 == 0 else "") for i in range(120)] + ["", "É é"]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(100)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, n_features=40, part_rows=50, steps=30)
+    has = []
+    for t in texts:
+        grams = plain_features(t)
+        has.append({gram_hash(g) for g in grams} | {gram_hash(g) ^ int(toxicity.TWICE) for g, n in grams.items() if n > 1})
+    p, u = Counter(g for i in range(0, 100, 4) for g in has[i]), Counter(g for own in has for g in own)
+    candidates = sorted(g for g, n in p.items() if n >= 3)
+    lift = {}
+    for g in candidates:
+        a, b = p[g] / 25, u[g] / len(texts)
+        rate = (a + b) / 2 + 0.5 / 25
+        lift[g] = (a - b) / math.sqrt(rate * max(1e-9, 1 - rate) * 2 / 25)
+    want = [g for g in sorted(candidates, key=lambda g: (-round(lift[g], 12), g)) if lift[g] >= 3.5]
+    assert set(model.grams.tolist()) == set(want[:40]) or set(model.grams.tolist()) <= {g for g in want if lift[g] >= lift[want[min(39, len(want) - 1)]] - 1e-9}
+    weights = dict(zip(model.grams.tolist(), model.weights.tolist()))
+    got = toxicity.score_toxicity(docs, docs, labels, n_features=40, part_rows=50, steps=30).collect()
+    for x in got:
+        assert x.score == pytest.approx(1 / (1 + math.exp(-model.bias - sum(weights[g] for g in has[x.doc_id] if g in weights))), abs=1e-4)
 
 
 # --- 10 near-duplicates
