@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.storage import add_columns
+from docframe.llm.storage import add_columns, materialize, small_batches
 
 SHIFT = 21  # a code point's bits
+SPACE = re.compile(r"\s")
 
 
 @lru_cache(1)
@@ -67,17 +69,30 @@ def gram_codes(ids: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_blocks(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
-    """Row number of the first text, and texts of about limit characters together."""
-    block, size, first = [], 0, 0
-    for i, text in enumerate(batch.column("text").to_pylist()):
-        block.append(text or "")
+def text_blocks(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers, and texts of about limit characters together. A longer text comes in parts, cut at white space, which no n-gram spans; each is a block, and all but its last have the row number -1 - row."""
+    block, size, rows = [], 0, []
+    for i, text in enumerate(batch.column("text")):
+        text, at = text.as_py() or "", 0
+        while len(text) - at > limit and (gap := SPACE.search(text, at + limit)):
+            yield [-1 - i], [text[at : gap.end()]]
+            at = gap.end()
+        rows.append(i)
+        block.append(text[at:])
         size += len(block[-1])
-        if size >= limit:
-            yield first, block
-            block, size, first = [], 0, i + 1
+        if size >= limit or at:
+            yield rows, block
+            block, size, rows = [], 0, []
     if block:
-        yield first, block
+        yield rows, block
+
+
+def gram_counts(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a sorted list, in order, and how often each occurs."""
+    if not len(own):
+        return own, np.empty(0, np.int64)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[first], np.diff(np.append(first, len(own)))
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +105,10 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for first, texts in text_blocks(batch):
+        for rows, texts in text_blocks(batch):
             by_lang: dict[str, list[str]] = {}
-            for lang, text in zip(langs[first:], texts):
-                by_lang.setdefault(lang, []).append(text)
+            for i, text in zip(rows, texts):
+                by_lang.setdefault(langs[i if i >= 0 else -1 - i], []).append(text)
             for lang, own in by_lang.items():
                 alphabet, grams = dense_grams(own)
                 parts = found.setdefault(lang, [])
@@ -121,7 +136,8 @@ def train_profiles(docs: DataFrame, size: int = 300) -> DataFrame:
     """
     counts = docs.select("text", "lang").where("lang is not null and text is not null").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).drop("n")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)  # each task keeps size before the shuffle
+    return ranked.select("lang", "gram", (F.col("rank") - 1).alias("place"))
 
 
 class Profiles:
@@ -144,39 +160,55 @@ class Profiles:
         best = int(np.argmin(apart))
         return self.langs[best], 1 - float(apart[best]) / (self.size * len(codes))
 
-    def of_texts(self, texts: list[str]) -> list[tuple[str, float]]:
-        alphabet, grams = dense_grams(texts)
-        kind = np.int32 if len(alphabet) ** 3 * 1.1 < 2**31 else np.int64
-        bounds = [np.searchsorted(t, np.arange(len(texts) + 1)) for _, t in grams]
-        ids = [g.astype(kind) for g, _ in grams]
-        out = []
-        for i in range(len(texts)):
-            own = np.sort(np.concatenate([g[b[i] : b[i + 1]] for g, b in zip(ids, bounds)]))
-            if not len(own) or not self.langs:
-                out.append(("und", 0.0))
-                continue
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            counts = np.diff(np.append(first, len(own)))
-            top = np.argsort(-counts, kind="stable")[: self.size]
-            out.append(self.nearest(gram_codes(own[first[top]].astype(np.int64), alphabet)))
-        return out
-
-
-def identify_language(docs: DataFrame, training: DataFrame, size: int = 300, max_languages: int = 2000, carry: list[str] | None = None) -> DataFrame:
+    def languages(self, batch: pa.RecordBatch) -> Iterator[tuple[str, float]]:
+        """The language of each text and its score."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # of the long text at hand
+        for rows, texts in text_blocks(batch):
+            alphabet, grams = dense_grams(texts)
+            kind = np.int32 if len(alphabet) ** 3 * 1.1 < 2**31 else np.int64
+            bounds = [np.searchsorted(t, np.arange(len(texts) + 1)) for _, t in grams]
+            ids = [g.astype(kind) for g, _ in grams]
+            for i, row in enumerate(rows):
+                own, counts = gram_counts(np.sort(np.concatenate([g[b[i] : b[i + 1]] for g, b in zip(ids, bounds)])))
+                if row < 0 or parts and i + 1 == len(rows):
+                    parts.append((gram_codes(own.astype(np.int64), alphabet), counts))
+                if row < 0:
+                    continue
+                if parts and i + 1 == len(rows):
+                    codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                    counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(codes))
+                    parts = []
+                    codes = codes[np.argsort(-counts, kind="stable")[: self.size]]
+                else:
+                    codes = gram_codes(own[np.argsort(-counts, kind="stable")[: self.size]].astype(np.int64), alphabet)
+                yield self.nearest(codes) if len(codes) and self.langs else ("und", 0.0)
+
+
+def identify_language(docs: DataFrame, training: DataFrame, size: int = 300, block_languages: int = 2000, carry: list[str] | None = None) -> DataFrame:
     """docs (of it, the columns in carry) with lang_pred (string) and score (0 to 1), learnt from training's text and lang.
 
-    The profiles are broadcast: size rows for each of at most max_languages
-    languages, else ValueError. `und` and 0 for texts that are null, empty or
-    without a letter, and for all where training is empty. Columns of these
-    names in docs are replaced; others pass through. Repeated rows stay.
+    The profiles, size rows for each language, are broadcast in blocks of about
+    block_languages languages; each block is a scan, and the best of all blocks
+    is kept, ties to the first by name. `und` and 0 for texts that are null,
+    empty or without a letter, and for all where training is empty. Of a very
+    long text only the n-gram counts are held whole. Columns of these names in
+    docs are replaced; others pass through. Repeated rows stay.
     """
-    rows = train_profiles(training, size).limit(size * max_languages + 1).collect()
-    if len(rows) > size * max_languages:
-        raise ValueError(f"over {max_languages} languages")
-    shared = docs.sparkSession.sparkContext.broadcast(Profiles(rows, size))
-
-    def predict(batch: pa.RecordBatch) -> Iterator[tuple[str, float]]:
-        for _, texts in text_blocks(batch):
-            yield from shared.value.of_texts(texts)
-
-    return add_columns(docs, "lang_pred string, score double", predict, carry)
+    small_batches(docs.sparkSession)
+    profiles = materialize(train_profiles(training, size))
+    blocks = max(1, -(-profiles.select("lang").distinct().count() // block_languages))
+    out = docs
+    for block in range(blocks):
+        own = profiles.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == block)
+        shared = docs.sparkSession.sparkContext.broadcast(Profiles(own.collect(), size))
+
+        def predict(batch: pa.RecordBatch, shared=shared, block=block) -> Iterator[tuple[str, float]]:
+            before = zip(*(batch.column(c).to_pylist() for c in ("lang_pred", "score"))) if block else None
+            for lang, score in shared.value.languages(batch):
+                if before and (last := next(before)) and last[0] != "und" and (lang == "und" or (-last[1], last[0]) < (-score, lang)):
+                    lang, score = last
+                yield lang, score
+
+        last_block = block + 1 == blocks
+        out = add_columns(out, "lang_pred string, score double", predict, carry if last_block else [c for c in out.columns if carry is None or c in (*carry, "text")])
+    return out

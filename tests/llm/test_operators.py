@@ -69,6 +69,55 @@ def test_languages(spark):
     assert identify_language(docs.limit(0), docs).count() == 0
 
 
+def plain_grams(text):
+    out = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        w = f" {word} "
+        out.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " ")
+    return out
+
+
+def plain_languages(training, texts, size):
+    """Profiles and out-of-place distances from the definition."""
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:size]]
+    by_lang = {}
+    for lang, text in training:
+        if lang is not None:
+            by_lang.setdefault(lang, Counter()).update(plain_grams(text))
+    profiles = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in by_lang.items() if c}
+    out = []
+    for text in texts:
+        own = ranked(plain_grams(text))
+        if not own or not profiles:
+            out.append(("und", 0.0))
+            continue
+        apart = {lang: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(apart, key=lambda lang: (apart[lang], lang))
+        out.append((best, 1 - apart[best] / (size * len(own))))
+    return out
+
+
+@pytest.mark.parametrize("block_languages", [2000, 2])
+def test_languages_equal_brute_force(spark, block_languages):
+    r = random.Random(2)
+    letters = {"de": "aäbdeéß", "en": "abcdeth", "fr": "aàceész", "ja": "日本語の", None: "xyz"}
+    write = lambda lang: " ".join("".join(r.choice(letters[lang]) for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(1, 30)))
+    rows = [(i, r.choice([*letters])) for i in range(150)]
+    rows = [(i, lang, write(lang) + r.choice(["", " ÀB-9_c", "\n" + write("en")])) for i, lang in rows]
+    long = ["it's a long text of words ", "ein langer Text mit ß "]
+    rows += [(150, "en", long[0] * 30_000), (151, "de", long[1] * 30_000 + "y" * 10)] + [(152 + i, None, t) for i, t in enumerate(EDGE_TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in identify_language(docs, docs.where("doc_id % 3 <> 0 or doc_id >= 150"), size=40, block_languages=block_languages).collect()}
+    want = plain_languages([(lang, t) for i, lang, t in rows if i % 3 or i >= 150], [t for _, _, t in rows], 40)
+    assert {i: (lang, round(x, 9)) for i, (lang, x) in got.items()} == {i: (lang, round(x, 9)) for i, (lang, x) in enumerate(want)}
+
+
+def test_each_task_keeps_only_a_profile(spark):
+    from docframe.llm.language_id import train_profiles
+
+    assert "WindowGroupLimit" in train_profiles(documents(spark, ["a b"]))._jdf.queryExecution().executedPlan().toString()
+
+
 # --- 2 top-k
 
 
