@@ -9,37 +9,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.storage import add_columns
-from docframe.llm.text import ALNUM, BASE, LOWER, prefix_hashes, slices, substring_hashes, word_spans
+from docframe.llm.storage import add_columns, fresh_names, materialize, materialize_counting, small_batches
+from docframe.llm.text import ALNUM, BASE, LOWER, hashed_words, slices, word_spans
 
 FIELD = "contamination struct<n_words:bigint,runs:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 CUT = "__cut_text string"
+WINDOW = "item_id string, window binary, h long"
+BITS = 26  # 2^BITS bits say which windows' hashes may occur, where their words can't be broadcast
+
+
+def chain(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """One hash for the n word hashes from each place on."""
+    h = np.full(len(at), n, dtype=np.uint64)
+    for i in range(n):
+        h = h * np.uint64(BASE) + hashes[at + i]
+    return h
 
 
 def windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(item_id as string, window): each item's runs of size words, an item of fewer words whole; words are parted by a space."""
+    """(item_id as string, window, h, its hash): each item's runs of size words, an item of fewer words whole; words are parted by a space."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch):
                 low = LOWER[data]
-                starts, ends, text_of = word_spans(low, offsets, ALNUM)
-                raw, ids, found = low.tobytes(), rows.column("item_id").to_pylist(), []
+                starts, ends, text_of, hashes = hashed_words(low, offsets, ALNUM)
+                raw, ids = low.tobytes(), rows.column("item_id").to_pylist()
                 bounds = np.searchsorted(text_of, np.arange(len(offsets)))
-                for item, a, b in zip(ids, bounds, bounds[1:]):
-                    words = [raw[s:e] for s, e in zip(starts[a:b], ends[a:b])]
-                    found += [(item, b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1)) if words]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], ["item_id", "window"])
-
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut, "item_id string, window binary").distinct()
+                for item, a, b in zip(ids, bounds.tolist(), bounds[1:].tolist()):
+                    n = min(size, b - a)
+                    if n:
+                        words = [raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]
+                        found = [b" ".join(words[i : i + n]) for i in range(b - a - n + 1)]
+                        h = chain(hashes, np.arange(a, b - n + 1), n).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(h)], ["item_id", "window", "h"])
 
-
-def chain(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """One hash for the n word hashes from each place on."""
-    h = np.full(len(at), n, dtype=np.uint64)
-    for i in range(n):
-        h = h * np.uint64(BASE) + hashes[at + i]
-    return h
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut, WINDOW).distinct()
 
 
 class WindowSet:
@@ -54,8 +59,7 @@ class WindowSet:
         vocabulary, by_length = [np.empty(0, np.uint64)], {}
         for window, items in by_window.items():
             data = np.frombuffer(window, dtype=np.uint8)
-            starts, ends, _ = word_spans(data, np.array([0, len(data)]), ALNUM)
-            hashes = substring_hashes(prefix_hashes(data), starts, ends)
+            hashes = hashed_words(data, np.array([0, len(data)]), ALNUM)[3]
             vocabulary.append(hashes)
             by_length.setdefault(len(hashes), []).append((int(chain(hashes, np.zeros(1, np.int64), len(hashes))[0]), window, items))
         self.vocabulary = np.unique(np.concatenate(vocabulary))
@@ -77,11 +81,10 @@ class WindowSet:
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, list[str]]]]:
         """Numbers of the slice's words' texts; which words are hit; (text, place, items) of each verified window."""
         low = LOWER[data]
-        starts, ends, text_of = word_spans(low, offsets, ALNUM)
+        starts, ends, text_of, hashes = hashed_words(low, offsets, ALNUM)
         found: list[tuple[int, int, list[str]]] = []
         cover = np.zeros(len(starts) + 1, dtype=np.int64)
         if len(starts) and self.by_length:
-            hashes = substring_hashes(prefix_hashes(low), starts, ends)
             unknown = np.append(0, np.cumsum(~self.known(hashes)))
             for n, (keys, values) in self.by_length.items():
                 if len(starts) < n:
@@ -99,56 +102,91 @@ class WindowSet:
         return text_of, np.cumsum(cover[:-1]) > 0, found
 
 
+def candidates(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """(text_id, windows): of each distinct text of docs (text_id, text), the windows whose hash one of its own has.
+
+    For windows that can't be broadcast: a text's windows are hashed, those
+    whose bit is set in a bitmap of fixed size meet the benchmark's in a join.
+    """
+    spark = docs.sparkSession
+    word, bit = F.shiftrightunsigned("h", 64 - BITS + 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")
+    set_bits = found.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^(BITS - 6) rows at most
+    bits = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    bits[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in slices(batch):
+                _, _, text_of, hashes = hashed_words(LOWER[data], offsets, ALNUM)
+                for n in range(1, size + 1):
+                    at = np.flatnonzero(text_of[n - 1 :] == text_of[: max(0, len(text_of) - n + 1)]) if len(text_of) >= n else np.empty(0, np.int64)
+                    h = chain(hashes, at, n)
+                    may = shared.value[h >> np.uint64(64 - BITS + 6)] >> ((h >> np.uint64(64 - BITS)) & np.uint64(63)) & np.uint64(1) == 1
+                    if may.any():
+                        yield pa.RecordBatch.from_arrays([rows.column("text_id").take(pa.array(text_of[at[may]])), pa.array(h[may].view(np.int64))], ["text_id", "h"])
+
+    own = docs.where("text is not null").select("text_id", "text").mapInArrow(hashed, "text_id string, h long").distinct()
+    return own.join(found, "h").groupBy("text_id").agg(F.collect_list(F.struct("item_id", "window")).alias("windows"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_windows: int = 400_000, carry: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs (of it, the columns in carry) with contamination: n_words, runs of hit words (places from 0, end exclusive), items with a window in the text.
 
-    benchmark has item_id and text; its windows are counted, and broadcast in
-    blocks of about max_windows, each scanned within the same pass. An item
-    with a null item_id hits words without being listed; a null or wordless
-    item has no window. A null text has no words. Rows that repeat stay; a
-    column contamination of docs is replaced. With cut there is also __cut_text,
+    benchmark has item_id and text; its windows are counted, and up to
+    max_windows are broadcast and found in one scan. More of them are joined to
+    the texts' windows by hash, and what meets is found in the texts by the
+    same scan: hits are verified on the words either way. An item with a null
+    item_id hits words without being listed; a null, empty or wordless item has
+    no window. A null text has no words; a very long one is hashed in segments.
+    Rows that repeat stay, each with its own result; of repeated items each is
+    listed once. A column contamination of docs is replaced, others stay. Empty
+    docs or an empty benchmark are no error. With cut there is also __cut_text,
     the text without the runs (see without_runs).
     """
     spark = docs.sparkSession
-    found = windows(benchmark, size).persist()
-    blocks = max(1, -(-found.count() // max_windows))
-    out = docs.drop("contamination")
-    for block in range(blocks):
-        own = found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else found
-        shared, last_block = spark.sparkContext.broadcast(WindowSet(own.collect())), block + 1 == blocks
-
-        def rows(batch: pa.RecordBatch, shared=shared, block=block, last_block=block + 1 == blocks) -> Iterator[tuple]:
-            before = iter(batch.column("contamination").to_pylist()) if block else None
-            for texts, data, offsets in slices(batch):
-                text_of, hit, windows_found = shared.value.hits(data, offsets)
-                bounds = np.searchsorted(text_of, np.arange(len(offsets)))
-                items: dict[int, set[str]] = {}
-                for text, _, own in windows_found:
-                    items.setdefault(text, set()).update(own)
-                touched = np.zeros(len(offsets) - 1, dtype=bool)
-                touched[text_of[hit]] = True
-                for i in range(len(offsets) - 1):
-                    own_hit, own_items = hit[bounds[i] : bounds[i + 1]], items.get(i, set())
-                    last = next(before) if before else None
-                    if last and last["runs"]:
-                        own_hit = own_hit.copy()
-                        for r in last["runs"]:
-                            own_hit[r["start"] : r["end"]] = True
-                        own_items |= set(last["items"])
-                    runs = []
-                    if touched[i] or last and last["runs"]:
-                        edge = np.flatnonzero(np.diff(np.concatenate(([False], own_hit, [False])).astype(np.int8)))
-                        runs = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
-                    found = {"n_words": len(own_hit), "runs": runs, "items": sorted(own_items)}
-                    if last_block and cut:
-                        raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                        yield found, None if texts.column("text")[i].as_py() is None else (without_runs(raw, runs) if runs else raw).decode()
-                    else:
-                        yield (found,)
-
-        out = add_columns(out, f"{FIELD}, {CUT}" if last_block and cut else FIELD, rows, carry if last_block else None)
-    found.unpersist()
-    return out
+    small_batches(spark)
+    found, seen = materialize_counting(windows(benchmark, size), n=F.count("*"))
+    given, broadcast = docs.drop("contamination"), seen["n"] <= max_windows
+    names, (own,) = given.columns, fresh_names(docs, "windows")
+    if broadcast:
+        shared = spark.sparkContext.broadcast(WindowSet(found.select("item_id", "window").collect()))
+    else:
+        keyed = given.withColumn(own, F.sha2("text", 256))
+        met = materialize(candidates(keyed.select(F.col(own).alias("text_id"), "text"), found, size)).withColumnsRenamed({"text_id": own, "windows": own + "_list"})
+        given = keyed.join(met, own, "left").drop(own).withColumnRenamed(own + "_list", own)
+
+    def results(data: np.ndarray, offsets: np.ndarray, known: WindowSet) -> Iterator[dict]:
+        text_of, hit, windows_found = known.hits(data, offsets)
+        bounds = np.searchsorted(text_of, np.arange(len(offsets)))
+        items: dict[int, set[str]] = {}
+        for text, _, its in windows_found:
+            items.setdefault(text, set()).update(its)
+        touched = np.zeros(len(offsets) - 1, dtype=bool)
+        touched[text_of[hit]] = True
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            runs = []
+            if touched[i]:
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], hit[a:b], [False])).astype(np.int8)))
+                runs = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])]
+            yield {"n_words": b - a, "runs": runs, "items": sorted(items.get(i, ()))}
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for texts, data, offsets in slices(batch):
+            if broadcast:
+                made = results(data, offsets, shared.value)
+            else:
+                lists = texts.column(own).to_pylist()
+                made = (x for a, b, its in zip(offsets.tolist(), offsets[1:].tolist(), lists) for x in results(data[a:b], np.array([0, b - a]), WindowSet(its or [])))
+            for i, result in enumerate(made):
+                if cut:
+                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                    yield result, None if texts.column("text")[i].as_py() is None else (without_runs(raw, result["runs"]) if result["runs"] else raw).decode()
+                else:
+                    yield (result,)
+
+    kept = [c for c in names if carry is None or c in carry]
+    return add_columns(given, f"{FIELD}, {CUT}" if cut else FIELD, rows, kept + ([] if broadcast else [own])).drop(own)
 
 
 def without_runs(raw: bytes, runs: list[dict]) -> bytes:
@@ -162,10 +200,15 @@ def without_runs(raw: bytes, runs: list[dict]) -> bytes:
     return b" ".join([*parts, raw[done:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_share: float = 1.0) -> DataFrame:
-    """docs without the words hit, and without the documents of which max_share or more is hit (by default: all words)."""
-    found = find_contamination(docs.withColumnRenamed("contamination", "__contamination"), benchmark, size, cut=True)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_share: float = 1.0, max_windows: int = 400_000) -> DataFrame:
+    """docs without the words hit, and without the documents of which max_share or more is hit (by default: all words).
+
+    Null, empty and wordless texts, and all texts without a hit, stay as they
+    are. Rows that repeat are cut alike. All columns stay, whatever their names.
+    """
+    (own,) = fresh_names(docs, "contamination")
+    found = find_contamination(docs.withColumnRenamed("contamination", own), benchmark, size, max_windows, cut=True)
     n_hit = F.aggregate("contamination.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     kept = found.where((n_hit == 0) | (n_hit < F.lit(max_share) * F.col("contamination.n_words")))
-    named = {"text": "__cut_text", "contamination": "__contamination"}
+    named = {"text": "__cut_text", "contamination": own}
     return kept.select(*[F.col(f"`{named.get(c, c)}`").alias(c) for c in docs.columns])

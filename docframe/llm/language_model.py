@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.storage import materialize
-from docframe.llm.text import BY_SPACE, LOWER, prefix_hashes, slices, substring_hashes, word_spans
+from docframe.llm.text import BY_SPACE, LOWER, hashed_words, prefix_hashes, slices, substring_hashes
 
 END = b""
 HEAD = 1 << 18  # tokens whose counts go to every worker at most
@@ -92,10 +92,8 @@ class Counts:
     def places(self, data: np.ndarray, offsets: np.ndarray):
         """Of a slice's tokens, each text's end included: text numbers, places in the frequent tokens or -1, classes, starts and ends of the words."""
         low = LOWER[data]
-        starts, ends, text_of = word_spans(low, offsets, BY_SPACE)
-        place, h = np.full(len(starts), -1, dtype=np.int64), np.empty(0, np.uint64)
-        if len(starts):
-            h = substring_hashes(prefix_hashes(low), starts, ends)
+        starts, ends, text_of, h = hashed_words(low, offsets, BY_SPACE)
+        place = np.full(len(starts), -1, dtype=np.int64)
         if len(starts) and len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             place = np.where(self.hashes[at] == h, at, -1)

@@ -40,6 +40,15 @@ def words(r, n, size=60):
 # --- helpers
 
 
+def test_words_of_long_texts(monkeypatch):
+    r = random.Random(1)
+    text = "".join(r.choice("ab  \nc") for _ in range(2000)) + "d" * 500
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 700, 700, len(text)])
+    whole = T.hashed_words(data, offsets, T.BY_SPACE)
+    monkeypatch.setattr(T, "SEGMENT", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, T.hashed_words(data, offsets, T.BY_SPACE)))
+
+
 def test_word_spans_and_hashes():
     data, offsets = np.frombuffer("ab  Ab\x0b".encode() + b"" + b"c ab", dtype=np.uint8), np.array([0, 7, 7, 11])
     starts, ends, owner = T.word_spans(T.LOWER[data], offsets, T.BY_SPACE)
@@ -159,8 +168,9 @@ def test_contamination_equals_brute_force(spark, max_windows):
     r = random.Random(3)
     items = [(10, words(r, 14)), (2, "Kurz é!"), (3, None), (4, " -- "), (5, "A b, c d e F g h i j k l")]
     texts = [words(r, 30) + " " + items[0][1][: r.randrange(20, 70)].upper() + " " + words(r, 9) for _ in range(20)] + ["x kurz É y", "kurz é KURZ é", "a b c d e f g h i j k l m"]
-    docs = documents(spark, EDGE_TEXTS + texts)
-    got = find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), max_windows=max_windows)
+    docs = documents(spark, EDGE_TEXTS + texts).withColumn("__windows", F.lit(1))
+    got = find_contamination(docs, spark.createDataFrame(items + items[:1], "item_id long, text string"), max_windows=max_windows)
+    assert {*got.columns} == {*docs.columns} and got.count() == len(EDGE_TEXTS + texts)
     for row in got.collect():
         c = row.contamination
         assert (c.n_words, sum(x.end - x.start for x in c.runs), c["items"]) == hit_words((EDGE_TEXTS + texts)[row.doc_id], items)
