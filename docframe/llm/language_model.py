@@ -14,19 +14,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.storage import materialize
+from docframe.llm.storage import materialize, small_batches
 from docframe.llm.text import BY_SPACE, LOWER, hashed_words, prefix_hashes, slices, substring_hashes
 
 END = b""
 HEAD = 1 << 18  # tokens whose counts go to every worker at most
-OWN = 8  # tokens with a class of their own, times the root of the tokens counted
-CONTEXT = 3
+OWN = 64  # tokens with a class of their own, times the cube root of the tokens counted
+CONTEXT = 2
 WIDTH = 16
 NOISE = 32
-INNER = 6
+INNER = 2
 BATCH = 2048
 ROUNDS = 3
-SHARE = 128  # tokens of a partition for each class
+SHARE = 48  # tokens of a partition for each class
 BLOCK = 1 << 16
 
 
@@ -68,7 +68,7 @@ class Counts:
     class_counts: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        order = sorted(range(len(self.tokens)), key=lambda i: (-int(self.counts[i]), self.tokens[i]))[: OWN * math.isqrt(self.total)]
+        order = sorted(range(len(self.tokens)), key=lambda i: (-int(self.counts[i]), self.tokens[i]))[: round(OWN * math.cbrt(self.total))]
         self.own = len(order)
         self.hashed = max(1, min(math.isqrt(self.total), self.distinct - self.own))
         hashes = token_hashes(self.tokens)
@@ -120,6 +120,10 @@ def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(at)))
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
 class LogBilinear:
     """P(w | context) = P(group of w) * P(w | group), both by (sum of c_j * r[w_j]) . q + b, with a weight vector c_j for each place of the context.
 
@@ -135,7 +139,10 @@ class LogBilinear:
         share = (class_counts + 0.5) / (class_counts + 0.5).sum()
         self.group_share = np.add.reduceat(share, np.arange(0, n, self.members))
         self.noise = share / np.repeat(self.group_share, self.members)[:n]  # within a group
+        self.log_noise = np.log(INNER * self.noise).astype(np.float32)
+        self.log_group_noise = np.log(NOISE * self.group_share).astype(np.float32)
         self.upto = np.append(0, np.cumsum(share))
+        self.kind = np.uint16 if n < 1 << 16 else np.uint32  # short numbers sort faster
         q = np.hstack([random.standard_normal((n, WIDTH)) * 0.1, np.log(self.noise)[:, None]])
         g = np.hstack([random.standard_normal((self.groups, WIDTH)) * 0.1, np.log(self.group_share)[:, None]])
         self.tables = [t.astype(np.float32) for t in (random.standard_normal((n + 1, WIDTH)) * 0.1, q, np.ones((CONTEXT, WIDTH)) / CONTEXT, g)]
@@ -147,21 +154,22 @@ class LogBilinear:
         r, _, c, _ = self.tables
         return sum(r[context[:, j]] * c[j] for j in range(CONTEXT))
 
-    def learn(self, context: np.ndarray, target: np.ndarray, rate: float = 0.05) -> None:
+    def learn(self, context: np.ndarray, target: np.ndarray, rate: float = 0.2) -> None:
         """One step on a batch: each target's group against NOISE groups, which the batch shares, and the target against INNER classes of its group."""
         r, q, c, g = self.tables
-        size, hat, own = len(target), self.predicted(context), target // self.members
+        size, own = len(target), target // self.members
+        given = [r[context[:, j]] for j in range(CONTEXT)]
+        hat = np.ones((size, WIDTH + 1), np.float32)  # its last column meets b
+        hat[:, :WIDTH] = sum(x * c[j] for j, x in enumerate(given))
         groups = self.random.choice(self.groups, NOISE, p=self.group_share)
-        log_noise = np.log(NOISE * self.group_share).astype(np.float32)
-        up = 1 / (1 + np.exp((hat * g[own, :WIDTH]).sum(axis=1) + g[own, WIDTH] - log_noise[own]))  # 1 - P(data)
-        down = 1 / (1 + np.exp(-(hat @ g[groups, :WIDTH].T + g[groups, WIDTH] - log_noise[groups])))
-        to_hat = -up[:, None] * g[own, :WIDTH] + down @ g[groups, :WIDTH]
-        one = np.ones((size, 1), np.float32)
-        full = np.hstack([hat, one])
+        vectors = g[own]
+        up = sigmoid(self.log_group_noise[own] - np.einsum("ij,ij->i", hat, vectors))  # 1 - P(data)
+        down = sigmoid(hat @ g[groups].T - self.log_group_noise[groups])
+        to_hat = down @ g[groups] - up[:, None] * vectors
         to_g = np.zeros_like(g)
-        at, sums, _ = summed(own, -up[:, None] * full)
+        at, sums, _ = summed(own.astype(np.uint16 if self.groups < 1 << 16 else np.uint32), -up[:, None] * hat)
         to_g[at] += sums
-        np.add.at(to_g, groups, down.T @ full)
+        np.add.at(to_g, groups, down.T @ hat)
 
         begin = own * self.members
         low, high = self.upto[begin], self.upto[np.minimum(begin + self.members, self.n)]
@@ -169,34 +177,40 @@ class LogBilinear:
         drawn = np.clip(drawn, begin[:, None], np.minimum(begin + self.members, self.n)[:, None] - 1)
         rows = np.concatenate([target[:, None], drawn], axis=1)
         vectors = q[rows]
-        given = np.matmul(vectors[:, :, :WIDTH], hat[:, :, None])[:, :, 0] + vectors[:, :, WIDTH] - np.log(INNER * self.noise).astype(np.float32)[rows]
-        wrong = 1 / (1 + np.exp(-given))
+        wrong = sigmoid(np.einsum("ikj,ij->ik", vectors, hat) - self.log_noise[rows])
         wrong[:, 0] -= 1
-        to_hat += np.matmul(wrong[:, None, :], vectors[:, :, :WIDTH])[:, 0]
-        to_q = summed(rows.ravel(), (wrong[:, :, None] * full[:, None, :]).reshape(-1, WIDTH + 1))
-        to_r = summed(context.T.ravel(), (to_hat[None] * c[:, None, :]).reshape(-1, WIDTH))
-        to_c = np.stack([(to_hat * r[context[:, j]]).sum(axis=0) for j in range(CONTEXT)])
+        to_hat = (to_hat + np.einsum("ik,ikj->ij", wrong, vectors))[:, :WIDTH]
+        to_q = summed(rows.ravel().astype(self.kind), (wrong[:, :, None] * hat[:, None, :]).reshape(-1, WIDTH + 1))
+        to_r = summed(context.T.ravel().astype(self.kind), np.concatenate([to_hat * c[j] for j in range(CONTEXT)]))
+        to_c = np.stack([np.einsum("ij,ij->j", to_hat, x) for x in given])
         steps = (to_r, to_q, (slice(None), to_c, size), (slice(None), to_g, size))
         for t, s, seen, (at, grad, times) in zip(self.tables, self.squares, self.touched, steps):
-            grad = (grad / size).astype(np.float32)
-            s[at] += grad * grad
-            t[at] -= np.float32(rate) * grad / np.sqrt(s[at])
+            grad = (grad / np.float32(size)).astype(np.float32)
+            squares = s[at] + grad * grad
+            s[at] = squares
+            t[at] -= np.float32(rate) * grad / np.sqrt(squares)
             seen[at] += times
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all classes: matrix products over all groups and over the members of each target's group."""
         _, q, _, g = self.tables
         out, own = np.empty(len(target), np.float64), target // self.members
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.uint16 if self.groups < 1 << 16 else np.uint32), kind="stable")
         edges = np.searchsorted(own[order], np.arange(self.groups + 1))
-        hat = self.predicted(context[order])
+        hat = np.ones((len(target), WIDTH + 1), np.float32)
+        hat[:, :WIDTH] = self.predicted(context[order])
 
         def chosen(hats: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
-            scores = hats @ table[:, :WIDTH].T + table[:, WIDTH]
-            most = scores.max(axis=1, keepdims=True)
-            picked = scores[np.arange(len(hats)), at] - most[:, 0]
-            scores -= most
-            return picked - np.log(np.exp(scores, out=scores).sum(axis=1))
+            scores = hats @ table.T
+            picked = scores[np.arange(len(hats)), at]
+            with np.errstate(over="ignore"):
+                total = np.exp(scores, out=scores).sum(axis=1)
+            logs, odd = np.log(np.maximum(total, 1e-38)), np.flatnonzero((total < 1e-30) | ~np.isfinite(total))
+            if len(odd):  # the exponentials left the range of a float
+                again = hats[odd] @ table.T
+                most = again.max(axis=1)
+                logs[odd] = most + np.log(np.exp(again - most[:, None]).sum(axis=1))
+            return picked - logs
 
         for i in range(0, len(order), BATCH):
             out[order[i : i + BATCH]] = chosen(hat[i : i + BATCH], g, own[order[i : i + BATCH]])
@@ -307,16 +321,18 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     texts are those not held out, all of them: for the counts and for the
     model. base_score is the unigram model's log10 probability with 0.5 added
     to each count and one unseen token; score is the log-bilinear model's, over
-    classes whose number grows with the root of the training tokens: the most
-    frequent tokens by themselves, the others in hashed classes, within which
-    the token's smoothed unigram share counts. A null or empty text is one end.
+    classes whose number grows with the training tokens: the most frequent, OWN
+    times their cube root, by themselves, the others in hashed classes, the
+    root of their number, within which the token's smoothed unigram share counts. A null or empty text is one end.
     Without training texts all tokens are unseen. Rows that repeat are scored
-    each by itself.
+    each by itself. A very long text is hashed in segments, its tokens are held
+    whole. Other columns don't matter, whatever their names.
 
     Frequent tokens (at most HEAD) are looked up in the workers; the others'
     counts come by a join on the token, each of which is rare.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     training = given.where(~F.col("held_out"))
     rare, head = gather_counts(training)

@@ -368,11 +368,47 @@ def test_scores_equal_counts_and_are_probabilities(spark):
     assert score_texts(edges(spark), fold == 1).count() == len(EDGE_TEXTS) + 2
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    """The score recomputed token by token from the trained tables: context vectors, group, member, and the share in a hashed class."""
+    from docframe.llm import language_model as lm
+
+    r = random.Random(13)
+    texts = [*EDGE_TEXTS, *(words(r, r.randrange(1, 50), 500) + (" Rare%d" % i if i % 3 else "") for i in range(150))]
+    docs = documents(spark, texts).select("doc_id", "text")
+    training = docs.where("doc_id % 5 <> 1")
+    _, head = lm.gather_counts(training)
+    model = lm.train(training, head)
+    counts = Counter(w for i, t in enumerate(texts) if i % 5 != 1 for w in (t or "").encode().lower().split() + [b""])
+    tables = [t.astype(float) for t in model.tables]
+    own_class = {}
+    for w in {w for t in texts for w in (t or "").encode().lower().split()} | {b""}:
+        h = lm.token_hashes([w])
+        at = np.searchsorted(head.hashes, h[0])
+        own_class[w] = int(head.classes[at]) if at < len(head.hashes) and head.hashes[at] == h[0] else int(head.bucket(h)[0])
+    size = Counter()
+    for w, c in counts.items():
+        size[own_class[w]] += c + 0.5
+    softmax = lambda s: np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    got = {x.doc_id: x.score for x in score_texts(docs, F.col("doc_id") % 5 == 1).collect()}
+    for i, t in enumerate(texts):
+        classes, total = [model.n] * lm.CONTEXT, 0.0
+        for w in (t or "").encode().lower().split() + [b""]:
+            hat = sum(tables[0][classes[-1 - j]] * tables[2][j] for j in range(lm.CONTEXT))
+            k, group = own_class[w], own_class[w] // model.members
+            members = tables[1][group * model.members : (group + 1) * model.members]
+            p = softmax(tables[3][:, :-1] @ hat + tables[3][:, -1])[group] * softmax(members[:, :-1] @ hat + members[:, -1])[k - group * model.members]
+            if k >= head.own:
+                p *= (counts[w] + 0.5) / (size[k] + 0.5)
+            total += math.log10(p)
+            classes.append(k)
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
 def test_model_learns_what_follows():
     head = Counts([b"", *[b"w%d" % i for i in range(20)]], np.full(21, 1000, np.int64), 21_000, 21)
     model, r = LogBilinear(head.class_counts), np.random.default_rng(0)
     sequence = np.cumsum(np.ones(4000, np.int64)) % 20
-    context = np.stack([np.roll(sequence, j) for j in (1, 2, 3)], axis=1)
+    context = np.stack([np.roll(sequence, j) for j in (1, 2)], axis=1)
     before = model.log_probabilities(context, sequence).mean()
     for _ in range(60):
         pick = r.permutation(len(sequence))[:1024]
