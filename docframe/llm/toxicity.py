@@ -25,6 +25,9 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
     padded = np.append(np.insert(FOLDED[data], offsets[:-1], 32), np.uint8(32))
     ends = offsets[1:] + np.arange(1, len(offsets))  # the space after each text
     for begin in range(0, len(padded), SEGMENT):
+        inner = np.clip(np.append(0, ends[:-1]), begin, min(begin + SEGMENT, len(padded)))  # the space after a text begins the next
+        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.append(inner, min(begin + SEGMENT, len(padded)))))
+        room = np.repeat(ends, np.diff(np.append(inner, min(begin + SEGMENT, len(padded))))) - np.arange(begin, begin + len(owner))
         for n in ORDERS:
             wide = padded[begin : begin + SEGMENT + n - 1].astype(np.uint32)
             size = len(wide) - n + 1
@@ -36,10 +39,8 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(13)
-            place = np.arange(begin, begin + size)
-            text_of = np.minimum(np.searchsorted(ends, place), len(ends) - 1)
-            own = np.flatnonzero(place + n - 1 <= ends[text_of])
-            yield h[own], text_of[own]
+            own = np.flatnonzero(room[:size] >= n - 1)
+            yield h[own], owner[own]
 
 
 #: Turns an n-gram's hash into that of its second occurrence.
@@ -68,14 +69,17 @@ class Model:
 
     def present(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text numbers and places of the chosen features of each text, each once."""
+        if not len(self.grams):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         found = [(np.empty(0, np.int64), np.empty(0, np.uint32))]
         for hashes, text_of in gram_hashes(data, offsets):
             at = np.flatnonzero(self.may[hashes >> np.uint32(12)])
-            hit = at[np.isin(hashes[at], self.plain)]
+            place = np.searchsorted(self.plain, hashes[at])
+            hit = at[self.plain[np.minimum(place, len(self.plain) - 1)] == hashes[at]]
             found.append((text_of[hit], hashes[hit]))
         text_of, own = features(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
         place = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        hit = self.grams[place] == own if len(self.grams) else np.zeros(len(own), dtype=bool)
+        hit = self.grams[place] == own
         return text_of[hit], place[hit]
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -98,11 +102,11 @@ class Rows:
     bounds: np.ndarray
 
     def __post_init__(self):
-        self.n = len(self.bounds) - 1
-        self.text_of = np.repeat(np.arange(self.n), np.diff(self.bounds))
+        self.text_of = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.text_of, weights=weights[self.places], minlength=self.n)
+        upto = np.append(0.0, np.cumsum(weights[self.places]))
+        return upto[self.bounds[1:]] - upto[self.bounds[:-1]]
 
     def back(self, values: np.ndarray, size: int) -> np.ndarray:
         """The sums of the texts' values over each feature."""
@@ -126,7 +130,7 @@ def risk(w: np.ndarray, positive: Rows, unlabelled: Rows, prior: float) -> tuple
     return positive_part, negative_part, np.append(positive.back(to_p, size) + unlabelled.back(to_u, size), to_p.sum() + to_u.sum())
 
 
-def fit_nnpu(positive: Rows, unlabelled: Rows, size: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+def fit_nnpu(positive: Rows, unlabelled: Rows, size: int, prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> np.ndarray:
     """Weights of size features, and the bias last, by Adam on the non-negative risk."""
     w = np.append(np.zeros(size), np.log(prior / (1 - prior)))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -139,26 +143,25 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, size: int, prior: float, steps: i
     return w
 
 
-def chosen_features(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int, n_features: int, least_lift: float) -> np.ndarray:
-    """Places of the n_features n-grams, at most, that positive texts have oftener than unlabelled ones, by least_lift standard errors of as many texts of either kind."""
+def lifts(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_unlabelled: int) -> np.ndarray:
+    """By how many standard errors, of n_positive texts of either kind, positive texts have an n-gram oftener than unlabelled ones."""
     p, u = positive / n_positive, unlabelled / n_unlabelled
     rate = (p + u) / 2 + 0.5 / n_positive
-    lift = (p - u) / np.sqrt(rate * np.maximum(1e-9, 1 - rate) * 2 / n_positive)
-    order = np.argsort(-lift, kind="stable")[:n_features]
-    return np.sort(order[lift[order] >= least_lift])
+    return (p - u) / np.sqrt(rate * np.maximum(1e-9, 1 - rate) * 2 / n_positive)
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_positive: int = 4000, n_features: int = 2048, least_lift: float = 3.5, least_count: int = 3, max_candidates: int = 1 << 18, part_rows: int = 10_000, steps: int = 400
+    docs: DataFrame, labels: DataFrame, max_positive: int = 4000, n_features: int = 2048, least_lift: float = 3.5, max_candidates: int = 1 << 18, part_rows: int = 10_000, steps: int = 150
 ) -> Model:
     """A model from confirmed toxic texts (labels.toxic = 1) and unlabelled ones: all rows of docs with a text.
 
     Of the confirmed texts max_positive, in the order of a hash of doc_id, are
     fitted; the class prior is the toxic share of all given labels, which
     aren't used otherwise. Candidate features are the n-grams (once, and twice
-    at least) that least_count confirmed texts have; were there more than
-    max_candidates, those that more texts have. They are counted in all
-    unlabelled texts, and n_features are chosen (see chosen_features).
+    at least) that enough confirmed texts have for least_lift; were there more
+    than max_candidates, those that more texts have. They are counted in all
+    unlabelled texts, and the n_features of the highest lift are chosen, of
+    least_lift at least (see lifts).
 
     The unlabelled rows are dealt by hash to parts of about part_rows; each
     part's risk, with all fitted positives, is minimised in a task of its own,
@@ -188,7 +191,11 @@ def train(
                     grams, counts = np.unique(features(np.concatenate([p[1] for p in pairs]), np.concatenate([p[0] for p in pairs]))[1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(counts)], ["gram", "p"])
 
-    counted = materialize(positives.select("text").mapInArrow(frequencies, "gram long, p long").groupBy("gram").agg(F.sum("p").alias("p")).where(F.col("p") >= least_count))
+    every = np.arange(1, n_positive + 1)
+    possible = every[lifts(every, np.zeros(n_positive), n_positive, 1) >= least_lift]
+    if not len(possible):
+        return none
+    counted = materialize(positives.select("text").mapInArrow(frequencies, "gram long, p long").groupBy("gram").agg(F.sum("p").alias("p")).where(F.col("p") >= int(possible[0])))
     sizes = counted.groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # max_positive rows at most
     held = np.cumsum([r["n"] for r in sizes])
     least = min([r["p"] for r, total in zip(sizes, held) if total <= max_candidates], default=None)
@@ -213,7 +220,9 @@ def train(
     u[rows.column("at").to_numpy()] = rows.column("u").to_numpy()
     candidates.unpersist()
     n_unlabelled = int(u[-1])
-    grams = grams[chosen_features(p, u[:-1], n_positive, n_unlabelled, n_features, least_lift)]
+    lift = lifts(p, u[:-1], n_positive, n_unlabelled)
+    order = np.argsort(-lift, kind="stable")[:n_features]
+    grams = grams[np.sort(order[lift[order] >= least_lift])]
     if not len(grams):
         return none
     blank = Model(grams, np.zeros(len(grams)), 0.0)
