@@ -18,8 +18,8 @@ from docframe.llm.storage import materialize, small_batches
 from docframe.llm.text import BY_SPACE, LOWER, hashed_words, prefix_hashes, slices, substring_hashes
 
 END = b""
-HEAD = 1 << 18  # tokens whose counts go to every worker at most
-OWN = 64  # tokens with a class of their own, times the cube root of the tokens counted
+HEAD = 1 << 20  # tokens whose counts go to every worker at most
+OWN = 40  # tokens with a class of their own, times the cube root of the tokens counted
 CONTEXT = 2
 WIDTH = 16
 NOISE = 32
@@ -68,10 +68,10 @@ class Counts:
     class_counts: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        order = sorted(range(len(self.tokens)), key=lambda i: (-int(self.counts[i]), self.tokens[i]))[: round(OWN * math.cbrt(self.total))]
+        hashes = token_hashes(self.tokens)
+        order = np.lexsort((hashes, -self.counts))[: round(OWN * math.cbrt(self.total))]
         self.own = len(order)
         self.hashed = max(1, min(math.isqrt(self.total), self.distinct - self.own))
-        hashes = token_hashes(self.tokens)
         classes = self.bucket(hashes)
         classes[order] = np.arange(self.own)
         self.class_counts = np.bincount(classes, weights=self.counts, minlength=self.own + self.hashed).astype(np.float64)
