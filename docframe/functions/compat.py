@@ -33,3 +33,8 @@ def whole_number(c: Column) -> Column:
 def share(part: Column, whole: Column) -> Column:
     """A percentage to one place, halves to the even digit; 0 of nothing."""
     return F.when(whole > 0, F.bround(part * 100.0 / whole, 1)).otherwise(0.0)
+
+
+def integer_text(c: Column) -> Column:
+    """An integer written as digits, with a sign or without; null from anything else, 8.0 too."""
+    return F.when(F.regexp_like(strip(c.cast("string")), F.lit("^[+-]?[0-9]+$")), strip(c.cast("string")).try_cast("long"))

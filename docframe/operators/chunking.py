@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: The bounds of a request for chunks.
+SIZES, OVERLAPS = (100, 4000), (0, 1000)
 
-def chunk_spans(text: str, size: int = 700, overlap: int = 120) -> Iterator[tuple[int, int]]:
+
+def chunk_spans(text: str, size: int = 700, overlap: int = 120) -> list[tuple[int, int]]:
     """Begin and end of each chunk that isn't blank.
 
     A chunk that doesn't reach the end stops after the last newline of its
     fourth quarter, if there is one. The next begins overlap before its end.
     """
-    overlap, begin, n = max(0, min(overlap, size - 1)), 0, len(text)
-    while begin < n:
-        end = min(begin + size, n)
-        if end < n:
-            newline = text.rfind("\n", begin + size * 3 // 4, end)
-            end = newline + 1 if newline >= 0 else end
-        if text[begin:end].strip():
-            yield begin, end
-        if end >= n:
-            return
-        begin = max(end - overlap, begin + 1)
+    stops = (np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) == 10) + 1).tolist()
+    shared = min(max(overlap, 0), size - 1)
+
+    def span(begin: int) -> tuple[int, int]:
+        full = begin + size
+        if full >= len(text):
+            return begin, len(text)
+        last = bisect_right(stops, full) - 1
+        return begin, stops[last] if last >= 0 and stops[last] > begin + size * 3 // 4 else full
+
+    spans = [span(0)] if text else []
+    while spans and spans[-1][1] < len(text):
+        begin, end = spans[-1]
+        spans.append(span(max(begin + 1, end - shared)))
+    return [(a, b) for a, b in spans if not text[a:b].isspace()]
+
+
+def check_request(size: int, overlap: int) -> None:
+    """ValueError for sizes and overlaps that no request may ask for."""
+    for name, value, (least, most) in (("size", size, SIZES), ("overlap", overlap, OVERLAPS)):
+        if not least <= value <= most:
+            raise ValueError(f"{name} must be between {least} and {most}")
 
 
 def chunk_documents(docs: DataFrame, size: int = 700, overlap: int = 120, key: str = "doc_id") -> DataFrame:

@@ -5,45 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions.compat import squeeze, whole_number
+from docframe.functions.compat import integer_text, squeeze
+from docframe.operators.evidence import once
 
 
 def enough(quantity: Column, name: Column, least: Column) -> Column:
-    """Whether the quantity, or the first number after ×, x or * in the name, is the least at least."""
+    """Whether the quantity (a number, or text of digits only), or the first number after ×, x or * in the name, is the least at least."""
     marked = F.regexp_substr(name, F.lit(r"[×x*]\s*([0-9]+)"))
     number = F.regexp_substr(marked, F.lit("[0-9]+")).try_cast("long")
-    return (F.coalesce(whole_number(quantity), F.lit(0)) >= least) | F.coalesce(number >= least, F.lit(False))
+    return (F.coalesce(integer_text(quantity), F.lit(0)) >= least) | F.coalesce(number >= least, F.lit(False))
 
 
 def has_keywords(text: Column, keywords: Column, any_of: Column) -> Column:
-    """Whether text holds all keywords, or any where any_of; spaces and case don't count."""
-    inside = lambda k: F.contains(squeeze(text), squeeze(k))
-    return F.when(any_of, F.exists(keywords, inside)).otherwise(F.forall(keywords, inside))
+    """Whether text holds all keywords, or any where any_of; spaces and case don't count. The text is squeezed once."""
+    inside = lambda t: lambda k: F.contains(t, squeeze(k))
+    return once(squeeze(text), lambda t: F.when(any_of, F.exists(keywords, inside(t))).otherwise(F.forall(keywords, inside(t))))
 
 
 def judge_cases(expectations: DataFrame, items: DataFrame, responses: DataFrame) -> DataFrame:
     """(case, passes, failures, warnings, score, passed) of each case.
 
     expectations: case, kind (required, forbidden, must, should), keywords,
-    any_of, qty_min, label. items: case, name, qty, sel. responses: case, text.
-    Required and forbidden look at items with sel O, must and should at the
-    whole response. Pass: no failure.
+    any_of, qty_min, label; each row counts for itself, whatever its label.
+    items: case, name, qty, sel. responses: case, text. Required and forbidden
+    look at items with sel O, each item that a forbidden row matches is a
+    failure; must and should look at the whole response. Pass: no failure. The
+    score tells required rows met, and selected rows of all.
     """
-    chosen = items.where(F.upper("sel") == "O").select("case", "name", "qty")
-    on_items = expectations.where("kind in ('required', 'forbidden')").join(chosen, "case", "left")
+    rows = items.select("case", squeeze(F.col("name")).alias("name"), "qty", (F.upper("sel") == "O").alias("chosen"))
+    counted = rows.groupBy("case").agg(F.count("*").alias("n_rows"), F.count_if("chosen").alias("n_chosen"))
+    each = expectations.withColumn("__row", F.monotonically_increasing_id())
+    on_items = each.where("kind in ('required', 'forbidden')").join(rows.where("chosen").drop("chosen"), "case", "left")
     hit = F.coalesce(has_keywords(F.col("name"), F.col("keywords"), F.coalesce("any_of", F.lit(False)) & (F.col("kind") == "required")) & F.col("name").isNotNull(), F.lit(False))
-    hit = hit & ((F.col("kind") == "forbidden") | enough(F.col("qty"), squeeze(F.col("name")), F.coalesce("qty_min", F.lit(1))))
-    on_items = on_items.groupBy("case", "kind", "label").agg(F.count_if(hit).alias("hits"))
-    on_text = expectations.where("kind in ('must', 'should')").join(responses, "case", "left")
-    on_text = on_text.groupBy("case", "kind", "label").agg(F.count_if(has_keywords(F.coalesce("text", F.lit("")), F.col("keywords"), F.lit(True))).alias("hits"))
+    hit = hit & ((F.col("kind") == "forbidden") | enough(F.col("qty"), F.col("name"), F.coalesce("qty_min", F.lit(1))))
+    named = F.when(hit & (F.col("kind") == "forbidden"), F.concat(F.col("label"), F.lit(" → "), F.substring("name", 1, 40)))
+    on_items = on_items.groupBy("__row", "case", "kind", "label").agg(F.count_if(hit).alias("hits"), F.collect_list(named).alias("names"))
+    on_text = each.where("kind in ('must', 'should')").join(responses, "case", "left")
+    on_text = on_text.groupBy("__row", "case", "kind", "label").agg(F.count_if(has_keywords(F.coalesce("text", F.lit("")), F.col("keywords"), F.lit(True))).alias("hits"), F.array().cast("array<string>").alias("names"))
     both = on_items.unionByName(on_text).withColumn("bad", F.when(F.col("kind") == "forbidden", F.col("hits") > 0).otherwise(F.col("hits") == 0))
-    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.concat_ws(": ", "kind", "label"))))
+    own = F.when(F.col("kind") == "forbidden", F.col("names")).otherwise(F.array("label"))
+    listed = lambda c: F.array_sort(F.flatten(F.collect_list(F.when(c, F.transform(own, lambda x: F.concat(F.col("kind"), F.lit(": "), x))))))
     failed = F.col("bad") & (F.col("kind") != "should")
-    return both.groupBy("case").agg(
+    met, wanted = F.count_if(~F.col("bad") & (F.col("kind") == "required")), F.count_if(F.col("kind") == "required")
+    judged = both.groupBy("case").agg(
         listed(~F.col("bad") & (F.col("kind") == "required")).alias("passes"), listed(failed).alias("failures"), listed(F.col("bad") & (F.col("kind") == "should")).alias("warnings"),
-        F.concat_ws("/", F.count_if(~F.col("bad") & (F.col("kind") == "required")).cast("string"), F.count_if(F.col("kind") == "required").cast("string")).alias("score"),
-        (F.count_if(failed) == 0).alias("passed"),
+        F.concat(met, F.lit("/"), wanted).alias("required"), (F.count_if(failed) == 0).alias("passed"),
     )
+    score = F.concat("required", F.lit(" required · O행 "), F.coalesce("n_chosen", F.lit(0)), F.lit("/"), F.coalesce("n_rows", F.lit(0)), F.lit("행"))
+    return judged.join(counted, "case", "left").select("case", "passes", "failures", "warnings", score.alias("score"), "passed")
 
 
 def compare_cells(left: DataFrame, right: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -58,7 +67,7 @@ def compare_files(cells: DataFrame, file: str) -> DataFrame:
 
 
 def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct rows of one column with side: left, right or both."""
+    """Distinct rows of one column with side: left, right or both; the last are the intersection."""
     c = left.columns[0]
     a, b = left.distinct().withColumn("l", F.lit(True)), right.toDF(c).distinct().withColumn("r", F.lit(True))
     side = F.when(F.col("l").isNull(), "right").when(F.col("r").isNull(), "left").otherwise("both")

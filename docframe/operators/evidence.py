@@ -1,52 +1,61 @@
-"""Quotes located in their sources: exactly, or with spaces ignored, in the source's coordinates."""
+"""Quotes located in their sources: exactly, or with spaces ignored, in the source's coordinates. Expressions, but for the search of many quotes."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions.compat import SPACE
+from docframe.functions.compat import SPACE, strip
 
 SPAN = "struct<quote:string,offset:bigint,length:bigint,found:boolean>"
+SEED = 24  # characters of a quote, spaces left out, by which documents are looked up
 
 
-def locate_quote(quote: str | None, source: str | None) -> tuple[str, int, int, bool] | None:
-    """(quote, offset, length, found); None for a blank quote, offset -1 where it isn't found."""
-    quote, source = (quote or "").strip(), source or ""
-    if not quote:
-        return None
-    at = source.find(quote)
-    if at >= 0:
-        return quote, at, len(quote), True
-    places = [i for i, c in enumerate(source) if not c.isspace()]
-    bare = "".join(quote.split())
-    at = "".join(source.split()).find(bare)
-    if at < 0:
-        return quote, -1, 0, False
-    begin, end = places[at], places[at + len(bare) - 1] + 1
-    return quote, begin, end - begin, True
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row however often use refers to it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _locate(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
-    found = [locate_quote(q, s) or (None, None, None, None) for q, s in zip(quotes, sources)]
-    return pd.DataFrame(found, columns=["quote", "offset", "length", "found"]).astype({"offset": "Int64", "length": "Int64", "found": "boolean"})
+def bare(c: Column) -> Column:
+    """Without any space."""
+    return F.regexp_replace(c, f"{SPACE}+", "")
 
 
 def locate(quote: Column, source: Column) -> Column:
-    """A struct {quote, offset, length, found} as locate_quote gives; a blank or null quote gives nulls in it."""
-    return F.pandas_udf(_locate, SPAN)(quote, source)
+    """A struct {quote, offset, length, found}: where the stripped quote is first, or else where it is with spaces ignored on both sides.
+
+    A null or blank quote gives nulls; where it isn't found, offset is -1 and
+    length 0. The second search is one expression: the quote's characters with
+    any spaces between them.
+    """
+    between = f"{SPACE}*".replace("\\", "\\\\")
+
+    def with_quote(q: Column) -> Column:
+        exact = F.position(q, source)
+        characters = F.regexp_replace(bare(q), r"(?s)(.)", r"\\Q$1\\E")
+        pattern = F.concat(F.lit("(?s)^(.*?)("), F.regexp_replace(characters, r"\\E\\Q", rf"\\E{between}\\Q"), F.lit(")"))
+        nothing = F.struct(q.alias("quote"), F.lit(-1).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(False).alias("found"))
+        at = lambda offset, length: F.struct(q.alias("quote"), offset.cast("long").alias("offset"), length.cast("long").alias("length"), F.lit(True).alias("found"))
+        loose = once(F.array(*[F.call_function("regexp_extract", source, pattern, F.lit(i)) for i in (1, 2)]), lambda m: F.when(m[1] == "", nothing).otherwise(at(F.length(m[0]), F.length(m[1]))))
+        loose = F.when(F.contains(bare(source), bare(q)), loose).otherwise(nothing)
+        return F.when(q == "", F.lit(None).cast(SPAN)).when(exact > 0, at(exact - 1, F.length(q))).otherwise(F.when(source.isNull(), nothing).otherwise(loose))
 
+    empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("quote", "string"), ("offset", "bigint"), ("length", "bigint"), ("found", "boolean"))])
+    return F.coalesce(once(strip(F.coalesce(quote, F.lit(""))), with_quote), empty)
 
-def occurs(quote: Column, source: Column) -> Column:
-    """Whether locate would find the quote."""
-    bare = lambda c: F.regexp_replace(c, f"{SPACE}+", "")
-    return (F.length(bare(quote)) > 0) & F.contains(bare(source), bare(quote))
+
+def occurs(quote: Column, squeezed: Column) -> Column:
+    """Whether locate would find the quote in a source, given without its spaces."""
+    return (F.length(bare(quote)) > 0) & F.contains(squeezed, bare(quote))
 
 
 def surviving_quotes(quotes: Column, source: Column) -> Column:
     """The entries of a map whose value occurs in the source, values as they are."""
-    return F.map_filter(quotes, lambda _, v: F.coalesce(occurs(v, source), F.lit(False)))
+    return once(bare(source), lambda s: F.map_filter(quotes, lambda _, v: F.coalesce(occurs(v, s), F.lit(False))))
 
 
 def excerpt(text: Column, begin: Column, length: Column, radius: int = 140) -> Column:
@@ -62,11 +71,73 @@ def joined_source(chunks: DataFrame, key: str, order: str) -> DataFrame:
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n---\n").alias("text"))
 
 
-def attach_evidence(items: DataFrame, quote: str = "evidence", source: str = "text") -> DataFrame:
-    """items with evidence_span; what isn't found stays, marked so."""
-    return items.withColumn("evidence_span", locate(F.col(quote), F.col(source)))
+def attach_evidence(items: DataFrame, quote: str = "evidence", source: str = "text", children: str = "children") -> DataFrame:
+    """items with evidence_span, and each of their children with its own; what isn't found stays, marked so."""
+    out = items.withColumn("evidence_span", locate(F.col(quote), F.col(source)))
+    if children in items.columns:
+        out = out.withColumn(children, F.transform(children, lambda c: c.withField("evidence_span", locate(c[quote], F.col(source)))))
+    return out
 
 
 def evidence_rate(items: DataFrame) -> DataFrame:
     return items.agg(F.count_if(F.col("evidence_span.found")).alias("found"), F.count("evidence_span.quote").alias("quoted"))
 
+
+def seeds(points: np.ndarray) -> np.ndarray:
+    """64-bit hashes of each run of SEED characters."""
+    h = np.zeros(max(0, len(points) - SEED + 1), dtype=np.uint64)
+    for i in range(SEED):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : i + len(h)].astype(np.uint64)
+    return h ^ h >> np.uint64(29)
+
+
+def squeezed_points(text: str | None) -> np.ndarray:
+    return np.frombuffer("".join((text or "").split()).encode("utf-32-le"), dtype=np.uint32)
+
+
+def find_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, key: str = "doc_id", bits: int = 24) -> DataFrame:
+    """(key, quote_key, offset, length) of each quote (quote_key, quote) in each document (key, text) that has it, spaces ignored.
+
+    A quote's first SEED characters are its seed. Documents keep those of their
+    own runs that may be a seed (a bitmap of fixed size says so), quotes and
+    documents meet on the seed, and locate decides. Quotes of fewer characters
+    are padded by nothing and looked for by locate in every document: they must
+    be few enough to broadcast, which is checked (up to 1,000), else an error.
+    """
+    spark = docs.sparkSession
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [seeds(squeezed_points(q.as_py())[:SEED]) for q in batch.column("quote")]
+            yield batch.append_column("seed", pa.array([int(h.view(np.int64)[0]) if len(h) else None for h in first], pa.int64()))
+
+    asked = quotes.select(quote_key, "quote").where(F.length(bare(F.col("quote"))) > 0)
+    asked = asked.mapInArrow(seed, f"`{quote_key}` {quotes.schema[quote_key].dataType.simpleString()}, quote string, seed long")
+    word, bit = F.shiftrightunsigned("seed", 64 - bits + 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))")
+    got = asked.where("seed is not null").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^(bits - 6) rows at most
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column("text")):
+                h = seeds(squeezed_points(text.as_py()))
+                may = shared.value[h >> np.uint64(64 - bits + 6)] >> ((h >> np.uint64(64 - bits)) & np.uint64(63)) & np.uint64(1) == 1
+                own = np.unique(h[may])
+                rows.append(np.full(len(own), i))
+                found.append(own)
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(found).view(np.int64))], [key, "seed"])
+
+    texts = docs.select(key, "text")
+    pairs = texts.mapInArrow(kept, f"`{key}` {docs.schema[key].dataType.simpleString()}, seed long").join(asked, "seed").select(key, quote_key, "quote")
+    met = pairs.join(texts, key)
+    short = asked.where("seed is null")
+    n_short = short.count()
+    if n_short > 1000:
+        raise ValueError("over 1,000 quotes are too short to look up")
+    if n_short:
+        met = met.unionByName(texts.join(F.broadcast(short), F.contains(bare(F.col("text")), bare(F.col("quote")))).select(*met.columns))
+    return met.withColumn("span", locate(F.col("quote"), F.col("text"))).where("span.found").select(key, quote_key, "span.offset", "span.length")

@@ -8,12 +8,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docframe.operators.evidence import locate, surviving_quotes
+from docframe.functions.compat import strip
+from docframe.operators.evidence import attach_evidence, surviving_quotes
 from docframe.operators.hardware import flag_value, reconcile_name
 from docframe.operators.opportunity import salvage_object
 from docframe.operators.records import classify_failure
+from docframe.operators.rendering import render_notices
 
+#: The version of the summary prompt.
 PROMPT_VERSION = "notice-summary-2026-08-28-v3"
 Client = Callable[[str], str]
 
@@ -42,6 +46,8 @@ def chat(client: Client) -> Callable[[Column], Column]:
                 return None, "LLM_TIMEOUT"
             except OSError:
                 return None, "LLM_UNAVAILABLE"
+            except Exception:  # noqa: BLE001 - a row that fails is data
+                return None, "INTERNAL"
             return (text, None) if text and text.strip() else (None, "LLM_MALFORMED")
 
         for prompts in batches:
@@ -50,23 +56,62 @@ def chat(client: Client) -> Callable[[Column], Column]:
     return ask
 
 
-def summarize(prompts: DataFrame, client: Client, model: str) -> DataFrame:
-    """prompts (notice_no, prompt) with summary, prompt_version, llm_model and failure."""
-    asked = prompts.withColumn("__a", chat(client)(F.col("prompt")))
-    return asked.select("notice_no", F.btrim("__a.text").alias("summary"), F.lit(PROMPT_VERSION).alias("prompt_version"), F.lit(model).alias("llm_model"), F.when(F.col("__a.error").isNotNull(), classify_failure(F.col("__a.error"))).alias("failure"))
+def summarize(notices: DataFrame, client: Client, model: str, budget: int | None = None, documents: DataFrame | None = None, version: str = PROMPT_VERSION) -> DataFrame:
+    """(notice_no, summary, prompt_version, llm_model, failure) of each notice.
+
+    notices: notice_no, prompt; or, with documents (see render_notices),
+    notice_no, title, agency, amount, whose prompts are rendered within budget.
+    A notice with neither title nor number isn't asked for: BAD_REQUEST.
+    """
+    if documents is not None:
+        known = F.coalesce(F.nullif("title", F.lit("")), F.nullif(F.col("notice_no").cast("string"), F.lit(""))).isNotNull()
+        prompts = render_notices(notices, documents, budget)
+        notices = prompts.join(notices.select("notice_no", known.alias("known")), "notice_no").select("notice_no", F.when(F.col("known"), F.col("prompt")).alias("prompt"))
+    asked = notices.withColumn("__a", chat(client)(F.col("prompt")))
+    failed = F.col("__a.error").isNotNull()
+    return asked.select("notice_no", strip(F.col("__a.text")).alias("summary"), F.when(~failed, F.lit(version)).alias("prompt_version"), F.when(~failed, F.lit(model)).alias("llm_model"), F.when(failed, classify_failure(F.col("__a.error"))).alias("failure"))
 
 
 CONSTRAINT = "struct<attr:string,op:string,value:string,unit:string,raw:string>"
-ITEM = f"struct<category:string,name:string,named:boolean,qty:bigint,unit:string,constraints:array<{CONSTRAINT}>,allow_equivalent:boolean,evidence:string>"
+PART = f"category:string,name:string,named:boolean,qty:bigint,unit:string,constraints:array<{CONSTRAINT}>,allow_equivalent:boolean,evidence:string"
+ITEM = f"struct<{PART},prebuilt:boolean,children:array<struct<{PART}>>,notes:array<string>>"
+
+
+def tidy(part: Column) -> Column:
+    """An item or a child with flags folded, its name reconciled, and a quantity of 1 at least."""
+    name, named = reconcile_name(part["name"], part["named"])
+    folded = F.transform(part["constraints"], lambda c: c.withField("value", flag_value(c["attr"], c["value"])))
+    return part.withField("name", name).withField("named", named).withField("constraints", folded).withField("qty", F.greatest(F.lit(1), F.coalesce(part["qty"], F.lit(1))))
 
 
 def extract_requirements(texts: DataFrame, client: Client, key: str = "doc_id") -> DataFrame:
-    """A row for each item that the model finds in (key, text): its fields, flags folded, names reconciled, evidence located."""
+    """A row for each item that the model finds in (key, text): its fields and children tidied, evidence of both located."""
     asked = texts.withColumn("__a", chat(client)(F.col("text")))
-    items = asked.select(key, "text", F.explode(salvage_object(F.col("__a.text"), f"struct<items:array<{ITEM}>>")["items"]).alias("i")).select(key, "text", "i.*")
-    name, named = reconcile_name(F.col("name"), F.col("named"))
-    folded = F.transform("constraints", lambda c: c.withField("value", flag_value(c["attr"], c["value"])))
-    return items.withColumns({"name": name, "named": named, "constraints": folded, "evidence_span": locate(F.col("evidence"), F.col("text"))}).drop("text")
+    items = asked.select(key, "text", F.explode(salvage_object(F.col("__a.text"), f"struct<items:array<{ITEM}>>")["items"]).alias("i"))
+    tidied = items.withColumn("i", tidy(F.col("i"))).withColumn("i", F.col("i").withField("children", F.transform(F.col("i.children"), tidy)))
+    return attach_evidence(tidied.select(key, "text", "i.*")).drop("text")
+
+
+def response_schema(schema: T.StructType, server_filled: tuple[str, ...] = ("evidence_span",)) -> T.StructType:
+    """The schema that a model is asked for: without the fields, at any depth, that are filled in afterwards."""
+
+    def pruned(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, pruned(f.dataType), f.nullable) for f in kind if f.name not in server_filled])
+        return T.ArrayType(pruned(kind.elementType), kind.containsNull) if isinstance(kind, T.ArrayType) else kind
+
+    return pruned(schema)
+
+
+def constrained(client: Callable[[str, str], str], schema: T.StructType) -> Client:
+    """A client of prompts from one that takes a prompt and a JSON text of the schema to answer in; what it answers is still parsed and checked."""
+    wanted = response_schema(schema).json()
+    return lambda prompt: client(prompt, wanted)
+
+
+def dump_responses(prompts: DataFrame, client: Client, path: str, key: str) -> None:
+    """The client's raw answers to (key, prompt) as JSON lines."""
+    prompts.withColumn("answer", chat(client)(F.col("prompt"))).select(key, "answer.text", "answer.error").write.mode("overwrite").json(path)
 
 
 def extract_datasheet(texts: DataFrame, client: Client, schema: str, key: str = "doc_id") -> DataFrame:

@@ -69,6 +69,13 @@ def sufficient(columns: list[str]) -> Column:
     return F.exists(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x)
 
 
+def extractions(rows: DataFrame, cpu: str = "cpu", gpu: str = "gpu", ignored: tuple[str, ...] = ("name", "quotes")) -> tuple[DataFrame, DataFrame]:
+    """(rows with is_sufficient_data, rows without a product): structs cpu and gpu, of which one at least must be there; sufficient if a field but the ignored ones is."""
+    filled = [F.col(f"{c}.{f.name}") for c in (cpu, gpu) for f in rows.schema[c].dataType if f.name not in ignored]
+    neither = F.col(cpu).isNull() & F.col(gpu).isNull()
+    return rows.where(~neither).withColumn("is_sufficient_data", F.exists(F.array(*[c.isNotNull() for c in filled]), lambda x: x)), rows.where(neither)
+
+
 def stray_attributes(constraints: DataFrame) -> DataFrame:
     """constraints (category, attr) whose attribute isn't one of the category's."""
     allowed = F.create_map(*[x for c, attrs in CATEGORY_ATTRS.items() for x in (F.lit(c), F.array(*map(F.lit, attrs)).cast("array<string>"))])

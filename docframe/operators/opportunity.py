@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.functions.compat import share, strip
 
@@ -17,24 +20,30 @@ VERDICT = "struct<work_kind:string,subsidiary:string,product:string,fit:string,r
 
 
 def assign_batches(rows: DataFrame, order: list[str], size: int = BATCH, buckets: int = 64) -> DataFrame:
-    """rows with position (from 0 in order), batch and slot (from 1).
+    """rows with position (from 0 in order), batch and slot (from 1); rows of equal order come by a hash of all their columns.
 
-    Positions come from counts of ranges of the order: a range partition ranks
-    its own rows, and adds the rows of the ranges before it.
+    Ranges of the order are bounded by keys of a sample of the rows' hashes: a
+    row's range follows from the row alone, however its plan is read. Each
+    range ranks its own rows and adds the rows of the ranges before it.
     """
-    ranged = rows.repartitionByRange(buckets, *order).withColumn("__range", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("__range").agg(F.max("__n").alias("__held")).withColumn("__start", F.coalesce(F.sum("__held").over(before), F.lit(0))).drop("__held")
-    placed = ranged.join(F.broadcast(starts), "__range")  # a row for each range
+    key = F.struct(*order, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("__h"))
+    sample = sorted((r["k"] for r in rows.select(key.alias("k")).orderBy(F.xxhash64("k.__h", F.lit(1))).limit(16 * buckets).collect()), key=lambda k: [(x is not None, x) for x in k])
+    kinds = rows.select(key.alias("k")).schema["k"].dataType
+    spark = rows.sparkSession
+    bounds = [sample[i] for i in range(16, len(sample), 16)]  # fewer than buckets
+    held = spark.createDataFrame([(bounds,)], T.StructType([T.StructField("__bounds", T.ArrayType(kinds))]))
+    ranged = rows.crossJoin(F.broadcast(held)).withColumn("__k", key)
+    ranged = ranged.withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__k")))).drop("__bounds")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("__held")).withColumn("__start", F.coalesce(F.sum("__held").over(before), F.lit(0))).drop("__held")
+    placed = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy("__k"))).join(F.broadcast(starts), "__range")
     position = (F.col("__start") + F.col("__n") - 1).cast("long")
-    return placed.withColumn("position", position).withColumn("batch", F.floor(F.col("position") / size)).withColumn("slot", (F.col("position") % size + 1).cast("long")).drop("__range", "__n", "__start")
+    return placed.withColumn("position", position).withColumn("batch", F.floor(F.col("position") / size)).withColumn("slot", (F.col("position") % size + 1).cast("long")).drop("__range", "__n", "__start", "__k")
 
 
 def salvage_array(text: Column, schema: str) -> Column:
     """The objects of the JSON array between the first [ and the last ]; no array, or a broken one, is empty."""
-    bare = F.regexp_replace(text, r"(?m)^```(json)?|```$", "")
-    body = F.nullif(F.regexp_substr(bare, F.lit(r"(?s)\[.*\]")), F.lit(""))
+    body = F.nullif(F.regexp_substr(text, F.lit(r"(?s)\[.*\]")), F.lit(""))
     objects = F.filter(F.from_json(body, "array<string>"), lambda x: x.startswith("{"))  # elements of other kinds go
     return F.coalesce(F.transform(objects, lambda x: F.from_json(x, schema)), F.array().cast(f"array<{schema}>"))
 
@@ -53,14 +62,60 @@ def narrow(work_kind: Column, subsidiary: Column, product: Column, fit: Column,
 
 
 def place_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """rows (batch, slot) with verdict, from answers (batch, slot, turn, verdict): slots outside their batch are ignored, the last duplicate wins."""
-    last = answers.where("verdict is not null").groupBy("batch", "slot").agg(F.max_by("verdict", "turn").alias("verdict"))
+    """rows (batch, slot) with verdict, from answers (batch, slot, turn, verdict, and place, if there is one, within the answer): slots outside their batch are ignored, the last duplicate wins."""
+    turn = F.struct("turn", "place") if "place" in answers.columns else F.col("turn")
+    last = answers.where("verdict is not null").groupBy("batch", "slot").agg(F.max_by("verdict", turn).alias("verdict"))
     return rows.join(last, ["batch", "slot"], "left")
 
 
-def holes(rows: DataFrame) -> DataFrame:
+def holes(rows: DataFrame, order: str = "row_id") -> DataFrame:
     """Rows without a verdict, regrouped by RETRY in their order."""
-    return assign_batches(rows.where("verdict is null").drop("batch", "slot", "position"), ["row_id"], RETRY)
+    return assign_batches(rows.where("verdict is null").drop("batch", "slot", "position", "verdict"), [order], RETRY)
+
+
+ANSWER = "struct<i:bigint,work_kind:string,subsidiary:string,product:string,fit:string,reason:string>"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df with its rows fixed: model answers must not be asked for twice. A checkpoint where the session has a folder for it, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def ask_batches(rows: DataFrame, line: Column, ask: Callable[[Column], Column], heading: str, **sets) -> tuple[DataFrame, DataFrame]:
+    """(answers, calls) of rows (batch, slot): a prompt for each batch, the heading and its rows' lines; answers: batch, slot, turn, place, verdict, known; calls: batch, error."""
+    lines = F.array_sort(F.collect_list(F.struct("slot", line.alias("line"))))
+    prompts = rows.groupBy("batch").agg(F.concat(F.lit(heading), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("prompt"), F.count("*").alias("n"))
+    calls = kept(prompts.select("batch", "n", ask(F.col("prompt")).alias("a")))
+    found = calls.select("batch", "n", F.posexplode(salvage_array(F.col("a.text"), ANSWER)).alias("place", "x")).where("x.i between 1 and n")
+    verdict = narrow(*[F.col(f"x.{c}") for c in ("work_kind", "subsidiary", "product", "fit", "reason")], **sets)
+    return found.select("batch", F.col("x.i").alias("slot"), F.lit(1).alias("turn"), "place", verdict.alias("verdict")), calls.select("batch", F.col("a.error").alias("error"))
+
+
+def classify(rows: DataFrame, order: str, line: Callable[[Column], Column], ask: Callable[[Column], Column], heading: str = "", **sets) -> tuple[DataFrame, DataFrame]:
+    """(results, stats): rows with verdict in input order (position), those that a batch left out asked for once more in smaller batches.
+
+    order: a column that is unique. line: a row's line in a prompt, from its
+    number. ask: a column of prompts to {text, error}; a call that fails leaves
+    its rows as holes. sets: the closed value sets of narrow. stats, one row:
+    total, calls (of the first turn), retried and recovered rows, rejected
+    answers, missing rows, failed_batches. Empty rows: nothing is asked.
+    """
+    first = kept(assign_batches(rows, [order]))
+    answers, calls = ask_batches(first, line(F.col("slot")), ask, heading, **sets)
+    placed = kept(place_answers(first, answers))
+    gaps = kept(holes(placed, order))
+    more, retries = ask_batches(gaps, line(F.col("slot")), ask, heading, **sets)
+    filled = kept(place_answers(gaps, more).select(order, F.col("verdict").alias("__again")))
+    results = placed.join(filled, order, "left").withColumn("verdict", F.coalesce("verdict", "__again")).drop("__again", "batch", "slot")
+    n = lambda df, c, name: df.agg(F.count_if(c).alias(name))
+    stats = results.agg(F.count("*").alias("total"), F.count_if(F.col("verdict").isNull()).alias("missing"))
+    yes = F.lit(True)
+    for one in (
+        n(calls, yes, "calls"), n(gaps, yes, "retried"), n(filled, F.col("__again").isNotNull(), "recovered"), n(answers.unionByName(more), F.col("verdict").isNull(), "rejected"),
+        n(calls.unionByName(retries), F.col("error").isNotNull(), "failed_batches"),
+    ):
+        stats = stats.crossJoin(one)  # one row each
+    return results, stats
 
 
 def row_verdict(truth: Column, predicted: Column, assigned, unassigned: str = UNASSIGNED) -> Column:

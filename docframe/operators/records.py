@@ -28,11 +28,39 @@ def classify_failure(code: Column) -> Column:
     return F.coalesce(F.try_element_at(specs, code), F.element_at(specs, F.lit("INTERNAL")))
 
 
+def failure_body(code: Column, extra: Column, request_id: Column, retry_after_ms: Column) -> Column:
+    """A failure's answer as a map of texts: extras that aren't null or empty, the core fields over them, retryAfterMs only where there is one."""
+    f = classify_failure(code)
+    core = F.create_map(F.lit("code"), f["code"], F.lit("error"), f["message"], F.lit("retryable"), f["retryable"].cast("string"), F.lit("requestId"), request_id)
+    own = F.map_filter(F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & (v != "") & ~k.isin("code", "error", "retryable", "requestId"))
+    wait = F.map_filter(F.create_map(F.lit("retryAfterMs"), retry_after_ms.cast("string")), lambda _, v: v.isNotNull())
+    return F.map_concat(F.map_filter(own, lambda k, _: k != "retryAfterMs"), core, wait)
+
+
+def request_id(body: Column, state: Column, header: Column) -> Column:
+    """The first that isn't empty of the body's, the state's and the header's, else a new one."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (body, state, header)], F.uuid())
+
+
+def project_notices(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Notices by the names of their fields upstream (new name to old): missing or null text is '', a missing price null."""
+    price = {"price"}
+    have = {c: F.col(f"`{c}`") for c in rows.columns}
+    text = lambda old: F.coalesce(have[old].cast("string"), F.lit("")) if old in have else F.lit("")
+    money = lambda old: have[old].try_cast("long") if old in have else F.lit(None).cast("long")
+    return rows.select(*[(money(old) if new in price else text(old)).alias(new) for new, old in names.items()])
+
+
 def first_set(*values: Column) -> Column:
     """The first value that isn't blank, without a slash at its end."""
     return F.regexp_replace(F.coalesce(*[blank_to_null(v) for v in values]), "/+$", "")
 
 
+def key_set(secret: Column) -> Column:
+    """Whether a secret is set: what masked shows isn't empty."""
+    return F.length(F.coalesce(blank_to_null(secret), F.lit(""))) > 0
+
+
 def masked(secret: Column) -> Column:
     """The last four characters after four dots; blank stays blank."""
     return F.when(F.length(F.coalesce(blank_to_null(secret), F.lit(""))) == 0, "").otherwise(F.concat(F.lit("••••"), F.right(secret, F.lit(4))))

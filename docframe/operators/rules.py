@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +42,41 @@ def scan_rules(docs: DataFrame, rules: list[tuple[str, str, str, str]] = RISK_RU
     )
 
 
-def review(docs: DataFrame, law_text: Column, rules=RISK_RULES, key: str = "doc_id") -> DataFrame:
-    """Findings with their law bases and whether a law search found something to cite."""
-    bases = F.array(*[F.struct(F.lit(a).alias("law"), F.lit(b).alias("article"), F.lit(c).alias("heading"), F.lit(d).alias("url")) for a, b, c, d in LAW_BASES])
-    return scan_rules(docs, rules, key).withColumn("bases", bases).withColumn("verified", ~F.contains(law_text, F.lit(NOT_FOUND)))
+#: The parts of a review that don't depend on its text.
+CATEGORY, SEVERITY, REVIEW, NOTHING = "competition_or_unfair_term", "high", "review_needed", "no_finding"
+FOUND_TEXT, NOTHING_TEXT = "개 위험 신호를 찾았습니다.", "등록된 경쟁 제한·부당특약 위험 신호를 찾지 못했습니다."
+CONTEXT = 500
+
+
+def review(docs: DataFrame, law_text: Column, context: Column | None = None, rules=RISK_RULES, key: str = "doc_id") -> DataFrame:
+    """(key, verdict, summary, findings, citations, context) of each document, in one pass.
+
+    findings: an array of id, title, category, severity, verdict, reason,
+    offset, length, excerpt and basis, the law bases, each verified if a law
+    search (law_text) found something to cite. citations: the same bases.
+    context: its first CONTEXT characters.
+    """
+    verified = F.coalesce(~F.contains(law_text, F.lit(NOT_FOUND)), F.lit(False))
+    bases = F.array(*[F.struct(F.lit(a).alias("law"), F.lit(b).alias("article"), F.lit(c).alias("heading"), F.lit(d).alias("url"), verified.alias("verified")) for a, b, c, d in LAW_BASES])
+    held = F.array(*[F.struct(F.lit(name).alias("id"), F.lit(title).alias("title"), F.regexp_substr("text", F.lit(f"(?is){pattern}")).alias("matched"), F.lit(reason).alias("reason")) for name, title, pattern, reason in rules])
+
+    def finding(x: Column) -> Column:
+        offset, length = F.position(x["matched"], F.col("text")) - 1, F.length(x["matched"])
+        fixed = [F.lit(v).alias(k) for k, v in (("category", CATEGORY), ("severity", SEVERITY), ("verdict", REVIEW))]
+        return F.struct(x["id"].alias("id"), x["title"].alias("title"), *fixed, x["reason"].alias("reason"), offset.cast("long").alias("offset"), length.cast("long").alias("length"), excerpt(F.col("text"), offset, length).alias("excerpt"), bases.alias("basis"))
+
+    found = docs.withColumn("__found", F.filter(held, lambda x: x["matched"].isNotNull() & (x["matched"] != "")))
+    n = F.size("__found")
+    return found.select(
+        key, F.when(n > 0, REVIEW).otherwise(NOTHING).alias("verdict"), F.when(n > 0, F.concat(n, F.lit(FOUND_TEXT))).otherwise(NOTHING_TEXT).alias("summary"),
+        F.transform("__found", finding).alias("findings"), bases.alias("citations"), F.substring(F.lit("") if context is None else context, 1, CONTEXT).alias("context"),
+    )
+
+
+def first_of_sources(sources: list[DataFrame], key: Column, order: list[str], limit: int) -> DataFrame:
+    """first_of_each over the sources one after the other, numbered by source from 0: a later source's rows come after all of an earlier one's."""
+    rows = reduce(DataFrame.unionByName, [df.withColumn("source_no", F.lit(i)) for i, df in enumerate(sources)])
+    return first_of_each(rows, key, ["source_no", *order], limit)
 
 
 def first_of_each(rows: DataFrame, key: Column, order: list[str], limit: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.operators.chunking import chunk_documents
+from docframe.operators.chunking import check_request, chunk_documents
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -67,20 +67,49 @@ def top_k_each(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
     return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") >= min_score)).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
-def search_documents(notices: DataFrame, documents: DataFrame, query: str, encoder: HashedEncoder, top_k: int, min_score: float, scanned: int | None = 200, examined: int | None = 50, least_chars: int = 50) -> DataFrame:
-    """The notices whose text is nearest to the query: (notice_id, score, spec_text) by score, then place.
+def embed(texts: DataFrame, encoder: Encoder, column: str = "text") -> DataFrame:
+    """texts with vector, model and dim."""
+    return texts.withColumn("vector", encode(encoder)(F.col(column))).withColumn("model", F.lit(encoder.name)).withColumn("dim", F.size("vector"))
+
+
+def embed_documents(docs: DataFrame, encoder: Encoder, size: int = 700, overlap: int = 120, key: str = "doc_id") -> DataFrame:
+    """(key, offset, length, text, vector, model, dim) of each chunk; size and overlap within the bounds of a request."""
+    check_request(size, overlap)
+    return embed(chunk_documents(docs, size, overlap, key), encoder)
+
+
+def search_within(docs: DataFrame, query: str, encoder: Encoder, k: int = 5, min_score: float = 0.0, size: int = 700, overlap: int = 120, key: str = "doc_id") -> DataFrame:
+    """(key, n_chunks, rank, offset, length, score): each document's k nearest chunks to the query, of those the ones of min_score at least; ties to the earlier.
+
+    k is held to 1 to 50, min_score to -1 to 1. A blank query finds nothing. Each
+    task keeps k chunks of a document before they are ranked together.
+    """
+    k, min_score = min(50, max(1, k)), min(1.0, max(-1.0, min_score))
+    chunks = embed_documents(docs, encoder, size, overlap, key)
+    wanted = F.array(*[F.lit(float(x)) for x in encoder([query])[0]])
+    scored = chunks.select(key, "offset", "length", similarity(F.col("vector"), wanted).alias("score"))
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "offset")
+    ranked = scored.withColumn("n_chunks", F.count("*").over(Window.partitionBy(key))).withColumn("rank", F.row_number().over(best))
+    found = ranked.where((F.col("rank") <= k) & (F.col("score") >= min_score) & F.lit(bool(query.strip())))
+    return found.select(key, "n_chunks", F.col("rank").cast("long").alias("rank"), "offset", "length", "score")
+
+
+def search_documents(notices: DataFrame, documents: DataFrame, query: str, encoder: Encoder, top_k: int, min_score: float, scanned: int | None = 200, examined: int | None = 50, least_chars: int = 50) -> DataFrame:
+    """The notices whose text is nearest to the query: notices' columns, score, spec_text, by score, then position; and two counters.
 
     Of the first scanned notices (by position) the first examined are looked
     at; texts of over least_chars characters count, their best chunk scores
-    (at least 0), and the text's first 1000 characters come along. None
-    for scanned or examined: all.
+    (at least 0), and the text's first 1000 characters come along. None for
+    scanned or examined: all. total_notices_searched counts the scanned
+    notices, total_specs_found the texts that count.
     """
     vector = encoder([query])[0]
     wanted = F.array(*[F.lit(float(x)) for x in vector])
-    first = notices
-    for most in (scanned, examined):
-        first = first if most is None else first.orderBy("position").limit(most)
-    texts = first.join(documents, "notice_id", "left").where(F.length(F.coalesce("text", F.lit(""))) > least_chars)
+    listed = notices if scanned is None else notices.orderBy("position").limit(scanned)
+    first = listed if examined is None else listed.orderBy("position").limit(examined)
+    texts = first.join(documents.select("notice_id", "text"), "notice_id", "left").where(F.length(F.coalesce("text", F.lit(""))) > least_chars)
     chunks = chunk_documents(texts.select("notice_id", "text"), key="notice_id").withColumn("v", encode(encoder)(F.col("text")))
     best = chunks.groupBy("notice_id").agg(F.greatest(F.lit(0.0), F.max(similarity(F.col("v"), wanted))).alias("score")).where(F.col("score") >= min_score)
-    return texts.join(best, "notice_id").orderBy(F.desc("score"), "position").limit(top_k).select("notice_id", "score", F.substring("text", 1, 1000).alias("spec_text"))
+    found = texts.join(best, "notice_id").orderBy(F.desc("score"), "position").limit(top_k)
+    counters = listed.agg(F.count("*").alias("total_notices_searched")).crossJoin(texts.agg(F.count("*").alias("total_specs_found")))  # one row
+    return found.crossJoin(F.broadcast(counters)).select(*notices.columns, "score", F.substring("text", 1, 1000).alias("spec_text"), "total_notices_searched", "total_specs_found")

@@ -6,10 +6,12 @@ attachments, catalogues and runs, with patterns in their own languages.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.functions.compat import strip, whole_number
+from docframe.functions.compat import whole_number
 from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, rules, vectors
 from docframe.operators.chunking import chunk_documents as chunks_of
 from docframe.sources.readers import notices, table, with_fallback
@@ -69,23 +71,26 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k} AND score >=
 """
 
 
-@query(NEAREST_SQL.format(which="q.vec_id = 0", k=10, least=0.0))
+EVERY = "q.vec_id % 20 = 0"
+
+
+@query(NEAREST_SQL.format(which=EVERY, k=10, least=0.0))
 def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings")
-    return vectors.top_k_each(v.where("vec_id = 0"), v, 10, 0.0)
+    return vectors.top_k_each(v.where("vec_id % 20 = 0"), v, 10, 0.0)
 
 
-@query(NEAREST_SQL.format(which="q.vec_id < 20", k=5, least=0.05))
+@query(NEAREST_SQL.format(which=EVERY, k=5, least=0.05))
 def vector_topk_per_query(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "embeddings")
-    return vectors.top_k_each(v.where("vec_id < 20"), v, 5, 0.05)
+    return vectors.top_k_each(v.where("vec_id % 20 = 0"), v, 5, 0.05)
 
 
-@query()
+@query(NEAREST_SQL.format(which=EVERY, k=1, least=-1.0))
 def vector_topk_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As vector_topk_per_query, of every vector whose number 20 divides."""
+    """The nearest other vector, whatever its score."""
     v = table(spark, folder, "embeddings")
-    return vectors.top_k_each(v.where("vec_id % 20 = 0"), v, 5, 0.05)
+    return vectors.top_k_each(v.where("vec_id % 20 = 0"), v, 1)
 
 
 @query("SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -95,55 +100,75 @@ def pairwise_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return v.join(after, "vec_id").select("vec_id", vectors.similarity(F.col("embedding"), F.col("next")).alias("score"))
 
 
-SEARCH_SQL = CHUNKS_SQL.replace("FROM documents) WHERE", "FROM documents WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50) AND length(text) > 50) WHERE") + """
+SCORED_SQL = """
 , words AS (SELECT doc_id, "offset", unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM chunks)
 , parts AS (SELECT doc_id, "offset", CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n FROM words GROUP BY ALL)
 , q AS (SELECT CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(['license', 'rights', 'the', 'reserved']) AS w) GROUP BY ALL)
 , norms AS (SELECT doc_id, "offset", sqrt(sum(n * n)) AS norm FROM parts GROUP BY ALL)
 , dots AS (SELECT doc_id, "offset", sum(parts.n * q.n) AS dot FROM parts JOIN q USING (b) GROUP BY ALL)
-, best AS (SELECT doc_id, greatest(0.0, max(round(coalesce(dot, 0) / norm / (SELECT sqrt(sum(n * n)) FROM q), 6))) AS score FROM norms LEFT JOIN dots USING (doc_id, "offset") GROUP BY doc_id)
-SELECT doc_id AS notice_id, score, substr(text, 1, 1000) AS spec_text FROM best JOIN documents USING (doc_id) WHERE score >= 0.1 ORDER BY score DESC, doc_id LIMIT 10
+, scored AS (SELECT doc_id, "offset", length, round(coalesce(dot, 0) / coalesce(norm, 1) / (SELECT sqrt(sum(n * n)) FROM q), 6) AS score FROM chunks LEFT JOIN norms USING (doc_id, "offset") LEFT JOIN dots USING (doc_id, "offset"))
+"""
+FUNNEL_SQL = SCORED_SQL + """
+, best AS (SELECT doc_id, greatest(0.0, max(score)) AS score FROM scored GROUP BY doc_id), seen AS (SELECT doc_id, text FROM documents {first})
+SELECT doc_id AS notice_id, source AS agency, score, substr(d.text, 1, 1000) AS spec_text, (SELECT count(*) FROM (SELECT 1 FROM documents {scanned})) AS total_notices_searched, (SELECT count(*) FROM seen WHERE length(text) > 50) AS total_specs_found
+FROM best JOIN documents d USING (doc_id) WHERE score >= 0.1 ORDER BY score DESC, doc_id LIMIT 10
 """
+QUERY = "license rights the reserved"
+FEW_SQL = CHUNKS_SQL.replace("FROM documents) WHERE", "FROM documents WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50) AND length(text) > 50) WHERE")
+SEARCH_SQL = FEW_SQL + FUNNEL_SQL.format(first="ORDER BY doc_id LIMIT 50", scanned="LIMIT 200")
+ALL_SQL = CHUNKS_SQL.replace("FROM documents) WHERE", "FROM documents WHERE length(text) > 50) WHERE") + FUNNEL_SQL.format(first="", scanned="")
+
+
+def _search(spark: SparkSession, folder: str, **limits) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    listed = docs.select(F.col("doc_id").alias("notice_id"), F.col("doc_id").alias("position"), F.col("source").alias("agency"))
+    return vectors.search_documents(listed, docs.select(F.col("doc_id").alias("notice_id"), "text"), QUERY, vectors.HashedEncoder(), 10, 0.1, **limits).drop("position")
 
 
 @query(SEARCH_SQL)
 def search_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    listed = docs.select(F.col("doc_id").alias("notice_id"), F.col("doc_id").alias("position"))
-    return vectors.search_documents(listed, docs.select(F.col("doc_id").alias("notice_id"), "text"), "license rights the reserved", vectors.HashedEncoder(), 10, 0.1)
+    """The funnel as it is asked for by default: the first 50 of 200 listed notices are looked at."""
+    return _search(spark, folder)
 
 
-@query()
+@query(ALL_SQL)
 def search_all_documents(spark: SparkSession, folder: str) -> DataFrame:
     """As search_documents, over every document."""
-    docs = table(spark, folder, "documents")
-    listed = docs.select(F.col("doc_id").alias("notice_id"), F.col("doc_id").alias("position"))
-    return vectors.search_documents(listed, docs.select(F.col("doc_id").alias("notice_id"), "text"), "license rights the reserved", vectors.HashedEncoder(), 10, 0.1, None, None)
+    return _search(spark, folder, scanned=None, examined=None)
+
+
+@query(CHUNKS_SQL + SCORED_SQL + """
+, ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_chunks, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, "offset") AS rank FROM scored)
+SELECT doc_id, n_chunks, rank, "offset", length, score FROM ranked WHERE rank <= 3 AND score >= 0.05
+""")
+def search_within(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.search_within(table(spark, folder, "documents"), QUERY, vectors.HashedEncoder(), 3, 0.05)
 
 
 @query("""
-SELECT d.doc_id, b.item_id, CAST(strpos(d.text, b.quote) - 1 AS BIGINT) AS "offset", length(b.quote) AS length
-FROM documents d JOIN (SELECT item_id, substr(text, 1, 60) AS quote FROM benchmark) b ON contains(d.text, b.quote) WHERE b.quote = regexp_replace(b.quote, '^%s+|%s+$', '', 'g')
+WITH b AS (SELECT item_id, regexp_replace(text, '^%s+|%s+$', '', 'g') AS quote, regexp_replace(text, '%s+', '', 'g') AS bare FROM benchmark),
+d AS (SELECT doc_id, text, regexp_replace(text, '%s+', '', 'g') AS bare FROM documents),
+m AS (SELECT d.doc_id, b.item_id, d.text, b.quote, strpos(d.text, b.quote) AS exact, strpos(d.bare, b.bare) AS pos, length(b.bare) AS n FROM d JOIN b ON contains(d.bare, b.bare) WHERE b.bare <> ''),
+p AS (SELECT *, list_filter(range(1, length(text) + 1), lambda i: NOT regexp_full_match(string_split(text, '')[i], '%s')) AS places FROM m WHERE exact = 0)
+SELECT doc_id, item_id, CAST(exact - 1 AS BIGINT) AS "offset", length(quote) AS length FROM m WHERE exact > 0
+UNION ALL SELECT doc_id, item_id, CAST(places[pos] - 1 AS BIGINT), places[pos + n - 1] - places[pos] + 1 FROM p
 """.replace("%s", PY_SPACE))
 def locate_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """The opening of each benchmark item, found exactly in documents."""
-    quotes = table(spark, folder, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote")).where(F.col("quote") == strip(F.col("quote")))
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    held = quotes.agg(F.collect_list(F.struct("item_id", "quote")).alias("quotes"))  # a benchmark, small by its kind
-    asked = docs.crossJoin(F.broadcast(held)).select("doc_id", "text", F.inline(F.filter("quotes", lambda q: F.contains(F.col("text"), q["quote"]))))
-    found = asked.withColumn("span", evidence.locate(F.col("quote"), F.col("text")))
-    return found.where("span.found").select("doc_id", "item_id", "span.offset", "span.length")
+    """Each benchmark item, whole, in the documents that hold it, exactly or with spaces ignored."""
+    quotes = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return evidence.find_quotes(quotes, table(spark, folder, "documents"), "item_id")
 
 
 @query("""
-WITH c AS (SELECT doc_id, substr(text, 11, 30) AS a, upper(substr(text, 1, 40)) AS b, text FROM documents)
-SELECT doc_id, k.name AS quote FROM c, (VALUES ('middle'), ('shouted')) k(name)
-WHERE regexp_replace(CASE name WHEN 'middle' THEN a ELSE b END, '%s+', '', 'g') <> ''
-  AND contains(regexp_replace(text, '%s+', '', 'g'), regexp_replace(CASE name WHEN 'middle' THEN a ELSE b END, '%s+', '', 'g'))
+WITH c AS (SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents)
+SELECT doc_id, k.name AS quote FROM c, (VALUES ('first'), ('shouted')) k(name)
+WHERE regexp_replace(CASE name WHEN 'first' THEN lines[1] ELSE upper(lines[-1]) END, '%s+', '', 'g') <> ''
+  AND contains(regexp_replace(text, '%s+', '', 'g'), regexp_replace(CASE name WHEN 'first' THEN lines[1] ELSE upper(lines[-1]) END, '%s+', '', 'g'))
 """.replace("%s", PY_SPACE))
 def surviving_quotes(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    quotes = F.create_map(F.lit("middle"), F.substring("text", 11, 30), F.lit("shouted"), F.upper(F.substring("text", 1, 40)))
+    """Whole lines as quotes: a document's first, and its last in capitals."""
+    docs, lines = table(spark, folder, "documents"), F.split("text", "\n")
+    quotes = F.create_map(F.lit("first"), F.element_at(lines, 1), F.lit("shouted"), F.upper(F.element_at(lines, -1)))
     return docs.select("doc_id", F.explode(F.map_keys(evidence.surviving_quotes(quotes, F.col("text")))).alias("quote"))
 
 
@@ -195,16 +220,66 @@ def classify_batches(spark: SparkSession, folder: str) -> DataFrame:
     return opportunity.assign_batches(table(spark, folder, "documents").select(F.col("doc_id").alias("row_id")), ["row_id"])
 
 
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS position, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 10) AS BIGINT) AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 10 + 1 AS slot, md5(text) AS digest FROM documents")
+def batches_of_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of whole rows: their texts come along."""
+    return opportunity.assign_batches(table(spark, folder, "documents"), ["doc_id"]).select("doc_id", "source", "position", "batch", "slot", F.md5("text").alias("digest"))
+
+
 @query("""
-WITH h AS (SELECT doc_id AS row_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
-SELECT row_id, position, CAST(floor(position / 3) AS BIGINT) AS batch, position % 3 + 1 AS slot FROM h
+WITH h AS (SELECT doc_id AS row_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT row_id, lang, position, CAST(floor(position / 3) AS BIGINT) AS batch, position % 3 + 1 AS slot FROM h
 """)
 def retry_holes(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose place in their batch got no answer, regrouped; an answer is a label."""
-    rows = opportunity.assign_batches(table(spark, folder, "documents").select(F.col("doc_id").alias("row_id")), ["row_id"])
+    rows = opportunity.assign_batches(table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), "lang", "text"), ["row_id"])
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("row_id"), "toxic")
     answers = rows.join(labels, "row_id").select("batch", "slot", F.lit(1).alias("turn"), F.col("toxic").alias("verdict"))
-    return opportunity.holes(opportunity.place_answers(rows, answers)).select("row_id", "position", "batch", "slot")
+    return opportunity.holes(opportunity.place_answers(rows, answers)).select("row_id", "lang", "position", "batch", "slot")
+
+
+def recorded_verdicts(prompt: str) -> str:
+    """A recorded client: of each line it answers with the name's status; in large batches it leaves out P, D is outside the set, and a batch without a line that is O fails."""
+    lines = [line.split(" | ")[0].split(". ") for line in prompt.splitlines()[1:]]
+    if not any(name.startswith("O") for _, name in lines):
+        raise TimeoutError
+    found = [{"i": int(i), "subsidiary": name[:1], "work_kind": name[1:], "product": f" {name} ", "fit": "High", "reason": name * 30} for i, name in lines if len(lines) <= 3 or not name.startswith("P")]
+    return "Here you are:\n" + json.dumps(found)
+
+
+STATUS_SETS = {"subsidiaries": ("O", "F", "P"), "work_kinds": ("1-URGENT", "5-LOW")}
+CLASSIFY_SQL = """
+WITH r AS (SELECT o_orderkey, o_orderstatus AS st, o_orderpriority AS pr, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders),
+b AS (SELECT position // 10 AS batch, bool_or(st = 'O') AS ok, count(*) AS n FROM r GROUP BY ALL),
+f AS (SELECT r.*, b.ok, ok AND (n <= 3 OR st <> 'P') AS one FROM r JOIN b ON b.batch = r.position // 10),
+h AS (SELECT *, (row_number() OVER (ORDER BY position) - 1) // 3 AS rb FROM f WHERE NOT one),
+rb AS (SELECT rb, bool_or(st = 'O') AS ok FROM h GROUP BY rb),
+again AS (SELECT h.o_orderkey, rb.ok FROM h JOIN rb USING (rb))
+"""
+
+
+def _classified(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, folder, "orders").select("o_orderkey", F.concat("o_orderstatus", "o_orderpriority").alias("name"), "o_totalprice")
+    line = lambda slot: rendering.notice_line(slot, F.col("name"), F.lit(""), F.lit(0), F.lit(""), F.lit(""))
+    return opportunity.classify(rows, "o_orderkey", line, generation.chat(recorded_verdicts), "Classify:\n", **STATUS_SETS)
+
+
+@query(CLASSIFY_SQL + """
+SELECT o_orderkey, position, CASE WHEN one OR again.ok THEN st END AS subsidiary, CASE WHEN one OR again.ok THEN CASE WHEN pr IN ('1-URGENT', '5-LOW') THEN pr ELSE '' END END AS work_kind,
+  CASE WHEN one OR again.ok THEN st || pr END AS product, CASE WHEN one OR again.ok THEN substr(repeat(st || pr, 30), 1, 60) END AS reason FROM f LEFT JOIN again USING (o_orderkey)
+""")
+def classify_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches asked for, holes asked for again; the client is recorded, and leaves out, fails and recovers by rule."""
+    found = _classified(spark, folder)[0]
+    return found.select("o_orderkey", "position", *[F.col(f"verdict.{c}").alias(c) for c in ("subsidiary", "work_kind", "product", "reason")])
+
+
+@query(CLASSIFY_SQL + """
+SELECT (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM f LEFT JOIN again USING (o_orderkey) WHERE NOT one AND NOT coalesce(again.ok, false)) AS missing, (SELECT count(*) FROM b) AS calls, (SELECT count(*) FROM h) AS retried,
+  (SELECT count(*) FROM again WHERE ok) AS recovered, 0 AS rejected, (SELECT count(*) FROM b WHERE NOT ok) + (SELECT count(*) FROM rb WHERE NOT ok) AS failed_batches
+""")
+def classify_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _classified(spark, folder)[1]
 
 
 PREDICTIONS_SQL = """
@@ -342,19 +417,43 @@ def flag_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", hardware.flag_value(attr, value).alias("value"), name.alias("name"), named.alias("named"))
 
 
-@query("SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_objects FROM events")
+@query("SELECT event_id, CASE WHEN value < 20 THEN 0 ELSE CAST(floor(value) AS BIGINT) % 4 END AS n_objects FROM events")
 def json_salvage(spark: SparkSession, folder: str) -> DataFrame:
-    noise = F.array(*map(F.lit, ('```json\n[{"i": 1}, {"i": 2}]\n```', "no list here", '[{"i": 1}, ', 'so: [{"i": 7}] and done')))
-    text = F.element_at(noise, (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, folder, "events").select("event_id", F.size(opportunity.salvage_array(text, "struct<i:bigint>")).cast("long").alias("n_objects"))
+    """Arrays of as many copies of props as value says, in a fence, beside elements that aren't objects; of small values the array is broken off."""
+    n = F.pmod(F.floor("value"), F.lit(4)).cast("int")
+    objects = F.array_join(F.concat(F.array_repeat("props", n), F.array(F.lit("7"), F.lit('"x"'))), ", ")
+    text = F.concat(F.lit("```json\n["), objects, F.when(F.col("value") < 20, "").otherwise("]\n``` done"))
+    return table(spark, folder, "events").select("event_id", F.size(opportunity.salvage_array(text, "struct<k:string>")).cast("long").alias("n_objects"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN NULL ELSE NULL END::BIGINT AS n FROM events")
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN CAST(floor(value) AS BIGINT) WHEN value = floor(value) THEN CAST(value AS BIGINT) END AS n FROM events")
 def coerce_integers(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.element_at(F.array(*map(F.lit, (" 8 ", "8.0", "8.5", "eight"))), (F.col("event_id") % 4 + 1).cast("int"))
+    """Numbers as text: those of clicks whole, with a point and a zero, the others as they are."""
+    text = F.when(F.col("event_type") == "click", F.concat(F.lit(" "), F.floor("value").cast("string"), F.lit(".0 "))).otherwise(F.col("value").cast("string"))
     return table(spark, folder, "events").select("event_id", whole_number(text).alias("n"))
 
 
+@query("""
+SELECT p_partkey, attr, value, unit FROM (SELECT p_partkey, 'memory_size_gb' AS attr, CAST(p_size AS VARCHAR) AS value, 'GB' AS unit FROM part UNION ALL SELECT p_partkey, 'memory_type', p_type, NULL FROM part
+  UNION ALL SELECT p_partkey, 'shaders', CASE WHEN p_size % 3 > 0 THEN CAST(p_size * 64 AS VARCHAR) END, NULL FROM part UNION ALL SELECT p_partkey, 'tdp_w', CAST(p_size * 10 AS VARCHAR), 'W' FROM part) WHERE value IS NOT NULL
+""")
+def canonical_gpu_attrs(spark: SparkSession, folder: str) -> DataFrame:
+    size = F.col("p_size")
+    gpus = table(spark, folder, "part").select("p_partkey", size.alias("memory_size"), F.col("p_type").alias("memory_type"), F.when(size % 3 > 0, size * 64).alias("shaders"), (size * 10).alias("tdp"), size.alias("base_clock"))
+    return hardware.canonical_attributes(gpus, "p_partkey", hardware.GPU_ATTRS)
+
+
+@query("""
+WITH f AS (SELECT doc_id, text, list_filter([CASE WHEN regexp_matches(text, '(?is)all\\s+rights.{0,40}reserved') THEN 'rights' END, CASE WHEN regexp_matches(text, '(?is)(licensed|distributed)\\s+under.{0,60}[0-9.]+') THEN 'licence' END, CASE WHEN regexp_matches(text, '(?is)(password|token)\\s*=') THEN 'secret' END], lambda x: x IS NOT NULL) AS ids, lang, source FROM documents)
+SELECT doc_id, CASE WHEN len(ids) > 0 THEN 'review_needed' ELSE 'no_finding' END AS verdict, CASE WHEN len(ids) > 0 THEN len(ids) || '개 위험 신호를 찾았습니다.' ELSE '등록된 경쟁 제한·부당특약 위험 신호를 찾지 못했습니다.' END AS summary,
+  array_to_string(ids, ',') AS ids, coalesce(lang <> 'de', false) AS verified, coalesce(substr(source || text, 1, 500), '') AS context FROM f
+""")
+def law_review(spark: SparkSession, folder: str) -> DataFrame:
+    law_text = F.when(F.col("lang") == "de", "[NOT_FOUND] nothing").when(F.col("lang").isNotNull(), "1. a law")
+    found = rules.review(table(spark, folder, "documents"), law_text, F.coalesce(F.concat("source", "text"), F.lit("")), PLAIN_RULES)
+    return found.select("doc_id", "verdict", "summary", F.array_join("findings.id", ",").alias("ids"), F.col("citations")[0]["verified"].alias("verified"), "context")
+
+
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'LLM_TIMEOUT' ELSE 'INTERNAL' END AS code, CAST(CASE event_id % 3 WHEN 0 THEN 504 ELSE 500 END AS BIGINT) AS status, true AS retryable FROM events")
 def failure_lookup(spark: SparkSession, folder: str) -> DataFrame:
     code = F.element_at(F.array(F.lit("LLM_TIMEOUT"), F.lit("NO_SUCH"), F.lit(None).cast("string")), (F.col("event_id") % 3 + 1).cast("int"))
@@ -401,25 +500,55 @@ def worker_capacity(spark: SparkSession, folder: str) -> DataFrame:
     return records.capacity(table(spark, folder, "supplier").select((F.col("s_acctbal") > 0).alias("healthy"), F.col("s_nationkey").alias("capacity")))
 
 
-@query()
+@query("""
+WITH p AS (SELECT doc_id, '공고번호: ' || doc_id || chr(10) || '공고명: ' || coalesce(nullif(source, ''), '-') || chr(10) || '수요기관: ' || coalesce(nullif(lang, ''), '-') AS h, text FROM documents),
+t AS (SELECT doc_id, h || chr(10) || CASE WHEN 4000 - length(h) <= 0 THEN '' ELSE substr(coalesce(text, ''), 1, CAST(4000 - length(h) AS BIGINT)) END AS t FROM p)
+SELECT CAST(doc_id AS VARCHAR) AS notice_no, CASE WHEN contains(t, 'password') THEN NULL WHEN contains(t, 'rights reserved') THEN 'Reserved.' ELSE 'A notice.' END AS summary, CASE WHEN contains(t, 'password') THEN 'LLM_TIMEOUT' END AS code FROM t
+""")
 def llm_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Summaries by a recorded client; some calls time out."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("notice_no"), F.when(F.col("doc_id") % 10 > 0, F.substring("text", 1, 300)).alias("prompt"))
-    return generation.summarize(docs, generation.ReplayClient({"the": "A notice in English."}, "A notice."), "replay")
+    """Summaries of every document, its prompt rendered within 4,000 characters, by a recorded client that times out on some."""
+    docs = table(spark, folder, "documents").withColumn("notice_no", F.col("doc_id").cast("string"))
+    notices_ = docs.select("notice_no", F.col("source").alias("title"), F.col("lang").alias("agency"), F.lit(None).cast("long").alias("amount"))
+    parts = docs.select("notice_no", F.lit(0).alias("position"), F.lit("text").alias("name"), "text")
+    found = generation.summarize(notices_, recorded_summary, "replay", 4000, parts)
+    return found.select("notice_no", "summary", F.col("failure.code").alias("code"))
+
 
+def recorded_summary(prompt: str) -> str:
+    if "password" in prompt:
+        raise TimeoutError
+    return "Reserved. " if "rights reserved" in prompt else " A notice."
 
-@query()
+
+@query("""
+SELECT doc_id, 'CPU' AS category, CAST(NULL AS VARCHAR) AS name, false AS named, 2 AS qty, 'false' AS flag, strpos(text, 'All rights reserved.') > 0 AS found, CAST(CASE WHEN contains(text, 'All rights reserved.') THEN strpos(text, 'All rights reserved.') - 1 ELSE -1 END AS BIGINT) AS "offset",
+  'fan' AS child, strpos(text, 'reserved') > 0 AS child_found FROM documents WHERE contains(text, 'rights reserved') AND (contains(text, 'All rights reserved.') OR NOT contains(regexp_replace(text, '%s+', '', 'g'), 'Allrightsreserved.'))
+""".replace("%s", PY_SPACE))
 def extract_requirements(spark: SparkSession, folder: str) -> DataFrame:
-    """Items by a recorded client, their evidence located in the documents."""
-    item = {"category": "CPU", "name": " ", "named": True, "qty": 2, "constraints": [{"attr": "ecc", "op": "eq", "value": "미지원", "raw": "x"}], "evidence": "All rights reserved."}
+    """Items and their children by a recorded client, their evidence located in the documents; but for those where it is split by other spaces, which the tests look at."""
+    child = {"name": "fan", "named": True, "evidence": "reserved"}
+    item = {"category": "CPU", "name": " ", "named": True, "qty": 2, "constraints": [{"attr": "ecc", "op": "eq", "value": "미지원", "raw": "x"}], "evidence": "All rights reserved.", "children": [child]}
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return generation.extract_requirements(docs, generation.ReplayClient({"rights reserved": generation.recorded({"items": [item]})}, "{}"))
+    found = generation.extract_requirements(docs, generation.ReplayClient({"rights reserved": generation.recorded({"items": [item]})}, "{}"))
+    one = F.col("children")[0]
+    return found.where("evidence_span.found and evidence_span.length = 20 or not evidence_span.found").select(
+        "doc_id", "category", "name", "named", "qty", F.col("constraints")[0]["value"].alias("flag"), "evidence_span.found", "evidence_span.offset", one["name"].alias("child"), one["evidence_span"]["found"].alias("child_found")
+    )
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, lower(regexp_replace(line, '%s+', '', 'g')) AS line FROM l),
+t AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '%s+', '', 'g')) AS b FROM documents),
+c AS (SELECT doc_id, coalesce(bool_or(contains(line, 'allrights') AND contains(line, 'reserved')), false) AS required, count(*) FILTER (contains(line, 'password=') ) AS forbidden, count(line) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id)
+SELECT doc_id AS "case", CASE WHEN required THEN 1 ELSE 0 END || '/1 required · O행 ' || n || '/' || n || '행' AS score, CAST(CASE WHEN required THEN 0 ELSE 1 END + forbidden + CASE WHEN contains(b, 'licensed') OR contains(b, 'reserved') THEN 0 ELSE 1 END AS INTEGER) AS n_failures,
+  contains(b, 'warranty') = false AS warned, required AND forbidden = 0 AND (contains(b, 'licensed') OR contains(b, 'reserved')) AS passed FROM c JOIN t USING (doc_id)
+""".replace("%s", PY_SPACE))
 def judge_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """The benchmark's first words as expectations of documents that copy them."""
-    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("case"), "text")
-    expected = items.select("case", F.lit("must").alias("kind"), F.array(F.substring("text", 1, 20)).alias("keywords"), F.lit(True).alias("any_of"), F.lit(1).alias("qty_min"), F.lit("opening").alias("label"))
-    chosen = items.select("case", F.substring("text", 1, 10).alias("name"), F.lit("1").alias("qty"), F.lit("O").alias("sel"))
-    return evaluation.judge_cases(expected, chosen, items)
+    """Every document as an answer, its lines as the rows chosen, against one set of expectations."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("case"), "text")
+    rows = [("required", ["All rights", "reserved"], False, "notice"), ("forbidden", ["password ="], False, "secret"), ("must", ["licensed", "Reserved"], True, "terms"), ("should", ["warranty"], True, "warranty")]
+    wanted = F.array(*[F.struct(F.lit(k).alias("kind"), F.array(*map(F.lit, words)).alias("keywords"), F.lit(some).alias("any_of"), F.lit(1).alias("qty_min"), F.lit(label).alias("label")) for k, words, some, label in rows])
+    expected = docs.select("case", F.inline(wanted))
+    chosen = docs.select("case", F.explode(F.split("text", "\n")).alias("name"), F.lit("1").alias("qty"), F.lit("O").alias("sel"))
+    judged = evaluation.judge_cases(expected, chosen, docs)
+    return judged.select("case", "score", F.size("failures").alias("n_failures"), (F.size("warnings") > 0).alias("warned"), "passed")

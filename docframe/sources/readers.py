@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,31 @@ def typed(catalogue: DataFrame, kinds: dict[str, str], required: str = "name") -
     return catalogue.where(~bad).withColumns({c: value(c) for c in have}), catalogue.where(bad)
 
 
+#: The least values of catalogue columns; those not named may be 0, not less.
+LEAST = {"cores": 1, "threads": 1, "memory_channels": 1}
+
+
+def load_specs(catalogue: DataFrame, kinds: dict[str, str], required: str = "name", least: dict[str, int] = LEAST) -> DataFrame:
+    """A catalogue's rows with their types, all or none: a row that lacks the required column, or holds a value of another type or below its least, ends the job when it is read."""
+    rows, bad = typed(catalogue, kinds, required)
+    wrong = bad.select(F.raise_error(F.concat(F.lit("not a product: "), F.to_json(F.struct("*")))).cast("string").alias(required))
+    numbers = [c for c in rows.columns if kinds.get(c) in ("bigint", "double", "int")]
+    low = F.exists(F.array(F.lit(False), *[F.coalesce(F.col(c) < least.get(c, 0), F.lit(False)) for c in numbers]), lambda x: x)
+    checked = rows.withColumn(required, F.when(low, F.raise_error(F.concat(F.lit("out of range: "), F.to_json(F.struct("*")))).cast("string")).otherwise(F.col(required)))
+    return checked.unionByName(wrong, allowMissingColumns=True)
+
+
+def law_nodes(spark: SparkSession, path: str, tag: str, schema: str, display: int = 20, attempts: int = 3) -> DataFrame:
+    """The first display (1 to 100) elements of saved answers of a law search, XML files under path; an empty answer or a page of HTML is an error, after so many attempts to read it."""
+    for left in range(attempts - 1, -1, -1):
+        texts = read_texts(spark, path)
+        if not texts.where((F.btrim("text") == "") | F.contains(F.lower("text"), F.lit("<html"))).limit(1).count():
+            return read_nodes(spark, path, tag, schema).limit(max(1, min(display, 100)))
+        if left:
+            time.sleep(0.25 * 2 ** (attempts - 1 - left))
+    raise OSError(f"no law data in {path}")
+
+
 def notices(rows: DataFrame, first: str, last: str, bid_type: str = "all", keywords: list[str] | None = None) -> DataFrame:
     """Notices of a span of days (YYYY-MM-DD or YYYYMMDD), of a kind of bid, with all keywords in their name; the filters reach the scan."""
     plain = lambda day: day.replace("-", "")

@@ -32,22 +32,45 @@ def test_chunks_are_in_the_documents_coordinates(spark):
         chunk_documents(docs, 0)
 
 
-def test_locate_exact_then_without_spaces_then_not():
-    source = "메모리  64GB\n이상 (ECC)"
-    assert evidence.locate_quote("64GB", source) == ("64GB", 5, 4, True)
-    assert evidence.locate_quote("메모리 64GB 이상", source) == ("메모리 64GB 이상", 0, 12, True)
-    assert evidence.locate_quote("128GB", source) == ("128GB", -1, 0, False)
-    assert evidence.locate_quote(" 　", source) is None and evidence.locate_quote(None, source) is None
-
-
-def test_locate_column_agrees_with_the_function(spark):
+def plain_locate(quote, source):
+    """By the definition: characters that aren't spaces, and where they are."""
+    q = (quote or "").strip()
+    if not q:
+        return None
+    if q in source:
+        return q, source.index(q), len(q), True
+    dense = [(c, i) for i, c in enumerate(source) if not c.isspace()]
+    want = [c for c in q if not c.isspace()]
+    for k in range(len(dense) - len(want) + 1):
+        if [c for c, _ in dense[k : k + len(want)]] == want:
+            first, last = dense[k][1], dense[k + len(want) - 1][1]
+            return q, first, last + 1 - first, True
+    return q, -1, 0, False
+
+
+def test_locate_equals_the_definition(spark):
     r = random.Random(1)
-    rows = [("".join(r.choice("ab 　.*(") for _ in range(r.randint(0, 4))), "".join(r.choice("ab 　.*(\n") for _ in range(30))) for _ in range(200)]
-    got = spark.createDataFrame(rows, "q string, s string").select("q", "s", evidence.locate(F.col("q"), F.col("s")).alias("x"), evidence.occurs(F.col("q"), F.col("s")).alias("o")).collect()
+    letters = ["a", "b", " ", "　", ".", "*", "(", "\\", "E", "Q", "$", "😀", "\x1c", "\n"]
+    rows = [("".join(r.choice(letters) for _ in range(r.randint(0, 4))), "".join(r.choice(letters) for _ in range(40))) for _ in range(600)]
+    rows += [("64GB", "메모리  64GB\n이상 (ECC)"), ("메모리 64GB 이상", "메모리  64GB\n이상 (ECC)"), ("128GB", "메모리"), (" 　", "x"), (None, "x")]
+    got = spark.createDataFrame(rows, "q string, s string").select("q", "s", evidence.locate(F.col("q"), F.col("s")).alias("x"), evidence.occurs(F.col("q"), evidence.bare(F.col("s"))).alias("o")).collect()
+    kinds = set()
     for row in got:
-        want = evidence.locate_quote(row.q, row.s)
-        assert (None if row.x.quote is None else tuple(row.x)) == want
-        assert row.o == bool(want and want[3])
+        want = plain_locate(row.q, row.s)
+        assert (None if row.x.quote is None else tuple(row.x)) == want, (row.q, row.s)
+        assert bool(row.o) == bool(want and want[3])
+        kinds.add(want and (want[3], want[2] == len(want[0])))
+    assert len(kinds) == 4
+    nothing = spark.createDataFrame([("q", None)], "q string, s string").select(evidence.locate(F.col("q"), F.col("s")).alias("x")).first().x
+    assert tuple(nothing) == ("q", -1, 0, False)
+
+
+def test_quotes_found_with_other_spaces(spark):
+    passage = "the quick brown fox jumps over the lazy dog and goes home"
+    docs = spark.createDataFrame([(1, "x " + passage + " y"), (2, "x " + passage.replace(" ", " \n ") + "z"), (3, "nothing"), (4, None), (5, "a short  one")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(10, " " + passage), (11, "short one"), (12, " "), (13, None)], "item long, quote string")
+    got = {(r.doc_id, r.item): (r.offset, r.length) for r in evidence.find_quotes(quotes, docs, "item").collect()}
+    assert got == {(1, 10): (2, len(passage)), (2, 10): (2, len(passage) + 2 * passage.count(" ")), (5, 11): (2, 10)}
 
 
 def test_rendering_edges(spark):
@@ -61,9 +84,16 @@ def test_rendering_edges(spark):
 
 def test_rules_in_their_language(spark):
     docs = spark.createDataFrame([(1, "계약상대자는 타 입찰에\n참가하지 않는다. 일체의 이의를 제기하지 아니한다."), (2, "clean"), (3, None)], "doc_id long, text string")
-    found = rules.review(docs, F.lit("1. 국가계약법")).collect()
-    assert {(r.doc_id, r.rule_id) for r in found} == {(1, "other_bid_ban"), (1, "blanket_waiver")}
-    assert all(r.verified and len(r.bases) == 2 for r in found)
+    found = {r.doc_id: r for r in rules.review(docs, F.lit("1. 국가계약법"), F.lit("c" * 600)).collect()}
+    assert {f.id for f in found[1].findings} == {"other_bid_ban", "blanket_waiver"} and found[1].verdict == "review_needed" and found[1].summary.startswith("2개")
+    assert all(b.verified for f in found[1].findings for b in f.basis) and len(found[1].citations) == 2 and len(found[1].context) == 500
+    assert found[2].verdict == found[3].verdict == "no_finding" and found[2].findings == []
+    assert not rules.review(docs, F.lit("[NOT_FOUND]")).first().citations[0].verified
+
+
+def test_sources_come_one_after_the_other(spark):
+    one, two = spark.createDataFrame([(5, "a"), (6, "b")], "i int, k string"), spark.createDataFrame([(1, "b"), (2, "c")], "i int, k string")
+    assert [(r.source_no, r.i, r.number) for r in rules.first_of_sources([one, two], F.col("k"), ["i"], 3).orderBy("number").collect()] == [(0, 5, 1), (0, 6, 2), (1, 2, 3)]
 
 
 def test_repeats_go_before_the_limit(spark):
@@ -79,6 +109,24 @@ def test_answers_by_slot(spark):
     assert [(r.row_id, r.position) for r in opportunity.holes(placed).orderBy("position").collect()] == [(2, 0), (3, 1)]
 
 
+def test_positions_of_wide_rows(spark):
+    """Over the sample's size, with many columns, and ties."""
+    rows = spark.range(120_000).select((F.col("id") * 7919 % 120_000).alias("row_id"), F.md5(F.col("id").cast("string")).alias("a"), F.repeat(F.lit("x"), 50).alias("text"), (F.col("id") % 3).alias("few")).repartition(7)
+    placed = opportunity.assign_batches(rows, ["row_id"])
+    assert placed.where("position <> row_id or batch <> row_id div 10 or slot <> row_id % 10 + 1").count() == 0 and placed.columns == [*rows.columns, "position", "batch", "slot"]
+    tied = opportunity.assign_batches(rows, ["few"])
+    assert tied.select("position").distinct().count() == 120_000 and [tuple(r) for r in tied.groupBy("few").agg(F.min("position"), F.max("position")).orderBy("few").collect()] == [(0, 0, 39_999), (1, 40_000, 79_999), (2, 80_000, 119_999)]
+    again = opportunity.holes(placed.withColumn("verdict", F.when(F.col("row_id") % 2 == 0, "x")))
+    assert again.where("row_id <> 2 * position + 1").count() == 0
+    assert opportunity.assign_batches(rows.limit(0), ["row_id"]).count() == 0
+
+
+def test_the_last_of_repeated_answers_wins(spark):
+    rows = spark.createDataFrame([(0, 1)], "batch long, slot long")
+    answers = spark.createDataFrame([(0, 1, 1, i, f"v{i}") for i in range(20)], "batch long, slot long, turn int, place int, verdict string").repartition(5)
+    assert opportunity.place_answers(rows, answers).first().verdict == "v19"
+
+
 def test_narrow_and_salvage(spark):
     text = '설명\n```json\n[{"자회사": " 브레인웨어 ", "업무구분": "기타", "fit": "High", "제품": "PC", "근거": "' + "가" * 70 + '"}, 3]\n```'
     schema = "struct<`자회사`:string,`업무구분`:string,fit:string,`제품`:string,`근거`:string>"
@@ -92,11 +140,19 @@ def test_judging_finds_wrong_answers(spark):
     items = lambda name, qty, sel="O": spark.createDataFrame([("c", name, qty, sel)], "case string, name string, qty string, sel string")
     text = spark.createDataFrame([("c", "Warranty 3 years")], "case string, text string")
     good = evaluation.judge_cases(expected, items("ssd 8 TB ×2", None), text).first()
-    assert good.passed and good.score == "1/1" and good.warnings == ["should: note"]
+    assert good.passed and good.score == "1/1 required · O행 1/1행" and good.warnings == ["should: note"]
     for name, qty, sel in (("ssd 8 TB", "1", "O"), ("ssd 8 TB", "2", "X"), ("ssd 8TB HDD", "2", "O")):
         assert not evaluation.judge_cases(expected, items(name, qty, sel), text).first().passed
 
 
+def test_expectations_of_equal_labels_count_each(spark):
+    expected = spark.createDataFrame([("c", "required", [k], False, 1, "same") for k in ("ssd", "ram")] + [("c", "forbidden", ["hdd"], False, 1, "no disks")], "case string, kind string, keywords array<string>, any_of boolean, qty_min int, label string")
+    items = spark.createDataFrame([("c", "SSD", "1", "o"), ("c", "HDD 1", "8.0", "O"), ("c", "HDD 2", "1", "O"), ("c", "RAM", "1", "X")], "case string, name string, qty string, sel string")
+    got = evaluation.judge_cases(expected, items, spark.createDataFrame([("c", "")], "case string, text string")).first()
+    assert got.passes == ["required: same"] and got.failures == ["forbidden: no disks → hdd1", "forbidden: no disks → hdd2", "required: same"] and got.score == "1/2 required · O행 3/4행"
+    assert not spark.range(1).select(evaluation.enough(F.lit("8.0"), F.lit("x"), F.lit(2)).alias("e")).first().e
+
+
 def test_requirements_are_undecided_where_they_must_be(spark):
     have = spark.createDataFrame([("p", "cores", "16"), ("p", "ecc", "true"), ("q", "cores", "8")], "part string, attr string, value string")
     want = spark.createDataFrame([("r", "cores", "gte", "16"), ("r", "ecc", "eq", "true"), ("s", "cores", "approx", "16"), ("t", "cores", "gte", "8"), ("t", "tdp_w", "lte", "65")], "requirement string, attr string, op string, value string")
@@ -118,11 +174,16 @@ def test_clients_fail_by_row(spark):
                 raise TimeoutError
             if "down" in prompt:
                 raise ConnectionError
+            if "odd" in prompt:
+                raise KeyError
             return " " if "empty" in prompt else "fine"
 
-    prompts = spark.createDataFrame([("1", "ok"), ("2", "slow"), ("3", "down"), ("4", "empty"), ("5", None)], "notice_no string, prompt string")
+    prompts = spark.createDataFrame([("1", "ok"), ("2", "slow"), ("3", "down"), ("4", "empty"), ("5", None), ("6", "odd")], "notice_no string, prompt string")
     got = {r.notice_no: (r.summary, r.failure and r.failure.code) for r in generation.summarize(prompts, Client(), "m").collect()}
-    assert got == {"1": ("fine", None), "2": (None, "LLM_TIMEOUT"), "3": (None, "LLM_UNAVAILABLE"), "4": (None, "LLM_MALFORMED"), "5": (None, "BAD_REQUEST")}
+    assert got == {"1": ("fine", None), "2": (None, "LLM_TIMEOUT"), "3": (None, "LLM_UNAVAILABLE"), "4": (None, "LLM_MALFORMED"), "5": (None, "BAD_REQUEST"), "6": (None, "INTERNAL")}
+    notices = spark.createDataFrame([("1", "", "a", None), ("", "t", "a", None), ("", "", "a", None)], "notice_no string, title string, agency string, amount long").where("notice_no <> '' or title <> ''")
+    none = spark.createDataFrame([], "notice_no string, position int, name string, text string")
+    assert {r.failure for r in generation.summarize(notices, Client(), "m", 1000, none).collect()} == {None}
 
 
 def test_datasheet_keeps_only_quotes_that_occur(spark):
@@ -132,6 +193,56 @@ def test_datasheet_keeps_only_quotes_that_occur(spark):
     assert (sheet.name, sheet.cores, sheet.quotes) == ("X", 8, {"cores": "8  cores"})
 
 
+def test_children_and_schemas(spark):
+    child = {"name": " ", "named": True, "qty": 0, "constraints": [{"attr": "ecc", "op": "eq", "value": "yes"}], "evidence": "two  fans"}
+    answer = generation.recorded({"items": [{"category": "완제품", "name": "PC", "named": True, "prebuilt": True, "notes": ["n"], "evidence": "no", "children": [child]}]})
+    texts = spark.createDataFrame([(1, "PC with two fans")], "doc_id long, text string")
+    got = generation.extract_requirements(texts, generation.ReplayClient({"PC": answer})).first()
+    one = got.children[0]
+    assert (got.qty, got.prebuilt, got.notes, got.evidence_span.found) == (1, True, ["n"], False)
+    assert (one.name, one.named, one.qty, one.constraints[0].value, tuple(one.evidence_span)) == (None, False, 1, "true", ("two  fans", 8, 8, True))
+    asked = generation.response_schema(spark.createDataFrame([], "a string, evidence_span struct<x:int>, c array<struct<b:int,evidence_span:string>>").schema)
+    assert asked.simpleString() == "struct<a:string,c:array<struct<b:int>>>"
+    assert generation.constrained(lambda prompt, schema: schema, asked)("x") == asked.json()
+
+
+def test_products_and_loads(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ("a", 8), None), (2, ("b", None), None), (3, None, None)], "i int, cpu struct<name:string,cores:int>, gpu struct<name:string,memory:int>")
+    good, bad = hardware.extractions(rows)
+    assert {r.i: r.is_sufficient_data for r in good.collect()} == {1: True, 2: False} and [r.i for r in bad.collect()] == [3]
+    specs = spark.createDataFrame([("a", "8.0"), ("b", None)], "name string, cores string")
+    assert readers.load_specs(specs, {"cores": "bigint"}).count() == 2
+    for name, cores in (("c", "x"), (None, "1"), ("d", "0"), ("e", "-1")):
+        with pytest.raises(Exception):
+            readers.load_specs(specs.unionByName(spark.createDataFrame([(name, cores)], specs.schema)), {"cores": "bigint"}).collect()
+    (tmp_path / "law.xml").write_text("<r><law><id>1</id></law><law><id>2</id></law></r>")
+    assert readers.law_nodes(spark, str(tmp_path / "law.xml"), "law", "id string", 1).count() == 1
+    (tmp_path / "page.xml").write_text("<HTML></HTML>")
+    with pytest.raises(OSError):
+        readers.law_nodes(spark, str(tmp_path / "page.xml"), "law", "id string", attempts=1)
+
+
+def test_failures_and_notices(spark):
+    extra = F.create_map(F.lit("reason"), F.lit("r"), F.lit("empty"), F.lit(""), F.lit("zero"), F.lit("0"), F.lit("retryable"), F.lit("false"))
+    got = spark.range(1).select(records.failure_body(F.lit("NOPE"), extra, records.request_id(F.lit(""), F.lit("s"), F.lit("h")), F.lit(None).cast("long")).alias("b")).first().b
+    assert (got["code"], got["retryable"], got["requestId"], got["reason"], got["zero"]) == ("INTERNAL", "true", "s", "r", "0") and "empty" not in got and "retryAfterMs" not in got
+    rows = spark.createDataFrame([("1", None, "7"), ("2", "n", "x")], "bidNtceNo string, bidNtceNm string, presmptPrce string")
+    names = {"number": "bidNtceNo", "name": "bidNtceNm", "agency": "ntceInsttNm", "price": "presmptPrce"}
+    assert [tuple(r) for r in records.project_notices(rows, names).orderBy("number").collect()] == [("1", "", "", 7), ("2", "n", "", None)]
+    assert [r.k for r in spark.createDataFrame([("a",), (" ",), (None,)], "s string").select(records.key_set(F.col("s")).alias("k")).collect()] == [True, False, False]
+
+
+def test_search_bounds(spark):
+    docs = spark.createDataFrame([(1, "a b\n" * 300), (2, None)], "doc_id long, text string")
+    e = vectors.HashedEncoder(16)
+    found = vectors.search_within(docs, "a", e, 99, -5.0, 100, 0).collect()
+    assert {r.n_chunks for r in found} == {len(found)} and vectors.search_within(docs, " ", e).count() == 0
+    with pytest.raises(ValueError):
+        vectors.embed_documents(docs, e, 99)
+    got = vectors.embed(docs, e).where("doc_id = 1").first()
+    assert got.dim == 16 and got.model == "hashed"
+
+
 def test_encoder(spark):
     e = vectors.HashedEncoder(16)
     got = [r.v for r in spark.createDataFrame([("a b a",), ("",), (None,)], "t string").select(vectors.encode(e)(F.col("t")).alias("v")).collect()]

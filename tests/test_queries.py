@@ -17,9 +17,8 @@ def test_equals_sql(spark, db, name):
     assert plain(QUERIES[name](spark, FOLDER).toPandas()) == plain(db.execute(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_has_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_registry():
@@ -33,13 +32,6 @@ def test_filters_reach_the_scan(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-def test_whole_tables_equal_the_sql_without_its_limits(spark, db):
-    every = ORACLE_SQL["vector_topk_per_query"].replace("q.vec_id < 20", "q.vec_id % 20 = 0")
-    assert plain(QUERIES["vector_topk_all"](spark, FOLDER).toPandas()) == plain(db.execute(every).df())
-    every = ORACLE_SQL["search_documents"].replace("ORDER BY doc_id LIMIT 50)", ")")
-    assert plain(QUERIES["search_all_documents"](spark, FOLDER).toPandas()) == plain(db.execute(every).df())
-
-
 def test_queries_in_blocks(spark):
     v = spark.read.parquet(f"{FOLDER}/embeddings.parquet").where("vec_id < 60")
     one, many = (plain(top_k_each(v, v, 3, max_queries=n).toPandas()) for n in (1000, 7))
