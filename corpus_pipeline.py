@@ -21,28 +21,36 @@ def _texts_changed(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under 0.5; the model learns from the stage's own documents and the labels."""
+    """Documents with a score under 0.5; the model learns from the stage's own documents and the labels.
+
+    Null and empty texts score the prior and stay; rows that repeat are judged
+    alike; an empty table stays empty; all columns come along.
+    """
     scored = score_toxicity(docs, docs, table(spark, sf_dir, "labels"))
     return scored.where("score < 0.5").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+
+    Of rows that repeat doc_id and text one stays; of one doc_id with several
+    texts each text is judged by itself; null doc_ids and texts without words stay.
+    """
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of benchmark windows; documents of nothing else go."""
+    """Texts without the words of benchmark windows; documents of nothing else go. Null and empty texts stay; rows that repeat are cut alike."""
     return _texts_changed(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind. Null, empty and clean texts stay; no row goes."""
     return _texts_changed(docs, redact(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by output shard and position: blocks of text with the ids of the documents in them."""
+    """The mix by output shard and position: blocks of text with the ids of the documents in them. Documents without words are in none; rows that repeat are in it each; an empty table gives none."""
     return mixed_blocks(plan_mix(docs))
 
 
@@ -53,7 +61,8 @@ STAGES = [
     ("pii", pii),
     ("mixing", mixing),
 ]
-#: Learnt scores and pseudorandom draws are beyond SQL; tests compare the stages with brute force.
+#: Learnt scores and pseudorandom draws are beyond SQL. Tests compare near-duplicates, decontamination and personal data
+#: with brute force, toxicity with a plain forward pass, and the mix with its targets.
 ORACLE_SQL = None
 
 
