@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docframe.llm.decontamination import find_contamination
 from docframe.llm.language_id import identify_language
 from docframe.llm.language_model import score_texts
-from docframe.llm.license_scan import TEMPLATES, bigrams, scan_licenses, whole_templates
+from docframe.llm.license_scan import TEMPLATES, scan_licenses, whole_templates
 from docframe.llm.mixing import plan_mix, words_taken
 from docframe.llm.near_duplicates import near_duplicates
 from docframe.llm.pii import BASE_KINDS, find_personal_data
@@ -96,16 +96,18 @@ def op5_embedded_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH templates(name, number, b) AS (VALUES __TEMPLATES__),
+WITH raw(name, number, t) AS (VALUES __TEMPLATES__),
+split AS (SELECT name, number, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw),
+templates AS (SELECT name, number, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS b FROM split),
 low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-units AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n{2,}'), [t])) AS u FROM low),
+units AS (SELECT DISTINCT doc_id, unnest(list_concat(regexp_split_to_array(t, '\r?\n'), regexp_split_to_array(t, '(?:\r?\n){2,}'), [t])) AS u FROM low),
 words AS (SELECT doc_id, row_number() OVER () AS unit, regexp_extract_all(u, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM units),
 pairs AS (SELECT doc_id, unit, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS b FROM words),
 scored AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(p.b, t.b)) / (len(p.b) + len(t.b)) AS dice FROM pairs p JOIN templates t ON len(p.b) BETWEEN ceil(len(t.b) * 2 / 3 - 1e-9) AND floor(len(t.b) * 1.5 + 1e-9)),
 found AS (SELECT doc_id, name, max(dice) AS dice FROM scored WHERE dice >= 0.8 GROUP BY ALL),
 best AS (SELECT doc_id, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice, string_agg(name, ',' ORDER BY name) AS licenses FROM found GROUP BY doc_id)
 SELECT d.doc_id, license, round(coalesce(dice, 0), 6)::DOUBLE AS dice, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN best USING (doc_id)
-""".replace("__TEMPLATES__", ", ".join(f"('{n}', {i}, {bigrams(t)})" for i, (n, t) in enumerate(TEMPLATES)))
+""".replace("__TEMPLATES__", ", ".join("('{}', {}, '{}')".format(n, i, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES)))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -632,11 +632,15 @@ def test_trees_use_tokens_of_their_own():
 
 
 def brute_license(text):
-    from docframe.llm.license_scan import TEMPLATES, bigrams
+    from docframe.llm.license_scan import TEMPLATES
+
+    def bigrams(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        return set(zip(w, w[1:])) if len(w) > 1 else set(w)
 
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     found = {}
-    for unit in {*low.split("\n"), *re.split("\n{2,}", low), low}:
+    for unit in {*re.split("\r?\n", low), *re.split("(?:\r?\n){2,}", low), low}:
         a = set(bigrams(unit))
         for name, t in TEMPLATES:
             b = set(bigrams(t))
@@ -651,9 +655,9 @@ def test_licenses_equal_brute_force(spark):
     from docframe.llm.license_scan import TEMPLATES, scan_licenses
 
     r = random.Random(11)
-    texts = EDGE_TEXTS + [t.upper() for _, t in TEMPLATES] + [words(r, 50) + "\n" + edited(r, r.choice(TEMPLATES)[1], r.randrange(3)) + "\n" + words(r, 20) for _ in range(80)] + ["All rights\n\nReserved.\nreleased under the mit licence", "reserved"]
+    texts = EDGE_TEXTS + [t.upper() for _, t in TEMPLATES] + [words(r, 50) + "\n" + edited(r, r.choice(TEMPLATES)[1], r.randrange(3)) + "\n" + words(r, 20) for _ in range(80)] + ["All rights\n\nReserved.\nreleased under the mit licence", "reserved", "x\r\nAll rights reserved.\r\ny z", "x\r\n\r\nReleased under\r\nthe MIT License.\r\n\r\ny"]
     docs = documents(spark, texts).withColumns({"license": F.lit(1), "__pairs": F.lit("x")})
-    got = {x.doc_id: (x.license, x.dice, x.licenses) for x in scan_licenses(docs).collect()}
+    got = {x.doc_id: (x.license, x.dice, x.licenses) for x in scan_licenses(docs, TEMPLATES).collect()}
     assert got == {i: brute_license(t) for i, t in enumerate(texts)}
     assert scan_licenses(edges(spark)).count() == len(EDGE_TEXTS) + 2 and scan_licenses(docs.limit(0)).count() == 0
 
