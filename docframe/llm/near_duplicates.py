@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.components import components
+from docframe.llm.components import PART, components
 from docframe.llm.storage import add_columns, fresh_names, materialize, materialize_counting, small, small_batches
 from docframe.llm.text import BASE, BY_SPACE, LOWER, hashed_words, mix, slices
 
@@ -253,6 +253,7 @@ def confirmed_components(clusters: DataFrame, sets: DataFrame, percent: int) ->
     members = clusters.drop("n").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     members, seen = materialize_counting(members, heavy=F.count_if(F.col("blocks") > 1))
     n_heavy = seen["heavy"]
+    few = n_heavy // PART + 1  # tasks for what is small beside the sets
 
     def compared(rows: DataFrame) -> DataFrame:
         """rows: sid, cluster, block, part, leader, all_pairs"""
@@ -277,23 +278,23 @@ def confirmed_components(clusters: DataFrame, sets: DataFrame, percent: int) ->
 
     heavy = members.where("blocks > 1")
     start = members.withColumn("part", F.col("sid"))
-    chosen = materialize(first_of(start.where("blocks > 1"), 64).select("sid", "cluster", "blocks", "part")) if n_heavy else None
+    chosen = materialize(first_of(start.where("blocks > 1"), 64).select("sid", "cluster", "blocks", "part").coalesce(few)) if n_heavy else None
     links = compared(with_leaders(start, chosen, True) if n_heavy else start.select("sid", "cluster", "block", "part", F.lit(False).alias("leader"), F.lit(True).alias("all_pairs")))
     if not n_heavy:
         return components(links)
     done = chosen.select("sid")
     while True:
         parts = components(links)
-        now = materialize(heavy.join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component"))
+        now = materialize(heavy.join(parts.withColumnRenamed("id", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component").coalesce(few))
         largest = now.groupBy("cluster", "part").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
         waiting = now.join(F.broadcast(largest) if n_heavy <= FEW else largest, "cluster").where("part <> largest").join(done, "sid", "left_anti")
-        chosen, seen = materialize_counting(first_of(waiting, 256).select("sid", "cluster", "blocks", "part"), n=F.count("*"))
+        chosen, seen = materialize_counting(first_of(waiting.coalesce(few), 256).select("sid", "cluster", "blocks", "part").coalesce(few), n=F.count("*"))
         n = seen["n"]
         if not n:
             return parts
         due = now.join(small(chosen.select("cluster").distinct(), n, FEW), "cluster", "left_semi")
         links = materialize(links.unionByName(compared(with_leaders(due, chosen, False))))
-        done = materialize(done.unionByName(chosen.select("sid")))
+        done = materialize(done.unionByName(chosen.select("sid")).coalesce(few))
 
 
 def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
