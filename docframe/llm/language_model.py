@@ -18,12 +18,12 @@ from docframe.llm.storage import materialize, small_batches
 from docframe.llm.text import BY_SPACE, LOWER, hashed_words, prefix_hashes, slices, substring_hashes
 
 END = b""
-HEAD = 1 << 20  # tokens whose counts go to every worker at most
+HEAD = 1 << 18  # tokens whose counts go to every worker at most
 OWN = 40  # tokens with a class of their own, times the cube root of the tokens counted
 CONTEXT = 2
 WIDTH = 16
 NOISE = 32
-INNER = 2
+INNER = 1
 BATCH = 2048
 ROUNDS = 3
 SHARE = 128  # tokens of a partition for each class
