@@ -54,6 +54,24 @@ def features(text_of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+class Places:
+    """Where hashes are in a sorted array of distinct ones: the search begins at the first with the same leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.size = len(keys)
+        self.keys = np.append(keys, np.uint32(0xFFFFFFFF))
+        self.first = np.searchsorted(keys, np.arange(1 << 18, dtype=np.uint32) << np.uint32(14)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places, or -1 for what isn't there."""
+        at = self.first[hashes >> np.uint32(14)]
+        less = np.flatnonzero(self.keys[at] < hashes)
+        while len(less):
+            at[less] += 1
+            less = less[self.keys[at[less]] < hashes[less]]
+        return np.where((self.keys[at] == hashes) & (at < self.size), at, -1)
+
+
 @dataclass
 class Model:
     """A logistic score over the presence of chosen n-grams."""
@@ -63,9 +81,8 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        self.plain = np.unique(np.append(self.grams, self.grams ^ TWICE))  # of either kind
-        self.may = np.zeros(1 << 20, dtype=bool)
-        self.may[self.plain >> np.uint32(12)] = True
+        self.chosen = Places(self.grams)
+        self.plain = Places(np.unique(np.append(self.grams, self.grams ^ TWICE)))  # of either kind
 
     def present(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Text numbers and places of the chosen features of each text, each once."""
@@ -73,14 +90,12 @@ class Model:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         found = [(np.empty(0, np.int64), np.empty(0, np.uint32))]
         for hashes, text_of in gram_hashes(data, offsets):
-            at = np.flatnonzero(self.may[hashes >> np.uint32(12)])
-            place = np.searchsorted(self.plain, hashes[at])
-            hit = at[self.plain[np.minimum(place, len(self.plain) - 1)] == hashes[at]]
+            hit = np.flatnonzero(self.plain.find(hashes) >= 0)
             found.append((text_of[hit], hashes[hit]))
         text_of, own = features(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-        place = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        hit = self.grams[place] == own
-        return text_of[hit], place[hit]
+        place = self.chosen.find(own)
+        hit = place >= 0
+        return text_of[hit], place[hit].astype(np.int64)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.full(len(offsets) - 1, self.bias)

@@ -471,6 +471,17 @@ def test_other_kinds_need_their_checks_and_words(spark):
 # --- 9 toxicity
 
 
+def test_places_of_hashes():
+    r = np.random.default_rng(5)
+    keys = np.unique(np.append(r.integers(0, 1 << 32, 3000, dtype=np.uint32), np.array([0, 7, 8, 0xFFFFFFFF], np.uint32)))
+    asked = np.concatenate([keys[::2], r.integers(0, 1 << 32, 3000, dtype=np.uint32), np.array([9, 0xFFFFFFFE], np.uint32)])
+    where = {k: i for i, k in enumerate(keys.tolist())}
+    for known in (keys, keys[:-1]):
+        got = toxicity.Places(known).find(asked)
+        assert got.tolist() == [where[k] if k in where and where[k] < len(known) else -1 for k in asked.tolist()]
+    assert (toxicity.Places(keys[:0]).find(keys) == -1).all()
+
+
 def test_toxicity_on_held_out_texts(spark):
     r = random.Random(9)
     bad = ["stupid", "vequos", "chllorn"]
