@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm.decontamination import find_contamination
+from docframe.llm.filter_audit import audit_filters
 from docframe.llm.language_id import identify_language
 from docframe.llm.language_model import score_texts
 from docframe.llm.license_scan import TEMPLATES, scan_licenses, whole_templates
@@ -138,6 +139,48 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.l NOT IN (b.l, c.l, d.l, e.l) AND b.l NOT IN (c.l, d.l, e.l) AND c.l NOT IN (d.l, e.l) AND d.l <> e.l
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, '[' || substr(filter_order, 1, step - 1) || '_]' AS before, '[' || substr(filter_order, 1, step) || ']' AS upto
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy
+  FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN copy THEN 'E' ELSE '' END AS mask
+  FROM d LEFT JOIN marks ON marks.doc_id = d.doc_id
+), counts AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+), audited AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT regexp_matches(mask, upto) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(mask, f) AND NOT regexp_matches(mask, before) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(mask, f) AND regexp_matches(mask, before) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(mask, f) AND NOT regexp_matches(mask, before) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(mask, f) AND NOT regexp_matches(mask, before) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM audited
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_top_k": op2_top_k,
@@ -150,5 +193,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_license_scan": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_license_scan": OP5_SQL, "op13_filter_audit": OP13_SQL}
