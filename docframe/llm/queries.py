@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.llm.alignment import align_tokenizers
 from docframe.llm.decontamination import find_contamination
 from docframe.llm.filter_audit import audit_filters
 from docframe.llm.language_id import identify_language
@@ -139,6 +140,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str = "/opt/tokenizers/byte_bpe_50k.json", b: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), a, b, carry=["doc_id"])
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -193,6 +198,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_license_scan": OP5_SQL, "op13_filter_audit": OP13_SQL}
