@@ -14,6 +14,7 @@ from docframe.llm.license_scan import TEMPLATES, scan_licenses, whole_templates
 from docframe.llm.mixing import plan_mix, words_taken
 from docframe.llm.near_duplicates import near_duplicates
 from docframe.llm.pii import BASE_KINDS, find_personal_data
+from docframe.llm.quality import score_quality
 from docframe.llm.storage import fold, table
 from docframe.llm.suffix_dedup import remove_repeats
 from docframe.llm.top_k import top_k
@@ -144,6 +145,13 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str = "/opt/to
     return align_tokenizers(table(spark, sf_dir, "documents"), a, b, carry=["doc_id"])
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold() == 0
+    found = score_quality(docs.select("doc_id", held_out.alias("held_out"), "text", "n_chars"), docs.where(~held_out), labels.where(~held_out), ["n_chars"], carry=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -199,6 +207,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_quality": op12_quality,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {"op2_top_k": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_license_scan": OP5_SQL, "op13_filter_audit": OP13_SQL}

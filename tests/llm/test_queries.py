@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_language_id": "doc_id held_out lang_pred score", "op2_top_k": "query_id rank vec_id score", "op3_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op4_mixing": "doc_id size source_size target taken", "op5_license_scan": "doc_id license dice licenses", "op6_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op7_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score",
-    "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op9_toxicity": "doc_id held_out score predicted", "op10_near_duplicates": "doc_id n_shingles component_id kept", "op11_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op9_toxicity": "doc_id held_out score predicted", "op10_near_duplicates": "doc_id n_shingles component_id kept", "op11_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12_quality": "doc_id held_out score predicted", "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
 
