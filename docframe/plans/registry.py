@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions.compat import whole_number
 from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, rules, vectors
 from docframe.operators.chunking import chunk_documents as chunks_of
-from docframe.sources.readers import notices, table, with_fallback
+from docframe.sources import remote, shared, xml
+from docframe.sources.readers import notices, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -479,7 +480,81 @@ SELECT o_orderkey, o_orderpriority AS name FROM orders WHERE strftime(o_orderdat
 def notice_page(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), F.date_format("o_orderdate", "yyyyMMdd").alias("day"), F.when(F.col("o_orderstatus") == "O", "03").otherwise("01").alias("bid_type"))
     found = notices(rows, "1995-01-01", "1996-12-31", "용역", ["U"])
-    return records.page(with_fallback(found, found), ["o_orderkey"], 2, 50).select("o_orderkey", "name")
+    return records.page(found, ["o_orderkey"], 2, 50).select("o_orderkey", "name")
+
+
+def _recorded(requests: DataFrame) -> str:
+    """A folder with the answers of requests (page, query, answers), as a server's log has them."""
+    folder = shared.fresh_folder(requests.sparkSession)
+    requests.select(F.to_json(F.struct("page", "query", "answers"))).write.text(folder)
+    return folder
+
+
+def _answer(status: Column | int, body: Column | str = "") -> Column:
+    given = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(given(status).alias("status"), given(body).alias("body"))
+
+
+NOTICE_PAGE = 200  # orders by key to a page
+
+
+@query(f"""
+WITH o AS (SELECT *, o_orderkey // {NOTICE_PAGE} AS page, strftime(o_orderdate, '%Y%m%d') AS day FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS bid_no, o_orderpriority AS name, day, CAST(floor(o_totalprice) AS BIGINT) AS price, CASE WHEN page % 5 = 0 THEN 'plan' ELSE 'unknown' END AS origin, CAST(page AS INTEGER) AS page
+FROM o WHERE page % 11 <> 3 AND day BETWEEN '19950101' AND '19961231' AND o_orderstatus = 'O' AND contains(o_orderpriority, 'U')
+""")
+def notice_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of recorded answers: some are had from the second path, some at the second attempt, and some not at all, which then are empty."""
+    page = F.floor(F.col("o_orderkey") / NOTICE_PAGE)
+    item = F.struct(
+        F.col("o_orderkey").cast("string").alias("bidNtceNo"), F.col("o_orderpriority").alias("bidNtceNm"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("bidNtceDt"), F.floor("o_totalprice").alias("presmptPrce"),
+        F.when(F.col("o_orderstatus") == "O", "03").otherwise("01").alias("bidType"), F.when(page % 5 == 0, "plan").alias("_source"),
+    )
+    pages = table(spark, folder, "orders").groupBy(page.alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))  # NOTICE_PAGE items at most
+    p = F.col("page")
+    lost, good = F.array(_answer(503)), F.array(_answer(200, F.col("body")))
+    answers = F.create_map(
+        F.lit("api/bid-announce"), F.when((p % 5 == 0) | (p % 11 == 3), lost).when(p % 7 == 1, F.array(_answer(500), _answer(200, F.col("body")))).otherwise(good),
+        F.lit("api/bid-plan"), F.when((p % 5 == 0) & (p % 11 != 3), good).otherwise(lost),
+    )
+    found = remote.read_notices(spark, "1995-01-01", "1996-12-31", "용역", ["U"], base=_recorded(pages.select("page", F.lit("").alias("query"), answers.alias("answers"))), recorded="true", attempts="2", backoff="0.001")
+    return found.select("bid_no", "name", "day", "price", "origin", "page")
+
+
+def _law_xml(spark: SparkSession, folder: str) -> DataFrame:
+    """(group, xml): laws of 50 parts by key; names lie deep and in pieces, some have no number."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("<x><법령명한글> "), F.col("p_name"), F.lit("<b> &amp; "), F.col("p_type"), F.lit("</b>\n</법령명한글></x><법령명한글>later</법령명한글>"))
+    serial = F.when(k % 3 > 0, F.concat(F.lit("<y><법령일련번호>"), k.cast("string"), F.lit("</법령일련번호></y>"))).otherwise("")
+    law = F.concat(F.lit("<law>"), name, serial, F.lit("<현행연혁코드/></law>"))
+    laws = F.array_sort(F.collect_list(F.struct(k.alias("k"), law.alias("law"))))
+    grouped = table(spark, folder, "part").groupBy(F.floor(k / 50).alias("group")).agg(F.array_join(F.transform(laws, lambda x: x["law"]), "\n").alias("laws"))
+    return grouped.select("group", F.concat(F.lit("<LawSearch><page>1</page>"), "laws", F.lit("</LawSearch>")).alias("xml"))
+
+
+LAWS_SQL = "p_name || ' & ' || p_type AS name, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS serial, '' AS status"
+
+
+@query(f"SELECT 'q' || CAST(p_partkey // 50 AS VARCHAR) AS query, CAST(p_partkey % 50 AS INTEGER) AS position, {LAWS_SQL} FROM part")
+def law_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """All recorded searches; every fourth is answered by a page of HTML at first, and asked again in its task."""
+    g = F.col("group")
+    good = _answer(200, F.col("xml"))
+    answers = F.create_map(F.lit(remote.LAW_PATH), F.when(g % 4 == 0, F.array(_answer(200, "<html>busy</html>"), good)).otherwise(F.array(good)))
+    folder = _recorded(_law_xml(spark, folder).select(g.alias("page"), F.concat(F.lit("q"), g.cast("string")).alias("query"), answers.alias("answers")))
+    remote.register(spark)
+    return spark.read.format("laws").options(base=folder, recorded="true", target="law", backoff="0.001").load().select("query", "position", "name", "serial", "status")
+
+
+@query(f"""
+SELECT p_partkey // 50 AS "group", CAST(p_partkey % 50 AS INTEGER) AS position, {LAWS_SQL}, false AS broken FROM part
+UNION ALL SELECT DISTINCT p_partkey // 50, CAST(count(*) OVER (PARTITION BY p_partkey // 50) AS INTEGER), CAST(NULL AS VARCHAR), NULL, NULL, true FROM part WHERE p_partkey // 50 % 3 = 1
+""")
+def xml_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements at any depth of every text; every third text lacks its end, and has a row for that."""
+    texts = _law_xml(spark, folder).select("group", F.when(F.col("group") % 3 == 1, F.regexp_replace("xml", "</LawSearch>$", "")).otherwise(F.col("xml")).alias("text"))
+    found = xml.read_elements(texts, "law", {"name": "법령명한글", "serial": "법령일련번호", "status": "현행연혁코드"}, ["group"])
+    return found.select("group", "position", "name", "serial", "status", F.col("error").isNotNull().alias("broken"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(greatest(1000, floor(((CASE l_linenumber % 3 WHEN 0 THEN 16384 WHEN 1 THEN l_quantity * 1000 ELSE 8192 END) - 912) * 1.5)) AS BIGINT) AS budget FROM lineitem")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, rules, vectors
 from docframe.operators.chunking import chunk_documents, chunk_spans
-from docframe.sources import readers, sinks
+from docframe.sources import readers, sinks, xml
 
 HOSTILE = st.text(alphabet="ab \n\r\t　 \x1c😀한글.", max_size=400)
 
@@ -215,11 +215,6 @@ def test_products_and_loads(spark, tmp_path):
     for name, cores in (("c", "x"), (None, "1"), ("d", "0"), ("e", "-1")):
         with pytest.raises(Exception):
             readers.load_specs(specs.unionByName(spark.createDataFrame([(name, cores)], specs.schema)), {"cores": "bigint"}).collect()
-    (tmp_path / "law.xml").write_text("<r><law><id>1</id></law><law><id>2</id></law></r>")
-    assert readers.law_nodes(spark, str(tmp_path / "law.xml"), "law", "id string", 1).count() == 1
-    (tmp_path / "page.xml").write_text("<HTML></HTML>")
-    with pytest.raises(OSError):
-        readers.law_nodes(spark, str(tmp_path / "page.xml"), "law", "id string", attempts=1)
 
 
 def test_failures_and_notices(spark):
@@ -260,7 +255,7 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "j/b.json").write_text("{broken")
     assert [r.case for r in readers.read_json(spark, str(tmp_path / "j"), "case string, n int").collect()] == ["a"]
     (tmp_path / "x.xml").write_text("<r><law><name> N </name><id>1</id></law><law><name>M</name></law></r>")
-    assert {(r.name, r.id) for r in readers.read_nodes(spark, str(tmp_path / "x.xml"), "law", "id string, name string").collect()} == {("N", "1"), ("M", None)}
+    assert {(r.name, r.id) for r in xml.read_nodes(spark, str(tmp_path / "x.xml"), "law", ["id", "name"]).collect()} == {("N", "1"), ("M", "")}
     table = spark.range(1).select(readers.markdown_rows(F.lit("# t\n| code | status |\n|---|---|\n| `A` | 400 |\n")).alias("r")).first().r
     assert table == [["code", "status"], ["A", "400"]]
     (tmp_path / "w.csv").write_text("a,b\nn,서버 (주)!\n ,x\n")
@@ -271,6 +266,30 @@ def test_readers_and_sinks(spark, tmp_path):
     assert good.orderBy("name").select(sinks.markdown_line(["name", "cores"]).alias("l")).first().l == "| A | 8 |"
 
 
+def test_elements(spark, monkeypatch):
+    r = random.Random(1)
+
+    def tree(depth):
+        inner = lambda: "".join(tree(depth + 1) if r.random() < 0.6 and depth < 5 else r.choice([" t ", "x&amp;", "\n", ""]) for _ in range(r.randrange(4)))
+        tag = r.choice(["law", "a", "b", "c"])
+        return f"<{tag}>{inner()}</{tag}>"
+
+    import xml.etree.ElementTree as ET
+
+    value = lambda n, t: "".join(f.itertext()).strip() if (f := n.find(f".//{t}")) is not None else ""
+    for _ in range(200):
+        text = "<r>" + "".join(tree(0) for _ in range(4)) + "</r>"
+        want = [{"x": value(n, "a"), "y": value(n, "law")} for n in ET.fromstring(text).iter("law")]
+        assert list(xml.elements(text, "law", {"x": "a", "y": "law"})) == want
+    assert list(xml.elements("<law><a>1</a></law>", "law", {"x": "a"})) == [{"x": "1"}]
+    long = "<r>" + "<law><a>é</a></law>" * 20_000 + "</r>"
+    assert len(list(xml.elements(long, "law", {"x": "a"}))) == 20_000
+    rows = spark.createDataFrame([(1, "<r><law><a>1</a></law><law>"), (2, None), (3, "<r/>"), (4, "<law/>")], "id long, text string")
+    got = [(x.id, x.position, x.a, x.error is None) for x in xml.read_elements(rows, "law", {"a": "a"}, ["id"]).orderBy("id", "position").collect()]
+    assert got == [(1, 0, "1", True), (1, 1, None, False), (2, 0, None, False), (4, 0, "", True)]
+    assert xml.read_elements(rows.limit(0), "law", {"a": "a"}, ["id"]).count() == 0
+
+
 def test_stream_findings(spark, tmp_path):
     from docframe.streaming.scans import stream_findings
 
