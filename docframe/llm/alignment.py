@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docframe.llm.storage import add_columns, materialize_counting, shared_folder, small_batches
+from docframe.llm.storage import add_columns, fresh_names, materialize, materialize_counting, shared_folder, small_batches
 from docframe.llm.text import slices
 
 #: A unit: white space, what follows it, and on over white space other than spaces and line ends.
@@ -33,7 +34,8 @@ STRETCH = 1 << 17  # units that are handled together
 CACHED, CACHED_CHARS = 300_000, 1 << 25  # units and characters that a worker keeps between stretches
 HELD = 1 << 21  # pairs that a task sums at once
 WIDE = 4096  # links of a group above which its distinct ids are paired
-FIELDS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+ALIGNED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
+COUNTED = "n_best bigint, count_sum bigint"
 
 
 def joined(ids: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> bytes:
@@ -274,20 +276,46 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.bincount(which, weights=counts, minlength=len(keys)).astype(np.int64)
 
 
-def document_pairs(units: Units, texts: list[str | None]) -> np.ndarray:
-    """The pairs of each text whose bytes come out right, each once a text."""
-    found, bad = [np.empty(0, np.int64)], np.zeros(len(texts), bool)
+def by_text(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their weights."""
+    order = np.argsort(codes, kind="stable")
+    codes, weights = codes[order], weights[order]
+    begin = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+    return codes[begin], np.add.reduceat(weights, begin) if len(begin) else weights
+
+
+def aligned_rows(units: Units, texts: list[str | None]) -> Iterator[tuple]:
+    """(n_a, n_b, n_groups, n_links, groups_sha256, keys, links) of each text; its distinct pairs come sorted."""
+    sums, bad = np.zeros((4, len(texts)), np.int64), np.array([not t for t in texts], bool)
+    digests: dict[int, list] = {}
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for owners, counts, parts in units.stretches(texts):
-        place, owner = units.places(parts), np.repeat(owners, counts)
-        bad[owner[~units.good.all[place]]] = True
-        both = np.unique(owner << 32 | place)
-        owner, place = both >> 32, both & 0xFFFFFFFF
-        begin = np.append(0, units.ends.all)[place]
-        size = units.ends.all[place] - begin
-        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        found.append(np.unique(np.repeat(owner, size) << units.key_bits | units.keys.all[at]))
-    pairs = np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
-    return pairs[~bad[pairs >> units.key_bits]] & ((1 << units.key_bits) - 1)
+        place = units.places(parts)
+        begin = np.cumsum(counts) - counts
+        bad[owners[~np.logical_and.reduceat(units.good.all[place], begin)]] = True
+        for row, column in zip(sums, units.numbers):
+            np.add.at(row, owners, np.add.reduceat(column.all[place], begin))
+        shown = list(map(units.shown.__getitem__, place.tolist()))
+        for owner, at, n in zip(owners.tolist(), begin.tolist(), counts):
+            said = "".join(shown[at : at + n]).encode()
+            old = digests.setdefault(owner, [hashlib.sha256(), b""])
+            old[0].update(old[1] + said[:-1])
+            old[1] = said[-1:]  # the last separator is left out, unless the text goes on
+        both = np.sort(np.repeat(owners, counts) << 32 | place)
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        times = np.diff(np.append(first, len(both)))
+        owner, place = both[first] >> 32, both[first] & 0xFFFFFFFF
+        ends = units.ends.all
+        before = np.where(place > 0, ends[place - 1], 0)
+        size = ends[place] - before
+        at = np.repeat(before - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        found.append(by_text(np.repeat(owner, size) << units.key_bits | units.keys.all[at], units.links.all[at] * np.repeat(times, size)))
+    codes, links = found[-1] if len(found) == 2 else by_text(*map(np.concatenate, zip(*found)))
+    bounds = np.searchsorted(codes >> units.key_bits, np.arange(len(texts) + 1))
+    keys = codes & ((1 << units.key_bits) - 1)
+    for i, row in enumerate(sums.T.tolist()):
+        own = slice(bounds[i], bounds[i + 1])
+        yield (0, 0, 0, 0, "", keys[:0], links[:0]) if bad[i] else (*row, digests[i][0].hexdigest(), keys[own], links[own])
 
 
 def read_longs(uri: str) -> np.ndarray:
@@ -337,42 +365,42 @@ def write_shard(folder: str, keys: np.ndarray, counts: np.ndarray) -> str:
     return uri
 
 
-def partial_counts(docs: DataFrame, models) -> DataFrame:
-    """(key, docs): in how many of a partition's documents a pair is linked; a key may come again where a task had too many of them."""
+def partial_counts(pairs: DataFrame, column: str) -> DataFrame:
+    """(key, docs): in how many of a partition's rows the array column holds a key; a key may come again where a task had too many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = units_of(models.value)
         keys, counts, more, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def merged() -> None:
+            nonlocal keys, counts, more, size
+            fresh, times = np.unique(np.concatenate([np.empty(0, np.int64), *more]), return_counts=True)
+            keys, counts = summed(np.append(keys, fresh), np.append(counts, times))
+            more, size = [], 0
+
         out = lambda: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "docs"])
         for batch in batches:
-            for rows, _, _ in slices(batch):
-                more.append(document_pairs(units, rows.column("text").to_pylist()))
-                size += len(more[-1])
-                if size > HELD:
-                    fresh, times = np.unique(np.concatenate(more), return_counts=True)
-                    keys, counts = summed(np.append(keys, fresh), np.append(counts, times))
-                    more, size = [], 0
-                    if len(keys) > HELD:
-                        yield out()
-                        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        fresh, times = np.unique(np.concatenate([np.empty(0, np.int64), *more]), return_counts=True)
-        keys, counts = summed(np.append(keys, fresh), np.append(counts, times))
+            more.append(batch.column(column).flatten().to_numpy())
+            size += len(more[-1])
+            if size > HELD:
+                merged()
+                if len(keys) > HELD:
+                    yield out()
+                    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        merged()
         yield out()
 
-    small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "key long, docs long")
+    return pairs.select(column).mapInArrow(run, "key long, docs long")
 
 
-def count_pairs(docs: DataFrame, models, bits: int, size_a: int, shard_rows: int = 1 << 20) -> PairCounts:
+def count_pairs(pairs: DataFrame, column: str, bits: int, size_a: int, shard_rows: int = 1 << 20) -> PairCounts:
     """Each partition's partial counts, sorted by ranges of the packed keys; runs of a key are summed and each range is a shard of the shared folder.
 
-    models: a broadcast of the two tokenizers' files. To the driver come each
-    shard's path, first key and highest counts: size_a rows, and one more for
-    each shard whose first id goes on from the one before.
+    To the driver come each shard's path, first key and highest counts: size_a
+    rows, and one more for each shard whose first id goes on from the one before.
     """
-    spark = docs.sparkSession
+    spark = pairs.sparkSession
     folder = f"{shared_folder(spark)}/docframe-{uuid.uuid4().hex}"
-    partial, seen = materialize_counting(partial_counts(docs, models), n=F.count("*"))
+    partial, seen = materialize_counting(partial_counts(pairs, column), n=F.count("*"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -404,58 +432,8 @@ def count_pairs(docs: DataFrame, models, bits: int, size_a: int, shard_rows: int
     return PairCounts(folder, np.array([r["first"] for r in shards], np.int64), [r["path"] for r in shards], best, bits)
 
 
-class Scores:
-    """n_best and count_sum of each of the worker's units, by the counts of one run."""
-
-    def __init__(self, units: Units, counts: PairCounts):
-        self.units, self.counts, self.turn = units, counts, -1
-
-    def upto_date(self) -> tuple[np.ndarray, np.ndarray]:
-        u = self.units
-        if self.turn != u.turn:
-            self.turn, self.best, self.total = u.turn, Growing(), Growing()
-        done = self.best.size
-        if done < len(u.place):
-            begin = u.ends.all[done - 1] if done else 0
-            keys, links = u.keys.all[begin:], u.links.all[begin:]
-            distinct, which = np.unique(keys, return_inverse=True)
-            counts = self.counts.find(distinct)[which]
-            ends = u.ends.all[done:] - begin
-            upto = lambda values: np.diff(np.append(0, np.append(0, np.cumsum(values))[ends]))
-            self.best.extend(upto(links * (counts == self.counts.best[keys >> self.counts.bits])))
-            self.total.extend(upto(links * counts))
-        return self.best.all, self.total.all
-
-
-_scores: dict[str, Scores] = {}
-
-
-def aligned_rows(units: Units, scores: Scores, texts: list[str | None]) -> Iterator[tuple]:
-    """The columns of FIELDS of each text."""
-    sums, bad = np.zeros((6, len(texts)), np.int64), np.array([not t for t in texts], bool)
-    digests: dict[int, object] = {}
-    for owners, counts, parts in units.stretches(texts):
-        place = units.places(parts)
-        best, total = scores.upto_date()
-        begin = np.cumsum(counts) - counts
-        wrong = ~np.logical_and.reduceat(units.good.all[place], begin)
-        bad[owners[wrong]] = True
-        for row, column in zip(sums, [*(c.all for c in units.numbers), best, total]):
-            np.add.at(row, owners, np.add.reduceat(column[place], begin))
-        shown = list(map(units.shown.__getitem__, place.tolist()))
-        for owner, at, n in zip(owners.tolist(), begin.tolist(), counts):
-            said = "".join(shown[at : at + n]).encode()
-            old = digests.get(owner)
-            if old is None:
-                old = digests[owner] = [hashlib.sha256(), b""]
-            old[0].update(old[1] + said[:-1])
-            old[1] = said[-1:]  # the last separator is left out, unless the text goes on
-    for i, row in enumerate(sums.T.tolist()):
-        yield (0, 0, 0, 0, 0, 0, "") if bad[i] else (*row, digests[i][0].hexdigest())
-
-
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, carry: list[str] | None = None) -> DataFrame:
-    """docs (of it, the columns in carry) with the columns of FIELDS.
+    """docs (of it, the columns in carry) with the columns of ALIGNED and COUNTED.
 
     a_path: a byte-level BPE as JSON of the library tokenizers, b_path: a model
     of the library sentencepiece; the driver reads them (a few MB) and
@@ -466,6 +444,9 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, carry: list[str]
     are the links whose count is the highest of their A id, ties included, and
     count_sum is the sum of the counts over all links.
 
+    Texts are encoded in one pass, whose result is written with each text's
+    distinct pairs; they are counted, and looked up, from there.
+
     Texts that are null, empty, or whose bytes don't come out of either
     tokenizer (U+2581 in them, unknown characters without byte fallback) have
     zeros and '', and count nowhere. Repeated rows count each. Columns of docs
@@ -474,15 +455,30 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, carry: list[str]
     with open(a_path, "rb") as a, open(b_path, "rb") as b:
         files = a.read(), b.read()
     units = units_of(files)
-    models = docs.sparkSession.sparkContext.broadcast(files)
-    counts = docs.sparkSession.sparkContext.broadcast(count_pairs(docs, models, units.bits, units.a.size))
+    context = docs.sparkSession.sparkContext
+    models = context.broadcast(files)
+    keys, links = fresh_names(docs, "keys", "links")
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        units, found = units_of(models.value), counts.value
-        if found.folder not in _scores or _scores[found.folder].units is not units:
-            _scores.clear()
-            _scores[found.folder] = Scores(units, found)
         for part, _, _ in slices(batch):
-            yield from aligned_rows(units, _scores[found.folder], part.column("text").to_pylist())
+            yield from aligned_rows(units_of(models.value), part.column("text").to_pylist())
 
-    return add_columns(docs, FIELDS, rows, carry)
+    own = docs.drop(*[f.split()[0] for f in COUNTED.split(", ")])
+    aligned = materialize(add_columns(own, f"{ALIGNED}, {keys} array<bigint>, {links} array<bigint>", rows, carry))
+    counts = context.broadcast(count_pairs(aligned, keys, units.bits, units.a.size))
+    plain = T.StructType([f for f in aligned.schema if f.name not in (keys, links)])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = counts.value
+        for batch in batches:
+            lists, times = batch.column(keys), batch.column(links).flatten().to_numpy()
+            own = lists.flatten().to_numpy()
+            distinct, which = np.unique(own, return_inverse=True)
+            docs = found.find(distinct)[which]
+            upto = np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            sums = lambda values: np.diff(np.append(0, np.cumsum(values))[upto])
+            made = {"n_best": sums(times * (docs == found.best[own >> found.bits])), "count_sum": sums(times * docs)}
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in plain), *map(pa.array, made.values())], [*plain.names, *made])
+
+    small_batches(docs.sparkSession)
+    return aligned.mapInArrow(counted, T.StructType([*plain, *T.StructType.fromDDL(COUNTED)]))

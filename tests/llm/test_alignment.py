@@ -11,7 +11,7 @@ from docframe.llm.queries import QUERIES
 from tests.llm.test_operators import EDGE_TEXTS, documents, edges
 
 A, B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-COLUMNS = [f.split()[0] for f in al.FIELDS.split(", ")]
+COLUMNS = "n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
 ODD = ["▁ a▁b", "<s> <|endoftext|> </s> it's we'll", "  a  b \n\n  c\t d \r\n e ", " x　y \x1c z\x85", "日本語 テキスト ümläut ÀÉ", "😀😀 👍🏽‍", "\x00\x01 a", "=" * 300 + " " * 70 + "1234567890123", "á é", "▁"]
 
 
@@ -66,19 +66,21 @@ def test_alignment_equals_brute_force(spark):
     assert aligned(docs) == dict(enumerate(plain_alignment(texts)))
 
 
-@pytest.mark.parametrize("limits", [{"STRETCH": 7, "CACHED": 5, "HELD": 3}, {"WIDE": 1}])
+@pytest.mark.parametrize("limits", [{"STRETCH": 7, "CACHED": 5}, {"WIDE": 1}])
 def test_alignment_within_limits(monkeypatch, limits):
     """Long texts in stretches, a full cache, early sums and wide groups: in this process, as workers have their own limits."""
     for k, v in limits.items():
         monkeypatch.setattr(al, k, v)
     texts = [t for t in ODD * 2 if t] + ["Le petit chat est là, isn't it? 12345678 " * 5]
     units = al.Units(open(A, "rb").read(), open(B, "rb").read())
-    keys, docs = np.unique(np.concatenate([al.document_pairs(units, [t]) for t in texts]), return_counts=True)
-    best = np.zeros(units.a.size, np.int64)
-    np.maximum.at(best, keys >> units.bits, docs)
-    counts = al.PairCounts("", keys[:1], [""], best, units.bits)
-    counts._opened = {0: np.append(keys, docs)}
-    assert list(al.aligned_rows(units, al.Scores(units, counts), texts)) == plain_alignment(texts)
+    rows = list(al.aligned_rows(units, texts))
+    docs = Counter(k for r in rows for k in r[5].tolist())
+    best = defaultdict(int)
+    for k, n in docs.items():
+        best[k >> units.bits] = max(best[k >> units.bits], n)
+    pairs = [list(zip(r[5].tolist(), r[6].tolist())) for r in rows]
+    got = [(*r[:4], sum(n for k, n in p if docs[k] == best[k >> units.bits]), sum(n * docs[k] for k, n in p), r[4]) for r, p in zip(rows, pairs)]
+    assert got == plain_alignment(texts)
 
 
 def test_whole_texts_as_units():
@@ -87,7 +89,8 @@ def test_whole_texts_as_units():
     assert units.cut
     units.cut = False
     for t in [*ODD, "Le petit chat  est là,\nisn't it?"]:
-        assert np.array_equal(al.document_pairs(units, [t]), al.document_pairs(cut, [t]))
+        (one,), (other,) = al.aligned_rows(units, [t]), al.aligned_rows(cut, [t])
+        assert one[:5] == other[:5] and np.array_equal(one[5], other[5]) and np.array_equal(one[6], other[6])
 
 
 def test_alignment_of_odd_tables(spark):
@@ -99,6 +102,21 @@ def test_alignment_of_odd_tables(spark):
     assert aligned(docs.limit(0)) == {}
 
 
+def test_pair_counts(spark, monkeypatch):
+    """Several shards, and keys that come again from a task."""
+    monkeypatch.setattr(al, "HELD", 3)
+    r = random.Random(8)
+    lists = [sorted(r.sample(range(0, 60), r.randrange(20))) for _ in range(80)]
+    pairs = spark.createDataFrame([([k << 3 for k in x],) for x in lists], "k array<long>").repartition(5)
+    counts = al.count_pairs(pairs, "k", 5, 60, shard_rows=8)
+    want = Counter(k << 3 for x in lists for k in x)
+    keys = np.array(sorted(want))
+    assert len(counts.paths) > 1 and counts.find(keys).tolist() == [want[k] for k in keys.tolist()]
+    assert counts.find(np.array([1, 9999])).tolist() == [0, 0]
+    best = [max([n for k, n in want.items() if k >> 5 == a], default=0) for a in range(60)]
+    assert counts.best.tolist() == best
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in QUERIES["op11_tokenizer_alignment"](spark, "/root/testdata/sf0.001").collect()}
