@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.functions.compat import strip
+from docframe.operators.calls import Client, answered
 from docframe.operators.evidence import attach_evidence, surviving_quotes
 from docframe.operators.hardware import flag_value, reconcile_name
 from docframe.operators.opportunity import salvage_object
@@ -19,7 +19,6 @@ from docframe.operators.rendering import render_notices
 
 #: The version of the summary prompt.
 PROMPT_VERSION = "notice-summary-2026-08-28-v3"
-Client = Callable[[str], str]
 
 
 class ReplayClient:
@@ -32,42 +31,19 @@ class ReplayClient:
         return next((a for k, a in self.answers.items() if k in prompt), self.default)
 
 
-def chat(client: Client) -> Callable[[Column], Column]:
-    """{text, error} for a column of prompts; timeouts and lost servers become failure codes."""
-
-    @F.pandas_udf("struct<text:string,error:string>")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def one(prompt: str | None) -> tuple[str | None, str | None]:
-            if not prompt:
-                return None, "BAD_REQUEST"
-            try:
-                text = client(prompt)
-            except TimeoutError:
-                return None, "LLM_TIMEOUT"
-            except OSError:
-                return None, "LLM_UNAVAILABLE"
-            except Exception:  # noqa: BLE001 - a row that fails is data
-                return None, "INTERNAL"
-            return (text, None) if text and text.strip() else (None, "LLM_MALFORMED")
-
-        for prompts in batches:
-            yield pd.DataFrame([one(p) for p in prompts], columns=["text", "error"])
-
-    return ask
-
-
-def summarize(notices: DataFrame, client: Client, model: str, budget: int | None = None, documents: DataFrame | None = None, version: str = PROMPT_VERSION) -> DataFrame:
+def summarize(notices: DataFrame, client: Client, model: str, budget: int | None = None, documents: DataFrame | None = None, version: str = PROMPT_VERSION, **asking) -> DataFrame:
     """(notice_no, summary, prompt_version, llm_model, failure) of each notice.
 
     notices: notice_no, prompt; or, with documents (see render_notices),
     notice_no, title, agency, amount, whose prompts are rendered within budget.
-    A notice with neither title nor number isn't asked for: BAD_REQUEST.
+    A notice with neither title nor number isn't asked for: BAD_REQUEST. asking:
+    further parameters of calls.answered, as for the other stages below.
     """
     if documents is not None:
         known = F.coalesce(F.nullif("title", F.lit("")), F.nullif(F.col("notice_no").cast("string"), F.lit(""))).isNotNull()
         prompts = render_notices(notices, documents, budget)
         notices = prompts.join(notices.select("notice_no", known.alias("known")), "notice_no").select("notice_no", F.when(F.col("known"), F.col("prompt")).alias("prompt"))
-    asked = notices.withColumn("__a", chat(client)(F.col("prompt")))
+    asked = answered(notices, "prompt", client, "__a", **asking)
     failed = F.col("__a.error").isNotNull()
     return asked.select("notice_no", strip(F.col("__a.text")).alias("summary"), F.when(~failed, F.lit(version)).alias("prompt_version"), F.when(~failed, F.lit(model)).alias("llm_model"), F.when(failed, classify_failure(F.col("__a.error"))).alias("failure"))
 
@@ -84,9 +60,9 @@ def tidy(part: Column) -> Column:
     return part.withField("name", name).withField("named", named).withField("constraints", folded).withField("qty", F.greatest(F.lit(1), F.coalesce(part["qty"], F.lit(1))))
 
 
-def extract_requirements(texts: DataFrame, client: Client, key: str = "doc_id") -> DataFrame:
+def extract_requirements(texts: DataFrame, client: Client, key: str = "doc_id", **asking) -> DataFrame:
     """A row for each item that the model finds in (key, text): its fields and children tidied, evidence of both located."""
-    asked = texts.withColumn("__a", chat(client)(F.col("text")))
+    asked = answered(texts, "text", client, "__a", **asking)
     items = asked.select(key, "text", F.explode(salvage_object(F.col("__a.text"), f"struct<items:array<{ITEM}>>")["items"]).alias("i"))
     tidied = items.withColumn("i", tidy(F.col("i"))).withColumn("i", F.col("i").withField("children", F.transform(F.col("i.children"), tidy)))
     return attach_evidence(tidied.select(key, "text", "i.*")).drop("text")
@@ -109,14 +85,14 @@ def constrained(client: Callable[[str, str], str], schema: T.StructType) -> Clie
     return lambda prompt: client(prompt, wanted)
 
 
-def dump_responses(prompts: DataFrame, client: Client, path: str, key: str) -> None:
+def dump_responses(prompts: DataFrame, client: Client, path: str, key: str, **asking) -> None:
     """The client's raw answers to (key, prompt) as JSON lines."""
-    prompts.withColumn("answer", chat(client)(F.col("prompt"))).select(key, "answer.text", "answer.error").write.mode("overwrite").json(path)
+    answered(prompts, "prompt", client, **asking).select(key, "answer.text", "answer.error").write.mode("overwrite").json(path)
 
 
-def extract_datasheet(texts: DataFrame, client: Client, schema: str, key: str = "doc_id") -> DataFrame:
+def extract_datasheet(texts: DataFrame, client: Client, schema: str, key: str = "doc_id", **asking) -> DataFrame:
     """The fields of schema (with quotes map<string,string>) that the model finds; quotes that don't occur in the text go."""
-    found = texts.withColumn("__a", chat(client)(F.col("text"))).withColumn("sheet", salvage_object(F.col("__a.text"), schema))
+    found = answered(texts, "text", client, "__a", **asking).withColumn("sheet", salvage_object(F.col("__a.text"), schema))
     return found.select(key, F.col("sheet").withField("quotes", surviving_quotes(F.col("sheet.quotes"), F.col("text"))).alias("sheet"), F.col("__a.error").alias("error"))
 
 

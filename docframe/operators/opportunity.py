@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docframe.functions.compat import share, strip
+from docframe.sources.shared import written, written_counting
 
 #: Sizes of batches and of retries, the closed value sets, and the mark of an unassigned row.
 BATCH, RETRY = 10, 3
@@ -19,26 +19,29 @@ UNASSIGNED = "확인필요"
 VERDICT = "struct<work_kind:string,subsidiary:string,product:string,fit:string,reason:string>"
 
 
-def assign_batches(rows: DataFrame, order: list[str], size: int = BATCH, buckets: int = 64) -> DataFrame:
+def assign_batches(rows: DataFrame, order: list[str], size: int = BATCH, ranges: int | None = None) -> DataFrame:
     """rows with position (from 0 in order), batch and slot (from 1); rows of equal order come by a hash of all their columns.
 
-    Ranges of the order are bounded by keys of a sample of the rows' hashes: a
-    row's range follows from the row alone, however its plan is read. Each
-    range ranks its own rows and adds the rows of the ranges before it.
+    Spark deals the rows to ranges of the order (so many, else as many as
+    shuffles have) and sorts each; the result is written to the shared folder,
+    so that a row keeps the place it had there, and each range's rows go on
+    from those of the ranges before it. A job runs when this is called. Rows
+    that are equal in every column may share two ranges: a seeded number parts
+    them.
     """
-    key = F.struct(*order, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("__h"))
-    sample = sorted((r["k"] for r in rows.select(key.alias("k")).orderBy(F.xxhash64("k.__h", F.lit(1))).limit(16 * buckets).collect()), key=lambda k: [(x is not None, x) for x in k])
-    kinds = rows.select(key.alias("k")).schema["k"].dataType
-    spark = rows.sparkSession
-    bounds = [sample[i] for i in range(16, len(sample), 16)]  # fewer than buckets
-    held = spark.createDataFrame([(bounds,)], T.StructType([T.StructField("__bounds", T.ArrayType(kinds))]))
-    ranged = rows.crossJoin(F.broadcast(held)).withColumn("__k", key)
-    ranged = ranged.withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__k")))).drop("__bounds")
+    key = [*(F.col(c) for c in order), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.rand(7)]
+    names = [f"__k{i}" for i in range(len(key))]
+    keyed = rows.withColumns(dict(zip(names, key)))
+    dealt = keyed.repartitionByRange(*([ranges] if ranges else []), *names).sortWithinPartitions(*names).drop(*names)
+    placed = written(dealt.withColumn("__id", F.monotonically_increasing_id()))  # a range's number, then 33 bits of its row's
+    bits = 33
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    starts = ranged.groupBy("__range").agg(F.count("*").alias("__held")).withColumn("__start", F.coalesce(F.sum("__held").over(before), F.lit(0))).drop("__held")
-    placed = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__range").orderBy("__k"))).join(F.broadcast(starts), "__range")
-    position = (F.col("__start") + F.col("__n") - 1).cast("long")
-    return placed.withColumn("position", position).withColumn("batch", F.floor(F.col("position") / size)).withColumn("slot", (F.col("position") % size + 1).cast("long")).drop("__range", "__n", "__start", "__k")
+    held = placed.groupBy(F.shiftright("__id", bits).alias("__range")).agg(F.count("*").alias("__held"))
+    starts = held.withColumn("__start", F.coalesce(F.sum("__held").over(before), F.lit(0))).drop("__held")
+    found = placed.withColumn("__range", F.shiftright("__id", bits)).join(F.broadcast(starts), "__range")
+    position = F.col("__start") + F.col("__id").bitwiseAND((1 << bits) - 1)
+    numbered = found.withColumn("position", position.cast("long")).withColumn("batch", F.floor(F.col("position") / size)).withColumn("slot", (F.col("position") % size + 1).cast("long"))
+    return numbered.drop("__range", "__id", "__start")
 
 
 def salvage_array(text: Column, schema: str) -> Column:
@@ -76,46 +79,58 @@ def holes(rows: DataFrame, order: str = "row_id") -> DataFrame:
 ANSWER = "struct<i:bigint,work_kind:string,subsidiary:string,product:string,fit:string,reason:string>"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df with its rows fixed: model answers must not be asked for twice. A checkpoint where the session has a folder for it, else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+Asking = Callable[[DataFrame, str, str], DataFrame]  # rows, their column of prompts, a column for {text, error} -> rows with it
 
 
-def ask_batches(rows: DataFrame, line: Column, ask: Callable[[Column], Column], heading: str, **sets) -> tuple[DataFrame, DataFrame]:
-    """(answers, calls) of rows (batch, slot): a prompt for each batch, the heading and its rows' lines; answers: batch, slot, turn, place, verdict, known; calls: batch, error."""
+def ask_batches(rows: DataFrame, line: Column, ask: Asking, heading: str, **sets) -> tuple[DataFrame, dict[str, int]]:
+    """(answers, counts) of rows (batch, slot): a prompt for each batch, the heading and its rows' lines.
+
+    answers: batch, slot, turn, place, verdict. counts: calls, failed (calls
+    without an answer) and rejected (answers outside the value sets), seen in
+    the pass that writes the answers.
+    """
     lines = F.array_sort(F.collect_list(F.struct("slot", line.alias("line"))))
     prompts = rows.groupBy("batch").agg(F.concat(F.lit(heading), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("prompt"), F.count("*").alias("n"))
-    calls = kept(prompts.select("batch", "n", ask(F.col("prompt")).alias("a")))
-    found = calls.select("batch", "n", F.posexplode(salvage_array(F.col("a.text"), ANSWER)).alias("place", "x")).where("x.i between 1 and n")
-    verdict = narrow(*[F.col(f"x.{c}") for c in ("work_kind", "subsidiary", "product", "fit", "reason")], **sets)
-    return found.select("batch", F.col("x.i").alias("slot"), F.lit(1).alias("turn"), "place", verdict.alias("verdict")), calls.select("batch", F.col("a.error").alias("error"))
+    asked = ask(prompts, "prompt", "a").select("batch", "n", "a.error", salvage_array(F.col("a.text"), ANSWER).alias("found"))
+    inside = F.filter(F.transform("found", lambda x, i: F.struct(i.alias("place"), x.alias("x"))), lambda y: y["x"]["i"].between(1, F.col("n")))
+
+    def verdict(y: Column) -> Column:
+        given = narrow(*[y["x"][c] for c in ("work_kind", "subsidiary", "product", "fit", "reason")], **sets)
+        return F.struct(y["x"]["i"].alias("slot"), y["place"].alias("place"), given.alias("verdict"))
+
+    parsed = asked.select("batch", "error", F.transform(inside, verdict).alias("answers"))
+    rejected = F.sum(F.size(F.filter("answers", lambda y: y["verdict"].isNull())))
+    calls, counts = written_counting(parsed, calls=F.count("*"), failed=F.count_if(F.col("error").isNotNull()), rejected=rejected)
+    return calls.select("batch", F.inline("answers")).withColumn("turn", F.lit(1)).select("batch", "slot", "turn", "place", "verdict"), counts
 
 
-def classify(rows: DataFrame, order: str, line: Callable[[Column], Column], ask: Callable[[Column], Column], heading: str = "", **sets) -> tuple[DataFrame, DataFrame]:
+def classify(rows: DataFrame, order: str, line: Callable[[Column], Column], ask: Asking, heading: str = "", **sets) -> tuple[DataFrame, DataFrame]:
     """(results, stats): rows with verdict in input order (position), those that a batch left out asked for once more in smaller batches.
 
     order: a column that is unique. line: a row's line in a prompt, from its
-    number. ask: a column of prompts to {text, error}; a call that fails leaves
-    its rows as holes. sets: the closed value sets of narrow. stats, one row:
-    total, calls (of the first turn), retried and recovered rows, rejected
-    answers, missing rows, failed_batches. Empty rows: nothing is asked.
+    number. ask: see calls.answered. A call that fails leaves its rows as
+    holes. sets: the closed value sets of narrow. stats, one row: total, calls
+    (of the first turn), retried and recovered rows, rejected answers, missing
+    rows, failed_batches; all were counted in passes that write a step's
+    result, so no job runs for them alone. Empty rows: nothing is asked.
     """
-    first = kept(assign_batches(rows, [order]))
-    answers, calls = ask_batches(first, line(F.col("slot")), ask, heading, **sets)
-    placed = kept(place_answers(first, answers))
-    gaps = kept(holes(placed, order))
-    more, retries = ask_batches(gaps, line(F.col("slot")), ask, heading, **sets)
-    filled = kept(place_answers(gaps, more).select(order, F.col("verdict").alias("__again")))
-    results = placed.join(filled, order, "left").withColumn("verdict", F.coalesce("verdict", "__again")).drop("__again", "batch", "slot")
-    n = lambda df, c, name: df.agg(F.count_if(c).alias(name))
-    stats = results.agg(F.count("*").alias("total"), F.count_if(F.col("verdict").isNull()).alias("missing"))
-    yes = F.lit(True)
-    for one in (
-        n(calls, yes, "calls"), n(gaps, yes, "retried"), n(filled, F.col("__again").isNotNull(), "recovered"), n(answers.unionByName(more), F.col("verdict").isNull(), "rejected"),
-        n(calls.unionByName(retries), F.col("error").isNotNull(), "failed_batches"),
-    ):
-        stats = stats.crossJoin(one)  # one row each
-    return results, stats
+    first = assign_batches(rows, [order])
+    answers, asked = ask_batches(first, line(F.col("slot")), ask, heading, **sets)
+    placed, seen = written_counting(place_answers(first, answers), total=F.count("*"), open=F.count_if(F.col("verdict").isNull()))
+    again = {"calls": 0, "failed": 0, "rejected": 0}
+    results = placed
+    recovered = {"n": 0}
+    if seen["open"]:
+        gaps = holes(placed, order)
+        more, again = ask_batches(gaps, line(F.col("slot")), ask, heading, **sets)
+        filled, recovered = written_counting(place_answers(gaps, more).select(order, F.col("verdict").alias("__again")).where("__again is not null"), n=F.count("*"))
+        results = placed.join(filled, order, "left").withColumn("verdict", F.coalesce("verdict", "__again")).drop("__again")
+    counts = {
+        "total": seen["total"], "missing": seen["open"] - recovered["n"], "calls": asked["calls"], "retried": seen["open"], "recovered": recovered["n"],
+        "rejected": asked["rejected"] + again["rejected"], "failed_batches": asked["failed"] + again["failed"],
+    }
+    stats = rows.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+    return results.drop("batch", "slot"), stats
 
 
 def row_verdict(truth: Column, predicted: Column, assigned, unassigned: str = UNASSIGNED) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions.compat import whole_number
 from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, rules, vectors
+from docframe.operators.calls import answered
 from docframe.operators.chunking import chunk_documents as chunks_of
 from docframe.sources import remote, shared, xml
 from docframe.sources.readers import notices, table
@@ -262,7 +263,7 @@ again AS (SELECT h.o_orderkey, rb.ok FROM h JOIN rb USING (rb))
 def _classified(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, folder, "orders").select("o_orderkey", F.concat("o_orderstatus", "o_orderpriority").alias("name"), "o_totalprice")
     line = lambda slot: rendering.notice_line(slot, F.col("name"), F.lit(""), F.lit(0), F.lit(""), F.lit(""))
-    return opportunity.classify(rows, "o_orderkey", line, generation.chat(recorded_verdicts), "Classify:\n", **STATUS_SETS)
+    return opportunity.classify(rows, "o_orderkey", line, lambda rows, prompt, into: answered(rows, prompt, recorded_verdicts, into), "Classify:\n", **STATUS_SETS)
 
 
 @query(CLASSIFY_SQL + """

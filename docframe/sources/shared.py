@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +33,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """written(df), and aggregates over its rows from the same pass; 0 where there are none."""
+    seen = Observation()
+    out = written(df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()]))
+    return out, seen.get
+
+
 def store_of(folder: str) -> tuple[fs.FileSystem, str]:
     """A file system and the path in it; a plain path is a local one."""
     return fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else os.path.abspath(folder))
