@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.functions.compat import SPACE, strip
+from docframe.operators.literals import BLOCK_CHARS, Finder, blocks, once_a_worker
 
 SPAN = "struct<quote:string,offset:bigint,length:bigint,found:boolean>"
-SEED = 24  # characters of a quote, spaces left out, by which documents are looked up
+SEED = 24  # characters of a quote, spaces left out, that an automaton holds
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -83,61 +86,65 @@ def evidence_rate(items: DataFrame) -> DataFrame:
     return items.agg(F.count_if(F.col("evidence_span.found")).alias("found"), F.count("evidence_span.quote").alias("quoted"))
 
 
-def seeds(points: np.ndarray) -> np.ndarray:
-    """64-bit hashes of each run of SEED characters."""
-    h = np.zeros(max(0, len(points) - SEED + 1), dtype=np.uint64)
-    for i in range(SEED):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : i + len(h)].astype(np.uint64)
-    return h ^ h >> np.uint64(29)
-
-
-def squeezed_points(text: str | None) -> np.ndarray:
-    return np.frombuffer("".join((text or "").split()).encode("utf-32-le"), dtype=np.uint32)
-
-
-def find_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, key: str = "doc_id", bits: int = 24) -> DataFrame:
-    """(key, quote_key, offset, length) of each quote (quote_key, quote) in each document (key, text) that has it, spaces ignored.
-
-    A quote's first SEED characters are its seed. Documents keep those of their
-    own runs that may be a seed (a bitmap of fixed size says so), quotes and
-    documents meet on the seed, and locate decides. Quotes of fewer characters
-    are padded by nothing and looked for by locate in every document: they must
-    be few enough to broadcast, which is checked (up to 1,000), else an error.
+#: The code points of SPACE.
+SPACES = np.array([*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
+class Quotes:
+    """Quotes of a block, looked up by their first SEED characters without spaces."""
+
+    def __init__(self, quotes: list[str]):
+        self.stripped = [q.strip() for q in quotes]
+        self.bare = ["".join(q.split()) for q in quotes]
+        self.finder = Finder(b[:SEED] for b in self.bare)
+
+    def find(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(number, offset, length) of each quote that the text has: where it is first as it stands, or else with spaces ignored."""
+        bare = "".join(text.split())
+        first: dict[int, int] = {}
+        for start, numbers in self.finder.hits(bare):
+            for i in numbers:
+                if i not in first and bare.startswith(self.bare[i], start):
+                    first[i] = start
+        kept = None
+        for i, start in first.items():
+            at = text.find(self.stripped[i])
+            if at >= 0:
+                yield i, at, len(self.stripped[i])
+                continue
+            if kept is None:
+                kept = np.flatnonzero(~np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), SPACES))
+            begin, last = int(kept[start]), int(kept[start + len(self.bare[i]) - 1])
+            yield i, begin, last - begin + 1
+
+
+def find_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, quote_key, offset, length) of each quote (quote_key, quote) in each document (key, text) that has it, spaces ignored; as locate has them.
+
+    The quotes come to the driver in blocks of about block_chars characters;
+    each block is broadcast and searched for by one automaton in a pass over the
+    documents, which are neither shuffled nor joined. Short quotes are looked
+    for like long ones. Every document row has a row for each quote row that it
+    holds, whatever repeats; blank and null quotes, and null texts, have none.
     """
     spark = docs.sparkSession
+    asked = quotes.select(quote_key, "quote").where(F.length(bare(F.col("quote"))) > 0)
+    schema = T.StructType([docs.schema[key], quotes.schema[quote_key], T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
+    texts = docs.select(key, "text").where("text is not null")
 
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = [seeds(squeezed_points(q.as_py())[:SEED]) for q in batch.column("quote")]
-            yield batch.append_column("seed", pa.array([int(h.view(np.int64)[0]) if len(h) else None for h in first], pa.int64()))
+    def search(block: pa.Table) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+        made = once_a_worker(lambda: Quotes(shared.value.column("quote").to_pylist()))
 
-    asked = quotes.select(quote_key, "quote").where(F.length(bare(F.col("quote"))) > 0)
-    asked = asked.mapInArrow(seed, f"`{quote_key}` {quotes.schema[quote_key].dataType.simpleString()}, quote string, seed long")
-    word, bit = F.shiftrightunsigned("seed", 64 - bits + 6), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))")
-    got = asked.where("seed is not null").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^(bits - 6) rows at most
-    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(batch.column("text")):
-                h = seeds(squeezed_points(text.as_py()))
-                may = shared.value[h >> np.uint64(64 - bits + 6)] >> ((h >> np.uint64(64 - bits)) & np.uint64(63)) & np.uint64(1) == 1
-                own = np.unique(h[may])
-                rows.append(np.full(len(own), i))
-                found.append(own)
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(found).view(np.int64))], [key, "seed"])
-
-    texts = docs.select(key, "text")
-    pairs = texts.mapInArrow(kept, f"`{key}` {docs.schema[key].dataType.simpleString()}, seed long").join(asked, "seed").select(key, quote_key, "quote")
-    met = pairs.join(texts, key)
-    short = asked.where("seed is null")
-    n_short = short.count()
-    if n_short > 1000:
-        raise ValueError("over 1,000 quotes are too short to look up")
-    if n_short:
-        met = met.unionByName(texts.join(F.broadcast(short), F.contains(bare(F.col("text")), bare(F.col("quote")))).select(*met.columns))
-    return met.withColumn("span", locate(F.col("quote"), F.col("text"))).where("span.found").select(key, quote_key, "span.offset", "span.length")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = shared.value.column(quote_key).combine_chunks()
+            for batch in batches:
+                found = [(row, *hit) for row, text in enumerate(batch.column("text").to_pylist()) for hit in made().find(text)]
+                row, number, offset, length = zip(*found) if found else ((),) * 4
+                columns = [batch.column(key).take(pa.array(row, pa.int64())), names.take(pa.array(number, pa.int64())), pa.array(offset, pa.int64()), pa.array(length, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        return texts.mapInArrow(run, schema)
+
+    found = [search(block) for block in blocks(asked, "quote", block_chars)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.operators.evidence import excerpt
+from docframe.operators.literals import BLOCK_CHARS, Finder, Fold, blocks, once_a_worker, required_literals
 
 #: Id, title, pattern, reason.
 RISK_RULES = [
@@ -20,6 +25,7 @@ LAW_BASES = [
     ("국가를 당사자로 하는 계약에 관한 법률", "제5조제3항·제4항", "계약의 원칙·부당한 특약등", "https://www.law.go.kr/법령/국가를당사자로하는계약에관한법률/제5조"),
     ("지방자치단체를 당사자로 하는 계약에 관한 법률", "제6조제3항", "계약의 원칙·부당한 특약등", "https://www.law.go.kr/법령/지방자치단체를당사자로하는계약에관한법률/제6조"),
 ]
+#: Fixed value: the mark of a search that found nothing.
 NOT_FOUND = "[NOT_FOUND]"
 
 
@@ -42,6 +48,74 @@ def scan_rules(docs: DataFrame, rules: list[tuple[str, str, str, str]] = RISK_RU
     )
 
 
+FINDING = "rule_id string, title string, offset long, length long, matched string, excerpt string, reason string"
+
+
+class RuleBook:
+    """Rules whose patterns are tried only on texts that hold a string they can't match without."""
+
+    def __init__(self, patterns: list[str]):
+        self.patterns = [re.compile(p, re.I | re.S) for p in patterns]
+        literals = [required_literals(p, re.I | re.S) for p in patterns]
+        self.fold = Fold(c for found in literals for s in found or () for c in s)
+        self.always = [i for i, found in enumerate(literals) if found is None]
+        self.of = [(self.fold(s), i) for i, found in enumerate(literals) for s in found or ()]
+        self.finder = Finder(s for s, _ in self.of)
+
+    def candidates(self, text: str) -> list[int]:
+        found = {n for _, numbers in self.finder.hits(self.fold(text)) for n in numbers}
+        return sorted({*self.always, *(self.of[n][1] for n in found)})
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(number, offset, matched) of each rule's first match."""
+        for i in self.candidates(text):
+            if m := self.patterns[i].search(text):
+                yield i, m.start(), m[0]
+
+
+def scan_rule_table(docs: DataFrame, rules: DataFrame, key: str = "doc_id", radius: int = 140, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """As scan_rules, with rules as a DataFrame (rule_id, title, pattern, reason), of any number.
+
+    Patterns are Python's, case is ignored and a dot matches newlines; one that
+    can't be compiled is an error before any text is read. The rules come to
+    the driver in blocks of about block_chars characters of patterns, each
+    broadcast; in a pass over the documents for each block, an automaton finds
+    the strings without which a pattern can't match, and only the patterns of
+    strings that a text holds are tried on it (those without such a string,
+    always). Null texts, and rules with a null pattern, find nothing.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(key, "text").where("text is not null")
+    schema = T.StructType([docs.schema[key], *T.StructType.fromDDL(FINDING)])
+    given = rules.select("rule_id", "title", "pattern", "reason").where("pattern is not null")
+
+    def search(block: pa.Table) -> DataFrame:
+        for name, pattern in zip(block.column("rule_id").to_pylist(), block.column("pattern").to_pylist()):
+            try:
+                re.compile(pattern)
+            except re.error as e:
+                raise ValueError(f"rule {name}: {e}") from e
+        shared = spark.sparkContext.broadcast(block)
+        made = once_a_worker(lambda: RuleBook(shared.value.column("pattern").to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            book = {c: shared.value.column(c).to_pylist() for c in ("rule_id", "title", "reason")}
+            for batch in batches:
+                found = []
+                for row, text in enumerate(batch.column("text").to_pylist()):
+                    for i, at, matched in made().matches(text):
+                        around = re.sub(r"\s+", " ", text[max(0, at - radius) : at + len(matched) + radius]).strip()
+                        found.append((row, book["rule_id"][i], book["title"][i], at, len(matched), matched, around, book["reason"][i]))
+                row, *columns = zip(*found) if found else ((),) * 8
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], schema.names)
+
+        return texts.mapInArrow(run, schema)
+
+    found = [search(block) for block in blocks(given, "pattern", block_chars)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
 #: The parts of a review that don't depend on its text.
 CATEGORY, SEVERITY, REVIEW, NOTHING = "competition_or_unfair_term", "high", "review_needed", "no_finding"
 FOUND_TEXT, NOTHING_TEXT = "개 위험 신호를 찾았습니다.", "등록된 경쟁 제한·부당특약 위험 신호를 찾지 못했습니다."

@@ -148,17 +148,22 @@ def search_within(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT item_id, regexp_replace(text, '^%s+|%s+$', '', 'g') AS quote, regexp_replace(text, '%s+', '', 'g') AS bare FROM benchmark),
+WITH q AS (SELECT 'item' AS kind, item_id, text FROM benchmark UNION ALL SELECT 'start', item_id, substr(text, 1, 9) FROM benchmark UNION ALL SELECT 'word', item_id, regexp_extract(text, '[A-Za-z]{3,}') FROM benchmark),
+b AS (SELECT kind, item_id, regexp_replace(text, '^%s+|%s+$', '', 'g') AS quote, regexp_replace(text, '%s+', '', 'g') AS bare FROM q),
 d AS (SELECT doc_id, text, regexp_replace(text, '%s+', '', 'g') AS bare FROM documents),
-m AS (SELECT d.doc_id, b.item_id, d.text, b.quote, strpos(d.text, b.quote) AS exact, strpos(d.bare, b.bare) AS pos, length(b.bare) AS n FROM d JOIN b ON contains(d.bare, b.bare) WHERE b.bare <> ''),
-p AS (SELECT *, list_filter(range(1, length(text) + 1), lambda i: NOT regexp_full_match(string_split(text, '')[i], '%s')) AS places FROM m WHERE exact = 0)
-SELECT doc_id, item_id, CAST(exact - 1 AS BIGINT) AS "offset", length(quote) AS length FROM m WHERE exact > 0
-UNION ALL SELECT doc_id, item_id, CAST(places[pos] - 1 AS BIGINT), places[pos + n - 1] - places[pos] + 1 FROM p
+m AS (SELECT d.doc_id, b.kind, b.item_id, d.text, b.quote, strpos(d.text, b.quote) AS exact, strpos(d.bare, b.bare) AS pos, length(b.bare) AS n FROM d JOIN b ON contains(d.bare, b.bare) WHERE b.bare <> ''),
+l AS (SELECT *, string_split(text, '') AS chars FROM m WHERE exact = 0),
+p AS (SELECT *, list_filter(range(1, len(chars) + 1), lambda i: NOT regexp_full_match(chars[i], '%s')) AS places FROM l)
+SELECT doc_id, kind, item_id, CAST(exact - 1 AS BIGINT) AS "offset", length(quote) AS length FROM m WHERE exact > 0
+UNION ALL SELECT doc_id, kind, item_id, CAST(places[pos] - 1 AS BIGINT), places[pos + n - 1] - places[pos] + 1 FROM p
 """.replace("%s", PY_SPACE))
 def locate_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Each benchmark item, whole, in the documents that hold it, exactly or with spaces ignored."""
-    quotes = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return evidence.find_quotes(quotes, table(spark, folder, "documents"), "item_id")
+    """Each benchmark item, whole, its first nine characters, and its first word, in the documents that hold them, exactly or with spaces ignored."""
+    items = table(spark, folder, "benchmark")
+    pick = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("quote"))
+    kinds = F.array(pick("item", F.col("text")), pick("start", F.substring("text", 1, 9)), pick("word", F.regexp_extract("text", "[A-Za-z]{3,}", 0)))
+    quotes = items.select("item_id", F.inline(kinds)).select(F.struct("kind", "item_id").alias("id"), "quote")
+    return evidence.find_quotes(quotes, table(spark, folder, "documents"), "id").select("doc_id", "id.kind", "id.item_id", "offset", "length")
 
 
 @query("""
@@ -208,6 +213,25 @@ def risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.scan_rules(table(spark, folder, "documents"), PLAIN_RULES).select("doc_id", "rule_id", "offset", "length")
 
 
+@query("""
+WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), r AS (
+  SELECT 'near-' || item_id AS rule_id, w[1] || '[ ,.\n]+' || w[2] || '.{0,20}' || w[3] AS p FROM w WHERE len(w) > 2 UNION ALL SELECT 'either-' || item_id, '(' || w[4] || '|' || w[5] || ')[ ]+(' || w[6] || ')?[a-z]*' || w[7] FROM w WHERE len(w) > 6),
+m AS (SELECT doc_id, rule_id, text, regexp_extract(text, '(?is)' || p) AS matched FROM documents, r)
+SELECT doc_id, rule_id, CAST(strpos(text, matched) - 1 AS BIGINT) AS "offset", length(matched) AS length,
+  regexp_replace(regexp_replace(substr(text, greatest(0, strpos(text, matched) - 141) + 1, strpos(text, matched) - 1 + length(matched) + 140 - greatest(0, strpos(text, matched) - 141)), '%s+', ' ', 'g'), '^ | $', '', 'g') AS excerpt
+FROM m WHERE matched <> ''
+""".replace("%s", PY_SPACE))
+def rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Two rules for each benchmark item, made of its words, over every document."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))
+    at = lambda i: F.get(w, F.lit(i))
+    near = F.concat(at(0), F.lit("[ ,.\n]+"), at(1), F.lit(".{0,20}"), at(2))
+    either = F.concat(F.lit("("), at(3), F.lit("|"), at(4), F.lit(")[ ]+("), at(5), F.lit(")?[a-z]*"), at(6))
+    pick = lambda kind, p: F.struct(F.concat(F.lit(kind + "-"), F.col("item_id").cast("string")).alias("rule_id"), F.lit("").alias("title"), p.alias("pattern"), F.lit("").alias("reason"))
+    found = rules.scan_rule_table(table(spark, folder, "documents"), table(spark, folder, "benchmark").select(F.inline(F.array(pick("near", near), pick("either", either)))))
+    return found.select("doc_id", "rule_id", "offset", "length", "excerpt")
+
+
 @query("""
 WITH k AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), f AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM k)
 SELECT page_id, host, row_number() OVER (ORDER BY page_id) AS number FROM f WHERE n = 1 ORDER BY page_id LIMIT 20
