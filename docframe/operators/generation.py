@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from docframe.functions.compat import strip
 from docframe.operators.calls import Client, answered
 from docframe.operators.evidence import attach_evidence, surviving_quotes
-from docframe.operators.hardware import flag_value, reconcile_name
+from docframe.operators.hardware import flag_variant, reconcile_name
 from docframe.operators.opportunity import salvage_object
 from docframe.operators.records import classify_failure
 from docframe.operators.rendering import render_notices
@@ -48,23 +48,29 @@ def summarize(notices: DataFrame, client: Client, model: str, budget: int | None
     return asked.select("notice_no", strip(F.col("__a.text")).alias("summary"), F.when(~failed, F.lit(version)).alias("prompt_version"), F.when(~failed, F.lit(model)).alias("llm_model"), F.when(failed, classify_failure(F.col("__a.error"))).alias("failure"))
 
 
-CONSTRAINT = "struct<attr:string,op:string,value:string,unit:string,raw:string>"
+CONSTRAINT = "struct<attr:string,op:string,value:variant,unit:string,raw:string>"
 PART = f"category:string,name:string,named:boolean,qty:bigint,unit:string,constraints:array<{CONSTRAINT}>,allow_equivalent:boolean,evidence:string"
 ITEM = f"struct<{PART},prebuilt:boolean,children:array<struct<{PART}>>,notes:array<string>>"
 
 
 def tidy(part: Column) -> Column:
-    """An item or a child with flags folded, its name reconciled, and a quantity of 1 at least."""
+    """An item or a child with flags folded, its name reconciled, and a quantity of 1 at least; a constraint's value is a flag, a number or a text, as the model wrote it."""
     name, named = reconcile_name(part["name"], part["named"])
-    folded = F.transform(part["constraints"], lambda c: c.withField("value", flag_value(c["attr"], c["value"])))
+    folded = F.transform(part["constraints"], lambda c: c.withField("value", flag_variant(c["attr"], c["value"])))
     return part.withField("name", name).withField("named", named).withField("constraints", folded).withField("qty", F.greatest(F.lit(1), F.coalesce(part["qty"], F.lit(1))))
 
 
+def tidy_item(item: Column) -> Column:
+    """tidy of an item and of each of its children."""
+    own = tidy(item)
+    return own.withField("children", F.transform(own["children"], tidy))
+
+
 def extract_requirements(texts: DataFrame, client: Client, key: str = "doc_id", **asking) -> DataFrame:
     """A row for each item that the model finds in (key, text): its fields and children tidied, evidence of both located."""
     asked = answered(texts, "text", client, "__a", **asking)
     items = asked.select(key, "text", F.explode(salvage_object(F.col("__a.text"), f"struct<items:array<{ITEM}>>")["items"]).alias("i"))
-    tidied = items.withColumn("i", tidy(F.col("i"))).withColumn("i", F.col("i").withField("children", F.transform(F.col("i.children"), tidy)))
+    tidied = items.withColumn("i", tidy_item(F.col("i")))
     return attach_evidence(tidied.select(key, "text", "i.*")).drop("text")
 
 

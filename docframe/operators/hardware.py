@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docframe.functions import values
 from docframe.functions.compat import blank_to_null, strip
 
 #: Units of the common attributes; those without a unit are counts or words.
@@ -52,12 +53,30 @@ def canonical_attributes(catalogue: DataFrame, key: str, mapping: dict[str, str]
     return catalogue.select(key, F.inline(F.array(*have))).where("value is not null")
 
 
+def canonical_values(catalogue: DataFrame, key: str, mapping: dict[str, str], flags: tuple[str, ...] = ("ecc_support",)) -> DataFrame:
+    """As canonical_attributes, with each value a VARIANT of its column's kind: a number, a text, or a flag (true for Yes)."""
+
+    def cell(column: str, attr: str) -> Column:
+        c = F.col(column)
+        value = F.when(c.isNotNull(), c == "Yes") if column in flags else c
+        return F.struct(F.lit(attr).alias("attr"), values.of(value).alias("value"), F.lit(ATTR_UNITS.get(attr)).cast("string").alias("unit"))
+
+    have = [cell(c, a) for c, a in mapping.items() if c in catalogue.columns]
+    return catalogue.select(key, F.inline(F.array(*have))).where("value is not null")
+
+
 def flag_value(attr: Column, value: Column, flags: tuple[str, ...] = ("ecc",)) -> Column:
     """A flag's text as true or false; blank text and other attributes stay."""
     word = F.lower(strip(value))
     return F.when(~attr.isin(*flags) | (word == ""), value).when(word.isin(*FLAG_FALSE), "false").otherwise(F.when(value.isNotNull(), "true"))
 
 
+def flag_variant(attr: Column, value: Column, flags: tuple[str, ...] = ("ecc",)) -> Column:
+    """As flag_value, of a VARIANT: a flag's text becomes true or false, other values stay what they are (numbers as doubles)."""
+    said = flag_value(attr, values.text(value), flags)
+    return F.when(attr.isin(*flags) & said.isin("true", "false"), (said == "true").cast("variant")).otherwise(values.value(value))
+
+
 def reconcile_name(name: Column, named: Column) -> tuple[Column, Column]:
     """A blank name is null, and then the part isn't named."""
     kept = blank_to_null(name)

@@ -11,8 +11,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe.functions import values
 from docframe.functions.compat import whole_number
-from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, rules, vectors
+from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, requirements, rules, vectors
 from docframe.operators.calls import answered
 from docframe.operators.chunking import chunk_documents as chunks_of
 from docframe.sources import remote, shared, xml
@@ -376,6 +377,74 @@ def requirement_match(spark: SparkSession, folder: str) -> DataFrame:
     return hardware.match_requirements(attributes, spark.createDataFrame(CONSTRAINTS, "requirement string, attr string, op string, value string"), "p_partkey")
 
 
+TREE_SQL = """
+WITH prod AS (SELECT p_partkey, p_type AS category, p_size AS cores, lower(p_brand) AS socket, p_size % 2 = 0 AS ecc, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_partkey % 5 END AS quantity FROM part),
+req AS (SELECT n_nationkey AS k, ['ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD', 'LARGE'] AS kinds, n_nationkey % 3 + 1 AS qty FROM nation),
+parts AS (
+  SELECT k, 0 AS part, kinds[k % 6 + 1] AS category, qty AS need, k % 10 = 0 AS equivalent FROM req
+  UNION ALL SELECT k, 1, kinds[(k + 1) % 6 + 1], qty * (CASE WHEN k % 4 = 1 THEN 500 ELSE 2 END), false FROM req UNION ALL SELECT k, 2, CASE WHEN k % 2 = 0 THEN 'NONE' ELSE 'SMALL' END, qty, false FROM req WHERE k % 7 > 0
+), conditions AS (
+  SELECT k, part, category, need, equivalent, p_partkey, quantity, CASE part WHEN 0 THEN cores >= k * 2 ELSE socket = 'brand#' || (k % 20 + 1) END AS one, CASE WHEN part = 0 THEN ecc WHEN k % 4 = 0 OR k % 6 = 1 THEN NULL ELSE cores <= 20 END AS two
+  FROM parts JOIN prod USING (category) WHERE part < 2
+), matches AS (
+  SELECT k, part, p_partkey, quantity, CAST(one IS TRUE AS INTEGER) + CAST(two IS TRUE AS INTEGER) AS n_met, CAST(one IS FALSE AS INTEGER) + CAST(two IS FALSE AS INTEGER) AS n_unmet, CAST(one IS NULL AS INTEGER) + CAST(two IS NULL AS INTEGER) AS n_open,
+    CASE WHEN equivalent THEN 'needs_review' WHEN NOT one OR NOT two THEN 'fail' WHEN one AND two THEN 'pass' ELSE 'needs_review' END AS verdict FROM conditions
+)
+"""
+
+
+def _requirements(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Products' attributes, and the parts of what a model has found: a set with children for each nation, values as flags, numbers and texts."""
+    k, kinds = F.col("n_nationkey"), F.array(*map(F.lit, ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")))
+    kind = lambda n: F.element_at(kinds, (n % 6 + 1).cast("int"))
+    rule = lambda attr, op, value: F.concat(F.lit(f'{{"attr":"{attr}","op":'), op, F.lit(',"value":'), value, F.lit(',"raw":"x"}'))
+    said = lambda text: F.lit(f'"{text}"')
+    part = lambda category, qty, *rules: F.concat(F.lit('{"category":"'), category, F.lit('","qty":'), qty.cast("string"), F.lit(',"constraints":['), F.concat_ws(",", *rules), F.lit("]"))
+    socket = F.concat(F.lit('" bRAND#'), (k % 20 + 1).cast("string"), F.lit(' "'))
+    first = part(kind(k + 1), F.when(k % 4 == 1, 500).otherwise(2), rule("socket", said("eq"), socket), rule("cores", F.when(k % 4 == 0, '"approx"').otherwise('"lte"'), F.when(k % 6 == 1, '"20"').otherwise("20")))
+    second = F.when(k % 7 > 0, F.concat(F.lit(","), part(F.when(k % 2 == 0, "NONE").otherwise("SMALL"), F.lit(1)), F.lit("}"))).otherwise("")
+    item = part(kind(k), k % 3 + 1, rule("cores", said("gte"), (k * 2).cast("string")), rule("ecc", said("eq"), said("지원")))
+    answer = F.concat(F.lit('{"items":['), item, F.lit(',"allow_equivalent":'), (k % 10 == 0).cast("string"), F.lit(',"children":['), first, F.lit("}"), second, F.lit("]}]}"))
+    found = table(spark, folder, "nation").select("n_nationkey", opportunity.salvage_object(answer, f"struct<items:array<{generation.ITEM}>>")["items"].alias("items"))
+    parts = requirements.requirement_parts(found.withColumn("items", F.transform("items", generation.tidy_item)), "n_nationkey")
+    attributes = hardware.canonical_values(_catalogue(spark, folder), "p_partkey", hardware.CPU_ATTRS)
+    return attributes.join(table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("category")), "p_partkey"), parts
+
+
+@query(TREE_SQL + "SELECT k AS n_nationkey, part, p_partkey, n_met, n_unmet, n_open, verdict FROM matches")
+def requirement_parts(spark: SparkSession, folder: str) -> DataFrame:
+    attributes, parts = _requirements(spark, folder)
+    return requirements.match_parts(attributes, parts, "n_nationkey", "p_partkey").drop("item")
+
+
+@query(TREE_SQL + """
+, held AS (SELECT category, sum(quantity) AS total, count(*) FILTER (quantity IS NULL) AS unknown FROM prod GROUP BY category),
+s AS (SELECT k, part, sum(quantity) FILTER (verdict = 'pass') AS sure, sum(quantity) FILTER (verdict = 'fail') AS lost, count(*) FILTER (verdict = 'fail' AND quantity IS NULL) AS lost_unknown FROM matches GROUP BY ALL),
+p AS (SELECT k, part, need, coalesce(sure, 0) AS sure, CASE WHEN coalesce(unknown, 0) - coalesce(lost_unknown, 0) = 0 THEN coalesce(total, 0) - coalesce(lost, 0) END AS possible FROM parts LEFT JOIN s USING (k, part) LEFT JOIN held USING (category)),
+v AS (SELECT *, CASE WHEN sure >= need THEN 'pass' WHEN possible < need THEN 'fail' ELSE 'needs_review' END AS verdict FROM p),
+i AS (SELECT k, CASE WHEN bool_or(verdict = 'fail') THEN 'fail' WHEN bool_or(verdict = 'needs_review') THEN 'needs_review' ELSE 'pass' END AS verdict FROM v GROUP BY k)
+SELECT k AS n_nationkey, 'part' AS level, 0 AS item, part, CAST(need AS BIGINT) AS need, CAST(sure AS BIGINT) AS sure, CAST(possible AS BIGINT) AS possible, verdict FROM v
+UNION ALL SELECT k, 'item', 0, NULL, NULL, NULL, NULL, verdict FROM i UNION ALL SELECT k, 'requirement', NULL, NULL, NULL, NULL, NULL, verdict FROM i
+""")
+def requirement_tree(spark: SparkSession, folder: str) -> DataFrame:
+    attributes, parts = _requirements(spark, folder)
+    k = F.col("p_partkey")
+    stock = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("category"), F.when(k % 97 != 0, k % 5).alias("quantity"))
+    return requirements.roll_up(requirements.match_parts(attributes, parts, "n_nationkey", "p_partkey"), parts, stock, "n_nationkey", "p_partkey")
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'number' WHEN 1 THEN 'text' WHEN 2 THEN 'flag' WHEN 3 THEN 'number' END AS kind, CASE event_id % 5 WHEN 0 THEN value WHEN 3 THEN floor(value) END::DOUBLE AS n,
+  CASE WHEN event_id % 5 = 2 THEN value > 20 END AS flag, CASE WHEN event_id % 5 = 1 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS t FROM events
+""")
+def constraint_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Values as a model writes them: numbers, numbers in quotes, flags, whole numbers, and neither."""
+    whole = F.floor("value").cast("string")
+    said = F.element_at(F.array(F.col("value").cast("string"), F.concat(F.lit('"'), whole, F.lit('"')), (F.col("value") > 20).cast("string"), whole, F.concat(F.lit("["), whole, F.lit("]"))), (F.col("event_id") % 5 + 1).cast("int"))
+    v = values.value(F.try_parse_json(said))
+    return table(spark, folder, "events").select("event_id", values.kind(v).alias("kind"), values.number(v).alias("n"), values.flag(v).alias("flag"), values.text(v).alias("t"))
+
+
 @query("""
 WITH t AS (SELECT doc_id, regexp_replace(lower(text), '%s+', '', 'g') AS b FROM documents)
 SELECT doc_id, contains(b, 'allrights') AND contains(b, 'reserved') AS has_all, contains(b, 'licensedunder') OR contains(b, 'password=') AS has_any FROM t
@@ -621,18 +690,21 @@ def recorded_summary(prompt: str) -> str:
 
 
 @query("""
-SELECT doc_id, 'CPU' AS category, CAST(NULL AS VARCHAR) AS name, false AS named, 2 AS qty, 'false' AS flag, strpos(text, 'All rights reserved.') > 0 AS found, CAST(CASE WHEN contains(text, 'All rights reserved.') THEN strpos(text, 'All rights reserved.') - 1 ELSE -1 END AS BIGINT) AS "offset",
-  'fan' AS child, strpos(text, 'reserved') > 0 AS child_found FROM documents WHERE contains(text, 'rights reserved') AND (contains(text, 'All rights reserved.') OR NOT contains(regexp_replace(text, '%s+', '', 'g'), 'Allrightsreserved.'))
+WITH d AS (SELECT doc_id, text, regexp_replace(text, '%s+', '', 'g') AS bare, strpos(text, 'All rights reserved.') AS exact FROM documents WHERE contains(text, 'rights reserved')),
+l AS (SELECT *, CASE WHEN exact = 0 THEN strpos(bare, 'Allrightsreserved.') ELSE 0 END AS pos FROM d),
+p AS (SELECT *, CASE WHEN pos > 0 THEN list_filter(range(1, length(text) + 1), lambda i: NOT regexp_full_match(string_split(text, '')[i], '%s')) END AS places FROM l)
+SELECT doc_id, 'CPU' AS category, CAST(NULL AS VARCHAR) AS name, false AS named, 2 AS qty, 'false' AS flag, exact + pos > 0 AS found, CAST(CASE WHEN exact > 0 THEN exact - 1 WHEN pos > 0 THEN places[pos] - 1 ELSE -1 END AS BIGINT) AS "offset",
+  CAST(CASE WHEN exact > 0 THEN 20 WHEN pos > 0 THEN places[pos + 17] - places[pos] + 1 ELSE 0 END AS BIGINT) AS length, 'fan' AS child, true AS child_found FROM p
 """.replace("%s", PY_SPACE))
 def extract_requirements(spark: SparkSession, folder: str) -> DataFrame:
-    """Items and their children by a recorded client, their evidence located in the documents; but for those where it is split by other spaces, which the tests look at."""
+    """Items and their children by a recorded client, their evidence located in the documents, with other spaces too."""
     child = {"name": "fan", "named": True, "evidence": "reserved"}
     item = {"category": "CPU", "name": " ", "named": True, "qty": 2, "constraints": [{"attr": "ecc", "op": "eq", "value": "미지원", "raw": "x"}], "evidence": "All rights reserved.", "children": [child]}
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = generation.extract_requirements(docs, generation.ReplayClient({"rights reserved": generation.recorded({"items": [item]})}, "{}"))
     one = F.col("children")[0]
-    return found.where("evidence_span.found and evidence_span.length = 20 or not evidence_span.found").select(
-        "doc_id", "category", "name", "named", "qty", F.col("constraints")[0]["value"].alias("flag"), "evidence_span.found", "evidence_span.offset", one["name"].alias("child"), one["evidence_span"]["found"].alias("child_found")
+    return found.select(
+        "doc_id", "category", "name", "named", "qty", values.shown(F.col("constraints")[0]["value"]).alias("flag"), "evidence_span.found", "evidence_span.offset", "evidence_span.length", one["name"].alias("child"), one["evidence_span"]["found"].alias("child_found")
     )
 
 

@@ -200,7 +200,7 @@ def test_children_and_schemas(spark):
     got = generation.extract_requirements(texts, generation.ReplayClient({"PC": answer})).first()
     one = got.children[0]
     assert (got.qty, got.prebuilt, got.notes, got.evidence_span.found) == (1, True, ["n"], False)
-    assert (one.name, one.named, one.qty, one.constraints[0].value, tuple(one.evidence_span)) == (None, False, 1, "true", ("two  fans", 8, 8, True))
+    assert (one.name, one.named, one.qty, one.constraints[0].value.toPython(), tuple(one.evidence_span)) == (None, False, 1, True, ("two  fans", 8, 8, True))
     asked = generation.response_schema(spark.createDataFrame([], "a string, evidence_span struct<x:int>, c array<struct<b:int,evidence_span:string>>").schema)
     assert asked.simpleString() == "struct<a:string,c:array<struct<b:int>>>"
     assert generation.constrained(lambda prompt, schema: schema, asked)("x") == asked.json()
