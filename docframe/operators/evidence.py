@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.functions.compat import SPACE, strip
-from docframe.operators.literals import BLOCK_CHARS, Finder, blocks, once_a_worker
+from docframe.operators.literals import BLOCK_CHARS, Finder, OnceAWorker, blocks
 
 SPAN = "struct<quote:string,offset:bigint,length:bigint,found:boolean>"
 SEED = 24  # characters of a quote, spaces left out, that an automaton holds
@@ -134,7 +134,7 @@ def find_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, key: str = "
 
     def search(block: pa.Table) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
-        made = once_a_worker(lambda: Quotes(shared.value.column("quote").to_pylist()))
+        made = OnceAWorker(lambda: Quotes(shared.value.column("quote").to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = shared.value.column(quote_key).combine_chunks()

@@ -52,18 +52,22 @@ class Finder:
 _made: dict[str, object] = {}
 
 
-def once_a_worker(make: Callable[[], object]) -> Callable[[], object]:
-    """make's result, made on first use in each Python worker and kept for later tasks; a few are kept at a time."""
-    name = uuid.uuid4().hex
+class OnceAWorker:
+    """What make gives, made on first use in each Python worker and kept for later tasks; a few are kept at a time.
 
-    def get() -> object:
-        if name not in _made:
+    A class of the module, not a function within another: such a function goes
+    to the workers with its own copy of the module's variables.
+    """
+
+    def __init__(self, make: Callable[[], object]):
+        self.make, self.name = make, uuid.uuid4().hex
+
+    def __call__(self) -> object:
+        if self.name not in _made:
             while len(_made) >= 4:
                 _made.pop(next(iter(_made)))
-            _made[name] = make()
-        return _made[name]
-
-    return get
+            _made[self.name] = self.make()
+        return _made[self.name]
 
 
 # --- what a pattern can't match without

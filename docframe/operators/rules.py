@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.operators.evidence import excerpt
-from docframe.operators.literals import BLOCK_CHARS, Finder, Fold, blocks, once_a_worker, required_literals
+from docframe.operators.literals import BLOCK_CHARS, Finder, Fold, OnceAWorker, blocks, required_literals
 
 #: Id, title, pattern, reason.
 RISK_RULES = [
@@ -96,7 +96,7 @@ def scan_rule_table(docs: DataFrame, rules: DataFrame, key: str = "doc_id", radi
             except re.error as e:
                 raise ValueError(f"rule {name}: {e}") from e
         shared = spark.sparkContext.broadcast(block)
-        made = once_a_worker(lambda: RuleBook(shared.value.column("pattern").to_pylist()))
+        made = OnceAWorker(lambda: RuleBook(shared.value.column("pattern").to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             book = {c: shared.value.column(c).to_pylist() for c in ("rule_id", "title", "reason")}

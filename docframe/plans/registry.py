@@ -148,6 +148,24 @@ def search_within(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.search_within(table(spark, folder, "documents"), QUERY, vectors.HashedEncoder(), 3, 0.05)
 
 
+@query("""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, text FROM conversations WHERE role <> 'system' AND conv_id % 3 > 0),
+w AS (SELECT conv_id, place, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM c),
+p AS (SELECT conv_id, place, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL),
+v AS (SELECT conv_id, place, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, place)), 6) AS weight FROM p)
+SELECT conv_id, 'hashed' AS model, 64 AS dim, CAST(place AS INTEGER) AS place, CAST(bucket AS INTEGER) AS bucket, weight FROM v UNION ALL SELECT DISTINCT conv_id, '', 0, -1, -1, 0.0 FROM conversations WHERE conv_id % 3 = 0
+""")
+def embed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns of a conversation as a request for vectors; of every third conversation nothing is asked."""
+    turns = table(spark, folder, "conversations")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(turns.role != "system", F.struct("turn", "text")))), lambda x: x["text"])
+    asked = turns.groupBy("conv_id").agg(texts.alias("texts")).withColumn("texts", F.when(F.col("conv_id") % 3 > 0, F.col("texts")).otherwise(F.array().cast("array<string>")))
+    found = vectors.embed_requests(asked, vectors.HashedEncoder(), "conv_id")
+    filled = F.flatten(F.transform("vectors", lambda v, i: F.filter(F.transform(v, lambda x, b: F.struct(i.alias("place"), b.alias("bucket"), F.round(x, 6).alias("weight"))), lambda y: y["weight"] > 0)))
+    none = F.array(F.struct(F.lit(-1).alias("place"), F.lit(-1).alias("bucket"), F.lit(0.0).alias("weight")))
+    return found.select("conv_id", "model", "dim", F.inline(F.when(F.col("dim") > 0, filled).otherwise(none)))
+
+
 @query("""
 WITH q AS (SELECT 'item' AS kind, item_id, text FROM benchmark UNION ALL SELECT 'start', item_id, substr(text, 1, 9) FROM benchmark UNION ALL SELECT 'word', item_id, regexp_extract(text, '[A-Za-z]{3,}') FROM benchmark),
 b AS (SELECT kind, item_id, regexp_replace(text, '^%s+|%s+$', '', 'g') AS quote, regexp_replace(text, '%s+', '', 'g') AS bare FROM q),

@@ -244,6 +244,53 @@ def test_encoder(spark):
     assert got[0] == pytest.approx(list(e(["a b a"])[0])) and sum(x * x for x in got[0]) == pytest.approx(1) and set(got[1]) == set(got[2]) == {0.0}
 
 
+def test_nearest_vectors(spark):
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(i, [r.choice([0.0, 0.6, -0.8, 1.0]) for _ in range(4)]) for i in range(120)] + [(200, None), (201, [1.0]), (202, [None, 0.0, 0.0, 1.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    value = {i: np.array(v) if v is not None and len(v) == 4 and None not in v else np.zeros(4) for i, v in rows if i is not None}
+    for block, least in ((1 << 25, -9.0), (64, 0.5)):
+        want = []
+        for q in value:
+            best = sorted((-round(float(value[q] @ value[i]), 6) + 0.0, i) for i in value if i != q)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best) if -s >= least]
+        got = vectors.top_k_each(df.where("vec_id is null or vec_id % 1 = 0"), df, 5, least, block_bytes=block)
+        assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got.collect()) == sorted(want)
+    assert vectors.top_k_each(df.limit(0), df, 5).count() == 0 and vectors.top_k_each(df, df.limit(0), 5).count() == 0
+
+
+def test_resident_encoder(spark, tmp_path):
+    """Loaded once in each worker, from the shipped artefact, for all tasks and jobs."""
+    (tmp_path / "model").mkdir()
+    (tmp_path / "model/dim.txt").write_text("8")
+    loads = tmp_path / "loads"
+    loads.mkdir()
+
+    def load(path):
+        import os
+        import uuid
+
+        (loads / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return vectors.HashedEncoder(int(open(os.path.join(path, "dim.txt")).read()))
+
+    e = vectors.Resident(spark, load, "shipped", str(tmp_path / "model"))
+    texts = spark.range(200).select("id", F.array(F.lit("a b"), F.col("id").cast("string")).alias("texts")).repartition(16)
+    for _ in range(3):
+        assert {(r.model, r.dim, len(r.vectors)) for r in vectors.embed_requests(texts, e, "id").collect()} == {("shipped", 8, 2)}
+    workers = [p.name.split("-")[0] for p in loads.iterdir()]
+    assert len(workers) == len(set(workers)) <= 8
+    none = vectors.embed_requests(texts.select("id", F.when(F.col("id") > 0, F.array().cast("array<string>")).alias("texts")), e, "id")
+    assert {(r.model, r.dim, len(r.vectors)) for r in none.collect()} == {("", 0, 0)}
+
+
+def test_attached_texts(spark):
+    notices = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k long")
+    texts = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (9, "x"), (None, "n")], "k long, text string")
+    assert sorted((r.k or 0, r.text) for r in vectors.attach_texts(notices, texts, "k").collect()) == [(0, ""), (1, "a"), (2, ""), (3, "")]
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "c.csv").write_text("name , cores,url\n A , 8.0 ,u\nB,x,u\n,,u\nC,,u\n")
     rows = readers.read_catalogue(spark, str(tmp_path / "c.csv"))

@@ -34,5 +34,5 @@ def test_filters_reach_the_scan(spark):
 
 def test_queries_in_blocks(spark):
     v = spark.read.parquet(f"{FOLDER}/embeddings.parquet").where("vec_id < 60")
-    one, many = (plain(top_k_each(v, v, 3, max_queries=n).toPandas()) for n in (1000, 7))
+    one, many = (plain(top_k_each(v, v, 3, block_bytes=n).toPandas()) for n in (1 << 25, 4096))
     assert one == many and len(one[1]) == 180
