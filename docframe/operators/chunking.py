@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The bounds of a request for chunks.
@@ -44,6 +45,12 @@ def check_request(size: int, overlap: int) -> None:
             raise ValueError(f"{name} must be between {least} and {most}")
 
 
+def request_problem(size: Column, overlap: Column) -> Column:
+    """What check_request would say of a row's request, null where it is fine; a null size or overlap is the default one."""
+    told = [F.when(~c.between(*bounds), f"{name} must be between {bounds[0]} and {bounds[1]}") for name, c, bounds in (("size", size, SIZES), ("overlap", overlap, OVERLAPS))]
+    return F.coalesce(*told)
+
+
 def chunk_documents(docs: DataFrame, size: int = 700, overlap: int = 120, key: str = "doc_id") -> DataFrame:
     """(key, offset, length, text) of each chunk of docs' text, offsets and lengths in code points.
 

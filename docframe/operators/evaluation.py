@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions.compat import integer_text, squeeze
+from docframe.functions.compat import integer_text, squeeze, strip
 from docframe.operators.evidence import once
+from docframe.operators.opportunity import assign_batches
 
 
 def enough(quantity: Column, name: Column, least: Column) -> Column:
@@ -61,6 +62,32 @@ def compare_cells(left: DataFrame, right: DataFrame, keys: list[str], value: str
     return a.join(b, keys, "full_outer").withColumn("same", F.col("left_value").eqNullSafe(F.col("right_value")))
 
 
+def sheet_cells(rows: DataFrame, order: list[str], file: str) -> DataFrame:
+    """(file, row, col, value) of each cell that isn't blank, by position: the columns' names are row 1, the rows follow in their order within each file, and columns count from 1 without file.
+
+    Values are texts, stripped. A null file is the file ''.
+    """
+    columns = [c for c in rows.columns if c != file]
+    named = rows.withColumn(file, F.coalesce(F.col(file).cast("string"), F.lit("")))
+    placed = assign_batches(named, [file, *order])
+    starts = placed.groupBy(file).agg(F.min("position").alias("__first"))
+    cells = lambda texts: F.array(*[F.struct(F.lit(i).alias("col"), t.alias("value")) for i, t in enumerate(texts, 1)])
+    body = placed.join(starts, file).select(F.col(file).alias("file"), (F.col("position") - F.col("__first") + 2).alias("row"), F.inline(cells([strip(F.col(f"`{c}`").cast("string")) for c in columns])))
+    head = starts.select(F.col(file).alias("file"), F.lit(1).cast("long").alias("row"), F.inline(cells([strip(F.lit(c)) for c in columns])))
+    return head.unionByName(body).where("value <> ''")
+
+
+def compare_sheets(left: DataFrame, right: DataFrame, order: list[str], file: str) -> DataFrame:
+    """(file, row, col, left_value, right_value, same) of every place that either side fills, whatever rows, columns or files only one of them has."""
+    return compare_cells(sheet_cells(left, order, file), sheet_cells(right, order, file), ["file", "row", "col"])
+
+
+def sheet_shapes(cells: DataFrame) -> DataFrame:
+    """(file, left_rows, right_rows, left_columns, right_columns, total, failed) of compare_sheets: the last row and column that each side fills, 0 where it lacks the file; failed counts the places that differ."""
+    last = lambda side, c: F.coalesce(F.max(F.when(F.col(f"{side}_value").isNotNull(), F.col(c))), F.lit(0)).cast("long")
+    return cells.groupBy("file").agg(last("left", "row").alias("left_rows"), last("right", "row").alias("right_rows"), last("left", "col").alias("left_columns"), last("right", "col").alias("right_columns"), F.count("*").alias("total"), F.count_if(~F.col("same")).alias("failed"))
+
+
 def compare_files(cells: DataFrame, file: str) -> DataFrame:
     """Cells compared, equal and different by file."""
     return cells.groupBy(file).agg(F.count("*").alias("total"), F.count_if("same").alias("matched"), F.count_if(~F.col("same")).alias("failed"))

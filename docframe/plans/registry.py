@@ -10,30 +10,18 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.functions import values
 from docframe.functions.compat import whole_number
 from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, requirements, rules, vectors
 from docframe.operators.calls import answered
 from docframe.operators.chunking import chunk_documents as chunks_of
+from docframe.operators.chunking import request_problem
+from docframe.plans.base import ORACLE_SQL, PY_SPACE, QUERIES, excerpt_sql, query  # noqa: F401 - the registry's own names
 from docframe.sources import remote, shared, xml
 from docframe.sources.readers import notices, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (spark, folder) under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def _cut(s: str) -> str:
     """SQL of where a chunk that begins at s ends."""
@@ -41,7 +29,6 @@ def _cut(s: str) -> str:
     return f"CASE WHEN {s} + 700 >= n THEN n WHEN contains({part}, chr(10)) THEN {s} + 525 + length(regexp_extract({part}, '^(.*\\n)', 1, 's')) ELSE {s} + 700 END"
 
 
-PY_SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CHUNKS_SQL = f"""
 WITH RECURSIVE c AS (
   SELECT doc_id, text, n, CAST(0 AS BIGINT) AS s, CAST({_cut("0")} AS BIGINT) AS e FROM (SELECT doc_id, text, length(text) AS n FROM documents) WHERE n > 0
@@ -223,13 +210,16 @@ def render_notices(spark: SparkSession, folder: str) -> DataFrame:
 PLAIN_RULES = [("rights", "Rights", r"all\s+rights.{0,40}reserved", ""), ("licence", "Licence", r"(licensed|distributed)\s+under.{0,60}[0-9.]+", ""), ("secret", "Secret", r"(password|token)\s*=", "")]
 
 
-@query("""
-WITH r AS (SELECT * FROM (VALUES ('rights', 'all\\s+rights.{0,40}reserved'), ('licence', '(licensed|distributed)\\s+under.{0,60}[0-9.]+'), ('secret', '(password|token)\\s*=')) t(rule_id, p)),
+AT = "(strpos(text, matched) - 1)"
+
+
+@query(f"""
+WITH r AS (SELECT * FROM (VALUES ('rights', 'all\\s+rights.{{0,40}}reserved'), ('licence', '(licensed|distributed)\\s+under.{{0,60}}[0-9.]+'), ('secret', '(password|token)\\s*=')) t(rule_id, p)),
 m AS (SELECT doc_id, rule_id, text, regexp_extract(text, p, 0, 'is') AS matched FROM documents, r)
-SELECT doc_id, rule_id, CAST(strpos(text, matched) - 1 AS BIGINT) AS "offset", length(matched) AS length FROM m WHERE matched <> ''
+SELECT doc_id, rule_id, CAST({AT} AS BIGINT) AS "offset", length(matched) AS length, {excerpt_sql(AT, "length(matched)")} AS excerpt FROM m WHERE matched <> ''
 """)
 def risk_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.scan_rules(table(spark, folder, "documents"), PLAIN_RULES).select("doc_id", "rule_id", "offset", "length")
+    return rules.scan_rules(table(spark, folder, "documents"), PLAIN_RULES).select("doc_id", "rule_id", "offset", "length", "excerpt")
 
 
 @query("""
@@ -556,15 +546,116 @@ def canonical_gpu_attrs(spark: SparkSession, folder: str) -> DataFrame:
     return hardware.canonical_attributes(gpus, "p_partkey", hardware.GPU_ATTRS)
 
 
-@query("""
-WITH f AS (SELECT doc_id, text, list_filter([CASE WHEN regexp_matches(text, '(?is)all\\s+rights.{0,40}reserved') THEN 'rights' END, CASE WHEN regexp_matches(text, '(?is)(licensed|distributed)\\s+under.{0,60}[0-9.]+') THEN 'licence' END, CASE WHEN regexp_matches(text, '(?is)(password|token)\\s*=') THEN 'secret' END], lambda x: x IS NOT NULL) AS ids, lang, source FROM documents)
-SELECT doc_id, CASE WHEN len(ids) > 0 THEN 'review_needed' ELSE 'no_finding' END AS verdict, CASE WHEN len(ids) > 0 THEN len(ids) || '개 위험 신호를 찾았습니다.' ELSE '등록된 경쟁 제한·부당특약 위험 신호를 찾지 못했습니다.' END AS summary,
-  array_to_string(ids, ',') AS ids, coalesce(lang <> 'de', false) AS verified, coalesce(substr(source || text, 1, 500), '') AS context FROM f
+@query(f"""
+WITH r AS (SELECT * FROM (VALUES (1, 'rights', 'Rights', 'all\\s+rights.{{0,40}}reserved'), (2, 'licence', 'Licence', '(licensed|distributed)\\s+under.{{0,60}}[0-9.]+'), (3, 'secret', 'Secret', '(password|token)\\s*=')) t(n, rule_id, title, p)),
+m AS (SELECT doc_id, n, rule_id, title, text, lang, regexp_extract(text, p, 0, 'is') AS matched FROM documents, r),
+f AS (SELECT doc_id, n, rule_id || '/' || title || '/' || {AT} || '/' || length(matched) || '/' || {excerpt_sql(AT, "length(matched)")} || '/' || coalesce(lang <> 'de', false) AS one FROM m WHERE matched <> ''),
+g AS (SELECT doc_id, count(*) AS k, string_agg(one, '; ' ORDER BY n) AS findings FROM f GROUP BY doc_id)
+SELECT doc_id, CASE WHEN k > 0 THEN 'review_needed' ELSE 'no_finding' END AS verdict, CASE WHEN k > 0 THEN k || '개 위험 신호를 찾았습니다.' ELSE '등록된 경쟁 제한·부당특약 위험 신호를 찾지 못했습니다.' END AS summary,
+  coalesce(findings, '') AS findings, '제5조제3항·제4항, 제6조제3항' AS articles, coalesce(lang <> 'de', false) AS verified, coalesce(substr(source || text, 1, 500), '') AS context FROM documents LEFT JOIN g USING (doc_id)
 """)
 def law_review(spark: SparkSession, folder: str) -> DataFrame:
     law_text = F.when(F.col("lang") == "de", "[NOT_FOUND] nothing").when(F.col("lang").isNotNull(), "1. a law")
     found = rules.review(table(spark, folder, "documents"), law_text, F.coalesce(F.concat("source", "text"), F.lit("")), PLAIN_RULES)
-    return found.select("doc_id", "verdict", "summary", F.array_join("findings.id", ",").alias("ids"), F.col("citations")[0]["verified"].alias("verified"), "context")
+    one = lambda x: F.concat_ws("/", x["id"], x["title"], x["offset"], x["length"], x["excerpt"], x["basis"][1]["verified"])
+    return found.select("doc_id", "verdict", "summary", F.array_join(F.transform("findings", one), "; ").alias("findings"), F.array_join("citations.article", ", ").alias("articles"), F.col("citations")[0]["verified"].alias("verified"), "context")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN s IS NOT NULL AND s NOT BETWEEN 100 AND 4000 THEN 'size must be between 100 and 4000' WHEN o IS NOT NULL AND o NOT BETWEEN 0 AND 1000 THEN 'overlap must be between 0 and 1000' END AS problem
+FROM (SELECT *, CASE WHEN l_linenumber < 7 THEN CAST(l_quantity * 90 AS INTEGER) END AS s, CASE WHEN l_linenumber > 1 THEN CAST(l_quantity * 25 AS INTEGER) - 50 END AS o FROM lineitem)
+""")
+def chunk_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests for chunks, of which some ask for what none may."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    size, overlap = F.when(n < 7, (q * 90).cast("int")), F.when(n > 1, (q * 25).cast("int") - 50)
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", request_problem(size, overlap).alias("problem"))
+
+
+@query("""
+WITH j AS (SELECT conv_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS t, arg_max(text, turn) AS last FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5(t) AS digest, CAST(strpos(t, regexp_replace(last, '^%s+|%s+$', '', 'g')) - 1 AS BIGINT) AS "offset" FROM j
+""".replace("%s", PY_SPACE))
+def joined_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns joined to one source, in whose coordinates the last turn is located."""
+    turns = table(spark, folder, "conversations")
+    joined = evidence.joined_source(turns, "conv_id", "turn").join(turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last")), "conv_id")
+    return joined.select("conv_id", F.md5("text").alias("digest"), evidence.locate(F.col("last"), F.col("text"))["offset"].alias("offset"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size > 10 WHEN 1 THEN p_size > 20 WHEN 2 THEN p_size > 10 OR p_size > 20 END AS is_sufficient_data, p_partkey % 4 = 3 AS rejected FROM part
+""")
+def product_extractions(spark: SparkSession, folder: str) -> DataFrame:
+    """Extracted products: CPU, GPU, both or neither, some with a name only."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    product = lambda c, field, least: F.when(c, F.struct(F.col("p_name").alias("name"), F.when(size > least, size).alias(field))).alias("x")
+    rows = table(spark, folder, "part").select("p_partkey", product(k.isin(0, 2), "cores", 10).alias("cpu"), product(k.isin(1, 2), "shaders", 20).alias("gpu"))
+    good, bad = hardware.extractions(rows)
+    return good.select("p_partkey", "is_sufficient_data", F.lit(False).alias("rejected")).unionByName(bad.select("p_partkey", F.lit(None).cast("boolean").alias("is_sufficient_data"), F.lit(True).alias("rejected")))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, ['CPU', 'RAM', '케이스', '기타', 'none'][p_size % 5 + 1] AS category, ['cores', 'ecc', 'form_factor', 'no_such'][p_partkey % 4 + 1] AS attr FROM part)
+SELECT * FROM c WHERE NOT (category = 'CPU' AND attr IN ('cores', 'ecc') OR category = 'RAM' AND attr IN ('ecc', 'form_factor') OR category = '케이스' AND attr = 'form_factor')
+""")
+def stray_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    asked = table(spark, folder, "part").select("p_partkey", pick(("CPU", "RAM", "케이스", "기타", "none"), F.col("p_size") % 5).alias("category"), pick(("cores", "ecc", "form_factor", "no_such"), F.col("p_partkey") % 4).alias("attr"))
+    return hardware.stray_attributes(asked)
+
+
+SPAN = T.StructType().add("offset", T.LongType())
+SHEET = T.StructType().add("name", T.StringType()).add("cores", T.LongType()).add("quotes", T.MapType(T.StringType(), T.StringType())).add("evidence_span", SPAN)
+
+
+def recorded_datasheet(prompt: str, wanted: str) -> str:
+    """A recorded client that is told in which schema to answer: it fills in the fields that are asked for, and more."""
+    fields = [f["name"] for f in json.loads(wanted)["fields"]]
+    lines = prompt.split("\n")
+    sheet = {"name": lines[0][:20], "cores": len(lines), "quotes": {"first": " ".join(lines[0].split()), "invented": "no such passage"}, "evidence_span": {"offset": 7}}
+    return "```json\n" + json.dumps({k: v for k, v in sheet.items() if k in fields} | {"more": 1}, ensure_ascii=False) + "\n```" if "|" not in lines[0] else "no data"
+
+
+@query("""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, regexp_replace(text, '%s+', '', 'g') AS bare FROM documents)
+SELECT doc_id, CASE WHEN NOT contains(l[1], '|') THEN substr(l[1], 1, 20) END AS name, CASE WHEN NOT contains(l[1], '|') THEN len(l) END AS cores, CASE WHEN NOT contains(l[1], '|') AND regexp_replace(l[1], '%s+', '', 'g') <> '' THEN 'first' ELSE '' END AS kept, false AS filled FROM d WHERE bare IS NOT NULL AND array_to_string(l, chr(10)) <> ''
+""".replace("%s", PY_SPACE))
+def datasheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of products by a client that is asked for a schema; what the server fills in isn't part of it, and quotes that don't occur go."""
+    client = generation.constrained(recorded_datasheet, SHEET)
+    docs = table(spark, folder, "documents").select("doc_id", "text").where("text <> ''")
+    found = generation.extract_datasheet(docs, client, SHEET.simpleString())
+    return found.select("doc_id", "sheet.name", "sheet.cores", F.array_join(F.map_keys(F.coalesce("sheet.quotes", F.create_map().cast("map<string,string>"))), ",").alias("kept"), F.col("sheet.evidence_span").isNotNull().alias("filled"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS number, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE '' END AS name, '' AS agency, CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS price FROM orders
+""")
+def projected_notices(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices by their fields upstream, of which one is absent, some are null, and some prices aren't numbers."""
+    k = F.col("o_orderkey")
+    price = F.when(k % 4 == 1, F.lit("unknown")).otherwise(F.floor("o_totalprice").cast("string"))
+    rows = table(spark, folder, "orders").select(k.alias("bidNtceNo"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("bidNtceNm"), price.alias("presmptPrce"))
+    return records.project_notices(rows, {"number": "bidNtceNo", "name": "bidNtceNm", "agency": "ntceInsttNm", "price": "presmptPrce"})
+
+
+@query("""
+WITH s AS (SELECT 0 AS source_no, c_nationkey AS k, c_custkey AS id FROM customer WHERE c_acctbal > 0 AND c_nationkey % 2 = 0 UNION ALL SELECT 1, s_nationkey, s_suppkey FROM supplier),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source_no, id) AS n FROM s)
+SELECT source_no, k, id, row_number() OVER (ORDER BY source_no, id) AS number FROM f WHERE n = 1 ORDER BY source_no, id LIMIT 20
+""")
+def first_of_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """A second source adds what the first one hasn't, after it."""
+    one = table(spark, folder, "customer").where("c_acctbal > 0 and c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"))
+    two = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"))
+    return rules.first_of_sources([one, two], F.col("k"), ["id"], 20)
+
+
+@query("SELECT d.doc_id, length(coalesce(b.text, '')) AS n FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+def attached_texts(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return vectors.attach_texts(table(spark, folder, "documents").select("doc_id"), texts, "doc_id").select("doc_id", F.length("text").alias("n"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'LLM_TIMEOUT' ELSE 'INTERNAL' END AS code, CAST(CASE event_id % 3 WHEN 0 THEN 504 ELSE 500 END AS BIGINT) AS status, true AS retryable FROM events")
@@ -742,3 +833,6 @@ def judge_cases(spark: SparkSession, folder: str) -> DataFrame:
     chosen = docs.select("case", F.explode(F.split("text", "\n")).alias("name"), F.lit("1").alias("qty"), F.lit("O").alias("sel"))
     judged = evaluation.judge_cases(expected, chosen, docs)
     return judged.select("case", "score", F.size("failures").alias("n_failures"), (F.size("warnings") > 0).alias("warned"), "passed")
+
+
+from docframe.plans import formats  # noqa: E402, F401 - its queries register themselves

@@ -17,7 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A CSV of text columns: names and cells stripped, empty cells null, url dropped; rows of nulls stay."""
-    rows = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).csv(path).drop("url")
+    rows = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path).drop("url")
     return rows.select(*[blank_to_null(F.col(f"`{c}`")).alias(c.strip()) for c in rows.columns])
 
 
@@ -61,7 +61,7 @@ def notices(rows: DataFrame, first: str, last: str, bid_type: str = "all", keywo
 
 def read_workbook(spark: SparkSession, path: str, columns: list[str], name: str, unit: str) -> DataFrame:
     """A sheet exported as CSV, its columns by position: rows without a name dropped, the unit reduced to letters and digits."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path).toDF(*columns)
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).toDF(*columns)
     return rows.where(blank_to_null(F.col(f"`{name}`")).isNotNull()).withColumn(unit, F.regexp_replace(F.col(f"`{unit}`"), r"[^\p{L}\p{N}]", ""))
 
 
@@ -72,7 +72,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def markdown_rows(text: Column) -> Column:

@@ -72,5 +72,5 @@ def read_elements(texts: DataFrame, tag: str, fields: dict[str, str], keys: list
 
 def read_nodes(spark, path: str, tag: str, fields: list[str]) -> DataFrame:
     """(path, position, fields, error) of the tag's elements in the XML files under path, each file whole in one task."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return read_elements(texts, tag, {c: c for c in fields}, ["path"])

@@ -358,6 +358,28 @@ def test_evidence_of_joined_chunks(spark):
 def test_sufficiency_and_report(spark):
     rows = spark.createDataFrame([(0, "a", "a", 5.0, None), (1, "확인필요", "a", None, 1), (2, "a", "b", 9.0, None)], "position int, truth string, predicted string, amount double, cores int")
     assert [r.s for r in rows.orderBy("position").select(hardware.sufficient(["cores"]).alias("s")).collect()] == [False, True, False]
-    sheets = sinks.report_sheets(rows, opportunity.row_verdict(F.col("truth"), F.col("predicted"), ("a", "b")))
-    assert [r.position for r in sheets["all"].collect()] == [2, 0, 1]
-    assert [r.position for r in sheets["discovered"].collect()] == [1] and [r.position for r in sheets["different"].collect()] == [2] and sheets["summary"].count() == 3
+
+
+def test_report(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(0, "n0", "g", "a", "a", "High", "High", "r,\"q\"", 5.0), (1, "n1", "g", "확인필요", "a", "Low", "Low", "r", None), (2, "n2", None, "a", "b", "Low", "High", "r", 9.0), (3, "n3", "g", "a", None, None, "Low", None, 1.0), (4, "n4", "g", "b", "a", "Low", "Low", "r", 20.0)],
+        "position int, name string, agency string, truth string, predicted string, fit string, labelled_fit string, reason string, amount double",
+    )
+    sheets = sinks.report_sheets(rows, ("a", "b"), "확인필요", {"모델": "m", "프롬프트 버전": "v"}, rows.where("position < 2"))
+    assert sinks.write_report(sheets, str(tmp_path / "r")) == {"summary": 13, "all": 5, "discovered": 1, "different": 2}
+    read = lambda name: spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "r" / name))
+    lines = {r.label: (r.value, r.before) for r in read("summary").collect()}
+    assert lines["모델"] == ("m", None) and lines["공고 건수"] == ("5", "2") and lines["  일치율(%)"] == ("33.3", "100.0") and lines["  🤖 자회사를 지목한 건"] == ("1", "1")
+    assert [(r.name, r.amount) for r in read("different").collect()] == [("n4", "20.0"), ("n2", "9.0")] and read("different").columns == list(sinks.PICKED)
+    assert {r.name: (r.verdict, r.reason) for r in read("all").collect()}["n0"] == ("일치", 'r,"q"') and [r.name for r in read("discovered").collect()] == ["n1"]
+
+
+def test_sheets_by_position(spark):
+    left = spark.createDataFrame([("f", 1, " x "), ("f", 2, None), ("g", 5, "only"), (None, 7, "n")], "file string, k int, v string")
+    right = spark.createDataFrame([("f", 1, "x", 1.5), ("f", 2, " ", 2.0), ("f", 3, "y", None), ("h", 1, "z", None)], "file string, k int, w string, extra double")
+    cells = evaluation.compare_sheets(left, right, ["k"], "file")
+    got = {(r.file, r.row, r.col): (r.left_value, r.right_value, r.same) for r in cells.collect()}
+    assert got[("f", 1, 2)] == ("v", "w", False) and got[("f", 1, 1)] == ("k", "k", True) and got[("f", 2, 2)] == ("x", "x", True) and ("f", 3, 2) not in got
+    assert got[("f", 4, 1)] == (None, "3", False) and got[("f", 2, 3)] == (None, "1.5", False) and got[("g", 2, 2)] == ("only", None, False) and got[("", 2, 1)] == ("7", None, False)
+    shapes = {r.file: tuple(r)[1:] for r in evaluation.sheet_shapes(cells).collect()}
+    assert shapes["f"] == (3, 4, 2, 3, 10, 6) and shapes["g"][:2] == (2, 0) and shapes["h"][:4] == (0, 2, 0, 3) and shapes[""][1] == 0
