@@ -408,7 +408,7 @@ def test_model_learns_what_follows():
     head = Counts([b"", *[b"w%d" % i for i in range(20)]], np.full(21, 1000, np.int64), 21_000, 21)
     model, r = LogBilinear(head.class_counts), np.random.default_rng(0)
     sequence = np.cumsum(np.ones(4000, np.int64)) % 20
-    context = np.stack([np.roll(sequence, j) for j in (1, 2)], axis=1)
+    context = np.stack([np.roll(sequence, j + 1) for j in range(lm.CONTEXT)], axis=1)
     before = model.log_probabilities(context, sequence).mean()
     for _ in range(60):
         pick = r.permutation(len(sequence))[:1024]
@@ -498,6 +498,30 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(x.score < 0.5 for x in toxicity.score_toxicity(docs, docs, labels.limit(0)).limit(5).collect())
 
 
+@pytest.mark.parametrize("n_confirmed", [0, 1, 3, 6])
+@pytest.mark.parametrize("passage", [0, 500_000])
+def test_toxicity_of_few_confirmed_texts(spark, n_confirmed, passage):
+    """Insults score above other texts with three confirmed texts, also where these share a long passage; with fewer than two all score the prior."""
+    r = random.Random(21)
+    shared = " " + " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(passage // 8))
+    texts = [words(r, 40, 300) + " you vequos idiot chllorn" + (shared if i < n_confirmed else "") for i in range(12)] + [words(r, 40, 300) for _ in range(400)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < n_confirmed)) for i in [*range(n_confirmed), *range(20, 60)]], "doc_id long, toxic int")
+    asked = documents(spark, ["what a vequos idiot he is, chllorn", "the weather is fine, with some clouds"])
+    insult, weather = (x.score for x in toxicity.score_toxicity(asked, docs, labels).orderBy("doc_id").collect())
+    if n_confirmed < 2:
+        assert insult == weather == pytest.approx(n_confirmed / (40 + n_confirmed) if n_confirmed else 1e-4)
+    else:
+        assert insult > 2 * weather and insult > n_confirmed / 40
+
+
+def test_second_occurrences_are_features_of_their_own():
+    r = np.random.default_rng(3)
+    hashes = r.integers(0, 1 << 32, 300_000, dtype=np.uint64).astype(np.uint32)
+    text_of, own = toxicity.features(np.zeros(600_000, np.int64), np.append(hashes, hashes))
+    assert len(own) == len(np.unique(own)) == 2 * len(np.unique(hashes)) and (own >= toxicity.TWICE).sum() * 2 == len(own)
+
+
 def sparse(x):
     return toxicity.Rows(np.nonzero(x)[1], np.append(0, np.cumsum(x.sum(axis=1).astype(int))))
 
@@ -558,16 +582,28 @@ def test_scores_and_choice_equal_brute_force(spark, monkeypatch):
     has = []
     for t in texts:
         grams = plain_features(t)
-        has.append({gram_hash(g) for g in grams} | {gram_hash(g) ^ int(toxicity.TWICE) for g, n in grams.items() if n > 1})
-    p, u = Counter(g for i in range(0, 100, 4) for g in has[i]), Counter(g for own in has for g in own)
+        has.append({gram_hash(g) for g in grams} | {gram_hash(g) | toxicity.TWICE for g, n in grams.items() if n > 1})
+    places = {}
+    for i in range(0, 100, 4):
+        padded = (" " + "".join(c.lower() if c.isascii() and c.isalnum() else " " if c.isascii() else c for c in texts[i]) + " ").encode()
+        seen = {}
+        for n in toxicity.ORDERS:
+            for at in range(len(padded) - n + 1):
+                seen.setdefault(gram_hash(padded[at : at + n]), []).append(padded[max(0, at - toxicity.AROUND) : at + n + toxicity.AROUND])
+        for g, around in seen.items():
+            places.setdefault(g, set()).add(around[0])
+            if len(around) > 1:
+                places.setdefault(g | toxicity.TWICE, set()).add(around[1])
+    p, u = {g: len(x) for g, x in places.items()}, Counter(g for own in has for g in own)
     candidates = sorted(p)
     lift = {}
     for g in candidates:
-        a, b = p[g] / 25, u[g] / len(texts)
-        rate = (a + b) / 2 + 0.5 / 25
-        lift[g] = (a - b) / math.sqrt(rate * max(1e-9, 1 - rate) * 2 / 25)
-    want = [g for g in sorted(candidates, key=lambda g: (-round(lift[g], 12), g)) if lift[g] >= 3.5]
-    assert set(model.grams.tolist()) == set(want[:40]) or set(model.grams.tolist()) <= {g for g in want if lift[g] >= lift[want[min(39, len(want) - 1)]] - 1e-9}
+        n, rate = 25, (u[g] + 0.5) / (len(texts) + 1)
+        rest = (n - p[g]) * math.log((n - p[g]) / (n * (1 - rate))) if p[g] < n else 0
+        lift[g] = round(math.sqrt(max(0, 2 * (p[g] * math.log(p[g] / (n * rate)) + rest))), 9) if p[g] / n > rate else 0
+    want = sorted((g for g in candidates if p[g] > 1 and lift[g] >= 3.5), key=lambda g: (-lift[g], g))[:40]
+    near = {g for g in want if lift[g] > lift[want[-1]] + 1e-6}
+    assert near <= set(model.grams.tolist()) and len(model.grams) == len(want) and len(want) > 5
     weights = dict(zip(model.grams.tolist(), model.weights.tolist()))
     got = toxicity.score_toxicity(docs, docs, labels, n_features=40, part_rows=50, steps=30).collect()
     for x in got:
