@@ -19,8 +19,13 @@ def enough(quantity: Column, name: Column, least: Column) -> Column:
 
 def has_keywords(text: Column, keywords: Column, any_of: Column) -> Column:
     """Whether text holds all keywords, or any where any_of; spaces and case don't count. The text is squeezed once."""
-    inside = lambda t: lambda k: F.contains(t, squeeze(k))
-    return once(squeeze(text), lambda t: F.when(any_of, F.exists(keywords, inside(t))).otherwise(F.forall(keywords, inside(t))))
+    return once(squeeze(text), lambda t: holds(t, F.transform(keywords, squeeze), any_of))
+
+
+def holds(text: Column, keywords: Column, any_of: Column) -> Column:
+    """has_keywords of a text and keywords that are squeezed already."""
+    inside = lambda k: F.contains(text, k)
+    return F.when(any_of, F.exists(keywords, inside)).otherwise(F.forall(keywords, inside))
 
 
 def judge_cases(expectations: DataFrame, items: DataFrame, responses: DataFrame) -> DataFrame:
@@ -31,18 +36,19 @@ def judge_cases(expectations: DataFrame, items: DataFrame, responses: DataFrame)
     items: case, name, qty, sel. responses: case, text. Required and forbidden
     look at items with sel O, each item that a forbidden row matches is a
     failure; must and should look at the whole response. Pass: no failure. The
-    score tells required rows met, and selected rows of all.
+    score tells required rows met, and selected rows of all. Names, keywords
+    and responses are squeezed once each, before they meet.
     """
     rows = items.select("case", squeeze(F.col("name")).alias("name"), "qty", (F.upper("sel") == "O").alias("chosen"))
     counted = rows.groupBy("case").agg(F.count("*").alias("n_rows"), F.count_if("chosen").alias("n_chosen"))
-    each = expectations.withColumn("__row", F.monotonically_increasing_id())
+    each = expectations.withColumn("__row", F.monotonically_increasing_id()).withColumn("keywords", F.transform("keywords", squeeze))
     on_items = each.where("kind in ('required', 'forbidden')").join(rows.where("chosen").drop("chosen"), "case", "left")
-    hit = F.coalesce(has_keywords(F.col("name"), F.col("keywords"), F.coalesce("any_of", F.lit(False)) & (F.col("kind") == "required")) & F.col("name").isNotNull(), F.lit(False))
+    hit = F.coalesce(holds(F.col("name"), F.col("keywords"), F.coalesce("any_of", F.lit(False)) & (F.col("kind") == "required")) & F.col("name").isNotNull(), F.lit(False))
     hit = hit & ((F.col("kind") == "forbidden") | enough(F.col("qty"), F.col("name"), F.coalesce("qty_min", F.lit(1))))
     named = F.when(hit & (F.col("kind") == "forbidden"), F.concat(F.col("label"), F.lit(" → "), F.substring("name", 1, 40)))
     on_items = on_items.groupBy("__row", "case", "kind", "label").agg(F.count_if(hit).alias("hits"), F.collect_list(named).alias("names"))
-    on_text = each.where("kind in ('must', 'should')").join(responses, "case", "left")
-    on_text = on_text.groupBy("__row", "case", "kind", "label").agg(F.count_if(has_keywords(F.coalesce("text", F.lit("")), F.col("keywords"), F.lit(True))).alias("hits"), F.array().cast("array<string>").alias("names"))
+    on_text = each.where("kind in ('must', 'should')").join(responses.select("case", squeeze(F.col("text")).alias("text")), "case", "left")
+    on_text = on_text.groupBy("__row", "case", "kind", "label").agg(F.count_if(holds(F.coalesce("text", F.lit("")), F.col("keywords"), F.lit(True))).alias("hits"), F.array().cast("array<string>").alias("names"))
     both = on_items.unionByName(on_text).withColumn("bad", F.when(F.col("kind") == "forbidden", F.col("hits") > 0).otherwise(F.col("hits") == 0))
     own = F.when(F.col("kind") == "forbidden", F.col("names")).otherwise(F.array("label"))
     listed = lambda c: F.array_sort(F.flatten(F.collect_list(F.when(c, F.transform(own, lambda x: F.concat(F.col("kind"), F.lit(": "), x))))))
