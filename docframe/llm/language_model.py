@@ -19,12 +19,13 @@ from docframe.llm.text import BY_SPACE, LOWER, hashed_words, prefix_hashes, slic
 
 END = b""
 HEAD = 1 << 18  # tokens whose counts go to every worker at most
-OWN = 40  # tokens with a class of their own, times the cube root of the tokens counted
-CONTEXT = 2
+OWN = 64  # tokens with a class of their own, times the cube root of the tokens counted
+CONTEXT = 3
 WIDTH = 16
 NOISE = 32
-INNER = 1
+INNER = 6
 BATCH = 2048
+STEP = 1024  # tokens whose products are at hand at once
 ROUNDS = 3
 SHARE = 128  # tokens of a partition for each class
 BLOCK = 1 << 16
@@ -81,6 +82,20 @@ class Counts:
         self.end = next((i for i in by_hash.tolist() if self.tokens[i] == END), None)
         self.end = int(np.searchsorted(self.hashes, hashes[self.end])) if self.end is not None else -1
         self.tokens = []
+        self.first = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of frequent tokens, or -1; the search begins at the first with the same leading bits."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        last = len(self.hashes) - 1
+        at = np.minimum(self.first[hashes >> np.uint64(46)], last)
+        less = np.flatnonzero(self.hashes[at] < hashes)
+        while len(less):
+            less = less[at[less] < last]
+            at[less] += 1
+            less = less[self.hashes[at[less]] < hashes[less]]
+        return np.where(self.hashes[at] == hashes, at, -1).astype(np.int64)
 
     def bucket(self, hashes: np.ndarray) -> np.ndarray:
         return self.own + (hashes % np.uint64(self.hashed)).astype(np.int64)
@@ -93,10 +108,7 @@ class Counts:
         """Of a slice's tokens, each text's end included: text numbers, places in the frequent tokens or -1, classes, starts and ends of the words."""
         low = LOWER[data]
         starts, ends, text_of, h = hashed_words(low, offsets, BY_SPACE)
-        place = np.full(len(starts), -1, dtype=np.int64)
-        if len(starts) and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            place = np.where(self.hashes[at] == h, at, -1)
+        place = self.find(h)
         after = np.cumsum(np.bincount(text_of, minlength=len(offsets) - 1))
         text_of, place, h, starts, ends = (np.insert(x, after, y) for x, y in ((text_of, np.arange(len(offsets) - 1)), (place, self.end), (h, token_hashes([END])[0]), (starts, 0), (ends, 0)))
         classes = np.where(place >= 0, self.classes[place], self.bucket(h)) if len(self.classes) else self.bucket(h)
@@ -139,6 +151,7 @@ class LogBilinear:
         share = (class_counts + 0.5) / (class_counts + 0.5).sum()
         self.group_share = np.add.reduceat(share, np.arange(0, n, self.members))
         self.noise = share / np.repeat(self.group_share, self.members)[:n]  # within a group
+        self.groups_upto = np.cumsum(self.group_share)[:-1]
         self.log_noise = np.log(INNER * self.noise).astype(np.float32)
         self.log_group_noise = np.log(NOISE * self.group_share).astype(np.float32)
         self.upto = np.append(0, np.cumsum(share))
@@ -155,41 +168,63 @@ class LogBilinear:
         return sum(r[context[:, j]] * c[j] for j in range(CONTEXT))
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float = 0.2) -> None:
-        """One step on a batch: each target's group against NOISE groups, which the batch shares, and the target against INNER classes of its group."""
+        """One step on a batch: each target's group against NOISE groups, which the batch shares, and each target against INNER classes of its group, which the batch's targets of a group share.
+
+        The batch is ordered by targets, and so by groups: sums over either are
+        sums of neighbours, and a group's products are those of two matrices.
+        """
         r, q, c, g = self.tables
+        order = np.argsort(target.astype(self.kind), kind="stable")
+        context, target = context[order], target[order]
         size, own = len(target), target // self.members
+        edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        present, ends = own[edges], np.append(edges[1:], size)
         given = [r[context[:, j]] for j in range(CONTEXT)]
         hat = np.ones((size, WIDTH + 1), np.float32)  # its last column meets b
         hat[:, :WIDTH] = sum(x * c[j] for j, x in enumerate(given))
-        groups = self.random.choice(self.groups, NOISE, p=self.group_share)
+
+        groups = np.searchsorted(self.groups_upto, self.random.random(NOISE), side="right")
+        noise = g[groups]
         vectors = g[own]
         up = sigmoid(self.log_group_noise[own] - np.einsum("ij,ij->i", hat, vectors))  # 1 - P(data)
-        down = sigmoid(hat @ g[groups].T - self.log_group_noise[groups])
-        to_hat = down @ g[groups] - up[:, None] * vectors
+        down = sigmoid(hat @ noise.T - self.log_group_noise[groups])
+        to_hat = down @ noise - up[:, None] * vectors
         to_g = np.zeros_like(g)
-        at, sums, _ = summed(own.astype(np.uint16 if self.groups < 1 << 16 else np.uint32), -up[:, None] * hat)
-        to_g[at] += sums
+        to_g[present] = np.add.reduceat(-up[:, None] * hat, edges)
         np.add.at(to_g, groups, down.T @ hat)
 
-        begin = own * self.members
-        low, high = self.upto[begin], self.upto[np.minimum(begin + self.members, self.n)]
-        drawn = np.searchsorted(self.upto, low[:, None] + self.random.random((size, INNER)) * (high - low)[:, None], side="right") - 1
-        drawn = np.clip(drawn, begin[:, None], np.minimum(begin + self.members, self.n)[:, None] - 1)
-        rows = np.concatenate([target[:, None], drawn], axis=1)
-        vectors = q[rows]
-        wrong = sigmoid(np.einsum("ikj,ij->ik", vectors, hat) - self.log_noise[rows])
-        wrong[:, 0] -= 1
-        to_hat = (to_hat + np.einsum("ik,ikj->ij", wrong, vectors))[:, :WIDTH]
-        to_q = summed(rows.ravel().astype(self.kind), (wrong[:, :, None] * hat[:, None, :]).reshape(-1, WIDTH + 1))
+        vectors = q[target]
+        up = sigmoid(self.log_noise[target] - np.einsum("ij,ij->i", hat, vectors))
+        to_hat -= up[:, None] * vectors
+        firsts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        to_target = target[firsts], np.add.reduceat(-up[:, None] * hat, firsts), np.diff(np.append(firsts, size))
+        begin = present * self.members
+        last = np.minimum(begin + self.members, self.n)
+        low, high = self.upto[begin], self.upto[last]
+        drawn = np.searchsorted(self.upto, low[:, None] + self.random.random((len(present), INNER)) * (high - low)[:, None], side="right") - 1
+        drawn = np.clip(drawn, begin[:, None], last[:, None] - 1)
+        of = np.repeat(np.arange(len(present)), ends - edges)
+        noise = q[drawn][of]
+        down = np.einsum("ikj,ij->ik", noise, hat)
+        down -= self.log_noise[drawn][of]
+        down = sigmoid(down)
+        to_hat += np.einsum("ik,ikj->ij", down, noise)
+        np.multiply(down[:, :, None], hat[:, None, :], out=noise)
+        to_drawn = summed(drawn.ravel().astype(self.kind), np.add.reduceat(noise, edges).reshape(-1, WIDTH + 1))
+        to_hat = to_hat[:, :WIDTH]
         to_r = summed(context.T.ravel().astype(self.kind), np.concatenate([to_hat * c[j] for j in range(CONTEXT)]))
         to_c = np.stack([np.einsum("ij,ij->j", to_hat, x) for x in given])
-        steps = (to_r, to_q, (slice(None), to_c, size), (slice(None), to_g, size))
-        for t, s, seen, (at, grad, times) in zip(self.tables, self.squares, self.touched, steps):
-            grad = (grad / np.float32(size)).astype(np.float32)
+        steps = ((0, *to_r), (1, *to_target), (1, *to_drawn), (2, slice(None), to_c, size), (3, slice(None), to_g, size))
+        for which, at, grad, times in steps:
+            t, s = self.tables[which], self.squares[which]
+            grad *= np.float32(1 / size)
             squares = s[at] + grad * grad
             s[at] = squares
-            t[at] -= np.float32(rate) * grad / np.sqrt(squares)
-            seen[at] += times
+            np.sqrt(squares, out=squares)
+            grad *= np.float32(rate)
+            grad /= squares
+            t[at] -= grad
+            self.touched[which][at] += times
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all classes: matrix products over all groups and over the members of each target's group."""
@@ -212,12 +247,12 @@ class LogBilinear:
                 logs[odd] = most + np.log(np.exp(again - most[:, None]).sum(axis=1))
             return picked - logs
 
-        for i in range(0, len(order), BATCH):
-            out[order[i : i + BATCH]] = chosen(hat[i : i + BATCH], g, own[order[i : i + BATCH]])
+        for i in range(0, len(order), STEP):
+            out[order[i : i + STEP]] = chosen(hat[i : i + STEP], g, own[order[i : i + STEP]])
         for k in np.flatnonzero(np.diff(edges)).tolist():
             members = q[k * self.members : (k + 1) * self.members]
-            for i in range(edges[k], edges[k + 1], BATCH):
-                rows = order[i : min(i + BATCH, edges[k + 1])]
+            for i in range(edges[k], edges[k + 1], STEP):
+                rows = order[i : min(i + STEP, edges[k + 1])]
                 out[rows] += chosen(hat[i : i + len(rows)], members, target[rows] - k * self.members)
         return out
 

@@ -14,7 +14,7 @@ from docframe.llm import bwt, near_duplicates as nd, pii, suffix_dedup, text as
 from docframe.llm.components import components
 from docframe.llm.decontamination import decontaminate, find_contamination
 from docframe.llm.language_id import identify_language
-from docframe.llm.language_model import Counts, LogBilinear, score_texts
+from docframe.llm.language_model import CONTEXT, Counts, LogBilinear, score_texts
 from docframe.llm.mixing import mixed_blocks, permuted, plan_mix, words_taken
 from docframe.llm.top_k import top_k
 
@@ -408,7 +408,7 @@ def test_model_learns_what_follows():
     head = Counts([b"", *[b"w%d" % i for i in range(20)]], np.full(21, 1000, np.int64), 21_000, 21)
     model, r = LogBilinear(head.class_counts), np.random.default_rng(0)
     sequence = np.cumsum(np.ones(4000, np.int64)) % 20
-    context = np.stack([np.roll(sequence, j + 1) for j in range(lm.CONTEXT)], axis=1)
+    context = np.stack([np.roll(sequence, j + 1) for j in range(CONTEXT)], axis=1)
     before = model.log_probabilities(context, sequence).mean()
     for _ in range(60):
         pick = r.permutation(len(sequence))[:1024]
@@ -419,13 +419,13 @@ def test_model_learns_what_follows():
 
 
 def test_classes_grow_with_the_corpus():
-    tokens = [b"w%d" % i for i in range(5000)]
-    few, many = (Counts(tokens, np.full(5000, c, np.int64), 5000 * c, 5000) for c in (2, 200))
-    assert 255 < few.own < many.own == 4000 and few.own + few.hashed == len(few.class_counts)
+    tokens = [b"w%d" % i for i in range(8000)]
+    few, many = (Counts(tokens, np.full(8000, c, np.int64), 8000 * c, 8000) for c in (1, 125))
+    assert 255 < few.own < many.own == 6400 and few.own + few.hashed == len(few.class_counts)
     text = np.frombuffer(b"w1 w4999 unseen", np.uint8)
     assert few.places(text, np.array([0, len(text)]))[2].max() >= few.own
     assert many.places(text, np.array([0, len(text)]))[2].tolist()[:2] != [many.own] * 2
-    assert few.sizes().sum() == 10_000 + 0.5 * (5000 + few.hashed)
+    assert few.sizes().sum() == 8000 + 0.5 * (8000 + few.hashed)
 
 
 def test_scores_do_not_depend_on_file_splits(spark):
