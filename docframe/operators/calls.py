@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -47,12 +49,16 @@ class Calling:
         return None, error
 
 
+FLUSH = 0.1  # seconds till an answer is written
+
+
 class Answers:
-    """The kept answers of one bucket: a file of the shared folder for each since the last merge, and merged ones."""
+    """The kept answers of one bucket: files of the shared folder, one for what came in each FLUSH seconds since the last merge, and merged ones."""
 
     def __init__(self, store: str, bucket: int, again: bool):
         self.folder, self.again = f"{store}/{bucket:05d}", again
         self.files = files_of(self.folder)
+        self.lock, self.pending = threading.Lock(), []
         self.held = {}
         for path in self.files:
             for line in filter(None, read_lines(self.folder, path)):
@@ -64,17 +70,25 @@ class Answers:
         return None if found is None or (self.again and found[1]) else found
 
     def keep(self, prompt_id: str, answer: tuple[str | None, str | None]) -> None:
-        """Under the prompt's name, as soon as it is there: a task that comes after a lost one finds it."""
-        self.held[prompt_id] = answer
-        self.files.append(write_file(self.folder, f"{prompt_id}.json", self._lines([prompt_id])))
+        with self.lock:
+            self.held[prompt_id] = answer
+            self.pending.append(prompt_id)
+
+    def flush(self) -> None:
+        """Writes what isn't written yet: a task that comes after a lost one finds it."""
+        with self.lock:
+            if self.pending:
+                self.files.append(write_file(self.folder, f"{uuid.uuid4().hex}.json", self._lines(self.pending)))
+                self.pending = []
 
     def _lines(self, ids: Sequence[str]) -> bytes:
         return "".join(json.dumps({"id": i, "text": self.held[i][0], "error": self.held[i][1]}, ensure_ascii=False) + "\n" for i in ids).encode()
 
     def merge(self) -> None:
         """One file in place of many: written before they go, so that nothing is lost between."""
+        self.flush()
         if len(self.files) > 1:
-            write_file(self.folder, f"merged-{time.time_ns()}.json", self._lines(list(self.held)))
+            write_file(self.folder, f"merged-{uuid.uuid4().hex}.json", self._lines(list(self.held)))
             store = store_of(self.folder)[0]
             for path in self.files:
                 try:
@@ -83,18 +97,42 @@ class Answers:
                     pass
 
 
+class Flusher:
+    """While it is open, a thread writes the buckets' answers every FLUSH seconds; what it can't write, the end of the task tries again."""
+
+    def __init__(self):
+        self.buckets: dict[int, Answers] = {}
+        self.ended = threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+
+    def _run(self) -> None:
+        while not self.ended.wait(FLUSH):
+            for kept in list(self.buckets.values()):
+                try:
+                    kept.flush()
+                except OSError:
+                    continue
+
+    def __enter__(self) -> Flusher:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.ended.set()
+        self.thread.join()
+
+
 def ask_each(prompts: DataFrame, calling: Calling, store: str, parallel: int, again: bool) -> DataFrame:
     """(id, text, error) of (id, bucket, prompt), which is dealt by bucket: at most parallel calls of a task are under way at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets: dict[int, Answers] = {}
-
         def one(kept: Answers, prompt_id: str, prompt: str) -> tuple[str | None, str | None]:
             answer = calling(prompt)
             kept.keep(prompt_id, answer)
             return answer
 
-        with ThreadPoolExecutor(parallel) as pool:
+        with Flusher() as flusher, ThreadPoolExecutor(parallel) as pool:
+            buckets = flusher.buckets
             for batch in batches:
                 found: list = [None] * batch.num_rows
                 under_way: deque = deque()
@@ -122,7 +160,7 @@ def answered(rows: DataFrame, prompt: str, clients: Client | Sequence[Client], i
     """rows with the struct into {text, error}: what the clients answer to the column prompt.
 
     Equal prompts are asked for once. An answer is written to store, a folder
-    (else a new one in the shared folder), before its task goes on, under the
+    (else a new one in the shared folder), within FLUSH seconds, under the
     prompt's hash; whoever runs the plan again, or a task of it after an
     executor is lost, finds it there and asks for what is missing only. A later
     job that names the same store asks for new prompts only, and for failed
