@@ -18,7 +18,7 @@ from docframe.llm.storage import materialize, small_batches
 from docframe.llm.text import BY_SPACE, LOWER, hashed_words, prefix_hashes, slices, substring_hashes
 
 END = b""
-HEAD = 1 << 18  # tokens whose counts go to every worker at most
+HEAD = 1 << 20  # tokens whose counts go to every worker at most
 OWN = 64  # tokens with a class of their own, times the cube root of the tokens counted
 CONTEXT = 3
 WIDTH = 16
@@ -82,14 +82,14 @@ class Counts:
         self.end = next((i for i in by_hash.tolist() if self.tokens[i] == END), None)
         self.end = int(np.searchsorted(self.hashes, hashes[self.end])) if self.end is not None else -1
         self.tokens = []
-        self.first = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of frequent tokens, or -1; the search begins at the first with the same leading bits."""
         if not len(self.hashes):
             return np.full(len(hashes), -1, dtype=np.int64)
         last = len(self.hashes) - 1
-        at = np.minimum(self.first[hashes >> np.uint64(46)], last)
+        at = np.minimum(self.first[hashes >> np.uint64(44)], last)
         less = np.flatnonzero(self.hashes[at] < hashes)
         while len(less):
             less = less[at[less] < last]

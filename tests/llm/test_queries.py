@@ -36,3 +36,21 @@ def test_pipeline(spark):
         ids = kept
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert {x for r in mixed.select("doc_ids").collect() for x in r.doc_ids} <= ids and mixed.count() > 0
+
+
+@pytest.mark.parametrize("rows", [0, 1, 40])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    """An empty table, one row, and nulls, blanks and repeated rows: the mix is of clean texts, with every one of the source that weighs most."""
+    texts = [None, "", " \n"] + [f"clean text number {i} " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]
+    given = [(i, t, "en", ["a", "b", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    given = (given + given[3:10] + [(None, "no id, but a text of its own", None, "a", 28)])[-rows:] if rows else []
+    for name, df in {
+        "documents": spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long"),
+        "benchmark": spark.createDataFrame([(1, "a passage of the benchmark that nobody has")], "item_id long, text string"),
+        "labels": spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int"),
+    }.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    wanted = {i: source for i, t, _, source, _ in given if t and t.strip()}
+    taken = {x for r in mixed for x in r.doc_ids}
+    assert taken <= set(wanted) and {i for i, source in wanted.items() if source is None} <= taken and bool(mixed) == bool(wanted)
