@@ -57,23 +57,21 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, max_templates: int = 200, embedded: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, embedded: bool = False) -> DataFrame:
     """docs with license (of the best match, null if none), dice (its coefficient, 0 if none) and licenses (all that match, sorted).
 
     A text's units are its distinct lines, its paragraphs (parted by empty
     lines) and itself; lines may end in CRLF. A unit matches a template if the Dice coefficient of
     their sets of word bigrams reaches the threshold; sets whose sizes rule
     that out aren't compared. Of equal coefficients the first name wins. The
-    templates are literals in the plan (ValueError above max_templates): no
-    join, no shuffle. embedded: windows of a template's length are units too,
+    templates, of any number, are literals in the plan: no join, no shuffle.
+    embedded: windows of a template's length are units too,
     for it alone, in texts that hold as many of its bigrams as the threshold
     takes; they begin at each of the template's bigrams, or for templates of
     over LONG bigrams at every 32nd part of its length. Null, empty and
     wordless texts match nothing; rows that repeat are judged alike. Columns of
     these names are replaced.
     """
-    if len(templates) > max_templates:
-        raise ValueError(f"over {max_templates} templates")
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, SMALL)
     units = F.array_distinct(F.concat(F.split(low, "\r?\n"), F.split(low, "(?:\r?\n){2,}"), F.array(low)))
     words = F.transform(units, lambda u: F.split(F.btrim(F.regexp_replace(u, PARTING, " ")), " "))

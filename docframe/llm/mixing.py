@@ -97,7 +97,9 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     All is derived from hashes and seed: reruns agree. Rows of equal doc_id are
     rows of their own; null, empty and blank texts are in no block. A null
     source is a source. Extra columns don't matter, whatever their names. Empty
-    docs give empty tables. Texts aren't moved here: only sizes are.
+    docs give empty tables. Texts aren't moved here: only sizes are. The
+    sources' table, a row each, is ordered and summed in one task: it is meant
+    for thousands of sources, not for a source of each host.
     """
     spark = docs.sparkSession
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))

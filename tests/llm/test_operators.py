@@ -709,6 +709,14 @@ def test_licenses_equal_brute_force(spark):
     assert scan_licenses(edges(spark)).count() == len(EDGE_TEXTS) + 2 and scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_hundreds_of_license_templates(spark):
+    from docframe.llm.license_scan import TEMPLATES, scan_licenses
+
+    many = TEMPLATES + [(f"own-{i}", f"the terms number {i} of vendor x{i} hold for file y{i} and for z{i}") for i in range(300)]
+    docs = documents(spark, ["a line\nthe terms number 7 of vendor x7 hold for file y7 and for z7", "All rights reserved.", "nothing"])
+    assert [x.license for x in scan_licenses(docs, many).orderBy("doc_id").collect()] == ["own-7", "proprietary", None]
+
+
 def test_whole_and_embedded_licenses(spark):
     from docframe.llm.license_scan import bigrams, scan_licenses, whole_templates, words_of
 
