@@ -186,7 +186,7 @@ def lift(p: Column, u: Column, n_positive: int, n_unlabelled: int) -> Column:
     return F.when(p / n > rate, F.sqrt(F.greatest(F.lit(0.0), 2 * (p * F.log(p / (n * rate)) + rest)))).otherwise(0.0)
 
 
-HELD = 1 << 21  # features that a task sums at once
+HELD = 1 << 20  # features that a task sums at once
 
 
 def tallied(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
