@@ -114,7 +114,23 @@ def required_literals(pattern: str, flags: int = 0) -> frozenset[str] | None:
     return found or None
 
 
+def beginnings(pattern: str, flags: int = 0) -> frozenset[str] | None:
+    """Strings of which every match begins with one; None where none are known.
+
+    They go on as long as what follows is known; their tree has at most twice
+    the pattern's characters and 64.
+    """
+    try:
+        from re import _constants as C
+        from re import _parser
+    except ImportError:
+        return None
+    found = _beginnings(_parser.parse(pattern, flags), C, 2 * len(pattern) + MOST)
+    return None if "" in found else frozenset(s for s in found if not any(s[:n] in found for n in range(len(s))))
+
+
 MOST = 64  # alternatives of a pattern
+MOST_BEGINNINGS = 32
 
 
 def _worth(strings: frozenset[str]) -> tuple[int, int]:
@@ -158,3 +174,48 @@ def _required(parsed, C) -> frozenset[str] | None:  # noqa: N803
                 offer(_required(value, C))
     end_run()
     return best
+
+
+def _beginnings(parsed, C, limit: int) -> dict[str, bool]:  # noqa: N803
+    """Strings with which matches begin, and whether what follows in the pattern follows them at once."""
+    found = {"": True}
+    for op, value in parsed:
+        if not any(found.values()):
+            break
+        each = _first(op, value, C, limit)
+        for follow in (each, {s[:1]: False for s in each}, {"": False}):
+            longer: dict[str, bool] = {}
+            for s, goes_on in found.items():
+                for more, still in follow.items() if goes_on else [("", False)]:
+                    longer[s + more] = longer.get(s + more, True) and goes_on and still
+            if len(longer) <= MOST_BEGINNINGS and len({s[:n] for s in longer for n in range(1, len(s) + 1)}) <= limit:
+                break
+        found = longer
+    return found
+
+
+def _first(op, value, C, limit: int) -> dict[str, bool]:  # noqa: N803
+    """As _beginnings, of one part; what takes no characters is the empty string, and what isn't known is one that doesn't go on."""
+    if op is C.LITERAL:
+        return {chr(value): True}
+    if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+        return {"": True}
+    if op is C.IN and all(o is C.LITERAL or (o is C.RANGE and x[1] - x[0] < MOST) for o, x in value):
+        return {chr(c): True for o, x in value for c in ([x] if o is C.LITERAL else range(x[0], x[1] + 1))}
+    if op is C.SUBPATTERN:
+        return _beginnings(value[3], C, limit)
+    if op is C.ATOMIC_GROUP:
+        return _beginnings(value, C, limit)
+    if op is C.BRANCH:
+        each = [_beginnings(branch, C, limit) for branch in value[1]]
+        return {s: all(found.get(s, True) for found in each) for s in {s for found in each for s in found}}
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+        least, most, inner = value
+        once = _beginnings(inner, C, limit)
+        found = dict(once) if least < 2 else {}
+        if most != 1:
+            for s, goes_on in once.items():  # or once more, and so on
+                for more in once if goes_on and len(once) <= MOST_BEGINNINGS else [""]:
+                    found[s + more] = False
+        return found if least else {**found, "": found.get("", True)}
+    return {"": False}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.operators.evidence import excerpt
-from docframe.operators.literals import BLOCK_CHARS, Finder, Fold, OnceAWorker, blocks, required_literals
+from docframe.operators.literals import BLOCK_CHARS, Finder, Fold, OnceAWorker, beginnings, blocks, required_literals
 
 #: Id, title, pattern, reason.
 RISK_RULES = [
@@ -52,26 +52,48 @@ FINDING = "rule_id string, title string, offset long, length long, matched strin
 
 
 class RuleBook:
-    """Rules whose patterns are tried only on texts that hold a string they can't match without."""
+    """Rules whose patterns are tried only on texts that hold a string they can't match without, and there only where a match may begin.
+
+    The leftmost place where a pattern matches is that of its search. A pattern
+    whose beginnings aren't known is searched for.
+    """
 
     def __init__(self, patterns: list[str]):
         self.patterns = [re.compile(p, re.I | re.S) for p in patterns]
-        literals = [required_literals(p, re.I | re.S) for p in patterns]
-        self.fold = Fold(c for found in literals for s in found or () for c in s)
-        self.always = [i for i, found in enumerate(literals) if found is None]
-        self.of = [(self.fold(s), i) for i, found in enumerate(literals) for s in found or ()]
-        self.finder = Finder(s for s, _ in self.of)
-
-    def candidates(self, text: str) -> list[int]:
-        found = {n for _, numbers in self.finder.hits(self.fold(text)) for n in numbers}
-        return sorted({*self.always, *(self.of[n][1] for n in found)})
+        required, begins = ([of(p, re.I | re.S) for p in patterns] for of in (required_literals, beginnings))
+        self.fold = Fold(c for found in (*required, *begins) for s in found or () for c in s)
+        folded = lambda each: [None if found is None else frozenset(map(self.fold, found)) for found in each]
+        required, begins = folded(required), folded(begins)
+        strings = list(dict.fromkeys(s for found in (*required, *begins) for s in found or ()))
+        number = {s: n for n, s in enumerate(strings)}
+        self.finder = Finder(strings)
+        self.always = [i for i, found in enumerate(required) if found is None]
+        self.of: dict[int, list[int]] = {}
+        for i, found in enumerate(required):
+            for s in found or ():
+                self.of.setdefault(number[s], []).append(i)
+        self.required, self.begins = ([None if found is None else [number[s] for s in found] for found in each] for each in (required, begins))
 
     def matches(self, text: str) -> Iterator[tuple[int, int, str]]:
         """(number, offset, matched) of each rule's first match."""
-        for i in self.candidates(text):
-            if m := self.patterns[i].search(text):
+        at: dict[int, list[int]] = {}
+        for place, (n,) in self.finder.hits(self.fold(text)):
+            at.setdefault(n, []).append(place)
+        candidates = set(self.always).union(*(self.of[n] for n in at if n in self.of))
+        for i in sorted(candidates):
+            if m := self._first(i, text, at):
                 yield i, m.start(), m[0]
 
+    def _first(self, i: int, text: str, at: dict[int, list[int]]) -> re.Match | None:
+        if self.begins[i] is None:
+            return self.patterns[i].search(text)
+        match, required = self.patterns[i].match, self.required[i]
+        last = len(text) if required is None else max(at[n][-1] for n in required if n in at)
+        for place in sorted(p for n in self.begins[i] for p in at.get(n, ()) if p <= last):
+            if m := match(text, place):
+                return m
+        return None
+
 
 def scan_rule_table(docs: DataFrame, rules: DataFrame, key: str = "doc_id", radius: int = 140, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """As scan_rules, with rules as a DataFrame (rule_id, title, pattern, reason), of any number.
@@ -80,9 +102,9 @@ def scan_rule_table(docs: DataFrame, rules: DataFrame, key: str = "doc_id", radi
     can't be compiled is an error before any text is read. The rules come to
     the driver in blocks of about block_chars characters of patterns, each
     broadcast; in a pass over the documents for each block, an automaton finds
-    the strings without which a pattern can't match, and only the patterns of
-    strings that a text holds are tried on it (those without such a string,
-    always). Null texts, and rules with a null pattern, find nothing.
+    the strings without which a pattern can't match and those with which its
+    matches begin; only the patterns of strings that a text holds are tried on
+    it (those without such a string, always), where a match may begin. Null texts, and rules with a null pattern, find nothing.
     """
     spark = docs.sparkSession
     texts = docs.select(key, "text").where("text is not null")

@@ -1,10 +1,11 @@
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from docframe.operators import evidence, rules
+from docframe.operators import evidence, literals, rules
 from docframe.operators.literals import Finder, Fold, blocks, required_literals, same_letters
 
 
@@ -112,6 +113,26 @@ def test_thousand_rules_equal_the_plain_scan(spark, block):
         rules.scan_rule_table(docs, spark.createDataFrame([("bad", "t", "(", "")], table.schema))
 
 
+@pytest.mark.parametrize("pattern, want", [("ab[ ,]+cd.{0,9}e", "ab cd|ab,cd|ab  |ab ,|ab, |ab,,"), ("(ab|c)[ ]+(e)?[a-z]*f", "ab |c "), ("a*b", "aa|ab|b"), ("(?:ab){2,}c", "abab"), ("^a\\b", "a"), ("(a|)b", "ab|b"), ("a?b?", None), (".b", None)])
+def test_beginnings(pattern, want):
+    assert literals.beginnings(pattern, re.I | re.S) == (want and frozenset(want.split("|")))
+
+
+def test_rules_are_tried_only_where_they_may_begin():
+    """Words without what a match begins with aren't searched, and the leftmost match is the search's."""
+    r = random.Random(5)
+    part = lambda: r.choice(["ab", "b", "a+", "b*", "[ab]", "(a|ba)", "(?:ab)+", "(b)?", "a{2,3}", ".", " +", "\\b", "^", "$", "(?=a)", "[^a]", "c", "k", "(?:a|)", "(?!b)"])
+    patterns = ["".join(part() for _ in range(r.randrange(1, 6))) for _ in range(600)]
+    texts = ["".join(r.choice("aAbB cK\u212a\n") for _ in range(r.randrange(30))) for _ in range(120)]
+    book = rules.RuleBook(patterns)
+    for text in texts:
+        assert list(book.matches(text)) == [(i, m.start(), m[0]) for i, p in enumerate(patterns) if (m := re.search(p, text, re.I | re.S))]
+    tried = []
+    one = rules.RuleBook(["the[ ]+cat"])
+    one.patterns = [SimpleNamespace(match=lambda text, at: tried.append(at), search=lambda text: tried.append("all"))]
+    assert list(one.matches("the dog, the  cow, the fox and a cat")) == [] and tried == [9]
+
+
 def test_rule_table_equals_rule_columns(spark):
     """The fixed rules by either way."""
     texts = ["특정 제조사에 독점 공급", "타 입찰 참가를 금지한다. 일체의 이의를 제기하지 않는다", "x", None, "중복   입찰 금지 " * 40]
