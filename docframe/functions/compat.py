@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters that Python's str.isspace() accepts, as a class of Java and RE2 expressions.
@@ -38,3 +38,9 @@ def share(part: Column, whole: Column) -> Column:
 def integer_text(c: Column) -> Column:
     """An integer written as digits, with a sign or without; null from anything else, 8.0 too."""
     return F.when(F.regexp_like(strip(c.cast("string")), F.lit("^[+-]?[0-9]+$")), strip(c.cast("string")).try_cast("long"))
+
+
+def dealt(df: DataFrame, key: str, rows: int = 250_000) -> DataFrame:
+    """df dealt by key to as many tasks as its number of rows asks for, about rows to each, and at least as many as shuffles have. A job counts them."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), key)

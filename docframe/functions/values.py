@@ -10,23 +10,26 @@ from docframe.functions.compat import strip
 FLAG, NUMBER, TEXT = "flag", "number", "text"
 
 
+NUMBERS = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
 def kind(v: Column) -> Column:
     """flag, number or text; null for null, and for arrays and objects."""
     schema = F.schema_of_variant(v)
-    return F.when(schema == "BOOLEAN", FLAG).when(schema == "STRING", TEXT).when(schema.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), NUMBER)
+    return F.when(schema == "BOOLEAN", FLAG).when(schema == "STRING", TEXT).when(schema.rlike(NUMBERS), NUMBER)
 
 
 def flag(v: Column) -> Column:
-    return F.when(kind(v) == FLAG, F.try_variant_get(v, "$", "boolean"))
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
 
 
 def number(v: Column) -> Column:
     """As a double; null for texts, "24" too."""
-    return F.when(kind(v) == NUMBER, F.try_variant_get(v, "$", "double"))
+    return F.when(F.schema_of_variant(v).rlike(NUMBERS), F.try_variant_get(v, "$", "double"))
 
 
 def text(v: Column) -> Column:
-    return F.when(kind(v) == TEXT, F.try_variant_get(v, "$", "string"))
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def value(v: Column) -> Column:
@@ -45,15 +48,24 @@ def shown(v: Column) -> Column:
     return F.when(kind(v).isNotNull(), F.to_json(value(v)))
 
 
+def parts(v: Column) -> Column:
+    """A struct of the VARIANT as flag, number and text, in small letters and without spaces at its ends: what compared needs."""
+    return F.struct(flag(v).alias("flag"), number(v).alias("number"), F.lower(strip(text(v))).alias("text"))
+
+
 def compare(op: Column, have: Column, want: Column) -> Column:
     """Whether have meets want by op (gte, lte, eq); null, which is undecided, for approx and other ops, where either is missing, and between kinds.
 
     Numbers are compared as such, texts without spaces at their ends and without
     case, and gte and lte hold between numbers only.
     """
-    a, b = number(have), number(want)
-    same_text = F.lower(strip(text(have))) == F.lower(strip(text(want)))
-    equal = F.coalesce(a == b, flag(have) == flag(want), same_text)
+    return compared(op, parts(have), parts(want))
+
+
+def compared(op: Column, have: Column, want: Column) -> Column:
+    """As compare, of two structs of parts: each value is taken apart once, however many it is compared with."""
+    a, b = have["number"], want["number"]
+    equal = F.coalesce(a == b, have["flag"] == want["flag"], have["text"] == want["text"])
     return F.when(op == "gte", a >= b).when(op == "lte", a <= b).when(op == "eq", equal)
 
 

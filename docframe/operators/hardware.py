@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docframe.functions import values
-from docframe.functions.compat import blank_to_null, strip
+from docframe.functions.compat import blank_to_null, dealt, strip
 
 #: Units of the common attributes; those without a unit are counts or words.
 ATTR_UNITS = {
@@ -53,16 +54,21 @@ def canonical_attributes(catalogue: DataFrame, key: str, mapping: dict[str, str]
     return catalogue.select(key, F.inline(F.array(*have))).where("value is not null")
 
 
-def canonical_values(catalogue: DataFrame, key: str, mapping: dict[str, str], flags: tuple[str, ...] = ("ecc_support",)) -> DataFrame:
-    """As canonical_attributes, with each value a VARIANT of its column's kind: a number, a text, or a flag (true for Yes)."""
+def canonical_values(catalogue: DataFrame, key: str, mapping: dict[str, str], flags: tuple[str, ...] = ("ecc_support",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """As canonical_attributes, with each value a VARIANT of its column's kind: a number, a text, or a flag (true for Yes). keep: columns that come along."""
 
     def cell(column: str, attr: str) -> Column:
-        c = F.col(column)
-        value = F.when(c.isNotNull(), c == "Yes") if column in flags else c
-        return F.struct(F.lit(attr).alias("attr"), values.of(value).alias("value"), F.lit(ATTR_UNITS.get(attr)).cast("string").alias("unit"))
+        c, kind = F.col(column), catalogue.schema[column].dataType
+        if column in flags:
+            value = F.when(c.isNotNull(), c == "Yes").cast("variant")
+        elif isinstance(kind, T.NumericType):
+            value = c.cast("double").cast("variant")
+        else:
+            value = c.cast("variant") if isinstance(kind, (T.StringType, T.BooleanType)) else values.of(c)
+        return F.struct(F.lit(attr).alias("attr"), value.alias("value"), F.lit(ATTR_UNITS.get(attr)).cast("string").alias("unit"))
 
     have = [cell(c, a) for c, a in mapping.items() if c in catalogue.columns]
-    return catalogue.select(key, F.inline(F.array(*have))).where("value is not null")
+    return catalogue.select(key, *keep, F.inline(F.array(*have))).where("value is not null")
 
 
 def flag_value(attr: Column, value: Column, flags: tuple[str, ...] = ("ecc",)) -> Column:
@@ -107,9 +113,11 @@ def match_requirements(attributes: DataFrame, constraints: DataFrame, key: str)
     attributes: key, attr, value. constraints: requirement, attr, op (gte, lte,
     eq, approx), value. pass if all hold, fail if one fails, needs_review if
     none fails but one is approx or its attribute isn't known. The join is on
-    the attribute; the pairs of a requirement and a product are counted before
-    the shuffle.
+    the attribute. Where the constraints are few enough to be broadcast,
+    attributes are dealt by product to tasks of bounded size, and no other
+    shuffle follows.
     """
+    few = constraints.limit(100_001).count() <= 100_000
     n = constraints.groupBy("requirement").agg(F.count("*").alias("n_constraints"))
     asked = constraints.select("requirement", "attr", "op", F.col("value").alias("wanted"))
     have, want = F.col("value").try_cast("double"), F.col("wanted").try_cast("double")

@@ -366,6 +366,7 @@ def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         "p_partkey", F.col("p_size").alias("cores"), F.col("p_brand").alias("socket"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("memory_types"),
         F.when(F.col("p_size") % 2 == 0, "Yes").otherwise("No").alias("ecc_support"), (F.col("p_size") * 10).alias("tdp_w"),
+        F.col("p_type").alias("category"),
     )
 
 
@@ -415,8 +416,7 @@ def _requirements(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     answer = F.concat(F.lit('{"items":['), item, F.lit(',"allow_equivalent":'), (k % 10 == 0).cast("string"), F.lit(',"children":['), first, F.lit("}"), second, F.lit("]}]}"))
     found = table(spark, folder, "nation").select("n_nationkey", opportunity.salvage_object(answer, f"struct<items:array<{generation.ITEM}>>")["items"].alias("items"))
     parts = requirements.requirement_parts(found.withColumn("items", F.transform("items", generation.tidy_item)), "n_nationkey")
-    attributes = hardware.canonical_values(_catalogue(spark, folder), "p_partkey", hardware.CPU_ATTRS)
-    return attributes.join(table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("category")), "p_partkey"), parts
+    return hardware.canonical_values(_catalogue(spark, folder), "p_partkey", hardware.CPU_ATTRS, keep=("category",)), parts
 
 
 @query(TREE_SQL + "SELECT k AS n_nationkey, part, p_partkey, n_met, n_unmet, n_open, verdict FROM matches")

@@ -4,6 +4,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from docframe.functions import values
+from docframe.functions.compat import dealt
 from docframe.operators import generation, hardware, requirements
 from docframe.operators.opportunity import salvage_object
 
@@ -113,3 +114,19 @@ def test_all_of(spark):
     for given in product([True, False, None], repeat=2):
         df = spark.createDataFrame([(list(given),)], "v array<boolean>")
         assert df.select(values.all_of(F.col("v")).alias("x")).first().x == three(given)
+
+
+def test_products_meet_constraints_after_one_shuffle(spark):
+    """What was matched is counted where a product's rows are, in tasks of bounded size, without sets of what was seen."""
+    products = spark.createDataFrame([(i, "CPU", a, str(i)) for i in range(40) for a in ("cores", "tdp_w")], "p long, category string, attr string, value string")
+    variants = products.withColumn("value", F.try_parse_json("value"))
+    parts = spark.createDataFrame([(1, 0, 0, "CPU", False, 1, [("cores", "gte", "20"), ("tdp_w", "lte", "30")])], "k long, item int, part int, category string, allow_equivalent boolean, need long, constraints array<struct<attr:string,op:string,value:string>>")
+    parts = parts.withColumn("constraints", F.transform("constraints", lambda c: F.struct(c["attr"].alias("attr"), c["op"].alias("op"), F.try_parse_json(c["value"]).alias("value"))))
+    got = requirements.match_parts(variants, parts, "k", "p")
+    asked = spark.createDataFrame([("r", "cores", "gte", "20"), ("r", "tdp_w", "lte", "30")], "requirement string, attr string, op string, value string")
+    flat = hardware.match_requirements(products.drop("category"), asked, "p")
+    for found in (got, flat):
+        assert sorted(x.p for x in found.where("verdict = 'pass'").collect()) == list(range(20, 31)) and found.count() == 40
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "collect_set" not in plan and [line.count("p#") for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "requirement" not in line.split("(", 1)[1].split(")")[0]] == [1]
+    assert dealt(products, "p", 10).rdd.getNumPartitions() == max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
