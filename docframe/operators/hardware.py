@@ -125,6 +125,6 @@ def match_requirements(attributes: DataFrame, constraints: DataFrame, key: str)
         F.when(F.col("op") == "approx", None).when(F.col("op") == "gte", have >= want).when(F.col("op") == "lte", have <= want)
         .otherwise(F.when(have.isNotNull() & want.isNotNull(), have == want).otherwise(F.lower(strip(F.col("value"))) == F.lower(strip(F.col("wanted")))))
     )
-    met = attributes.join(asked, "attr").withColumn("ok", ok).groupBy("requirement", key).agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_bad"))
+    met = (dealt(attributes, key).join(F.broadcast(asked), "attr") if few else attributes.join(asked, "attr")).withColumn("ok", ok).groupBy("requirement", key).agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_bad"))
     verdict = F.when(F.col("n_bad") > 0, "fail").when(F.col("n_ok") == F.col("n_constraints"), "pass").otherwise("needs_review")
-    return met.join(F.broadcast(n) if constraints.limit(100_001).count() <= 100_000 else n, "requirement").select("requirement", key, "n_ok", "n_constraints", verdict.alias("verdict"))
+    return met.join(F.broadcast(n) if few else n, "requirement").select("requirement", key, "n_ok", "n_constraints", verdict.alias("verdict"))
