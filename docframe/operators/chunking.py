@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 #: The bounds of a request for chunks.
 SIZES, OVERLAPS = (100, 4000), (0, 1000)
+PART_CHARS = 1 << 20  # of the chunks that a worker holds at once
 
 
 def chunk_spans(text: str, size: int = 700, overlap: int = 120) -> list[tuple[int, int]]:
@@ -51,11 +52,34 @@ def request_problem(size: Column, overlap: Column) -> Column:
     return F.coalesce(*told)
 
 
+def chunk_batches(batch: pa.RecordBatch, size: int, overlap: int, limit: int = PART_CHARS) -> Iterator[pa.RecordBatch]:
+    """(key, offset, length, text) of the chunks of (key, text), in batches that are ended once they have limit characters."""
+
+    def made() -> pa.RecordBatch:
+        columns = list(zip(*spans)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], [batch.schema.names[0], "offset", "length", "text"]
+        )
+
+    rows, spans, held = [], [], 0
+    for i, text in enumerate(batch.column(1)):
+        text = text.as_py() or ""
+        for a, b in chunk_spans(text, size, overlap):
+            rows.append(i)
+            spans.append((a, b - a, text[a:b]))
+            held += b - a
+            if held >= limit:
+                yield made()
+                rows, spans, held = [], [], 0
+    yield made()
+
+
 def chunk_documents(docs: DataFrame, size: int = 700, overlap: int = 120, key: str = "doc_id") -> DataFrame:
     """(key, offset, length, text) of each chunk of docs' text, offsets and lengths in code points.
 
     substring(document, offset + 1, length) is the chunk. Null and blank texts
-    have no chunks. One pass, linear in a text's length; no shuffle.
+    have no chunks. One pass, linear in a text's length; no shuffle. A worker
+    hands its chunks on in parts of about PART_CHARS characters.
     """
     if size <= 0:
         raise ValueError("size must be positive")
@@ -63,16 +87,7 @@ def chunk_documents(docs: DataFrame, size: int = 700, overlap: int = 120, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, spans = [], []
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                for a, b in chunk_spans(text, size, overlap):
-                    rows.append(i)
-                    spans.append((a, b - a, text[a:b]))
-            columns = list(zip(*spans)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], [key, "offset", "length", "text"]
-            )
+            yield from chunk_batches(batch, size, overlap)
 
     schema = T.StructType([T.StructField(key, kind), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("text", T.StringType())])
     return docs.select(key, "text").mapInArrow(run, schema)

@@ -1,13 +1,14 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docframe.operators import evaluation, evidence, generation, hardware, opportunity, records, rendering, rules, vectors
-from docframe.operators.chunking import chunk_documents, chunk_spans
+from docframe.operators.chunking import chunk_batches, chunk_documents, chunk_spans
 from docframe.sources import readers, sinks, xml
 
 HOSTILE = st.text(alphabet="ab \n\r\t　 \x1c😀한글.", max_size=400)
@@ -23,6 +24,16 @@ def test_chunks_cover_the_text(text, size, overlap):
     assert [a for a, _ in spans] == sorted({a for a, _ in spans})
 
 
+def test_chunks_are_handed_on_in_parts():
+    """A worker never holds all chunks of a batch; none is lost where a part ends."""
+    texts = ["ab c\n" * 300, None, "", "x" * 1000, "y z " * 500]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(5)), "text": pa.array(texts, pa.string())})
+    got = list(chunk_batches(batch, 100, 20, 250))
+    assert len(got) > 10 and max(sum(b.column("length").to_pylist()) for b in got) < 250 + 100
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [(i, a, b - a, t[a:b]) for i, t in enumerate(texts) for a, b in chunk_spans(t or "", 100, 20)]
+
+
 def test_chunks_are_in_the_documents_coordinates(spark):
     docs = spark.createDataFrame([(1, "가나다\n" * 400), (2, None), (3, " \n "), (4, "short")], "doc_id long, text string")
     chunks = chunk_documents(docs, 300, 60).join(docs.withColumnRenamed("text", "whole"), "doc_id")
