@@ -50,45 +50,79 @@ class Calling:
 
 
 FLUSH = 0.1  # seconds till an answer is written
+ROWS = 1000  # prompts whose answers a task hands on together
 
 
 class Answers:
-    """The kept answers of one bucket: files of the shared folder, one for what came in each FLUSH seconds since the last merge, and merged ones."""
+    """The kept answers of one bucket: files of the shared folder, one for what came in each FLUSH seconds since the last merge, and merged ones.
+
+    In memory are the places of answers that were there before, and the answers
+    that aren't written yet.
+    """
 
     def __init__(self, store: str, bucket: int, again: bool):
         self.folder, self.again = f"{store}/{bucket:05d}", again
         self.files = files_of(self.folder)
-        self.lock, self.pending = threading.Lock(), []
-        self.held = {}
-        for path in self.files:
-            for line in filter(None, read_lines(self.folder, path)):
-                said = json.loads(line)
-                self.held[said["id"]] = (said["text"], said["error"])
+        self.before = len(self.files)
+        self.lock, self.pending = threading.Lock(), {}
+        self.places: dict[str, tuple[int, int, int, bool]] = {}  # file, offset, length, whether it failed
+        for n, path in enumerate(self.files):
+            offset = 0
+            for line in read_lines(self.folder, path):
+                if line:
+                    said = json.loads(line)
+                    self.places[said["id"]] = (n, offset, len(line), bool(said["error"]))
+                offset += len(line) + 1
 
     def get(self, prompt_id: str) -> tuple[str | None, str | None] | None:
-        found = self.held.get(prompt_id)
-        return None if found is None or (self.again and found[1]) else found
+        place = self.places.get(prompt_id)
+        return None if place is None or (self.again and place[3]) else self._read(place)
+
+    @property
+    def held(self) -> dict[str, tuple[str | None, str | None]]:
+        """The answers that were there before, read all at once."""
+        return {i: self._read(place) for i, place in self.places.items()}
+
+    def _read(self, place: tuple[int, int, int, bool]) -> tuple[str | None, str | None] | None:
+        n, offset, length, _ = place
+        try:
+            with store_of(self.folder)[0].open_input_file(self.files[n]) as file:
+                file.seek(offset)
+                said = json.loads(file.read(length))
+        except FileNotFoundError:  # another attempt of the task has merged it: asked twice
+            return None
+        return said["text"], said["error"]
 
     def keep(self, prompt_id: str, answer: tuple[str | None, str | None]) -> None:
         with self.lock:
-            self.held[prompt_id] = answer
-            self.pending.append(prompt_id)
+            self.places.pop(prompt_id, None)  # a failure that was asked for again
+            self.pending[prompt_id] = answer
 
     def flush(self) -> None:
         """Writes what isn't written yet: a task that comes after a lost one finds it."""
         with self.lock:
             if self.pending:
-                self.files.append(write_file(self.folder, f"{uuid.uuid4().hex}.json", self._lines(self.pending)))
-                self.pending = []
-
-    def _lines(self, ids: Sequence[str]) -> bytes:
-        return "".join(json.dumps({"id": i, "text": self.held[i][0], "error": self.held[i][1]}, ensure_ascii=False) + "\n" for i in ids).encode()
+                lines = "".join(json.dumps({"id": i, "text": text, "error": error}, ensure_ascii=False) + "\n" for i, (text, error) in self.pending.items())
+                self.files.append(write_file(self.folder, f"{uuid.uuid4().hex}.json", lines.encode()))
+                self.pending = {}
+
+    def _lines(self) -> Iterator[bytes]:
+        """Those of all files; of the first ones, which were there before, the lines that still hold."""
+        for n, path in enumerate(self.files):
+            offset = 0
+            try:
+                for line in read_lines(self.folder, path):
+                    if line and (n >= self.before or self.places.get(json.loads(line)["id"], ())[:2] == (n, offset)):
+                        yield line + b"\n"
+                    offset += len(line) + 1
+            except FileNotFoundError:  # another attempt's merged file has them
+                continue
 
     def merge(self) -> None:
-        """One file in place of many: written before they go, so that nothing is lost between."""
+        """One file in place of many, read and written line by line: written before they go, so that nothing is lost between."""
         self.flush()
         if len(self.files) > 1:
-            write_file(self.folder, f"merged-{uuid.uuid4().hex}.json", self._lines(list(self.held)))
+            write_file(self.folder, f"merged-{uuid.uuid4().hex}.json", self._lines())
             store = store_of(self.folder)[0]
             for path in self.files:
                 try:
@@ -133,7 +167,7 @@ def ask_each(prompts: DataFrame, calling: Calling, store: str, parallel: int, ag
 
         with Flusher() as flusher, ThreadPoolExecutor(parallel) as pool:
             buckets = flusher.buckets
-            for batch in batches:
+            for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
                 found: list = [None] * batch.num_rows
                 under_way: deque = deque()
                 for i, (prompt_id, bucket, prompt) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "bucket", "prompt")))):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -62,12 +63,13 @@ def read_lines(folder: str, path: str):
             yield rest
 
 
-def write_file(folder: str, name: str, data: bytes) -> str:
-    """A file that appears whole: written under another name first."""
+def write_file(folder: str, name: str, data: bytes | Iterable[bytes]) -> str:
+    """A file that appears whole: written under another name first, part by part if data comes in parts."""
     store, path = store_of(folder)
     store.create_dir(path, recursive=True)
     part = f"{path}/.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
-        out.write(data)
+        for block in [data] if isinstance(data, bytes) else data:
+            out.write(block)
     store.move(part, f"{path}/{name}")
     return f"{path}/{name}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docframe.operators import opportunity
 from docframe.operators.calls import Answers, Calling, Flusher, answered
+from docframe.sources.shared import read_lines
 
 
 class Counted:
@@ -177,3 +178,24 @@ def test_positions_by_any_partitioning(spark):
     assert want == {r.k: r.position for r in opportunity.assign_batches(rows.repartition(13), ["few"], ranges=1000).collect()}
     same = spark.range(3000).select(F.lit(1).alias("k"))
     assert sorted(r.position for r in opportunity.assign_batches(same, ["k"], ranges=8).collect()) == list(range(3000))
+
+
+def test_written_answers_leave_memory(tmp_path):
+    """Only what isn't written is held; what was written is found again, failures that were asked for again are replaced, and merged files hold each answer once."""
+    ids = [f"{i:064x}" for i in range(50)]
+    first = Answers(str(tmp_path), 3, False)
+    for n, i in enumerate(ids):
+        first.keep(i, (f"é {n}\n", None) if n % 2 else (None, "LLM_TIMEOUT"))
+        if n % 10 == 9:
+            first.flush()
+            assert not first.pending and not first.places
+    assert len(first.files) == 5
+    again = Answers(str(tmp_path), 3, True)
+    assert [again.get(i) for i in ids] == [(f"é {n}\n", None) if n % 2 else None for n in range(50)] and again.get("f" * 64) is None
+    for n, i in enumerate(ids[:20]):
+        if n % 2 == 0:
+            again.keep(i, ("now", None))
+    again.merge()
+    last = Answers(str(tmp_path), 3, False)
+    assert len(last.files) == 1 and sum(map(bool, read_lines(last.folder, last.files[0]))) == 50
+    assert [last.get(i) for i in ids] == [(f"é {n}\n", None) if n % 2 else ("now", None) if n < 20 else (None, "LLM_TIMEOUT") for n in range(50)]
