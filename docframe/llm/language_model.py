@@ -26,9 +26,11 @@ NOISE = 32
 INNER = 6
 BATCH = 2048
 STEP = 1024  # tokens whose products are at hand at once
+LANE = 16  # tokens of a group that meet its noise in one product
 ROUNDS = 3
 SHARE = 128  # tokens of a partition for each class
 BLOCK = 1 << 16
+LOG2E = np.float32(math.log2(math.e))
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +126,44 @@ def contexts(text_of: np.ndarray, classes: np.ndarray, start: int) -> np.ndarray
     return out
 
 
+def put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each row copied as one element, which is faster."""
+    whole = np.dtype((np.void, table.strides[0]))
+    table.reshape(len(table), -1).view(whole)[at, 0] = rows.reshape(len(rows), -1).view(whole)[:, 0]
+
+
+def run_sums(values: np.ndarray, first: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the runs of values, taken in this order, that begin at first, and the runs' lengths.
+
+    reduceat takes as long over a run of one as over a longer one, so these are
+    only copied; and it takes column by column, so two floats pass as one
+    complex number where columns are even.
+    """
+    order = np.arange(len(values)) if order is None else order
+    times = np.diff(np.append(first, len(order)))
+    out = values.take(order.take(first), axis=0)
+    many = np.flatnonzero(times > 1)
+    if len(many):
+        of = times.take(many)
+        rows = values.take(order[np.repeat(times > 1, times)], axis=0)
+        rows = rows.view(np.complex64) if rows.shape[-1] % 2 == 0 else rows
+        put(out, many, np.add.reduceat(rows, np.cumsum(of) - of, axis=0).view(np.float32))
+    return out, times
+
+
 def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values, how often each occurs."""
     order = np.argsort(at, kind="stable")
-    at = at[order]
+    at = at.take(order)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return at[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(at)))
+    return at.take(first).astype(np.intp), *run_sums(values, first, order)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Of x / -LOG2E, in place: powers of 2 are the faster ones."""
+    np.exp2(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 class LogBilinear:
@@ -163,67 +193,86 @@ class LogBilinear:
         self.touched = [np.zeros(len(t), np.float32) for t in self.tables]
         self.random = random
 
+    def weights(self) -> np.ndarray:
+        """The c_j as diagonals one below the other: a context's vectors side by side, times this, are its prediction."""
+        return np.concatenate([np.diag(c) for c in self.tables[2]])
+
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        r, _, c, _ = self.tables
-        return sum(r[context[:, j]] * c[j] for j in range(CONTEXT))
+        return self.tables[0].take(context.ravel(), axis=0).reshape(len(context), -1) @ self.weights()
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float = 0.2) -> None:
         """One step on a batch: each target's group against NOISE groups, which the batch shares, and each target against INNER classes of its group, which the batch's targets of a group share.
 
         The batch is ordered by targets, and so by groups: sums over either are
-        sums of neighbours, and a group's products are those of two matrices.
+        sums of neighbours, and a group's tokens, LANE at a time, meet its noise
+        classes and the group itself in one product of two matrices.
         """
         r, q, c, g = self.tables
         order = np.argsort(target.astype(self.kind), kind="stable")
-        context, target = context[order], target[order]
+        context, target = context.take(order, axis=0).ravel(), target.take(order)
         size, own = len(target), target // self.members
         edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         present, ends = own[edges], np.append(edges[1:], size)
-        given = [r[context[:, j]] for j in range(CONTEXT)]
-        hat = np.ones((size, WIDTH + 1), np.float32)  # its last column meets b
-        hat[:, :WIDTH] = sum(x * c[j] for j, x in enumerate(given))
+        weights = self.weights()
+        given = r.take(context, axis=0).reshape(size, -1)
+        filled = np.zeros((size + 1, WIDTH + 1), np.float32)  # a row of zeros at the end
+        hat = filled[:size]
+        hat[:, :WIDTH] = given @ weights
+        hat[:, WIDTH] = 1  # meets b
 
         groups = np.searchsorted(self.groups_upto, self.random.random(NOISE), side="right")
-        noise = g[groups]
-        vectors = g[own]
-        up = sigmoid(self.log_group_noise[own] - np.einsum("ij,ij->i", hat, vectors))  # 1 - P(data)
-        down = sigmoid(hat @ noise.T - self.log_group_noise[groups])
-        to_hat = down @ noise - up[:, None] * vectors
+        noise = g.take(groups, axis=0)
+        against = noise.copy()
+        against[:, WIDTH] -= self.log_group_noise[groups]
+        against *= -LOG2E
+        down = sigmoid(hat @ against.T)
+        to_hat = down @ noise
         to_g = np.zeros_like(g)
-        to_g[present] = np.add.reduceat(-up[:, None] * hat, edges)
         np.add.at(to_g, groups, down.T @ hat)
 
-        vectors = q[target]
-        up = sigmoid(self.log_noise[target] - np.einsum("ij,ij->i", hat, vectors))
-        to_hat -= up[:, None] * vectors
-        firsts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-        to_target = target[firsts], np.add.reduceat(-up[:, None] * hat, firsts), np.diff(np.append(firsts, size))
         begin = present * self.members
         last = np.minimum(begin + self.members, self.n)
         low, high = self.upto[begin], self.upto[last]
         drawn = np.searchsorted(self.upto, low[:, None] + self.random.random((len(present), INNER)) * (high - low)[:, None], side="right") - 1
         drawn = np.clip(drawn, begin[:, None], last[:, None] - 1)
-        of = np.repeat(np.arange(len(present)), ends - edges)
-        noise = q[drawn][of]
-        down = np.einsum("ikj,ij->ik", noise, hat)
-        down -= self.log_noise[drawn][of]
-        down = sigmoid(down)
-        to_hat += np.einsum("ik,ikj->ij", down, noise)
-        np.multiply(down[:, :, None], hat[:, None, :], out=noise)
-        to_drawn = summed(drawn.ravel().astype(self.kind), np.add.reduceat(noise, edges).reshape(-1, WIDTH + 1))
-        to_hat = to_hat[:, :WIDTH]
-        to_r = summed(context.T.ravel().astype(self.kind), np.concatenate([to_hat * c[j] for j in range(CONTEXT)]))
-        to_c = np.stack([np.einsum("ij,ij->j", to_hat, x) for x in given])
-        steps = ((0, *to_r), (1, *to_target), (1, *to_drawn), (2, slice(None), to_c, size), (3, slice(None), to_g, size))
-        for which, at, grad, times in steps:
+        rivals = np.empty((len(present), INNER + 1, WIDTH + 1), np.float32)
+        rivals[:, :INNER] = q.take(drawn, axis=0)
+        rivals[:, INNER] = -g.take(present, axis=0)  # its sigmoid is 1 - P(data)
+        against = rivals.copy()
+        against[:, :INNER, WIDTH] -= self.log_noise.take(drawn)
+        against[:, INNER, WIDTH] += self.log_group_noise.take(present)
+        against *= -LOG2E
+        lanes = -(-(ends - edges) // LANE)
+        of, first = np.repeat(np.arange(len(present)), lanes), np.cumsum(lanes) - lanes
+        at = np.arange(size) + np.repeat(first * LANE - edges, ends - edges)
+        slots = np.full(len(of) * LANE, size)
+        slots[at] = np.arange(size)
+        tiles = filled.take(slots, axis=0).reshape(-1, LANE, WIDTH + 1)
+        down = sigmoid(tiles @ np.ascontiguousarray(against.transpose(0, 2, 1)).take(of, axis=0))
+        to_hat += (down @ rivals.take(of, axis=0)).reshape(-1, WIDTH + 1).take(at, axis=0)
+        sums, _ = run_sums(down.transpose(0, 2, 1) @ tiles, first)
+        to_g[present] -= sums[:, INNER]
+        to_drawn = summed(drawn.ravel().astype(self.kind), sums[:, :INNER].reshape(-1, WIDTH + 1))
+
+        vectors = q.take(target, axis=0)
+        up = sigmoid((np.einsum("ij,ij->i", hat, vectors) - self.log_noise.take(target)) * LOG2E)[:, None]
+        vectors *= up
+        to_hat -= vectors
+        firsts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        to_target = target.take(firsts), *run_sums(hat * -up, firsts)
+        to_hat = np.ascontiguousarray(to_hat[:, :WIDTH])
+        to_r = summed(context.astype(self.kind), (to_hat @ weights.T).reshape(-1, WIDTH))
+        to_c = np.einsum("ikj,ij->kj", given.reshape(size, CONTEXT, WIDTH), to_hat)
+        for which, at, grad, times in ((0, *to_r), (1, *to_target), (1, *to_drawn), (2, np.arange(CONTEXT), to_c, size), (3, np.arange(len(g)), to_g, size)):
             t, s = self.tables[which], self.squares[which]
             grad *= np.float32(1 / size)
-            squares = s[at] + grad * grad
-            s[at] = squares
+            squares = s.take(at, axis=0)
+            squares += grad * grad
+            put(s, at, squares)
             np.sqrt(squares, out=squares)
             grad *= np.float32(rate)
             grad /= squares
-            t[at] -= grad
+            put(t, at, np.subtract(t.take(at, axis=0), grad, out=grad))
             self.touched[which][at] += times
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -231,29 +280,32 @@ class LogBilinear:
         _, q, _, g = self.tables
         out, own = np.empty(len(target), np.float64), target // self.members
         order = np.argsort(own.astype(np.uint16 if self.groups < 1 << 16 else np.uint32), kind="stable")
-        edges = np.searchsorted(own[order], np.arange(self.groups + 1))
-        hat = np.ones((len(target), WIDTH + 1), np.float32)
-        hat[:, :WIDTH] = self.predicted(context[order])
+        context, target, own = context.take(order, axis=0), target.take(order), own.take(order)
+        edges = np.searchsorted(own, np.arange(self.groups + 1))
+        hat = np.full((len(target), WIDTH + 1), LOG2E)
+        hat[:, :WIDTH] = self.predicted(context) * LOG2E
+        logs = np.empty(len(target), np.float64)
 
         def chosen(hats: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
-            scores = hats @ table.T
-            picked = scores[np.arange(len(hats)), at]
-            with np.errstate(over="ignore"):
-                total = np.exp(scores, out=scores).sum(axis=1)
-            logs, odd = np.log(np.maximum(total, 1e-38)), np.flatnonzero((total < 1e-30) | ~np.isfinite(total))
+            scores = hats @ table.T  # in bits
+            picked = scores.ravel().take(np.arange(len(hats)) * len(table) + at)
+            with np.errstate(over="ignore", invalid="ignore"):
+                total = np.exp2(scores, out=scores) @ np.ones(len(table), np.float32)
+            sums, odd = np.log2(np.maximum(total, 1e-38)), np.flatnonzero(~((total >= 1e-30) & (total < np.inf)))
             if len(odd):  # the exponentials left the range of a float
                 again = hats[odd] @ table.T
                 most = again.max(axis=1)
-                logs[odd] = most + np.log(np.exp(again - most[:, None]).sum(axis=1))
-            return picked - logs
+                sums[odd] = most + np.log2(np.exp2(again - most[:, None]).sum(axis=1))
+            return picked - sums
 
         for i in range(0, len(order), STEP):
-            out[order[i : i + STEP]] = chosen(hat[i : i + STEP], g, own[order[i : i + STEP]])
+            logs[i : i + STEP] = chosen(hat[i : i + STEP], g, own[i : i + STEP])
         for k in np.flatnonzero(np.diff(edges)).tolist():
             members = q[k * self.members : (k + 1) * self.members]
             for i in range(edges[k], edges[k + 1], STEP):
-                rows = order[i : min(i + STEP, edges[k + 1])]
-                out[rows] += chosen(hat[i : i + len(rows)], members, target[rows] - k * self.members)
+                end = min(i + STEP, edges[k + 1])
+                logs[i:end] += chosen(hat[i:end], members, target[i:end] - k * self.members)
+        out[order] = logs * math.log(2)
         return out
 
     def weighted(self) -> np.ndarray:
@@ -327,7 +379,7 @@ def train(training: DataFrame, head: Counts) -> LogBilinear:
                     context = contexts(text_of, classes, model.n)
                     mixed = model.random.permutation(len(classes))
                     for i in range(0, len(mixed), BATCH):
-                        model.learn(context[mixed[i : i + BATCH]], classes[mixed[i : i + BATCH]])
+                        model.learn(context.take(mixed[i : i + BATCH], axis=0), classes.take(mixed[i : i + BATCH]))
             flat = model.weighted()
             blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
             return pa.table([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["at", "x"])

@@ -1,7 +1,10 @@
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -10,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docframe.llm import bwt, near_duplicates as nd, pii, suffix_dedup, text as T, toxicity
+from docframe.llm import bwt, language_model as lm, near_duplicates as nd, pii, suffix_dedup, text as T, toxicity
 from docframe.llm.components import components
 from docframe.llm.decontamination import decontaminate, find_contamination
 from docframe.llm.language_id import identify_language
@@ -418,6 +421,87 @@ def test_model_learns_what_follows():
     assert np.exp(every).sum(axis=0) == pytest.approx(1, abs=1e-4)
 
 
+def plain_step(model, context, target, rate=0.2):
+    """LogBilinear.learn by plain indexing and sums."""
+    r, q, c, g = model.tables
+    order = np.argsort(target, kind="stable")
+    context, target = context[order], target[order]
+    own, size = target // model.members, len(target)
+    present, of = np.unique(own, return_inverse=True)
+    given = [r[context[:, j]] for j in range(CONTEXT)]
+    hat = np.hstack([sum(x * c[j] for j, x in enumerate(given)), np.ones((size, 1), np.float32)])
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def summed(at, values):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(at[order])))
+        return at[order][first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(at)))
+
+    groups = np.searchsorted(model.groups_upto, model.random.random(lm.NOISE), side="right")
+    up, down = sigmoid(model.log_group_noise[own] - (hat * g[own]).sum(axis=1)), sigmoid(hat @ g[groups].T - model.log_group_noise[groups])
+    to_hat, to_g = down @ g[groups] - up[:, None] * g[own], np.zeros_like(g)
+    at, sums, _ = summed(own, -up[:, None] * hat)
+    to_g[at] = sums
+    np.add.at(to_g, groups, down.T @ hat)
+    up = sigmoid(model.log_noise[target] - (hat * q[target]).sum(axis=1))
+    to_hat -= up[:, None] * q[target]
+    to_target = summed(target, -up[:, None] * hat)
+    begin = present * model.members
+    last = np.minimum(begin + model.members, model.n)
+    low, high = model.upto[begin], model.upto[last]
+    drawn = np.searchsorted(model.upto, low[:, None] + model.random.random((len(present), lm.INNER)) * (high - low)[:, None], side="right") - 1
+    drawn = np.clip(drawn, begin[:, None], last[:, None] - 1)
+    noise = q[drawn][of]
+    down = sigmoid(np.einsum("ikj,ij->ik", noise, hat) - model.log_noise[drawn][of])
+    to_hat += np.einsum("ik,ikj->ij", down, noise)
+    to_drawn = summed(drawn.ravel(), np.add.reduceat(down[:, :, None] * hat[:, None, :], np.searchsorted(of, np.arange(len(present))), axis=0).reshape(-1, hat.shape[1]))
+    to_r = summed(context.T.ravel(), np.concatenate([to_hat[:, :-1] * c[j] for j in range(CONTEXT)]))
+    to_c = np.stack([(to_hat[:, :-1] * x).sum(axis=0) for x in given])
+    for which, at, grad, times in ((0, *to_r), (1, *to_target), (1, *to_drawn), (2, slice(None), to_c, size), (3, slice(None), to_g, size)):
+        grad = grad / np.float32(size)
+        model.squares[which][at] += grad * grad
+        model.tables[which][at] -= np.float32(rate) * grad / np.sqrt(model.squares[which][at])
+        model.touched[which][at] += times
+
+
+def steps(n, size):
+    """A model of n classes, and batches of this size."""
+    share = 1 / np.arange(1, n + 1) ** 1.1
+    sequence = np.searchsorted(np.cumsum(share / share.sum())[:-1], np.random.default_rng(2).random(5 * size + CONTEXT))
+    context = np.stack([sequence[CONTEXT - 1 - j : len(sequence) - 1 - j] for j in range(CONTEXT)], axis=1)
+    return LogBilinear(share * 1e6), [(context[i : i + size], sequence[CONTEXT:][i : i + size]) for i in range(0, 5 * size, size)]
+
+
+@pytest.mark.parametrize("n, size", [(1, 3), (2, 1), (50, 7), (3000, 2048), (70_000, 500)])
+def test_a_step_equals_a_plain_one(n, size):
+    (a, batches), (b, _) = steps(n, size), steps(n, size)
+    for batch in batches:
+        a.learn(*batch)
+        plain_step(b, *batch)
+    for x, y in zip([*a.tables, *a.squares, *a.touched], [*b.tables, *b.squares, *b.touched]):
+        assert x.dtype == np.float32 and np.allclose(x, y, rtol=1e-4, atol=1e-5)
+
+
+def test_a_step_takes_less_time_than_a_plain_one():
+    timed = """
+import time
+from tests.llm.test_operators import LogBilinear, plain_step, steps
+model, batches = steps(40_000, 2048)
+def least(step):
+    took = []
+    for _ in range(4):
+        for batch in batches:
+            began = time.process_time()
+            step(model, *batch)
+            took.append(time.process_time() - began)
+    return min(took)
+print(least(LogBilinear.learn) / least(plain_step))
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", timed], cwd=here, env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=120)
+    assert float(ran.stdout) < 0.67, ran.stderr
+
+
 def test_classes_grow_with_the_corpus():
     tokens = [b"w%d" % i for i in range(8000)]
     few, many = (Counts(tokens, np.full(8000, c, np.int64), 8000 * c, 8000) for c in (1, 125))
