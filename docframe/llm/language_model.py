@@ -151,12 +151,20 @@ def run_sums(values: np.ndarray, first: np.ndarray, order: np.ndarray | None = N
     return out, times
 
 
+def in_order(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 in ascending order and the places they come from, the earlier of equals first; number and place are sorted as one integer, so that larger numbers take no longer."""
+    bits = len(at).bit_length()
+    both = at.astype(np.int64) << bits
+    both |= np.arange(len(at))
+    both.sort()
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values, how often each occurs."""
-    order = np.argsort(at, kind="stable")
-    at = at.take(order)
+    at, order = in_order(at)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return at.take(first).astype(np.intp), *run_sums(values, first, order)
+    return at.take(first), *run_sums(values, first, order)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -185,7 +193,6 @@ class LogBilinear:
         self.log_noise = np.log(INNER * self.noise).astype(np.float32)
         self.log_group_noise = np.log(NOISE * self.group_share).astype(np.float32)
         self.upto = np.append(0, np.cumsum(share))
-        self.kind = np.uint16 if n < 1 << 16 else np.uint32  # short numbers sort faster
         q = np.hstack([random.standard_normal((n, WIDTH)) * 0.1, np.log(self.noise)[:, None]])
         g = np.hstack([random.standard_normal((self.groups, WIDTH)) * 0.1, np.log(self.group_share)[:, None]])
         self.tables = [t.astype(np.float32) for t in (random.standard_normal((n + 1, WIDTH)) * 0.1, q, np.ones((CONTEXT, WIDTH)) / CONTEXT, g)]
@@ -208,8 +215,8 @@ class LogBilinear:
         classes and the group itself in one product of two matrices.
         """
         r, q, c, g = self.tables
-        order = np.argsort(target.astype(self.kind), kind="stable")
-        context, target = context.take(order, axis=0).ravel(), target.take(order)
+        target, order = in_order(target)
+        context = context.take(order, axis=0).ravel()
         size, own = len(target), target // self.members
         edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         present, ends = own[edges], np.append(edges[1:], size)
@@ -252,7 +259,7 @@ class LogBilinear:
         to_hat += (down @ rivals.take(of, axis=0)).reshape(-1, WIDTH + 1).take(at, axis=0)
         sums, _ = run_sums(down.transpose(0, 2, 1) @ tiles, first)
         to_g[present] -= sums[:, INNER]
-        to_drawn = summed(drawn.ravel().astype(self.kind), sums[:, :INNER].reshape(-1, WIDTH + 1))
+        to_drawn = summed(drawn.ravel(), sums[:, :INNER].reshape(-1, WIDTH + 1))
 
         vectors = q.take(target, axis=0)
         up = sigmoid((np.einsum("ij,ij->i", hat, vectors) - self.log_noise.take(target)) * LOG2E)[:, None]
@@ -261,7 +268,7 @@ class LogBilinear:
         firsts = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
         to_target = target.take(firsts), *run_sums(hat * -up, firsts)
         to_hat = np.ascontiguousarray(to_hat[:, :WIDTH])
-        to_r = summed(context.astype(self.kind), (to_hat @ weights.T).reshape(-1, WIDTH))
+        to_r = summed(context, (to_hat @ weights.T).reshape(-1, WIDTH))
         to_c = np.einsum("ikj,ij->kj", given.reshape(size, CONTEXT, WIDTH), to_hat)
         for which, at, grad, times in ((0, *to_r), (1, *to_target), (1, *to_drawn), (2, np.arange(CONTEXT), to_c, size), (3, np.arange(len(g)), to_g, size)):
             t, s = self.tables[which], self.squares[which]

@@ -482,24 +482,21 @@ def test_a_step_equals_a_plain_one(n, size):
         assert x.dtype == np.float32 and np.allclose(x, y, rtol=1e-4, atol=1e-5)
 
 
-def test_a_step_takes_less_time_than_a_plain_one():
-    timed = """
-import time
+@pytest.mark.parametrize("n", [40_000, 200_000])
+def test_a_step_takes_less_time_than_a_plain_one(n):
+    timed = f"""
+import statistics, time
 from tests.llm.test_operators import LogBilinear, plain_step, steps
-model, batches = steps(40_000, 2048)
-def least(step):
-    took = []
-    for _ in range(4):
-        for batch in batches:
-            began = time.process_time()
-            step(model, *batch)
-            took.append(time.process_time() - began)
-    return min(took)
-print(least(LogBilinear.learn) / least(plain_step))
+model, batches = steps({n}, 2048)
+def seconds(step, batch):
+    began = time.process_time()
+    step(model, *batch)
+    return time.process_time() - began
+print(statistics.median(seconds(LogBilinear.learn, batch) / seconds(plain_step, batch) for batch in batches * 6))
 """
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     ran = subprocess.run([sys.executable, "-c", timed], cwd=here, env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=120)
-    assert float(ran.stdout) < 0.67, ran.stderr
+    assert float(ran.stdout) < 0.72, ran.stderr
 
 
 def test_classes_grow_with_the_corpus():
